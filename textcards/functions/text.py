@@ -90,12 +90,11 @@ def word_tokens(c) -> Column:
 
 def uni_bi_grams(tokens) -> Column:
     """Unigrams followed by space-joined bigrams of an ordered token array."""
+    # Lambdas touch only their own arguments: a lambda that indexes an outer
+    # array expression re-evaluates that expression once per element.
     t = col_(tokens)
-    n = F.size(t)
-    bigrams = F.when(n >= 2, F.transform(
-        F.sequence(F.lit(1), n - 1),
-        lambda i: F.concat(F.element_at(t, i), F.lit(" "), F.element_at(t, i + 1)),
-    )).otherwise(F.array().cast("array<string>"))
+    nxt = F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0)))
+    bigrams = F.array_compact(F.zip_with(t, nxt, lambda a, b: F.concat(a, F.lit(" "), b)))
     return F.concat(t, bigrams)
 
 

@@ -1,16 +1,18 @@
-"""C4 lexicon labelling: F7 J5 J6 A2 A3 K1 U3 F5 as one Spark plan.
+"""C4 lexicon labelling: F7 J5 J6 A2 A3 K1 U3 F5 P15 A8 K3 as one narrow Spark stage.
 
 Plan shape (see ``explain``)::
 
-    scan(id, text) -> project(id, lower(text), sentences(lower(text)))
-      -> BroadcastNestedLoopJoin(contains(text, keyword)) with the lexicon
-      -> project(evidence indices of that keyword)        # no text past here
-      -> HashAggregate by (id, field, label)              # one shuffle, hit rows only
-
-Text never crosses a shuffle; only (id, label, small int arrays) do.  The
-lexicon is broadcast only after its row count is checked; past the bound
-it is cut into bounded chunks, each broadcast and joined separately, and
-the hit rows are unioned (exact, no keyword dropped).
+    scan(id, text)
+      -> project(id, lower(text), sentences)
+      -> BroadcastNestedLoopJoin  exists(keywords, k -> contains(text, k))
+             with the *label table*: one row per label, its keywords as an array
+      -> project(hits, confidence, evidence, quotes)   # higher-order functions
+
+There is no shuffle: every (record, label) result is computed inside the
+joined row, so the job scales with the scan.  The only broadcast is the
+label table, whose size is checked; past the bound it is cut into bounded
+chunks, each broadcast and joined on its own, and the results unioned (all
+keywords still apply).
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textcards.functions.text import split_sentences
+from textcards.operators.common import bounded_broadcast
 
-# A broadcast lexicon row is ~100 bytes; 50k rows keeps each broadcast ~5 MB.
+# Keywords across all labels of one broadcast chunk (~100 bytes each).
 MAX_BROADCAST_KEYWORDS = 50_000
 
 LEXICON_SCHEMA = "field string, label string, label_pos int, kw_pos int, keyword string"
@@ -46,82 +49,153 @@ def taxonomy_table(spark: SparkSession, mapping: dict) -> DataFrame:
     return spark.createDataFrame(rows, TAXONOMY_SCHEMA)
 
 
-def prepare_lexicon(lexicon: DataFrame, taxonomy: DataFrame | None = None,
-                    fields=None) -> DataFrame:
-    """Restrict to taxonomy labels (F5, applied to labels, confidences and
-    evidence alike) and lower-case every keyword once (constant folding)."""
+def label_table(lexicon: DataFrame, taxonomy: DataFrame | None = None,
+                fields=None) -> DataFrame:
+    """One row per label: ``(field, label, label_pos, kws array<string>)``.
+
+    Keywords are lower-cased once (constant folding) and kept in keyword
+    order, duplicates included (a keyword listed twice counts twice).  With
+    a taxonomy, labels outside it are dropped (F5) before any text is read.
+    """
     lex = lexicon
     if fields is not None:
         lex = lex.where(F.col("field").isin(list(fields)))
     if taxonomy is not None:
-        lex = lex.join(taxonomy.select("field", "label"), ["field", "label"], "left_semi")
-    return lex.select("field", "label", "label_pos", "kw_pos", F.lower("keyword").alias("kw"))
-
-
-def keyword_hits(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
-                 text_col: str = "text", taxonomy: DataFrame | None = None,
-                 fields=None, with_evidence: bool = True) -> DataFrame:
-    """One row per (record, lexicon keyword) whose keyword occurs in the text.
-
-    Columns: id, field, label, label_pos, kw_pos and, when ``with_evidence``,
-    ``kw_sents``: indices of the sentences containing the keyword.
-    """
-    lex = prepare_lexicon(lexicon, taxonomy, fields)
-    n_kw = lex.count()
-    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    d = docs.select(F.col(id_col), low.alias("_tl"))
-    if with_evidence:
-        # split(lower(t)) == map(lower, split(t)): lowering never adds or removes
-        # a sentence boundary, so segment once, on the lowered text.
-        d = d.withColumn("_sl", split_sentences(F.col("_tl")))
-
-    n_chunks = max(1, math.ceil(n_kw / MAX_BROADCAST_KEYWORDS))
-    joined = None
-    for c in range(n_chunks):
-        part = lex if n_chunks == 1 else lex.where(
-            F.pmod(F.xxhash64("field", "label", "kw_pos"), F.lit(n_chunks)) == c)
-        j = d.join(F.broadcast(part), F.expr("contains(_tl, kw)"), "inner")
-        joined = j if joined is None else joined.unionByName(j)
-
-    cols = [F.col(id_col), "field", "label", "label_pos", "kw_pos"]
-    if with_evidence:
-        kw = F.col("kw")
-        cols.append(F.array_compact(F.transform(
-            "_sl", lambda s, i: F.when(F.contains(s, kw), i))).alias("kw_sents"))
-    return joined.select(*cols)
-
-
-def lexicon_predict(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
+        lex = lex.join(bounded_broadcast(taxonomy.select("field", "label")),
+                       ["field", "label"], "left_semi")
+    return (lex.groupBy("field", "label", "label_pos")
+            .agg(F.sort_array(F.collect_list(F.struct("kw_pos", F.lower("keyword").alias("kw"))))
+                 .alias("_k"))
+            .select("field", "label", "label_pos",
+                    F.transform("_k", lambda x: x["kw"]).alias("kws")))
+
+
+def evidence_label_table(taxonomy: DataFrame, evidence_lexicon: DataFrame | None) -> DataFrame:
+    """Every taxonomy label with its evidence keywords; a label without
+    any falls back to its own name with ``_`` read as a space."""
+    kw = (label_table(evidence_lexicon).select("field", "label", "kws")
+          if evidence_lexicon is not None else None)
+    t = taxonomy.select("field", "label", "label_pos")
+    if kw is not None:
+        t = t.join(kw, ["field", "label"], "left")
+    else:
+        t = t.withColumn("kws", F.lit(None).cast("array<string>"))
+    return t.select("field", "label", "label_pos",
+                    F.coalesce("kws", F.array(F.lower(F.replace("label", F.lit("_"), F.lit(" ")))))
+                    .alias("kws"))
+
+
+def _chunks(labels: DataFrame):
+    """Bounded broadcast chunks of the label table (size proven by count)."""
+    stats = labels.agg(F.count(F.lit(1)).alias("n"),
+                       F.coalesce(F.sum(F.size("kws")), F.lit(0)).alias("k")).first()
+    n_chunks = max(1, math.ceil(stats["k"] / MAX_BROADCAST_KEYWORDS))
+    if n_chunks == 1:
+        return [labels]
+    key = F.pmod(F.xxhash64("field", "label"), F.lit(n_chunks))
+    return [labels.where(key == c) for c in range(n_chunks)]
+
+
+def _prepared_docs(docs: DataFrame, id_cols, text_col: str, quotes: bool) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    if quotes:
+        d = docs.select(*id_cols, F.lower(text).alias("_tl"), split_sentences(text).alias("_so"))
+        return d.withColumn("_sl", F.transform("_so", F.lower))
+    # split(lower(t)) == map(lower, split(t)): lowering never adds or removes a
+    # sentence boundary, so one split of the lowered text is enough.
+    d = docs.select(*id_cols, F.lower(text).alias("_tl"))
+    return d.withColumn("_sl", split_sentences(F.col("_tl")))
+
+
+def _match(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    parts = [docs.join(F.broadcast(c), F.expr("exists(kws, k -> contains(_tl, k))"), "inner")
+             for c in _chunks(labels)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _ids(id_col):
+    return [id_col] if isinstance(id_col, str) else list(id_col)
+
+
+def lexicon_predict(docs: DataFrame, lexicon: DataFrame, id_col="doc_id",
                     text_col: str = "text", taxonomy: DataFrame | None = None,
-                    fields=None, max_evidence: int = 3) -> DataFrame:
-    """Long-form lexicon predictions.
-
-    ``(id, field, label, label_pos, hits, confidence, evidence array<int>)``:
-    one row per predicted label.  ``hits`` counts lexicon keywords found
-    (a keyword listed twice counts twice); ``confidence = min(0.95, 0.3 +
-    0.2*hits)``; ``evidence`` = sentence indices ordered by (keyword
-    position, sentence index), first occurrence kept, first ``max_evidence``.
-    Records without any hit have no rows: pair with the input ids
-    (``scored_ids``) when a spine is needed.
+                    fields=None, max_evidence: int = 3, quotes: bool = False) -> DataFrame:
+    """Long-form lexicon predictions, one row per (record, predicted label).
+
+    ``(id.., field, label, label_pos, hits, confidence, evidence array<int>
+    [, quotes array<string>])``.  ``hits`` = lexicon keywords found as a
+    case-insensitive substring of the text; ``confidence = min(0.95, 0.3 +
+    0.2*hits)``; ``evidence`` = indices of sentences containing a found
+    keyword, ordered by (keyword position, sentence index), first occurrence
+    kept, first ``max_evidence`` (so a keyword spanning a sentence end still
+    labels the record but gives no evidence).  ``quotes`` are the verbatim
+    sentences of ``evidence`` (J8).  Records without any hit have no rows:
+    pair with the input ids when a spine is needed.
     """
-    hits = keyword_hits(docs, lexicon, id_col, text_col, taxonomy, fields)
-    agg = (hits.groupBy(id_col, "field", "label", "label_pos")
-           .agg(F.count(F.lit(1)).alias("hits"),
-                F.sort_array(F.collect_list(F.struct("kw_pos", "kw_sents"))).alias("_ev")))
-    evidence = F.slice(F.array_distinct(F.flatten(F.transform("_ev", lambda x: x["kw_sents"]))),
-                       1, max_evidence)
-    return agg.select(
-        id_col, "field", "label", "label_pos", "hits",
-        F.least(F.lit(0.95), F.lit(0.3) + F.lit(0.2) * F.col("hits")).alias("confidence"),
-        evidence.alias("evidence"))
-
-
-def lexicon_labels(docs: DataFrame, lexicon: DataFrame, id_col: str = "doc_id",
+    ids = _ids(id_col)
+    d = _prepared_docs(docs, ids, text_col, quotes)
+    j = _match(d, label_table(lexicon, taxonomy, fields))
+    tl, sl = F.col("_tl"), F.col("_sl")
+    found = F.filter("kws", lambda k: F.contains(tl, k))
+    # Only the first `max_evidence` sentences of any one keyword can reach
+    # the first `max_evidence` distinct indices, so each list is cut there.
+    per_kw = F.transform(found, lambda k: F.slice(
+        F.array_compact(F.transform(sl, lambda s, i: F.when(F.contains(s, k), i))),
+        1, max_evidence))
+    out = j.select(*ids, "field", "label", "label_pos",
+                   F.size(found).cast("bigint").alias("hits"),
+                   F.slice(F.array_distinct(F.flatten(per_kw)), 1, max_evidence).alias("evidence"),
+                   *(["_so"] if quotes else []))
+    out = out.withColumn("confidence",
+                         F.least(F.lit(0.95), F.lit(0.3) + F.lit(0.2) * F.col("hits")))
+    cols = [*ids, "field", "label", "label_pos", "hits", "confidence", "evidence"]
+    if quotes:
+        out = out.withColumn("quotes", F.transform(
+            "evidence", lambda i: F.element_at(F.col("_so"), i + 1)))
+        cols.append("quotes")
+    return out.select(*cols)
+
+
+def lexicon_labels(docs: DataFrame, lexicon: DataFrame, id_col="doc_id",
                    text_col: str = "text", taxonomy: DataFrame | None = None,
                    fields=None) -> DataFrame:
-    """Labels and confidences only (A2 A3): skips sentence segmentation."""
-    hits = keyword_hits(docs, lexicon, id_col, text_col, taxonomy, fields, with_evidence=False)
-    return (hits.groupBy(id_col, "field", "label", "label_pos")
-            .agg(F.count(F.lit(1)).alias("hits"))
+    """Labels and confidences only (A2 A3), no sentence work."""
+    ids = _ids(id_col)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    d = docs.select(*ids, F.lower(text).alias("_tl"))
+    j = _match(d, label_table(lexicon, taxonomy, fields))
+    hits = F.size(F.filter("kws", lambda k: F.contains(F.col("_tl"), k))).cast("bigint")
+    return (j.select(*ids, "field", "label", "label_pos", hits.alias("hits"))
             .withColumn("confidence",
                         F.least(F.lit(0.95), F.lit(0.3) + F.lit(0.2) * F.col("hits"))))
+
+
+def keyword_sentence_ranking(docs: DataFrame, picked: DataFrame, evidence_labels: DataFrame,
+                             id_col="doc_id", text_col: str = "text", k: int = 3) -> DataFrame:
+    """For each picked (record, label), the top-``k`` sentences
+    by number of the label's evidence keywords they contain (case
+    insensitive); only positive scores; ties keep sentence order.  Returns
+    ``(id.., field, label, rank, sent_idx, score, sentence)`` with the
+    verbatim sentence text.
+
+    ``picked``: (id.., field, label) rows; ``evidence_labels``: output of
+    ``evidence_label_table``.  ``picked`` is joined to the records once by id
+    (both sides shuffle on id), then all ranking happens inside the row.
+    """
+    ids = _ids(id_col)
+    lab = bounded_broadcast(evidence_labels.select("field", "label", "kws"))
+    per_doc = (picked.select(*ids, "field", "label").distinct()
+               .join(lab, ["field", "label"], "inner"))
+    d = _prepared_docs(docs, ids, text_col, quotes=True)
+    j = d.join(per_doc, ids, "inner")
+    scores = F.transform("_sl", lambda s, i: F.struct(
+        (-F.size(F.filter("kws", lambda kw: F.contains(s, kw)))).alias("neg"), i.alias("idx")))
+    top = F.slice(F.array_sort(F.filter(scores, lambda x: x["neg"] < 0)), 1, k)
+    ranked = j.select(*ids, "field", "label", "_so", F.posexplode(top).alias("_r", "_x"))
+    return ranked.select(*ids, "field", "label", (F.col("_r") + 1).alias("rank"),
+                         F.col("_x.idx").alias("sent_idx"),
+                         (-F.col("_x.neg")).cast("bigint").alias("score"),
+                         F.element_at("_so", F.col("_x.idx") + 1).alias("sentence"))

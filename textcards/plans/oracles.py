@@ -106,3 +106,215 @@ FROM pred"""
 def _():
     return f"""WITH {_lexicon_ctes()}
 SELECT id AS doc_id, field, label, array_to_string(evidence, ',') AS evidence FROM preds"""
+
+
+def _r(x):
+    return f"round({x}, 9)"
+
+
+def _ratio(num, den):
+    return f"CASE WHEN ({den}) = 0 THEN 0.0 ELSE ({num}) / ({den}) END"
+
+
+GOLD_CTES = f"""
+gtax AS (SELECT * FROM {taxonomy_values(LX.GOLD_TAXONOMY)}),
+lab AS (SELECT l.doc_id, d.lang, l.quality, l.toxic
+        FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+gold AS (SELECT * FROM (
+           SELECT doc_id AS id, 'language' AS field, lang AS label FROM lab
+           UNION ALL
+           SELECT doc_id, 'quality', CASE WHEN quality = 1 THEN 'high' ELSE 'low' END FROM lab
+           UNION ALL
+           SELECT doc_id, 'toxicity', 'toxic' FROM lab WHERE toxic = 1) x
+         WHERE label IS NOT NULL),
+gids AS (SELECT DISTINCT doc_id AS id FROM documents
+         WHERE doc_id IN (SELECT doc_id FROM labels))"""
+
+
+def _label_metric_ctes():
+    return f"""WITH {_lexicon_ctes()}, {GOLD_CTES},
+pairs AS (SELECT id FROM gids WHERE id IN (SELECT doc_id FROM documents)),
+g AS (SELECT DISTINCT gold.id, gold.field, gold.label FROM gold
+      JOIN gtax ON gtax.field = gold.field AND gtax.label = gold.label
+      WHERE gold.id IN (SELECT id FROM pairs)),
+p AS (SELECT DISTINCT pred.id, pred.field, pred.label FROM pred
+      JOIN gtax ON gtax.field = pred.field AND gtax.label = pred.label
+      WHERE pred.id IN (SELECT id FROM pairs)),
+j AS (SELECT coalesce(g.field, p.field) AS field, coalesce(g.label, p.label) AS label,
+             g.id IS NOT NULL AS gi, p.id IS NOT NULL AS pi
+      FROM g FULL OUTER JOIN p ON g.id = p.id AND g.field = p.field AND g.label = p.label),
+c AS (SELECT field, label, count(*) FILTER (WHERE gi AND pi) AS tp,
+             count(*) FILTER (WHERE pi AND NOT gi) AS fp,
+             count(*) FILTER (WHERE gi AND NOT pi) AS fn
+      FROM j GROUP BY field, label),
+pl AS (SELECT gtax.field, gtax.label, CAST(gtax.label_pos AS INTEGER) AS label_pos,
+              CAST(coalesce(tp, 0) AS BIGINT) AS tp, CAST(coalesce(fp, 0) AS BIGINT) AS fp,
+              CAST(coalesce(fn, 0) AS BIGINT) AS fn
+       FROM gtax LEFT JOIN c ON c.field = gtax.field AND c.label = gtax.label),
+plm AS (SELECT *, tp + fn AS support, {_ratio('tp', 'tp + fp')} AS precision,
+               {_ratio('tp', 'tp + fn')} AS recall, {_ratio('2 * tp', '2 * tp + fp + fn')} AS f1
+        FROM pl)"""
+
+
+@oracle("q_label_metrics")
+def _():
+    return f"""{_label_metric_ctes()}
+SELECT field, label, label_pos, tp, fp, fn, support, {_r('precision')} AS precision,
+       {_r('recall')} AS recall, {_r('f1')} AS f1 FROM plm"""
+
+
+@oracle("q_micro_macro")
+def _():
+    return f"""{_label_metric_ctes()},
+fsum AS (SELECT field, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, avg(f1) AS macro_f1
+         FROM plm GROUP BY field)
+SELECT field, (SELECT count(*) FROM gids) AS n, (SELECT count(*) FROM pairs) AS n_scored,
+       {_r(_ratio('tp', 'tp + fp'))} AS micro_precision, {_r(_ratio('tp', 'tp + fn'))} AS micro_recall,
+       {_r(_ratio('2 * tp', '2 * tp + fp + fn'))} AS micro_f1, {_r('macro_f1')} AS macro_f1
+FROM fsum WHERE (SELECT count(*) FROM pairs) > 0"""
+
+
+def _flat_gold_ctes():
+    return f"""WITH lex AS (SELECT * FROM {lexicon_values(LX.DOCUMENT_LEXICON)}),
+l AS (SELECT label, label_pos, lower(keyword) AS kw FROM lex WHERE field = 'language'),
+rows_ AS (SELECT doc_id AS id, {strip("coalesce(text, '')")} AS t,
+                 {strip("coalesce(lang, '')")} AS gold FROM documents),
+sc AS (SELECT * FROM rows_ WHERE gold NOT IN ('', 'TBD')),
+hk AS (SELECT sc.id, l.label, l.label_pos FROM sc JOIN l ON contains(lower(sc.t), l.kw)),
+pr AS (SELECT id, list(DISTINCT label) AS labels, arg_min(label, label_pos) AS top1
+       FROM hk GROUP BY id),
+r AS (SELECT 'language' AS field, sc.gold, coalesce(pr.top1, 'none') AS pred,
+             coalesce(list_contains(pr.labels, sc.gold), false) AS correct
+      FROM sc LEFT JOIN pr ON pr.id = sc.id)"""
+
+
+@oracle("q_top1_confusion")
+def _():
+    return f"""{_flat_gold_ctes()}
+SELECT field, gold, pred, count(*) AS n FROM r GROUP BY field, gold, pred"""
+
+
+@oracle("q_anyhit_accuracy")
+def _():
+    return f"""{_flat_gold_ctes()}
+SELECT 'language' AS field, CAST(count(*) FILTER (WHERE correct) AS BIGINT) AS correct,
+       CAST(count(*) AS BIGINT) AS total,
+       {_r(_ratio('count(*) FILTER (WHERE correct)', 'count(*)'))} AS accuracy,
+       CAST((SELECT count(*) FROM rows_ WHERE gold IN ('', 'TBD')) AS BIGINT) AS skipped
+FROM r"""
+
+
+TOKEN_RE_SQL = "[\\p{L}\\p{N}_]{2,}"
+
+
+def _terms(x):
+    """Unigrams + bigrams of text expression ``x`` (a lambda-free two-step)."""
+    return (f"list_concat(t, CASE WHEN len(t) >= 2 THEN list_transform(range(1, len(t)), "
+            f"lambda i: t[i] || ' ' || t[i + 1]) ELSE [] END)")
+
+
+def _vocab_ctes(docs="documents"):
+    return f"""
+vt AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{TOKEN_RE_SQL}') AS t
+       FROM {docs}),
+vterms AS (SELECT doc_id, {_terms('t')} AS ts FROM vt),
+vdt AS (SELECT DISTINCT doc_id, unnest(ts) AS term FROM vterms),
+vn AS (SELECT count(*) AS n FROM {docs}),
+vdf AS (SELECT term, count(*) AS df FROM vdt GROUP BY term),
+vocab AS (SELECT term, df, ln((1 + n) / (1 + df)) + 1 AS idf FROM vdf, vn
+          WHERE df <= 0.95::DOUBLE * n AND df >= 1)"""
+
+
+@oracle("q_vocab_idf")
+def _():
+    return f"""WITH {_vocab_ctes()}
+SELECT term, df, {_r('idf')} AS idf FROM vocab"""
+
+
+def _sentence_score_ctes():
+    return f"""{_vocab_ctes()},
+ss AS (SELECT doc_id, CAST(unnest(range(len(sl))) AS INTEGER) AS sent_idx, unnest(sl) AS s
+       FROM (SELECT doc_id, {sentences("coalesce(text, '')")} AS sl FROM documents)),
+st AS (SELECT doc_id, sent_idx, regexp_extract_all(lower(s), '{TOKEN_RE_SQL}') AS t FROM ss),
+sterm AS (SELECT doc_id, sent_idx, unnest({_terms('t')}) AS term FROM st),
+stf AS (SELECT doc_id, sent_idx, term, count(*) AS tf FROM sterm GROUP BY ALL),
+sw AS (SELECT doc_id, sent_idx, tf * idf AS w FROM stf JOIN vocab USING (term)),
+sscore AS (SELECT doc_id, sent_idx, sum(w) / sqrt(sum(w * w)) AS score
+           FROM sw GROUP BY doc_id, sent_idx)"""
+
+
+@oracle("q_tfidf_sentences")
+def _():
+    return f"""WITH {_sentence_score_ctes()},
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id
+                                    ORDER BY round(score, 9) DESC, sent_idx DESC) AS rank
+       FROM sscore WHERE score > 0)
+SELECT doc_id, CAST(rank AS INTEGER) AS rank, sent_idx, {_r('score')} AS score
+FROM rk WHERE rank <= 3"""
+
+
+@oracle("q_doc_tfidf_norms")
+def _():
+    return f"""WITH {_vocab_ctes()},
+dterm AS (SELECT doc_id, unnest(ts) AS term FROM vterms),
+dtf AS (SELECT doc_id, term, count(*) AS tf FROM dterm GROUP BY ALL),
+dw AS (SELECT doc_id, tf, tf * idf AS w FROM dtf JOIN vocab USING (term)),
+dn AS (SELECT doc_id, sqrt(sum(w * w)) AS nrm FROM dw GROUP BY doc_id)
+SELECT doc_id, count(*) AS n_terms, CAST(sum(tf) AS BIGINT) AS n_tokens,
+       {_r('sum((w / nrm) * (w / nrm))')} AS sq_norm
+FROM dw JOIN dn USING (doc_id) GROUP BY doc_id"""
+
+
+@oracle("q_label_state")
+def _():
+    return f"""WITH {GOLD_CTES},
+n AS (SELECT count(*) AS n FROM gids),
+cnt AS (SELECT field, label, count(*) AS count
+        FROM (SELECT DISTINCT id, field, label FROM gold WHERE id IN (SELECT id FROM gids))
+        GROUP BY field, label)
+SELECT gtax.field, gtax.label, CAST(gtax.label_pos AS INTEGER) AS label_pos,
+       CAST(coalesce(cnt.count, 0) AS BIGINT) AS count, CAST(n.n AS BIGINT) AS n,
+       CASE WHEN coalesce(cnt.count, 0) > 0 AND coalesce(cnt.count, 0) < n.n THEN 'active'
+            WHEN coalesce(cnt.count, 0) = n.n AND n.n > 0 THEN 'always' ELSE 'never' END AS state
+FROM gtax LEFT JOIN cnt ON cnt.field = gtax.field AND cnt.label = gtax.label, n"""
+
+
+@oracle("q_time_split")
+def _():
+    return """WITH r AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders),
+c AS (SELECT count(*) AS n FROM r WHERE d IS NOT NULL),
+k AS (SELECT greatest(1, CAST(round_even(n * 0.2::DOUBLE, 0) AS BIGINT)) AS tn FROM c),
+rk AS (SELECT o_orderkey, row_number() OVER (ORDER BY d DESC, o_orderkey DESC) AS rn
+       FROM r WHERE d IS NOT NULL)
+SELECT r.o_orderkey, CASE WHEN rk.rn <= (SELECT tn FROM k) THEN 'test' ELSE 'train' END AS part
+FROM r LEFT JOIN rk ON rk.o_orderkey = r.o_orderkey"""
+
+
+@oracle("q_hash_split")
+def _():
+    return """WITH ids AS (SELECT DISTINCT doc_id FROM documents
+             WHERE doc_id IN (SELECT doc_id FROM labels)),
+k AS (SELECT greatest(1, CAST(round_even(count(*) * 0.2::DOUBLE, 0) AS BIGINT)) AS tn FROM ids),
+rk AS (SELECT doc_id, row_number() OVER (
+         ORDER BY substr(md5(CAST(doc_id AS VARCHAR) || '|13'), 1, 15), doc_id) AS rn FROM ids)
+SELECT doc_id, CASE WHEN rn <= (SELECT tn FROM k) THEN 'test' ELSE 'train' END AS part FROM rk"""
+
+
+@oracle("q_head_split")
+def _():
+    return """WITH n AS (SELECT count(*) AS n FROM documents),
+k AS (SELECT greatest(1, CAST(floor(0.8::DOUBLE * n) AS BIGINT)) AS sn, n FROM n),
+rk AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents)
+SELECT doc_id, CASE WHEN rn <= (SELECT sn FROM k) THEN 'train' ELSE 'eval' END AS part FROM rk
+UNION ALL
+SELECT doc_id, 'eval' FROM rk WHERE rn = 1 AND (SELECT sn >= n FROM k)"""
+
+
+@oracle("q_source_split")
+def _():
+    from textcards.plans.queries import SOURCE_TEST, SOURCE_TRAIN
+    tr = ", ".join(sql_str(s) for s in SOURCE_TRAIN)
+    te = ", ".join(sql_str(s) for s in SOURCE_TEST)
+    return f"""SELECT doc_id, part FROM (
+  SELECT doc_id, CASE WHEN source IN ({tr}) THEN 'train' WHEN source IN ({te}) THEN 'test' END AS part
+  FROM documents) x WHERE part IS NOT NULL"""

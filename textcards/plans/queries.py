@@ -86,3 +86,183 @@ def q_lexicon_predict(spark, sf_dir):
 def q_lexicon_evidence(spark, sf_dir):
     p = _doc_predictions(spark, sf_dir)
     return p.select("doc_id", "field", "label", ints_csv("evidence").alias("evidence"))
+
+
+# --- shared derivations from the driver tables ---------------------------------
+ROUND = 9
+
+
+def r9(c):
+    return F.round(c, ROUND)
+
+
+def gold_tables(spark, sf_dir):
+    """Gold labels of the labelled documents, long form, and their ids.
+
+    language = the document's ``lang``; quality = high/low from
+    ``labels.quality``; toxicity = ``toxic`` when ``labels.toxic = 1``.
+    """
+    docs = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    g = docs.select("doc_id", "lang").join(lab, "doc_id", "inner")
+    long = (g.select("doc_id", F.explode(F.array(
+        F.struct(F.lit("language").alias("field"), F.col("lang").alias("label")),
+        F.struct(F.lit("quality").alias("field"),
+                 F.when(F.col("quality") == 1, "high").otherwise("low").alias("label")),
+        F.struct(F.lit("toxicity").alias("field"),
+                 F.when(F.col("toxic") == 1, "toxic").alias("label")))).alias("x"))
+        .select(F.col("doc_id").alias("id"), "x.field", "x.label")
+        .where(F.col("label").isNotNull()))
+    ids = docs.select(F.col("doc_id").alias("id")).join(
+        lab.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    return long, ids
+
+
+def gold_label_maps(spark, sf_dir):
+    """``(doc_id, labels map<string,array<string>>)`` for labelled documents."""
+    docs = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels")
+    return (docs.select("doc_id", "lang").join(lab, "doc_id", "inner")
+            .select("doc_id", F.create_map(
+                F.lit("language"), F.array("lang"),
+                F.lit("quality"), F.array(F.when(F.col("quality") == 1, "high").otherwise("low")),
+                F.lit("toxicity"), F.when(F.col("toxic") == 1, F.array(F.lit("toxic")))
+                .otherwise(F.array().cast("array<string>"))).alias("labels")))
+
+
+def gold_taxonomy(spark):
+    return taxonomy_table(spark, LX.GOLD_TAXONOMY)
+
+
+# --- C8: J3 J10 F4 A1 A10-A14 P18 -------------------------------------------------
+def _label_metrics(spark, sf_dir):
+    from textcards.operators.lexicon import lexicon_labels
+    from textcards.operators.metrics import label_metrics
+    docs = table(spark, sf_dir, "documents")
+    pred = (lexicon_labels(docs, doc_lexicon(spark), "doc_id", "text", doc_taxonomy(spark))
+            .select(F.col("doc_id").alias("id"), "field", "label"))
+    gold, gold_ids = gold_tables(spark, sf_dir)
+    pred_ids = docs.select(F.col("doc_id").alias("id"))
+    return label_metrics(gold, pred, gold_ids, pred_ids, gold_taxonomy(spark), "id")
+
+
+@query
+def q_label_metrics(spark, sf_dir):
+    per_label, _ = _label_metrics(spark, sf_dir)
+    return per_label.select("field", "label", "label_pos", "tp", "fp", "fn", "support",
+                            r9("precision").alias("precision"), r9("recall").alias("recall"),
+                            r9("f1").alias("f1"))
+
+
+@query
+def q_micro_macro(spark, sf_dir):
+    _, per_field = _label_metrics(spark, sf_dir)
+    return per_field.select("field", "n", "n_scored",
+                            *[r9(c).alias(c) for c in ("micro_precision", "micro_recall",
+                                                        "micro_f1", "macro_f1")])
+
+
+# --- C10: P6 F6 P20 A16 A17 -------------------------------------------------------
+def _flat_gold(spark, sf_dir):
+    from textcards.operators.metrics import flat_gold_eval
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return flat_gold_eval(docs, doc_lexicon(spark), {"language": ("lang", "language")},
+                          "doc_id", "text")
+
+
+@query
+def q_top1_confusion(spark, sf_dir):
+    _, confusion = _flat_gold(spark, sf_dir)
+    return confusion
+
+
+@query
+def q_anyhit_accuracy(spark, sf_dir):
+    acc, _ = _flat_gold(spark, sf_dir)
+    return acc.select("field", "correct", "total", r9("accuracy").alias("accuracy"), "skipped")
+
+
+# --- A4 A5 / A6 A7 K2 J9 F8 ---------------------------------------------------------
+@query
+def q_vocab_idf(spark, sf_dir):
+    from textcards.operators.tfidf import fit_vocabulary
+    v = fit_vocabulary(table(spark, sf_dir, "documents"))
+    return v.select("term", "df", r9("idf").alias("idf"))
+
+
+@query
+def q_tfidf_sentences(spark, sf_dir):
+    from textcards.operators.tfidf import fit_vocabulary, top_sentences
+    docs = table(spark, sf_dir, "documents")
+    t = top_sentences(docs, fit_vocabulary(docs), "doc_id", "text", 3)
+    return t.select("doc_id", "rank", "sent_idx", r9("score").alias("score"))
+
+
+@query
+def q_doc_tfidf_norms(spark, sf_dir):
+    """A6 check: per document, number of in-vocabulary terms and the sum of
+    squared normalised weights (1.0 for every non-empty vector)."""
+    from textcards.operators.tfidf import fit_vocabulary, tfidf_vectors
+    docs = table(spark, sf_dir, "documents")
+    v = tfidf_vectors(docs, fit_vocabulary(docs), "doc_id", "text")
+    return v.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"),
+                                   F.sum("tf").alias("n_tokens"),
+                                   r9(F.sum(F.col("weight") * F.col("weight"))).alias("sq_norm"))
+
+
+# --- A9 / M1-M5 ---------------------------------------------------------------------
+@query
+def q_label_state(spark, sf_dir):
+    from textcards.operators.ovr import label_states
+    gold, ids = gold_tables(spark, sf_dir)
+    return label_states(gold, ids, gold_taxonomy(spark), "id")
+
+
+@query
+def q_ovr_predict(spark, sf_dir):
+    from textcards.operators.ovr import ovr_predict
+    from textcards.operators.splits import hash_split
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    gold, ids = gold_tables(spark, sf_dir)
+    split = hash_split(ids, "id", 0.2, 13)
+    train = docs.join(split.where(F.col("part") == "train"), "id", "left_semi")
+    test = docs.join(split.where(F.col("part") == "test"), "id", "left_semi")
+    preds, _ = ovr_predict(train, test, gold, gold_taxonomy(spark), LX.GOLD_FIELDS, "id")
+    return preds.select(F.col("id").alias("doc_id"), "field", "label",
+                        F.round("confidence", 6).alias("confidence"),
+                        ints_csv("evidence").alias("evidence"))
+
+
+# --- K4 K5 K6 K8 U4 P8 F2 -------------------------------------------------------------
+@query
+def q_time_split(spark, sf_dir):
+    from textcards.operators.splits import time_split
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
+    split, _ = time_split(orders, "o_orderkey", "date", 0.2, 13)
+    return split
+
+
+@query
+def q_hash_split(spark, sf_dir):
+    from textcards.operators.splits import hash_split
+    _, ids = gold_tables(spark, sf_dir)
+    return hash_split(ids.select(F.col("id").alias("doc_id")), "doc_id", 0.2, 13)
+
+
+@query
+def q_head_split(spark, sf_dir):
+    from textcards.operators.splits import head_split
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return head_split(docs, "doc_id", "doc_id", 0.8)
+
+
+SOURCE_TRAIN = [f"src{i}" for i in range(15)]
+SOURCE_TEST = [f"src{i}" for i in range(15, 20)]
+
+
+@query
+def q_source_split(spark, sf_dir):
+    from textcards.operators.splits import source_split
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return source_split(docs, "doc_id", "source", SOURCE_TRAIN, SOURCE_TEST)
