@@ -28,9 +28,9 @@ def cards(docs: DataFrame, lexicon: DataFrame, fields, id_col: str = "doc_id",
                                                      "quotes"))).alias("_items")))
     spine = docs.select(id_col, F.explode(F.array(*[F.lit(f) for f in fields])).alias("field"))
     j = spine.join(per, [id_col, "field"], "left")
-    item = lambda x: F.concat_ws(
-        "\n", badge(x["label"], x["confidence"]),
-        F.array_join(F.transform(x["quotes"], lambda q: F.concat(F.lit("> "), q)), "\n"))
+    item = lambda x: F.concat(
+        badge(x["label"], x["confidence"]),
+        F.array_join(F.transform(x["quotes"], lambda q: F.concat(F.lit("\n> "), q)), ""))
     body = F.array_join(F.transform("_items", item), "\n")
     return j.select(id_col, "field",
                     F.coalesce(F.size("_items"), F.lit(0)).cast("int").alias("n_labels"),
@@ -101,7 +101,7 @@ def merge_annotations(records: DataFrame, annotations: DataFrame, taxonomy: Data
                 _parse_indices(r, n_sents))
 
         asked = F.array_distinct(labels_f)
-        fresh = F.map_from_arrays(asked, F.transform(asked, ev_for))
+        fresh = F.map_from_arrays(asked, F.transform(asked, lambda lab: ev_for(lab)))
         kept_old = F.map_filter(prev_e, lambda k, v: ~F.array_contains(asked, k))
         new_l_entries.append(F.struct(F.lit(f).alias("k"), labels_f.alias("v")))
         new_e_entries.append(F.struct(F.lit(f).alias("k"), F.map_concat(kept_old, fresh)

@@ -45,8 +45,8 @@ def evidence_indices_from_text(pred_text: DataFrame, sentences_df: DataFrame,
 def evidence_metrics(gold_evidence: DataFrame, gold_records: DataFrame, pred_evidence: DataFrame,
                      fields, id_col: str = "id") -> DataFrame:
     """Rows ``scope`` = ``overall`` then one per field, with
-    ``n_items, precision_at_1, precision_at_3, recall_at_1, recall_at_3`` and,
-    on the overall row, ``coverage`` and ``n_incidents``.
+    ``n_items, precision_at_1, precision_at_3, recall_at_1, recall_at_3`` and
+    the report-level ``coverage`` and ``n_incidents`` (same on every row).
 
     ``gold_evidence``: (id, field, label, sent_idx) long form (empty lists
     simply have no rows).  ``gold_records``: ids whose gold map is non-empty.
@@ -106,8 +106,10 @@ def evidence_metrics(gold_evidence: DataFrame, gold_records: DataFrame, pred_evi
         F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
         *[F.coalesce(c, F.lit(0.0)).alias(c) for c in
           ("precision_at_1", "precision_at_3", "recall_at_1", "recall_at_3")],
-        F.lit(None).cast("double").alias("coverage"),
-        F.lit(None).cast("bigint").alias("n_incidents")))
+        ))
+    cov = overall.select(F.lit(1).alias("_k"), "coverage", "n_incidents")
+    per_field = (per_field.withColumn("_k", F.lit(1))
+                 .join(F.broadcast(cov), "_k", "inner").drop("_k"))
     return overall.unionByName(per_field)
 
 

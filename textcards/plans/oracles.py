@@ -318,3 +318,297 @@ def _():
     return f"""SELECT doc_id, part FROM (
   SELECT doc_id, CASE WHEN source IN ({tr}) THEN 'train' WHEN source IN ({te}) THEN 'test' END AS part
   FROM documents) x WHERE part IS NOT NULL"""
+
+
+# --- C9 evidence metrics -------------------------------------------------------------------
+def _gold_evidence_ctes():
+    kw = LX.DOCUMENT_GOLD_EVIDENCE["language"]
+    rows = [(lang, k.lower()) for lang, kws in kw.items() for k in kws]
+    from textcards.plans.sqlbits import values
+    return f"""
+gkw AS (SELECT * FROM {values(rows, ['label', 'kw'])}),
+grec AS (SELECT doc_id AS id, lang, lower(coalesce(text, '')) AS tl FROM documents
+         WHERE doc_id IN (SELECT doc_id FROM labels)),
+gs AS (SELECT id, lang, CAST(unnest(range(len(sl))) AS INTEGER) AS sent_idx, unnest(sl) AS sent
+       FROM (SELECT id, lang, {sentences('tl')} AS sl FROM grec)),
+gev AS (SELECT DISTINCT gs.id, 'language' AS field, gs.lang AS label, gs.sent_idx
+        FROM gs JOIN gkw ON gkw.label = gs.lang AND contains(gs.sent, gkw.kw))"""
+
+
+def _evidence_metric_sql(pred_cte: str) -> str:
+    fields = LX.DOCUMENT_FIELDS
+    flist = ", ".join(sql_str(f) for f in fields)
+    fvals = ", ".join(f"({sql_str(f)})" for f in fields)
+
+    def pk(k, recall):
+        den = "len(gold)" if recall else f"{k}.0"
+        return (f"CASE WHEN len(ev[1:{k}]) = 0 THEN 0.0 "
+                f"ELSE len(list_intersect(ev[1:{k}], gold)) / {den} END")
+    return f""",
+items AS (SELECT id, field, label, list(DISTINCT sent_idx) AS gold FROM gev
+          WHERE field IN ({flist}) AND id IN (SELECT id FROM grec) GROUP BY id, field, label),
+ej AS (SELECT items.id, items.field, items.gold, coalesce(pe.evidence, []) AS ev
+       FROM items LEFT JOIN {pred_cte} pe
+       ON pe.id = items.id AND pe.field = items.field AND pe.label = items.label),
+scr AS (SELECT id, field, {pk(1, False)} AS p1, {pk(3, False)} AS p3, {pk(1, True)} AS r1,
+               {pk(3, True)} AS r3, len(ev) > 0 AS anyp FROM ej),
+rh AS (SELECT r.id, coalesce(bool_or(s.anyp), false) AS hit
+       FROM (SELECT DISTINCT id FROM grec) r LEFT JOIN scr s ON s.id = r.id GROUP BY r.id),
+ov AS (SELECT 'overall' AS scope, (SELECT count(*) FROM scr) AS n_items,
+              {_r("coalesce((SELECT avg(p1) FROM scr), 0.0)")} AS precision_at_1,
+              {_r("coalesce((SELECT avg(p3) FROM scr), 0.0)")} AS precision_at_3,
+              {_r("coalesce((SELECT avg(r1) FROM scr), 0.0)")} AS recall_at_1,
+              {_r("coalesce((SELECT avg(r3) FROM scr), 0.0)")} AS recall_at_3,
+              {_r(_ratio("count(*) FILTER (WHERE hit)", "count(*)"))} AS coverage,
+              count(*) AS n_incidents FROM rh),
+fs AS (SELECT * FROM (VALUES {fvals}) t(field)),
+pf AS (SELECT fs.field AS scope, count(scr.id) AS n_items,
+              {_r("coalesce(avg(p1), 0.0)")} AS precision_at_1,
+              {_r("coalesce(avg(p3), 0.0)")} AS precision_at_3,
+              {_r("coalesce(avg(r1), 0.0)")} AS recall_at_1,
+              {_r("coalesce(avg(r3), 0.0)")} AS recall_at_3,
+              (SELECT coverage FROM ov) AS coverage, (SELECT n_incidents FROM ov) AS n_incidents
+       FROM fs LEFT JOIN scr ON scr.field = fs.field GROUP BY fs.field)
+SELECT * FROM ov UNION ALL SELECT * FROM pf"""
+
+
+@oracle("q_evidence_metrics")
+def _():
+    return f"WITH {_lexicon_ctes()}, {_gold_evidence_ctes()}" + _evidence_metric_sql("preds")
+
+
+def _norm_sentence(x):
+    return f"regexp_replace({strip(x)}, '{WS_CLASS}+', ' ', 'g')"
+
+
+@oracle("q_evidence_text_match")
+def _():
+    return f"""WITH {_lexicon_ctes()}, {_gold_evidence_ctes()},
+evkw AS (SELECT tax.field, tax.label, coalesce(l.kw, lower(replace(tax.label, '_', ' '))) AS kw
+         FROM tax LEFT JOIN l ON l.field = tax.field AND l.label = tax.label),
+so AS (SELECT id, CAST(unnest(range(len(sl))) AS INTEGER) AS sent_idx, unnest(sl) AS sent
+       FROM (SELECT doc_id AS id, {sentences("coalesce(text, '')")} AS sl FROM documents)),
+ksc AS (SELECT p.id, p.field, p.label, so.sent_idx, so.sent, count(*) AS score
+        FROM pred p JOIN evkw ON evkw.field = p.field AND evkw.label = p.label
+        JOIN so ON so.id = p.id AND contains(lower(so.sent), evkw.kw)
+        GROUP BY p.id, p.field, p.label, so.sent_idx, so.sent),
+krk AS (SELECT *, row_number() OVER (PARTITION BY id, field, label
+                                     ORDER BY score DESC, sent_idx) AS r FROM ksc),
+ptext AS (SELECT id, field, label, r, sent FROM krk WHERE r <= 3),
+nidx AS (SELECT id, {_norm_sentence('sent')} AS n, max(sent_idx) AS sent_idx FROM so
+         WHERE id IN (SELECT id FROM grec) GROUP BY id, {_norm_sentence('sent')}),
+pev AS (SELECT p.id, p.field, p.label, list(n.sent_idx ORDER BY p.r) AS evidence
+        FROM ptext p JOIN nidx n ON n.id = p.id AND n.n = {_norm_sentence('p.sent')}
+        GROUP BY p.id, p.field, p.label)""" + _evidence_metric_sql("pev")
+
+
+# --- C11 stats --------------------------------------------------------------------------------
+NOT_WS_CLASS = "[^" + WS_CLASS[1:]
+
+
+def _profile_ctes():
+    return f"""WITH f AS (SELECT doc_id, coalesce(text, '') <> '' AS ht,
+                  len(regexp_extract_all(coalesce(text, ''), '{NOT_WS_CLASS}+')) AS ntok
+           FROM documents),
+lb AS (SELECT l.doc_id, d.lang, l.quality, l.toxic FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+pr AS (SELECT f.*, lb.doc_id IS NOT NULL AS labelled, lb.lang, lb.quality, lb.toxic,
+              2 + CASE WHEN lb.toxic = 1 THEN 1 ELSE 0 END AS card
+       FROM f LEFT JOIN lb ON lb.doc_id = f.doc_id)"""
+
+
+@oracle("q_dataset_stats")
+def _():
+    return f"""{_profile_ctes()}
+SELECT count(*) AS n_total, count(*) FILTER (WHERE ht) AS n_with_text,
+       count(*) FILTER (WHERE labelled AND ht) AS n_labeled,
+       {_r("coalesce(avg(ntok) FILTER (WHERE ht), 0.0)")} AS avg_length_tokens,
+       {_r("coalesce(avg(card) FILTER (WHERE labelled AND ht), 0.0)")} AS avg_label_cardinality
+FROM pr"""
+
+
+@oracle("q_label_distribution")
+def _():
+    return f"""{_profile_ctes()},
+x AS (SELECT 'language' AS field, lang AS label FROM pr WHERE labelled AND ht
+      UNION ALL SELECT 'quality', CASE WHEN quality = 1 THEN 'high' ELSE 'low' END
+      FROM pr WHERE labelled AND ht
+      UNION ALL SELECT 'toxicity', 'toxic' FROM pr WHERE labelled AND ht AND toxic = 1)
+SELECT field, label, count(*) AS n FROM x GROUP BY field, label"""
+
+
+# --- C1 roster ---------------------------------------------------------------------------------
+@oracle("q_roster_build")
+def _():
+    return f"""WITH ro AS (
+  SELECT 'ord-' || CAST(o_orderkey AS VARCHAR) || '-' || strftime(o_orderdate, '%Y-%m-%d') AS incident_id,
+         o_orderkey AS k,
+         CASE WHEN o_orderstatus = 'P' THEN '  ' ELSE ' ' || o_orderpriority END AS name,
+         CASE WHEN o_orderstatus = 'F' THEN 'https://example.org/orders/' || CAST(o_orderkey AS VARCHAR)
+              ELSE '' END AS url,
+         CASE WHEN o_orderstatus = 'F' THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS rd
+  FROM orders),
+tx AS (SELECT doc_id, text FROM documents),
+lb AS (SELECT l.doc_id, d.lang, l.quality, l.toxic FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+j AS (SELECT ro.*, {strip("coalesce(tx.text, '')")} AS t, lb.doc_id IS NOT NULL AS labelled,
+             lb.lang, lb.quality, lb.toxic
+      FROM ro LEFT JOIN tx ON tx.doc_id = ro.k LEFT JOIN lb ON lb.doc_id = ro.k)
+SELECT {strip('incident_id')} AS incident_id,
+       coalesce(nullif({strip('name')}, ''), {strip('incident_id')}) AS incident_name,
+       CAST(length(t) AS BIGINT) AS n_chars,
+       CAST(CASE WHEN {strip('url')} <> '' THEN 1 ELSE 0 END AS INTEGER) AS n_sources,
+       CASE WHEN {strip('url')} <> '' THEN {strip('url')} END AS source_url,
+       CASE WHEN {strip('url')} <> '' THEN nullif({strip('rd')}, '') END AS retrieved_date,
+       coalesce(CASE WHEN labelled AND toxic = 1 THEN '1999-12-31' END,
+                nullif(regexp_extract(incident_id, '(20[0-9]{{2}}-[0-9]{{2}}-[0-9]{{2}})', 1), '')) AS date,
+       CASE WHEN t = '' THEN true END AS missing_text,
+       CASE WHEN labelled THEN 'language=' || lang || ';quality=' ||
+            CASE WHEN quality = 1 THEN 'high' ELSE 'low' END || ';toxicity=' ||
+            CASE WHEN toxic = 1 THEN 'toxic' ELSE '' END END AS labels
+FROM j"""
+
+
+# --- C6 logits ------------------------------------------------------------------------------------
+LOGIT_CTES = f"""
+ltax AS (SELECT * FROM {taxonomy_values({LX.LOGIT_FIELD: LX.LOGIT_LABELS})}),
+lx AS (SELECT vec_id, label AS gold_label,
+              CAST(unnest(range(len(embedding[1:{len(LX.LOGIT_LABELS)}]))) AS INTEGER) AS label_pos,
+              unnest(embedding[1:{len(LX.LOGIT_LABELS)}]) AS logit FROM embeddings),
+lp AS (SELECT vec_id, gold_label, label_pos,
+              CAST(1 AS FLOAT) / (CAST(1 AS FLOAT) + CAST(exp(-CAST(logit AS DOUBLE)) AS FLOAT)) AS prob
+       FROM lx)"""
+
+
+@oracle("q_logit_labels")
+def _():
+    return f"""WITH {LOGIT_CTES}
+SELECT lp.vec_id, ltax.label, CAST(ltax.label_pos AS INTEGER) AS label_pos,
+       {_r('CAST(prob AS DOUBLE)')} AS confidence
+FROM lp JOIN ltax ON ltax.label_pos = lp.label_pos WHERE prob >= CAST(0.5 AS FLOAT)"""
+
+
+@oracle("q_epsilon_f1")
+def _():
+    return f"""WITH {LOGIT_CTES},
+c AS (SELECT CASE WHEN prob >= CAST(0.5 AS FLOAT) THEN 1 ELSE 0 END AS p,
+             CASE WHEN label_pos = gold_label THEN 1 ELSE 0 END AS y FROM lp),
+s AS (SELECT CAST(sum(p * y) AS BIGINT) AS tp, CAST(sum(p * (1 - y)) AS BIGINT) AS fp,
+             CAST(sum((1 - p) * y) AS BIGINT) AS fn FROM c),
+m AS (SELECT *, tp / (tp + fp + 1e-9) AS pr, tp / (tp + fn + 1e-9) AS rc FROM s)
+SELECT tp, fp, fn, {_r('pr')} AS precision, {_r('rc')} AS recall,
+       {_r('2 * pr * rc / (pr + rc + 1e-9)')} AS micro_f1 FROM m"""
+
+
+@oracle("q_pick_evidence_text")
+def _():
+    from textcards.plans.sqlbits import values
+    rows = [(lab, k.lower()) for lab, kws in LX.LOGIT_EVIDENCE_KEYWORDS.items() for k in kws]
+    return f"""WITH {LOGIT_CTES},
+ekw AS (SELECT * FROM {values(rows, ['label', 'kw'])}),
+evkw AS (SELECT ltax.label, coalesce(ekw.kw, lower(replace(ltax.label, '_', ' '))) AS kw
+         FROM ltax LEFT JOIN ekw ON ekw.label = ltax.label),
+picked AS (SELECT lp.vec_id AS id, ltax.label FROM lp JOIN ltax ON ltax.label_pos = lp.label_pos
+           WHERE prob >= CAST(0.5 AS FLOAT)),
+so AS (SELECT id, CAST(unnest(range(len(sl))) AS INTEGER) AS sent_idx, unnest(sl) AS sent
+       FROM (SELECT doc_id AS id, {sentences("coalesce(text, '')")} AS sl FROM documents
+             WHERE doc_id IN (SELECT id FROM picked))),
+ksc AS (SELECT p.id, p.label, so.sent_idx, so.sent, count(*) AS score
+        FROM picked p JOIN evkw ON evkw.label = p.label
+        JOIN so ON so.id = p.id AND contains(lower(so.sent), evkw.kw)
+        GROUP BY p.id, p.label, so.sent_idx, so.sent),
+krk AS (SELECT *, row_number() OVER (PARTITION BY id, label ORDER BY score DESC, sent_idx) AS r
+        FROM ksc)
+SELECT id AS doc_id, label, CAST(r AS INTEGER) AS rank, sent_idx, score, sent AS sentence
+FROM krk WHERE r <= 3"""
+
+
+# --- C12 / C13 --------------------------------------------------------------------------------------
+@oracle("q_cards")
+def _():
+    fvals = ", ".join(f"({sql_str(f)})" for f in LX.DOCUMENT_FIELDS)
+    return f"""WITH {_lexicon_ctes()},
+orig AS (SELECT doc_id AS id, {sentences("coalesce(text, '')")} AS so FROM documents),
+q AS (SELECT preds.id, preds.field, preds.label, preds.label_pos, preds.confidence,
+             list_transform(preds.evidence, lambda i: orig.so[i + 1]) AS quotes
+      FROM preds JOIN orig ON orig.id = preds.id),
+it AS (SELECT id, field, count(*) AS n,
+              string_agg(printf('%s (p=%.2f)', label, confidence) ||
+                         array_to_string(list_transform(quotes, lambda x: chr(10) || '> ' || x), ''),
+                         chr(10) ORDER BY label_pos) AS card
+       FROM q GROUP BY id, field),
+fs AS (SELECT * FROM (VALUES {fvals}) t(field))
+SELECT d.doc_id, fs.field, CAST(coalesce(it.n, 0) AS INTEGER) AS n_labels,
+       coalesce(it.card, '_None_') AS card
+FROM documents d CROSS JOIN fs LEFT JOIN it ON it.id = d.doc_id AND it.field = fs.field"""
+
+
+@oracle("q_preview")
+def _():
+    return """SELECT doc_id, CASE WHEN length(text) > 900 THEN left(text, 900) || '...'
+                       ELSE text END AS preview FROM documents"""
+
+
+@oracle("q_merge_annotations")
+def _():
+    def parse(raw):
+        parts = f"list_transform(string_split({raw}, ','), lambda s: {strip('s')})"
+        digits = f"list_filter({parts}, lambda s: regexp_full_match(s, '[0-9]+') AND length(s) <= 9)"
+        ints = f"list_transform({digits}, lambda s: CAST(s AS INTEGER))"
+        return f"list_sort(list_distinct(list_filter({ints}, lambda i: i >= 0 AND i < ns)))"
+    opts = {f: labs for f, labs in LX.GOLD_TAXONOMY.items()}
+    opt_case = "CASE field " + " ".join(
+        f"WHEN {sql_str(f)} THEN [{', '.join(sql_str(x) for x in labs)}]" for f, labs in opts.items()
+    ) + " END"
+    return f"""WITH recs AS (
+  SELECT d.doc_id, coalesce(d.text, '') <> '' AS ht,
+         len({sentences("coalesce(d.text, '')")}) AS ns,
+         l.doc_id IS NOT NULL AS labelled, d.lang, l.quality, l.toxic
+  FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+fl AS (SELECT * FROM (VALUES ('language'), ('quality'), ('toxicity')) t(field)),
+x AS (SELECT r.*, fl.field, {opt_case} AS options,
+        CASE WHEN NOT labelled THEN []
+             WHEN field = 'language' THEN [lang]
+             WHEN field = 'quality' THEN [CASE WHEN quality = 1 THEN 'high' ELSE 'low' END]
+             ELSE CASE WHEN toxic = 1 THEN ['toxic'] ELSE [] END END AS old_l,
+        CASE WHEN labelled AND field = 'language' THEN [{{'k': lang, 'v': [0]}}]
+             ELSE CAST([] AS STRUCT(k VARCHAR, v INTEGER[])[]) END AS old_e,
+        CASE WHEN labelled AND field = 'quality'
+                  THEN CASE WHEN quality = 1 THEN ' high , bogus ,high' ELSE '' END
+             WHEN labelled AND field = 'language'
+                  THEN CASE WHEN toxic = 1 THEN 'fr,en' ELSE '   ' END END AS raw,
+        CASE WHEN field = 'quality' THEN [{{'k': 'high', 'v': '2, 0,0, 999 ,x, -1'}}]
+             WHEN field = 'language' THEN [{{'k': 'fr', 'v': '1'}}, {{'k': 'en', 'v': ''}}]
+             ELSE CAST([] AS STRUCT(k VARCHAR, v VARCHAR)[]) END AS ev_raw
+      FROM recs r CROSS JOIN fl),
+y AS (SELECT *, CASE WHEN {strip("coalesce(raw, '')")} = '' THEN old_l
+                     ELSE list_filter(list_transform(string_split(raw, ','), lambda s: {strip('s')}),
+                                      lambda s: s <> '' AND list_contains(options, s)) END AS new_l
+      FROM x),
+z AS (SELECT *, list_distinct(new_l) AS asked FROM y),
+w AS (SELECT doc_id, field, new_l,
+        list_concat(
+          list_filter(old_e, lambda e: NOT list_contains(asked, e.k)),
+          list_transform(asked, lambda a: {{'k': a, 'v':
+            CASE WHEN {strip("coalesce(list_filter(ev_raw, lambda e: e.k = a)[1].v, '')")} = ''
+                 THEN coalesce(list_filter(old_e, lambda e: e.k = a)[1].v, CAST([] AS INTEGER[]))
+                 ELSE {parse("list_filter(ev_raw, lambda e: e.k = a)[1].v")} END}})) AS new_e
+      FROM z)
+SELECT doc_id, field, array_to_string(new_l, ',') AS labels,
+       array_to_string(list_transform(list_sort(new_e), lambda e: e.k || ':' || array_to_string(e.v, ',')),
+                       ';') AS evidence
+FROM w"""
+
+
+# --- S9 nested records ------------------------------------------------------------------------------
+@oracle("q_prediction_records")
+def _():
+    fvals = ", ".join(f"({sql_str(f)})" for f in LX.DOCUMENT_FIELDS)
+    return f"""WITH {_lexicon_ctes()},
+fs AS (SELECT * FROM (VALUES {fvals}) t(field)),
+agg AS (SELECT id, field,
+               string_agg(label, ',' ORDER BY label_pos) AS labels,
+               string_agg(printf('%.4f', confidence), ',' ORDER BY label_pos) AS confidences,
+               string_agg(array_to_string(evidence, ' '), '|' ORDER BY label_pos) AS evidence
+        FROM preds GROUP BY id, field)
+SELECT d.doc_id, fs.field, coalesce(agg.labels, '') AS labels,
+       coalesce(agg.confidences, '') AS confidences, coalesce(agg.evidence, '') AS evidence
+FROM documents d CROSS JOIN fs LEFT JOIN agg ON agg.id = d.doc_id AND agg.field = fs.field"""

@@ -266,3 +266,256 @@ def q_source_split(spark, sf_dir):
     from textcards.operators.splits import source_split
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return source_split(docs, "doc_id", "source", SOURCE_TRAIN, SOURCE_TEST)
+
+
+# --- C9: J4 J7 F9 U1 A18-A20 P5 ----------------------------------------------------------
+def gold_evidence(spark, sf_dir):
+    """Gold evidence of the labelled documents: for the gold language label,
+    every sentence containing one of that language's gold keywords.
+    Computed inside each document row (no join on text)."""
+    docs = table(spark, sf_dir, "documents")
+    lab = table(spark, sf_dir, "labels").select("doc_id")
+    kw = LX.DOCUMENT_GOLD_EVIDENCE["language"]
+    kwmap = F.create_map(*[x for lang, kws in kw.items()
+                           for x in (F.lit(lang), F.array(*[F.lit(k.lower()) for k in kws]))])
+    d = (docs.join(lab, "doc_id", "left_semi")
+         .select("doc_id", "lang", split_sentences(F.lower(F.coalesce("text", F.lit(""))))
+                 .alias("_sl"), F.element_at(kwmap, F.col("lang")).alias("_kws")))
+    idx = F.array_compact(F.transform("_sl", lambda s, i: F.when(
+        F.exists(F.coalesce(F.col("_kws"), F.array().cast("array<string>")),
+                 lambda k: F.contains(s, k)), i)))
+    ev = d.select(F.col("doc_id").alias("id"), F.lit("language").alias("field"),
+                  F.col("lang").alias("label"), F.explode(idx).alias("sent_idx"))
+    recs = d.select(F.col("doc_id").alias("id"))
+    return ev, recs
+
+
+def _metrics_out(m):
+    return m.select("scope", "n_items", *[r9(c).alias(c) for c in (
+        "precision_at_1", "precision_at_3", "recall_at_1", "recall_at_3", "coverage")],
+        "n_incidents")
+
+
+@query
+def q_evidence_metrics(spark, sf_dir):
+    from textcards.operators.evidence import evidence_metrics
+    ev, recs = gold_evidence(spark, sf_dir)
+    pred = _doc_predictions(spark, sf_dir).select(F.col("doc_id").alias("id"), "field", "label",
+                                                  "evidence")
+    return _metrics_out(evidence_metrics(ev, recs, pred, LX.DOCUMENT_FIELDS, "id"))
+
+
+@query
+def q_evidence_text_match(spark, sf_dir):
+    """Evidence given as sentence *text* (keyword-count ranking, K3), mapped
+    back to indices by normalised text (J7), then scored like C9."""
+    from textcards.operators.evidence import evidence_indices_from_text, evidence_metrics
+    from textcards.operators.lexicon import evidence_label_table, keyword_sentence_ranking
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    ev, recs = gold_evidence(spark, sf_dir)
+    picked = _doc_predictions(spark, sf_dir).select(F.col("doc_id").alias("id"), "field", "label")
+    labels = evidence_label_table(doc_taxonomy(spark), doc_lexicon(spark))
+    ranked = keyword_sentence_ranking(docs, picked, labels, "id", "text", 3)
+    text_ev = (ranked.groupBy("id", "field", "label")
+               .agg(F.sort_array(F.collect_list(F.struct("rank", "sentence"))).alias("_t"))
+               .select("id", "field", "label",
+                       F.transform("_t", lambda x: x["sentence"]).alias("evidence_text")))
+    sents = sentences(docs.join(recs, "id", "left_semi"), "id")
+    pred = evidence_indices_from_text(text_ev, sents, "id")
+    return _metrics_out(evidence_metrics(ev, recs, pred, LX.DOCUMENT_FIELDS, "id"))
+
+
+# --- C11: A21-A24 P12 F2 F3 -----------------------------------------------------------
+def _profile_feats(spark, sf_dir):
+    from textcards.operators.stats import record_features
+    docs = table(spark, sf_dir, "documents")
+    feats = record_features(docs.select("doc_id", "text"), "text", "labels", keep=["doc_id"])
+    return (feats.drop("labels").join(gold_label_maps(spark, sf_dir), "doc_id", "left"))
+
+
+@query
+def q_dataset_stats(spark, sf_dir):
+    from textcards.operators.stats import dataset_profile
+    s = dataset_profile(_profile_feats(spark, sf_dir))
+    return s.select("n_total", "n_with_text", "n_labeled",
+                    r9("avg_length_tokens").alias("avg_length_tokens"),
+                    r9("avg_label_cardinality").alias("avg_label_cardinality"))
+
+
+@query
+def q_label_distribution(spark, sf_dir):
+    from textcards.operators.stats import profile_label_distribution
+    return profile_label_distribution(_profile_feats(spark, sf_dir))
+
+
+# --- C1: J1 J2 A1 P7 P9-P11 ---------------------------------------------------------------
+def roster_tables(spark, sf_dir):
+    """Roster from ``orders`` (ids embed the order date), texts from
+    ``documents`` (document ``doc_id`` = order key), previous labels from
+    ``labels`` (last one per id wins, ordered by ``quality``/``toxic``)."""
+    orders = table(spark, sf_dir, "orders")
+    rid = F.concat(F.lit("ord-"), F.col("o_orderkey").cast("string"), F.lit("-"),
+                   F.date_format("o_orderdate", "yyyy-MM-dd"))
+    roster = orders.select(
+        rid.alias("incident_id"), F.col("o_orderkey").alias("_key"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("  "))
+        .otherwise(F.concat(F.lit(" "), F.col("o_orderpriority"))).alias("name"),
+        F.when(F.col("o_orderstatus") == "F",
+               F.concat(F.lit("https://example.org/orders/"), F.col("o_orderkey").cast("string")))
+        .otherwise(F.lit("")).alias("url"),
+        F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "yyyy-MM-dd"))
+        .otherwise(F.lit("")).alias("retrieved_date"))
+    keys = roster.select("incident_id", F.col("_key").alias("doc_id"))
+    texts = (table(spark, sf_dir, "documents").select("doc_id", "text")
+             .join(keys, "doc_id", "inner").select("incident_id", "text"))
+    prev = (gold_label_maps(spark, sf_dir)
+            .join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+            .join(keys, "doc_id", "inner")
+            .select("incident_id", "labels",
+                    F.lit(None).cast("map<string,map<string,array<int>>>").alias("evidence_gold"),
+                    F.when(F.col("toxic") == 1, F.lit("1999-12-31")).alias("date")))
+    return roster, texts, prev
+
+
+def map_csv(m) -> F.Column:
+    """``{k: [a, b]}`` -> ``'k=a,b;...'`` with keys sorted (scalar for comparison)."""
+    m = F.col(m) if isinstance(m, str) else m
+    return F.array_join(F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat(
+        k, F.lit("="), F.array_join(F.element_at(m, k), ","))), ";")
+
+
+@query
+def q_roster_build(spark, sf_dir):
+    from textcards.operators.ingest import build_records
+    roster, texts, prev = roster_tables(spark, sf_dir)
+    rec = build_records(roster, texts, prev, "incident_id")
+    return rec.select(
+        "incident_id", "incident_name", F.length("text").cast("bigint").alias("n_chars"),
+        F.size("sources").cast("int").alias("n_sources"),
+        F.try_element_at("sources", F.lit(1))["url"].alias("source_url"),
+        F.try_element_at("sources", F.lit(1))["retrieved_date"].alias("retrieved_date"),
+        "date", "missing_text", map_csv("labels").alias("labels"))
+
+
+# --- C6: P19 A15 P15 A8 K3 F8 -------------------------------------------------------------
+def logit_taxonomy(spark):
+    return taxonomy_table(spark, {LX.LOGIT_FIELD: LX.LOGIT_LABELS})
+
+
+def _logits(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("id"),
+                    F.slice("embedding", 1, len(LX.LOGIT_LABELS)).alias("logits"), "label")
+
+
+@query
+def q_logit_labels(spark, sf_dir):
+    from textcards.operators.logits import logit_labels
+    p = logit_labels(_logits(spark, sf_dir), logit_taxonomy(spark), "id", "logits", 0.5)
+    return p.select(F.col("id").alias("vec_id"), "label", "label_pos",
+                    r9("confidence").alias("confidence"))
+
+
+@query
+def q_epsilon_f1(spark, sf_dir):
+    from textcards.operators.logits import epsilon_micro_f1
+    lg = _logits(spark, sf_dir)
+    gold = lg.select("id", F.transform(F.sequence(F.lit(0), F.lit(len(LX.LOGIT_LABELS) - 1)),
+                                       lambda i: (i == F.col("label")).cast("int")).alias("gold"))
+    m = epsilon_micro_f1(lg, gold, "id", "logits", "gold", 0.5)
+    return m.select("tp", "fp", "fn", r9("precision").alias("precision"),
+                    r9("recall").alias("recall"), r9("micro_f1").alias("micro_f1"))
+
+
+@query
+def q_pick_evidence_text(spark, sf_dir):
+    from textcards.operators.lexicon import evidence_label_table, keyword_sentence_ranking
+    from textcards.operators.logits import logit_labels
+    picked = logit_labels(_logits(spark, sf_dir), logit_taxonomy(spark), "id", "logits", 0.5)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    ev_lex = lexicon_table(spark, {LX.LOGIT_FIELD: LX.LOGIT_EVIDENCE_KEYWORDS})
+    labels = evidence_label_table(logit_taxonomy(spark), ev_lex)
+    r = keyword_sentence_ranking(docs, picked.select("id", "field", "label"), labels, "id",
+                                 "text", 3)
+    return r.select(F.col("id").alias("doc_id"), "label", "rank", "sent_idx", "score", "sentence")
+
+
+# --- C12: P16 P17 J8 / C13: J11 ------------------------------------------------------------
+@query
+def q_cards(spark, sf_dir):
+    from textcards.operators.cards import cards
+    docs = table(spark, sf_dir, "documents")
+    return cards(docs, doc_lexicon(spark), LX.DOCUMENT_FIELDS, "doc_id", "text",
+                 doc_taxonomy(spark))
+
+
+@query
+def q_preview(spark, sf_dir):
+    from textcards.functions.text import preview
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", preview("text", 900).alias("preview"))
+
+
+def annotation_tables(spark, sf_dir):
+    """Records (documents + previous gold labels/evidence) and annotation
+    answers derived from ``labels``: quality answers when quality = 1
+    (with an unknown label and a repeat), language answers when toxic = 1,
+    blank answers otherwise."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("incident_id"), "text",
+                                                   "lang")
+    maps = gold_label_maps(spark, sf_dir).withColumnRenamed("doc_id", "incident_id")
+    records = (docs.join(maps, "incident_id", "left")
+               .withColumn("evidence_gold", F.when(
+                   F.col("labels").isNotNull(),
+                   F.create_map(F.lit("language"), F.create_map(F.col("lang"), F.array(F.lit(0)))))))
+    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("incident_id"),
+                                               "quality", "toxic")
+    q = lab.select("incident_id", F.lit("quality").alias("field"),
+                   F.when(F.col("quality") == 1, F.lit(" high , bogus ,high")).otherwise(F.lit(""))
+                   .alias("labels_raw"),
+                   F.create_map(F.lit("high"), F.lit("2, 0,0, 999 ,x, -1")).alias("evidence_raw"))
+    la = lab.select("incident_id", F.lit("language").alias("field"),
+                    F.when(F.col("toxic") == 1, F.lit("fr,en")).otherwise(F.lit("   "))
+                    .alias("labels_raw"),
+                    F.create_map(F.lit("fr"), F.lit("1"), F.lit("en"), F.lit("")).alias("evidence_raw"))
+    return records.drop("lang"), q.unionByName(la)
+
+
+@query
+def q_merge_annotations(spark, sf_dir):
+    from textcards.operators.cards import merge_annotations
+    records, ann = annotation_tables(spark, sf_dir)
+    out = merge_annotations(records, ann, gold_taxonomy(spark), LX.GOLD_FIELDS, "incident_id")
+    ex = out.select("incident_id", "evidence_gold", F.explode("labels").alias("field", "labs"))
+    ev = F.element_at(F.col("evidence_gold"), F.col("field"))
+    return ex.select(F.col("incident_id").alias("doc_id"), "field",
+                     F.array_join("labs", ",").alias("labels"),
+                     F.coalesce(F.array_join(F.transform(F.array_sort(F.map_keys(ev)), lambda k: F.concat(
+                         k, F.lit(":"), F.array_join(F.element_at(ev, k), ","))), ";"), F.lit(""))
+                     .alias("evidence"))
+
+
+# --- S9 nested records (flagship) -------------------------------------------------------------
+@query
+def q_prediction_records(spark, sf_dir):
+    """Lexicon predictions folded into one nested record per document (all
+    fields present), then flattened per field for comparison."""
+    from textcards.sources.sinks import assemble_records
+    docs = table(spark, sf_dir, "documents")
+    p = _doc_predictions(spark, sf_dir)
+    rec = assemble_records(p, docs.select("doc_id"), LX.DOCUMENT_FIELDS, "doc_id")
+    ex = rec.select("doc_id", "confidence", "evidence", F.explode("pred").alias("field", "labels"))
+    conf = F.element_at(F.col("confidence"), F.col("field"))
+    evid = F.element_at(F.col("evidence"), F.col("field"))
+    return ex.select(
+        "doc_id", "field", F.array_join("labels", ",").alias("labels"),
+        F.array_join(F.transform("labels", lambda l: F.format_string(
+            "%.4f", F.element_at(conf, l))), ",").alias("confidences"),
+        F.array_join(F.transform("labels", lambda l: F.array_join(
+            F.transform(F.element_at(evid, l), lambda i: i.cast("string")), " ")), "|")
+        .alias("evidence"))
+
+
+def q_lexicon_cards(spark, sf_dir):
+    """Flagship (entry): nested lexicon prediction records, flattened."""
+    return q_prediction_records(spark, sf_dir)
