@@ -26,8 +26,15 @@ def query(fn):
     return fn
 
 
+# Primary key of each driver table (used to spread a scan that has too few splits).
+TABLE_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id",
+              "embeddings": "vec_id", "labels": "doc_id", "orders": "o_orderkey",
+              "benchmark": "item_id", "events": "event_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    from textcards.sources.readers import read_parquet
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet", TABLE_KEYS.get(name))
 
 
 def doc_lexicon(spark):

@@ -64,3 +64,21 @@ def read_split(spark: SparkSession, path: str | None, id_col: str = "incident_id
     train = doc.select(F.explode("train").alias(id_col), F.lit("train").alias("part"))
     test = doc.select(F.explode("test").alias(id_col), F.lit("test").alias("part"))
     return train.unionByName(test)
+
+
+def read_parquet(spark: SparkSession, path: str, key: str | None = None,
+                 min_partitions: int | None = None) -> DataFrame:
+    """Parquet scan (pushdown and pruning apply) spread over at least
+    ``min_partitions`` tasks (default: the cluster's parallelism).
+
+    Text operators are CPU-bound per row, so a scan that yields fewer splits
+    than cores (one small file, one row group) leaves cores idle.  Only in
+    that case the rows are hash-partitioned by ``key`` (so later grouping,
+    windows and joins on that key reuse the partitioning) or round-robin.
+    A large input already has many splits and is returned untouched.
+    """
+    df = spark.read.parquet(path)
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, key) if key else df.repartition(want)
