@@ -19,6 +19,9 @@
 
 from __future__ import annotations
 
+import math
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
@@ -32,6 +35,9 @@ from textcards.operators.tfidf import fit_vocabulary, term_array, top_sentence_l
 # The model dimension is the vocabulary size; Spark ML keeps coefficient
 # vectors of that size on the driver, so the vocabulary is bounded here.
 MAX_MODEL_VOCAB = 4_000_000
+# Labels fitted at the same time, and training rows per partition.
+MAX_CONCURRENT_FITS = 8
+ROWS_PER_TRAIN_PARTITION = 20_000
 
 
 def label_states(gold_long: DataFrame, train_ids: DataFrame, taxonomy: DataFrame,
@@ -103,19 +109,32 @@ def ovr_predict(train_docs: DataFrame, test_docs: DataFrame, gold_long: DataFram
         train_tab = (train_feat.join(gold_sets, id_col, "left")
                      .select(id_col, "features",
                              F.coalesce("_gold", F.array().cast("array<string>")).alias("_gold")))
+        # Few partitions for a small training set: every LBFGS iteration
+        # aggregates one dense gradient (vocabulary-sized) per partition.
+        parts = max(1, min(spark.sparkContext.defaultParallelism,
+                           math.ceil(n_train / ROWS_PER_TRAIN_PARTITION)))
+        train_tab = train_tab.coalesce(parts)
         if spark.sparkContext.getCheckpointDir():
             train_tab = train_tab.checkpoint()
         else:
             train_tab = train_tab.cache()
         test_feat = feat.transform(test_docs, id_col, text_col).cache()
-        for field, label in active:
+
+        def fit_one(fl):
+            field, label = fl
             key = field + "\u0000" + label
             data = train_tab.select("features", F.array_contains("_gold", key).cast("double")
                                     .alias("label"))
             lr = LogisticRegression(regParam=1.0 / n_train, elasticNetParam=0.0,
                                     standardization=False, fitIntercept=True,
                                     maxIter=max_iter, tol=1e-6)
-            model = lr.fit(data)
+            return field, label, lr.fit(data)
+
+        # The fits are independent jobs: run them side by side (the LBFGS
+        # driver work of one overlaps the executor work of the others).
+        with ThreadPoolExecutor(max_workers=max(1, min(len(active), MAX_CONCURRENT_FITS))) as ex:
+            models = list(ex.map(fit_one, active))
+        for field, label, model in models:
             p = model.transform(test_feat).select(
                 id_col, vector_to_array("probability")[1].alias("confidence"))
             preds.append(p.where(F.col("confidence") >= threshold)
