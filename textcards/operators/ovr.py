@@ -5,13 +5,12 @@
   always-on (predicted at confidence 1.0), ``0`` -> never predicted.
 * Features: the TF-IDF vocabulary is fitted once on the training texts and
   shared by all fields (the reference refits the identical vectoriser per
-  field).  Vectors are built by JVM transformers: term counts
-  (``CountVectorizerModel.from_vocabulary``), times smoothed IDF
-  (``ElementwiseProduct``), L2-normalised (``Normalizer``).
-* One binary L2 logistic regression per active label, on the one feature
-  table (checkpointed: lineage is cut once, every fit rereads it).
-  ``regParam = 1/n`` with ``standardization=False`` is the same objective
-  as C=1 on the summed log-loss.
+  field).  Rows are sparse ``(idx, val)`` arrays built by DataFrame
+  operations (``logreg.sparse_rows``) on a densely indexed vocabulary.
+* One binary L2 logistic regression per active label (``logreg``: the
+  reference learner's objective and stopping rules, distributed gradient
+  passes), on the one training table (checkpointed: lineage is cut once,
+  every pass rereads it).
 * Prediction: probability ``>= threshold``; always-on labels added at 1.0;
   labels listed alphabetically; evidence = the record's top TF-IDF
   sentences, shared by every label of the record.
@@ -22,18 +21,15 @@ from __future__ import annotations
 import math
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textcards.operators.common import bounded_broadcast
-from textcards.operators.tfidf import fit_vocabulary, term_array, top_sentence_lists
+from textcards.operators.logreg import SparseLogisticRegression, index_vocabulary, sparse_rows
+from textcards.operators.tfidf import fit_vocabulary, top_sentence_lists
 
-# The model dimension is the vocabulary size; Spark ML keeps coefficient
-# vectors of that size on the driver, so the vocabulary is bounded here.
+# The model dimension is the vocabulary size; the L-BFGS loop keeps
+# coefficient vectors of that size on the driver, so it is bounded here.
 MAX_MODEL_VOCAB = 4_000_000
 # Labels fitted at the same time, and training rows per partition.
 MAX_CONCURRENT_FITS = 8
@@ -59,33 +55,10 @@ def label_states(gold_long: DataFrame, train_ids: DataFrame, taxonomy: DataFrame
                     F.lit(n).cast("bigint").alias("n"), state.alias("state")))
 
 
-class TfidfFeaturizer:
-    """Vocabulary-indexed, IDF-weighted, L2-normalised sparse vectors."""
-
-    def __init__(self, vocab: DataFrame):
-        # small by the check below; sorted so the index order is deterministic
-        n_terms = vocab.count()
-        if n_terms > MAX_MODEL_VOCAB:
-            raise ValueError(f"vocabulary of {n_terms} terms exceeds MAX_MODEL_VOCAB")
-        rows = vocab.select("term", "idf").orderBy("term").collect()
-        self.size = len(rows)
-        self.terms = [r["term"] for r in rows]
-        idf = Vectors.dense([r["idf"] for r in rows]) if rows else Vectors.dense([])
-        self.cv = CountVectorizerModel.from_vocabulary(self.terms, inputCol="_terms",
-                                                       outputCol="_tf")
-        self.scale = ElementwiseProduct(scalingVec=idf, inputCol="_tf", outputCol="_w")
-        self.norm = Normalizer(p=2.0, inputCol="_w", outputCol="features")
-
-    def transform(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        d = docs.select(id_col, term_array(F.col(text_col)).alias("_terms"))
-        return self.norm.transform(self.scale.transform(self.cv.transform(d))).select(
-            id_col, "features")
-
-
 def ovr_predict(train_docs: DataFrame, test_docs: DataFrame, gold_long: DataFrame,
                 taxonomy: DataFrame, fields, id_col: str = "id", text_col: str = "text",
                 threshold: float = 0.5, max_iter: int = 2000, max_df: float = 0.95,
-                evidence_k: int = 3):
+                evidence_k: int = 3, C: float = 1.0, tol: float = 1e-4):
     """Fit on ``train_docs`` (id, text) with gold ``(id, field, label)``;
     predict ``test_docs``.  Returns ``(predictions, states)``:
     predictions ``(id, field, label, confidence, evidence array<int>)``."""
@@ -100,17 +73,24 @@ def ovr_predict(train_docs: DataFrame, test_docs: DataFrame, gold_long: DataFram
     test_ids = test_docs.select(id_col)
     preds = []
     if active and vocab.take(1):
-        feat = TfidfFeaturizer(vocab)
+        ivocab = index_vocabulary(vocab)
+        dim = ivocab.count()
+        if dim > MAX_MODEL_VOCAB:
+            raise ValueError(f"vocabulary of {dim} terms exceeds MAX_MODEL_VOCAB")
         n_train = train_docs.count()
-        train_feat = feat.transform(train_docs, id_col, text_col)
+        empty_i, empty_v = F.array().cast("array<int>"), F.array().cast("array<double>")
         gold_sets = (gold_long.join(train_docs.select(id_col), id_col, "left_semi")
                      .groupBy(id_col).agg(F.collect_set(F.concat_ws("\u0000", "field", "label"))
                                           .alias("_gold")))
-        train_tab = (train_feat.join(gold_sets, id_col, "left")
-                     .select(id_col, "features",
+        # every training record counts, also one without in-vocabulary terms
+        train_tab = (train_docs.select(id_col)
+                     .join(sparse_rows(train_docs, ivocab, id_col, text_col), id_col, "left")
+                     .join(gold_sets, id_col, "left")
+                     .select(F.coalesce("idx", empty_i).alias("idx"),
+                             F.coalesce("val", empty_v).alias("val"),
                              F.coalesce("_gold", F.array().cast("array<string>")).alias("_gold")))
-        # Few partitions for a small training set: every LBFGS iteration
-        # aggregates one dense gradient (vocabulary-sized) per partition.
+        # Few partitions for a small training set: every pass returns one
+        # vocabulary-sized partial gradient per partition.
         parts = max(1, min(spark.sparkContext.defaultParallelism,
                            math.ceil(n_train / ROWS_PER_TRAIN_PARTITION)))
         train_tab = train_tab.coalesce(parts)
@@ -118,28 +98,27 @@ def ovr_predict(train_docs: DataFrame, test_docs: DataFrame, gold_long: DataFram
             train_tab = train_tab.checkpoint()
         else:
             train_tab = train_tab.cache()
-        test_feat = feat.transform(test_docs, id_col, text_col).cache()
+        test_rows = (test_ids.join(sparse_rows(test_docs, ivocab, id_col, text_col), id_col, "left")
+                     .select(id_col, F.coalesce("idx", empty_i).alias("idx"),
+                             F.coalesce("val", empty_v).alias("val")))
 
         def fit_one(fl):
             field, label = fl
             key = field + "\u0000" + label
-            data = train_tab.select("features", F.array_contains("_gold", key).cast("double")
-                                    .alias("label"))
-            lr = LogisticRegression(regParam=1.0 / n_train, elasticNetParam=0.0,
-                                    standardization=False, fitIntercept=True,
-                                    maxIter=max_iter, tol=1e-6)
-            return field, label, lr.fit(data)
+            data = train_tab.select("idx", "val", F.array_contains("_gold", key).cast("double")
+                                    .alias("y"))
+            model = SparseLogisticRegression(dim, C=C, tol=tol, max_iter=max_iter).fit(data, n_train)
+            return field, label, model
 
-        # The fits are independent jobs: run them side by side (the LBFGS
-        # driver work of one overlaps the executor work of the others).
+        # The fits are independent: run them side by side (the driver-side
+        # L-BFGS step of one overlaps the distributed passes of the others).
         with ThreadPoolExecutor(max_workers=max(1, min(len(active), MAX_CONCURRENT_FITS))) as ex:
             models = list(ex.map(fit_one, active))
         for field, label, model in models:
-            p = model.transform(test_feat).select(
-                id_col, vector_to_array("probability")[1].alias("confidence"))
-            preds.append(p.where(F.col("confidence") >= threshold)
+            p = model.predict_proba(test_rows, id_col)
+            preds.append(p.where(F.col("prob") >= threshold)
                          .select(id_col, F.lit(field).alias("field"), F.lit(label).alias("label"),
-                                 "confidence"))
+                                 F.col("prob").alias("confidence")))
     for field, label in always:
         preds.append(test_ids.select(id_col, F.lit(field).alias("field"),
                                      F.lit(label).alias("label"), F.lit(1.0).alias("confidence")))
