@@ -26,12 +26,17 @@ BUCKETS = 2048
 def _kth(keys: DataFrame, c: str, k: int, largest: bool):
     """The k-th value of long column ``c`` counted from the top (``largest``)
     or the bottom.  Returns ``(v, n_beyond, n_equal)`` where ``n_beyond``
-    counts rows strictly before ``v`` in that direction."""
-    lo, hi = keys.agg(F.min(c), F.max(c)).first()
+    counts rows strictly before ``v`` in that direction.
+
+    Each round is one bounded aggregate: while more than ``BUCKETS`` rows
+    remain in the value range, count them per equal-width bucket and keep the
+    bucket holding the k-th row; once at most ``BUCKETS`` rows (or values)
+    remain, count them per exact value."""
+    lo, hi, in_range = keys.agg(F.min(c), F.max(c), F.count(c)).first()
     beyond = 0
     while True:
         rng = keys.where(F.col(c).between(lo, hi))
-        if hi - lo < BUCKETS:
+        if hi - lo < BUCKETS or in_range <= BUCKETS:
             hist = rng.groupBy(c).count().collect()
             for row in sorted(hist, key=lambda r: r[0], reverse=largest):
                 if beyond + row["count"] >= k:
@@ -44,6 +49,7 @@ def _kth(keys: DataFrame, c: str, k: int, largest: bool):
         for row in sorted(hist, key=lambda r: r["b"], reverse=largest):
             if beyond + row["count"] >= k:
                 lo, hi = lo + row["b"] * width, min(hi, lo + (row["b"] + 1) * width - 1)
+                in_range = row["count"]
                 break
             beyond += row["count"]
         else:

@@ -612,3 +612,25 @@ agg AS (SELECT id, field,
 SELECT d.doc_id, fs.field, coalesce(agg.labels, '') AS labels,
        coalesce(agg.confidences, '') AS confidences, coalesce(agg.evidence, '') AS evidence
 FROM documents d CROSS JOIN fs LEFT JOIN agg ON agg.id = d.doc_id AND agg.field = fs.field"""
+
+
+@oracle("q_split_label_metrics")
+def _():
+    base = _label_metric_ctes().replace(
+        "pairs AS (SELECT id FROM gids WHERE id IN (SELECT doc_id FROM documents)),",
+        """tn AS (SELECT greatest(1, CAST(round_even(count(*) * 0.2::DOUBLE, 0) AS BIGINT)) AS tn
+       FROM gids),
+trk AS (SELECT id, row_number() OVER (
+          ORDER BY substr(md5(CAST(id AS VARCHAR) || '|13'), 1, 15), id) AS rn FROM gids),
+tids AS (SELECT id FROM trk WHERE rn <= (SELECT tn FROM tn)),
+pairs AS (SELECT id FROM gids WHERE id IN (SELECT doc_id FROM documents)
+          AND id IN (SELECT id FROM tids)),""")
+    assert "tids" in base
+    return f"""{base},
+fsum AS (SELECT field, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, avg(f1) AS macro_f1
+         FROM plm GROUP BY field)
+SELECT field, (SELECT count(*) FROM gids WHERE id IN (SELECT id FROM tids)) AS n,
+       (SELECT count(*) FROM pairs) AS n_scored,
+       {_r(_ratio('tp', 'tp + fp'))} AS micro_precision, {_r(_ratio('tp', 'tp + fn'))} AS micro_recall,
+       {_r(_ratio('2 * tp', '2 * tp + fp + fn'))} AS micro_f1, {_r('macro_f1')} AS macro_f1
+FROM fsum WHERE (SELECT count(*) FROM pairs) > 0"""

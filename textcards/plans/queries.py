@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -526,3 +527,26 @@ def q_prediction_records(spark, sf_dir):
 def q_lexicon_cards(spark, sf_dir):
     """Flagship (entry): nested lexicon prediction records, flattened."""
     return q_prediction_records(spark, sf_dir)
+
+
+@query
+def q_split_label_metrics(spark, sf_dir):
+    """C8 on the test part of the K5 split (F4: gold and predictions both
+    restricted to the split's test ids), as the reference evaluates."""
+    from textcards.operators.lexicon import lexicon_labels
+    from textcards.operators.metrics import label_metrics, restrict_ids
+    from textcards.operators.splits import hash_split
+    docs = table(spark, sf_dir, "documents")
+    gold, gold_ids = gold_tables(spark, sf_dir)
+    # reused by four restrictions (and their emptiness checks): keep one copy
+    test = (hash_split(gold_ids, "id", 0.2, 13).where(F.col("part") == "test").select("id")
+            .persist(StorageLevel.MEMORY_AND_DISK))
+    pred = (lexicon_labels(docs, doc_lexicon(spark), "doc_id", "text", doc_taxonomy(spark))
+            .select(F.col("doc_id").alias("id"), "field", "label"))
+    pred_ids = docs.select(F.col("doc_id").alias("id"))
+    _, per_field = label_metrics(restrict_ids(gold, test, "id"), restrict_ids(pred, test, "id"),
+                                 restrict_ids(gold_ids, test, "id"),
+                                 restrict_ids(pred_ids, test, "id"), gold_taxonomy(spark), "id")
+    return per_field.select("field", "n", "n_scored",
+                            *[r9(c).alias(c) for c in ("micro_precision", "micro_recall",
+                                                        "micro_f1", "macro_f1")])
