@@ -9,6 +9,7 @@ records that have a non-empty gold map.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,8 +74,11 @@ def evidence_metrics(gold_evidence: DataFrame, gold_records: DataFrame, pred_evi
 
     p1, r1 = at(1)
     p3, r3 = at(3)
+    # one row per gold item, read by the overall, per-record and per-field
+    # aggregates below: computed once
     scored = j.select(id_col, "field", p1.alias("p1"), p3.alias("p3"), r1.alias("r1"),
-                      r3.alias("r3"), (F.size(ev) > 0).alias("_any"))
+                      r3.alias("r3"), (F.size(ev) > 0).alias("_any")
+                      ).persist(StorageLevel.MEMORY_AND_DISK)
 
     # overall row: one aggregate over item rows and record rows together
     rec_hits = scored.groupBy(id_col).agg(F.max("_any").alias("_hit"))
@@ -107,9 +111,10 @@ def evidence_metrics(gold_evidence: DataFrame, gold_records: DataFrame, pred_evi
         *[F.coalesce(c, F.lit(0.0)).alias(c) for c in
           ("precision_at_1", "precision_at_3", "recall_at_1", "recall_at_3")],
         ))
-    cov = overall.select(F.lit(1).alias("_k"), "coverage", "n_incidents")
-    per_field = (per_field.withColumn("_k", F.lit(1))
-                 .join(F.broadcast(cov), "_k", "inner").drop("_k"))
+    # the report-level values are two scalars of the one-row overall aggregate
+    top = overall.select("coverage", "n_incidents").first()
+    per_field = per_field.select("*", F.lit(top["coverage"]).cast("double").alias("coverage"),
+                                 F.lit(top["n_incidents"]).cast("bigint").alias("n_incidents"))
     return overall.unionByName(per_field)
 
 

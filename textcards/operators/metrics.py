@@ -7,6 +7,7 @@ macro-F1 as 0, exactly like a fixed label list passed to a metric library.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,7 +111,8 @@ def flat_gold_eval(rows: DataFrame, lexicon: DataFrame, field_map: dict,
                             fields=pred_fields)
              .groupBy("_id", "field")
              .agg(F.collect_list("label").alias("labels"),
-                  F.min_by("label", "label_pos").alias("top1")))
+                  F.min_by("label", "label_pos").alias("top1"))
+             .persist(StorageLevel.MEMORY_AND_DISK))      # read once per report field
     per_field = []
     for name, (_, pf) in field_map.items():
         pr = preds.where(F.col("field") == pf).select("_id", "labels", "top1")
