@@ -24,13 +24,21 @@ Stopping rules follow the reference learner's L-BFGS: ``max|grad| <= tol``
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FTOL = 64 * np.finfo(float).eps
 
+# The task functions below run in Python workers.  Ship this module's code
+# with them (by value) so executors need only numpy and pandas, not an
+# installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _sigmoid(z):
     return 0.5 * (1.0 + np.tanh(0.5 * z))
@@ -166,10 +174,13 @@ class SparseLogisticRegression:
 def index_vocabulary(vocab: DataFrame) -> DataFrame:
     """``(term, idf, idx)`` with dense indices ``0..V-1``, without a global
     window: per-partition row counts give offsets (a bounded collect of one
-    row per partition).  The input is checkpointed first so the partition
-    layout the offsets describe cannot change on recomputation."""
+    row per partition).  The layout the offsets describe is deterministic by
+    construction (hash-partitioned by term, sorted within partitions), so a
+    recomputed partition gets the same indices; it is also checkpointed when
+    the cluster names a checkpoint directory (lineage cut)."""
     spark = vocab.sparkSession
-    v = vocab.select("term", "idf")
+    n_parts = max(1, spark.sparkContext.defaultParallelism)
+    v = vocab.select("term", "idf").repartition(n_parts, "term").sortWithinPartitions("term")
     v = v.checkpoint() if spark.sparkContext.getCheckpointDir() else v.persist()
     tagged = v.select("term", "idf", F.spark_partition_id().alias("_p"),
                       F.monotonically_increasing_id().alias("_m"))
