@@ -146,3 +146,19 @@ def test_ovr_probability_matches_newton(spark):
     preds, _ = ovr_predict(tr, te, gold, tax, ["sub"], "id", threshold=0.0)
     got = {r["label"]: r["confidence"] for r in preds.collect()}
     assert got["orbit"] == pytest.approx(want, abs=1e-3)
+
+
+def test_reduce_scatter_gradient_equals_driver_sum(spark, monkeypatch):
+    """Many partitions -> blocks summed on executors; same fit as few."""
+    import numpy as np
+    from textcards.operators import logreg as LR
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(200):
+        idx = sorted(rng.choice(50, size=5, replace=False).tolist())
+        rows.append((idx, rng.random(5).tolist(), float(i % 3 == 0)))
+    df = spark.createDataFrame(rows, "idx array<int>, val array<double>, y double")
+    monkeypatch.setattr(LR, "GRAD_BLOCK", 16)          # several blocks for dim 50
+    a = LR.SparseLogisticRegression(50, tol=1e-8).fit(df.coalesce(1))
+    b = LR.SparseLogisticRegression(50, tol=1e-8).fit(df.repartition(9))
+    assert np.allclose(a.coef, b.coef, atol=1e-6) and abs(a.intercept - b.intercept) < 1e-6

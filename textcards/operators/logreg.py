@@ -33,6 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FTOL = 64 * np.finfo(float).eps
+# Gradient blocks (doubles) and the partition count up to which partial
+# gradients are summed on the driver instead of on the executors.
+GRAD_BLOCK = 1 << 18
+DRIVER_SUM_MAX_PARTS = 4
 
 # The task functions below run in Python workers.  Ship this module's code
 # with them (by value) so executors need only numpy and pandas, not an
@@ -69,6 +73,7 @@ class SparseLogisticRegression:
         sc = data.sparkSession.sparkContext
         bc = sc.broadcast(wb)
         dim = self.dim
+        n_blocks = -(-(dim + 1) // GRAD_BLOCK)
 
         def part(batches):
             wbv = bc.value
@@ -85,14 +90,33 @@ class SparseLogisticRegression:
                 r = _sigmoid(z) - y
                 g[:-1] += np.bincount(idx, weights=val * np.repeat(r, lens), minlength=dim)
                 g[-1] += r.sum()
-            yield pd.DataFrame({"loss": [loss], "g": [g.tobytes()]})
-
+            # the partial gradient leaves the task as fixed-size blocks
+            yield pd.DataFrame({
+                "blk": np.arange(n_blocks, dtype=np.int32),
+                "loss": [loss] + [0.0] * (n_blocks - 1),
+                "g": [g[i * GRAD_BLOCK:(i + 1) * GRAD_BLOCK].tobytes() for i in range(n_blocks)]})
+
+        def add(pdf):
+            total = np.sum([np.frombuffer(x, dtype=np.float64) for x in pdf["g"]], axis=0)
+            return pd.DataFrame({"blk": [int(pdf["blk"].iloc[0])], "loss": [float(pdf["loss"].sum())],
+                                 "g": [total.tobytes()]})
+
+        schema = "blk int, loss double, g binary"
         try:
-            parts = data.mapInPandas(part, "loss double, g binary").collect()
+            partials = data.mapInPandas(part, schema)
+            if data.rdd.getNumPartitions() > DRIVER_SUM_MAX_PARTS:
+                # reduce-scatter: blocks are summed on the executors, so the
+                # driver receives one vector whatever the partition count
+                partials = partials.groupBy("blk").applyInPandas(add, schema)
+            rows = partials.collect()
         finally:
             bc.destroy()
-        loss = sum(p["loss"] for p in parts)
-        g = np.sum([np.frombuffer(p["g"], dtype=np.float64) for p in parts], axis=0)
+        loss = sum(r["loss"] for r in rows)
+        g = np.zeros(n_blocks * GRAD_BLOCK)
+        for r in rows:
+            blk = np.frombuffer(r["g"], dtype=np.float64)
+            g[r["blk"] * GRAD_BLOCK:r["blk"] * GRAD_BLOCK + len(blk)] += blk
+        g = g[:dim + 1]
         w = wb[:-1]
         reg = 1.0 / (self.C * n)
         f = loss / n + 0.5 * reg * float(w @ w)
