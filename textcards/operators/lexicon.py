@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,20 @@ LEXICON_SCHEMA = "field string, label string, label_pos int, kw_pos int, keyword
 TAXONOMY_SCHEMA = "field string, label string, label_pos int"
 
 
+# Small in-code tables become JVM literals (no Python worker is started to
+# read them); larger ones go through createDataFrame.
+MAX_LITERAL_ROWS = 5_000
+
+
+def local_table(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A small fixed table as a literal relation (``inline`` of structs)."""
+    if not rows or len(rows) > MAX_LITERAL_ROWS:
+        return spark.createDataFrame(rows, schema)
+    cols = [c.strip().split(" ") for c in schema.split(",")]
+    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(r, cols)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def lexicon_table(spark: SparkSession, mapping: dict) -> DataFrame:
     """``{field: {label: [keyword, ...]}}`` -> lexicon rows in declaration order."""
     rows = []
@@ -39,14 +54,14 @@ def lexicon_table(spark: SparkSession, mapping: dict) -> DataFrame:
         for label_pos, (label, kws) in enumerate(labels.items()):
             for kw_pos, kw in enumerate(kws):
                 rows.append((field, label, label_pos, kw_pos, kw))
-    return spark.createDataFrame(rows, LEXICON_SCHEMA)
+    return local_table(spark, rows, LEXICON_SCHEMA)
 
 
 def taxonomy_table(spark: SparkSession, mapping: dict) -> DataFrame:
     """``{field: [label, ...]}`` -> taxonomy rows with the label's list position."""
     rows = [(field, label, pos) for field, labels in mapping.items()
             for pos, label in enumerate(labels)]
-    return spark.createDataFrame(rows, TAXONOMY_SCHEMA)
+    return local_table(spark, rows, TAXONOMY_SCHEMA)
 
 
 def label_table(lexicon: DataFrame, taxonomy: DataFrame | None = None,
@@ -61,8 +76,8 @@ def label_table(lexicon: DataFrame, taxonomy: DataFrame | None = None,
     if fields is not None:
         lex = lex.where(F.col("field").isin(list(fields)))
     if taxonomy is not None:
-        lex = lex.join(bounded_broadcast(taxonomy.select("field", "label")),
-                       ["field", "label"], "left_semi")
+        # both sides are label-space sized: Spark's own size estimate picks the join
+        lex = lex.join(taxonomy.select("field", "label"), ["field", "label"], "left_semi")
     return (lex.groupBy("field", "label", "label_pos")
             .agg(F.sort_array(F.collect_list(F.struct("kw_pos", F.lower("keyword").alias("kw"))))
                  .alias("_k"))
@@ -86,7 +101,9 @@ def evidence_label_table(taxonomy: DataFrame, evidence_lexicon: DataFrame | None
 
 
 def _chunks(labels: DataFrame):
-    """Bounded broadcast chunks of the label table (size proven by count)."""
+    """Bounded broadcast chunks of the label table (size proven by count;
+    the table is kept, so the broadcast does not recompute it)."""
+    labels = labels.persist(StorageLevel.MEMORY_AND_DISK)
     stats = labels.agg(F.count(F.lit(1)).alias("n"),
                        F.coalesce(F.sum(F.size("kws")), F.lit(0)).alias("k")).first()
     n_chunks = max(1, math.ceil(stats["k"] / MAX_BROADCAST_KEYWORDS))

@@ -634,3 +634,10 @@ SELECT field, (SELECT count(*) FROM gids WHERE id IN (SELECT id FROM tids)) AS n
        {_r(_ratio('tp', 'tp + fp'))} AS micro_precision, {_r(_ratio('tp', 'tp + fn'))} AS micro_recall,
        {_r(_ratio('2 * tp', '2 * tp + fp + fn'))} AS micro_f1, {_r('macro_f1')} AS macro_f1
 FROM fsum WHERE (SELECT count(*) FROM pairs) > 0"""
+
+
+@oracle("q_incident_lexicon")
+def _():
+    return f"""WITH {_lexicon_ctes(LX.INCIDENT_LEXICON, LX.INCIDENT_TAXONOMY)}
+SELECT id AS doc_id, field, label, hits, confidence, array_to_string(evidence, ',') AS evidence
+FROM preds"""

@@ -550,3 +550,14 @@ def q_split_label_metrics(spark, sf_dir):
     return per_field.select("field", "n", "n_scored",
                             *[r9(c).alias(c) for c in ("micro_precision", "micro_recall",
                                                         "micro_f1", "macro_f1")])
+
+
+@query
+def q_incident_lexicon(spark, sf_dir):
+    """The original incident lexicon (104 keywords, 37 labels) and taxonomy
+    over ``documents``: the keyword job the reference runs, at table scale."""
+    docs = table(spark, sf_dir, "documents")
+    p = lexicon_predict(docs, lexicon_table(spark, LX.INCIDENT_LEXICON), "doc_id", "text",
+                        taxonomy_table(spark, LX.INCIDENT_TAXONOMY))
+    return p.select("doc_id", "field", "label", "hits", "confidence",
+                    ints_csv("evidence").alias("evidence"))
