@@ -122,3 +122,16 @@ def test_page_records(spark):
                                   "page_id long, url string, html string")
     r = page_records(pages, "page_id", "url").first()
     assert (r["incident_id"], r["source_type"], r["text"]) == ("7", "news", "Hi there")
+
+
+def test_append_and_report_sinks(spark, tmp_dir):
+    from textcards.sources.sinks import write_report
+    out = os.path.join(tmp_dir, "scraped")
+    rec = spark.createDataFrame([("p1", "http://a", "news", "Text.")], R.SCRAPED_SCHEMA)
+    write_jsonl(rec, out, mode="append")
+    write_jsonl(rec, out, mode="append")                      # S7: appended, not replaced
+    assert R.read_jsonl(spark, out, R.SCRAPED_SCHEMA).count() == 2
+    rep = os.path.join(tmp_dir, "report")
+    write_report(spark.createDataFrame([("overall", 0.5)], "scope string, f1 double"), rep)
+    back = spark.read.json(rep).collect()
+    assert [(r["scope"], r["f1"]) for r in back] == [("overall", 0.5)]
