@@ -6,15 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Row bound under which a side table (taxonomy, lexicon, cut points,
-# vocabulary) is broadcast.  Above it the join stays a shuffle join and
-# AQE may still pick broadcast from runtime statistics.
+# vocabulary) is broadcast.  Above it the join is pinned to a shuffle join.
 MAX_BROADCAST_ROWS = 1_000_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` after proving ``count(df) <= max_rows``; else ``df``."""
+# A broadcast table is built on the driver: keep it within this share of
+# the driver's memory (``spark.driver.memory``, default 1g).
+DRIVER_BROADCAST_SHARE = 0.1
+_UNITS = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+
+
+def driver_memory_bytes(spark) -> int:
+    v = str(spark.sparkContext.getConf().get("spark.driver.memory", "1g")).strip().lower()
+    v = v[:-1] if v.endswith("b") else v
+    return int(float(v[:-1]) * _UNITS[v[-1]]) if v and v[-1] in _UNITS else int(float(v) * (1 << 20))
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
+                      bytes_per_row: int = 128) -> DataFrame:
+    """``broadcast(df)`` after proving ``count(df)`` is within both ``max_rows``
+    and the driver-memory budget (``bytes_per_row`` estimated per row).
+
+    Above the bound the side carries a ``merge`` hint, so the join stays a
+    shuffle (sort-merge) join: without it AQE may still demote the join to a
+    broadcast from runtime statistics and build a table the driver cannot
+    hold."""
+    budget = int(DRIVER_BROADCAST_SHARE * driver_memory_bytes(df.sparkSession) / bytes_per_row)
     n = df.count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if n <= min(max_rows, budget) else df.hint("merge")
 
 
 def safe_ratio(num, den):
