@@ -34,7 +34,8 @@ def restrict_ids(df: DataFrame, ids: DataFrame | None, id_col: str,
 
 
 def label_metrics(gold_long: DataFrame, pred_long: DataFrame, gold_ids: DataFrame,
-                  pred_ids: DataFrame, taxonomy: DataFrame, id_col: str = "id"):
+                  pred_ids: DataFrame, taxonomy: DataFrame, id_col: str = "id",
+                  labelled_only: bool = False):
     """Multi-label metrics per (field, label) and per field.
 
     ``gold_long``/``pred_long``: (id, field, label) rows; duplicates collapse.
@@ -45,8 +46,12 @@ def label_metrics(gold_long: DataFrame, pred_long: DataFrame, gold_ids: DataFram
 
     Returns ``(per_label, per_field)``.  ``per_field`` has no rows when no
     record is scored (the field is left out, as in the reference).
+    ``labelled_only=True`` drops gold records without any gold label first
+    (the reference scores them as all-negative).
     """
     gids = gold_ids.select(id_col).distinct()
+    if labelled_only:
+        gids = gids.join(gold_long.select(id_col), id_col, "left_semi")
     pairs = gids.join(pred_ids.select(id_col).distinct(), id_col, "inner")
     tax = bounded_broadcast(taxonomy.select("field", "label", "label_pos"))
     keys = [id_col, "field", "label"]
