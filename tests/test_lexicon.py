@@ -108,3 +108,19 @@ def test_keyword_sentence_ranking(spark):
     got = sorted((x["label"], x["rank"], x["sent_idx"], x["score"], x["sentence"]) for x in r)
     # scores: s0=1 (b), s1=2 (b,c), s2=1 (c), s3=0; ties keep sentence order
     assert got == [("lab", 1, 1, 2, "b c."), ("lab", 2, 0, 1, "a b."), ("lab", 3, 2, 1, "c c.")]
+
+
+def test_whole_word_option(spark):
+    docs = spark.createDataFrame([(0, "Engineers checked. The engine (main) failed; re-engine?")],
+                                 "doc_id int, text string")
+    lex = L.lexicon_table(spark, {"f": {"eng": ["engine"], "dot": ["a.b"]}})
+    sub = {r["label"]: list(r["evidence"]) for r in
+           L.lexicon_predict(docs, lex, "doc_id", "text").collect()}
+    whole = {r["label"]: list(r["evidence"]) for r in
+             L.lexicon_predict(docs, lex, "doc_id", "text", whole_word=True).collect()}
+    assert sub == {"eng": [0, 1]}
+    assert whole == {"eng": [1]}          # "Engineers" no longer matches; "re-engine" does
+    # regex metacharacters in keywords are literal
+    d2 = spark.createDataFrame([(1, "x a.b y. axb.")], "doc_id int, text string")
+    got = [r["label"] for r in L.lexicon_predict(d2, lex, "doc_id", "text", whole_word=True).collect()]
+    assert got == ["dot"]

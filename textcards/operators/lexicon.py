@@ -137,9 +137,26 @@ def _ids(id_col):
     return [id_col] if isinstance(id_col, str) else list(id_col)
 
 
+# A "word character" for whole-word matching (letters,
+# digits, underscore), as in the tokenizer.
+WORD_CHAR = "[\\p{L}\\p{N}_]"
+
+
+def _occurs(text, kw, whole_word: bool):
+    """``kw`` in ``text`` (both lower-cased); with ``whole_word`` the match
+    must not touch a word character on either side.  The substring test runs
+    first, so the regex only runs on candidates."""
+    hit = F.contains(text, kw)
+    if not whole_word:
+        return hit
+    pattern = F.concat(F.lit("(?<!" + WORD_CHAR + ")\\Q"), kw, F.lit("\\E(?!" + WORD_CHAR + ")"))
+    return hit & F.regexp(text, pattern)
+
+
 def lexicon_predict(docs: DataFrame, lexicon: DataFrame, id_col="doc_id",
                     text_col: str = "text", taxonomy: DataFrame | None = None,
-                    fields=None, max_evidence: int = 3, quotes: bool = False) -> DataFrame:
+                    fields=None, max_evidence: int = 3, quotes: bool = False,
+                    whole_word: bool = False) -> DataFrame:
     """Long-form lexicon predictions, one row per (record, predicted label).
 
     ``(id.., field, label, label_pos, hits, confidence, evidence array<int>
@@ -150,17 +167,19 @@ def lexicon_predict(docs: DataFrame, lexicon: DataFrame, id_col="doc_id",
     kept, first ``max_evidence`` (so a keyword spanning a sentence end still
     labels the record but gives no evidence).  ``quotes`` are the verbatim
     sentences of ``evidence`` (J8).  Records without any hit have no rows:
-    pair with the input ids when a spine is needed.
+    pair with the input ids when a spine is needed.  ``whole_word=True``
+    stops a keyword from matching inside a longer word (the reference
+    matches substrings: "engine" hits "Engineers").
     """
     ids = _ids(id_col)
     d = _prepared_docs(docs, ids, text_col, quotes)
     j = _match(d, label_table(lexicon, taxonomy, fields))
     tl, sl = F.col("_tl"), F.col("_sl")
-    found = F.filter("kws", lambda k: F.contains(tl, k))
+    found = F.filter("kws", lambda k: _occurs(tl, k, whole_word))
     # Only the first `max_evidence` sentences of any one keyword can reach
     # the first `max_evidence` distinct indices, so each list is cut there.
     per_kw = F.transform(found, lambda k: F.slice(
-        F.array_compact(F.transform(sl, lambda s, i: F.when(F.contains(s, k), i))),
+        F.array_compact(F.transform(sl, lambda s, i: F.when(_occurs(s, k, whole_word), i))),
         1, max_evidence))
     out = j.select(*ids, "field", "label", "label_pos",
                    F.size(found).cast("bigint").alias("hits"),
