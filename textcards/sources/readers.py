@@ -3,6 +3,8 @@ S5 split.  Every reader takes an explicit schema (no inference)."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,9 +59,16 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_split(spark: SparkSession, path: str | None, id_col: str = "incident_id"):
-    """Split JSON -> ``(id, part)`` rows; ``None`` when no path (no filter)."""
+    """Split -> ``(id, part)`` rows; ``None`` when no path (no filter).
+
+    Reads both the one-document JSON form (``{"train": [...], "test": [...]}``)
+    and the long form written by ``jobs.split_job`` (``path/ids``)."""
     if not path:
         return None
+    ids_dir = os.path.join(path, "ids")
+    if os.path.isdir(ids_dir):
+        df = spark.read.schema(f"{id_col} string, part string").json(ids_dir)
+        return df.select(id_col, "part")
     doc = spark.read.schema(SPLIT_SCHEMA).option("multiLine", "true").json(path)
     train = doc.select(F.explode("train").alias(id_col), F.lit("train").alias("part"))
     test = doc.select(F.explode("test").alias(id_col), F.lit("test").alias("part"))
