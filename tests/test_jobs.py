@@ -95,3 +95,19 @@ def test_pipeline(spark, tmp_dir):
     acc, _ = J.flat_gold_eval_job(spark, flat, os.path.join(tmp_dir, "flat_out"))
     a = {r["field"]: (r["correct"], r["total"], r["skipped"]) for r in acc.collect()}
     assert a == {"subsystem": (1, 1, 1), "incident_type": (1, 1, 1)}
+
+
+def test_cards_and_merge_jobs(spark, tmp_dir):
+    data = os.path.join(tmp_dir, "recs.jsonl")
+    with open(data, "w") as f:
+        f.write(json.dumps({"incident_id": "r1", "text": TEXTS["rec-2023-06-15"],
+                            "labels": {"cause": ["unknown"]}}) + "\n")
+    c = {r["field"]: r["card"] for r in J.cards_job(spark, data, os.path.join(tmp_dir, "cards")).collect()}
+    assert c["failure_mode"].startswith("leak (p=0.50)\n> A propellant leak") and c["impact"].startswith("vehicle_loss")
+    ann = os.path.join(tmp_dir, "ann.jsonl")
+    with open(ann, "w") as f:
+        f.write(json.dumps({"incident_id": "r1", "field": "cause", "labels_raw": "propellant_leak, x",
+                            "evidence_raw": {"propellant_leak": "0, 5"}}) + "\n")
+    m = J.merge_annotations_job(spark, data, ann, os.path.join(tmp_dir, "merged")).first()
+    assert m["labels"]["cause"] == ["propellant_leak"]
+    assert m["evidence_gold"]["cause"] == {"propellant_leak": [0]}

@@ -217,3 +217,34 @@ def dataset_stats_job(spark: SparkSession, data: str, stats_out: str, labels_out
     write_report(s, stats_out)
     write_report(d, labels_out)
     return s, d
+
+
+# --- C12 C13 ---------------------------------------------------------------------------------
+ANNOTATION_SCHEMA = ("incident_id string, field string, labels_raw string, "
+                     "evidence_raw map<string,string>")
+
+
+def cards_job(spark: SparkSession, data: str, out: str, schema_path: str | None = None,
+              lexicon: dict | None = None, fields=None) -> DataFrame:
+    """One card per (record, field): badges and verbatim evidence."""
+    from textcards.operators.cards import cards
+    _distinct_paths(out, data)
+    tax = _taxonomy(spark, schema_path)
+    fields = _fields(tax, fields)
+    c = cards(read_records(spark, data), lexicon_table(spark, lexicon or LX.INCIDENT_LEXICON),
+              fields, ID, "text", tax)
+    write_jsonl(c, out)
+    return c
+
+
+def merge_annotations_job(spark: SparkSession, data: str, annotations: str, out: str,
+                          schema_path: str | None = None, fields=None) -> DataFrame:
+    """Apply annotation answers (JSON lines, ``ANNOTATION_SCHEMA``) to
+    records and write the updated records to a new path."""
+    from textcards.operators.cards import merge_annotations
+    _distinct_paths(out, data, annotations)
+    tax = _taxonomy(spark, schema_path)
+    ann = spark.read.schema(ANNOTATION_SCHEMA).option("mode", "FAILFAST").json(annotations)
+    merged = merge_annotations(read_records(spark, data), ann, tax, _fields(tax, fields), ID)
+    write_jsonl(merged, out)
+    return merged
