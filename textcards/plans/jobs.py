@@ -1,4 +1,4 @@
-"""Composite jobs C1-C11 over files: the end-to-end entry points.
+"""Composite jobs C1-C13 over files: the end-to-end entry points.
 
 Each job reads its inputs with explicit schemas, runs the operators as
 one Spark plan and writes its outputs; parameters are function arguments.
