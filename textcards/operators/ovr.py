@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -98,9 +99,11 @@ def ovr_predict(train_docs: DataFrame, test_docs: DataFrame, gold_long: DataFram
             train_tab = train_tab.checkpoint()
         else:
             train_tab = train_tab.cache()
+        # read by every label's prediction pass: computed once
         test_rows = (test_ids.join(sparse_rows(test_docs, ivocab, id_col, text_col), id_col, "left")
                      .select(id_col, F.coalesce("idx", empty_i).alias("idx"),
-                             F.coalesce("val", empty_v).alias("val")))
+                             F.coalesce("val", empty_v).alias("val"))
+                     .persist(StorageLevel.MEMORY_AND_DISK))
 
         def fit_one(fl):
             field, label = fl
