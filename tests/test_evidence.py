@@ -43,3 +43,19 @@ def test_evidence_text_quotes(spark):
     pred = spark.createDataFrame([("r1", "f", "l", [2, 0])],
                                  "id string, field string, label string, evidence array<int>")
     assert evidence_text(pred, sents, "id").first()["quotes"] == ["C.", "A."]
+
+
+def test_in_row_ranking_and_last_index(spark):
+    from pyspark.sql import functions as F
+    from textcards.functions.text import last_sentence_index
+    from textcards.operators.lexicon import lexicon_predict, lexicon_table
+    docs = spark.createDataFrame([(1, "Fire here. Calm. Fire  here. Fire and leak.")],
+                                 "doc_id int, text string")
+    lex = lexicon_table(spark, {"f": {"fire": ["fire", "leak"]}})
+    r = lexicon_predict(docs, lex, "doc_id", "text", ranked_k=3, keep_sentences=True).select(
+        "ranked", F.transform("ranked", lambda x: last_sentence_index(
+            F.col("sentences_norm"), x["sentence"])).alias("idx")).first()
+    # scores: s0=1, s2=1, s3=2 -> order s3, s0, s2; s0 and s2 are equal after
+    # whitespace normalisation, so both map to the last one (2)
+    assert [(x["sent_idx"], x["score"]) for x in r["ranked"]] == [(3, 2), (0, 1), (2, 1)]
+    assert r["idx"] == [3, 2, 2]

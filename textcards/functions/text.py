@@ -142,3 +142,13 @@ def badge(label, confidence) -> Column:
     """``label (p=0.50)``; just the label when there is no confidence."""
     return F.when(col_(confidence).isNull(), col_(label)).otherwise(
         F.format_string("%s (p=%.2f)", col_(label), col_(confidence)))
+
+
+def last_sentence_index(normalized_sentences, text) -> Column:
+    """J7 inside a row: 0-based index of the *last* sentence equal to ``text``
+    after whitespace normalisation (P5); null when none matches.
+    ``normalized_sentences`` is the record's sentence array already passed
+    through ``normalize_sentence`` (once per record)."""
+    norm = col_(normalized_sentences)
+    pos = F.array_position(F.reverse(norm), normalize_sentence(text))
+    return F.when(pos > 0, (F.size(norm) - pos).cast("int"))

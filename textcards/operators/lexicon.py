@@ -23,7 +23,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textcards.functions.text import split_sentences
+from textcards.functions.text import normalize_sentence, split_sentences
 from textcards.operators.common import bounded_broadcast
 
 # Keywords across all labels of one broadcast chunk (~100 bytes each).
@@ -113,11 +113,15 @@ def _chunks(labels: DataFrame):
     return [labels.where(key == c) for c in range(n_chunks)]
 
 
-def _prepared_docs(docs: DataFrame, id_cols, text_col: str, quotes: bool) -> DataFrame:
+def _prepared_docs(docs: DataFrame, id_cols, text_col: str, quotes: bool,
+                   normalized: bool = False) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     if quotes:
         d = docs.select(*id_cols, F.lower(text).alias("_tl"), split_sentences(text).alias("_so"))
-        return d.withColumn("_sl", F.transform("_so", F.lower))
+        d = d.withColumn("_sl", F.transform("_so", F.lower))
+        if normalized:      # once per record, before the join fans out to labels
+            d = d.withColumn("_sn", F.transform("_so", normalize_sentence))
+        return d
     # split(lower(t)) == map(lower, split(t)): lowering never adds or removes a
     # sentence boundary, so one split of the lowered text is enough.
     d = docs.select(*id_cols, F.lower(text).alias("_tl"))
@@ -153,10 +157,23 @@ def _occurs(text, kw, whole_word: bool):
     return hit & F.regexp(text, pattern)
 
 
+def _ranked_sentences(kws, sl, so, k: int):
+    """K3 inside the row: the top-``k`` sentences by how many of ``kws`` they
+    contain (positive only; ties in sentence order), as
+    ``array<struct<sent_idx, score, sentence>>``."""
+    scores = F.transform(sl, lambda s, i: F.struct(
+        (-F.size(F.filter(kws, lambda kw: F.contains(s, kw)))).alias("neg"), i.alias("idx")))
+    top = F.slice(F.array_sort(F.filter(scores, lambda x: x["neg"] < 0)), 1, k)
+    return F.transform(top, lambda x: F.struct(
+        x["idx"].alias("sent_idx"), (-x["neg"]).cast("bigint").alias("score"),
+        F.element_at(so, x["idx"] + 1).alias("sentence")))
+
+
 def lexicon_predict(docs: DataFrame, lexicon: DataFrame, id_col="doc_id",
                     text_col: str = "text", taxonomy: DataFrame | None = None,
                     fields=None, max_evidence: int = 3, quotes: bool = False,
-                    whole_word: bool = False) -> DataFrame:
+                    whole_word: bool = False, ranked_k: int = 0,
+                    keep_sentences: bool = False) -> DataFrame:
     """Long-form lexicon predictions, one row per (record, predicted label).
 
     ``(id.., field, label, label_pos, hits, confidence, evidence array<int>
@@ -169,10 +186,16 @@ def lexicon_predict(docs: DataFrame, lexicon: DataFrame, id_col="doc_id",
     sentences of ``evidence`` (J8).  Records without any hit have no rows:
     pair with the input ids when a spine is needed.  ``whole_word=True``
     stops a keyword from matching inside a longer word (the reference
-    matches substrings: "engine" hits "Engineers").
+    matches substrings: "engine" hits "Engineers").  ``ranked_k > 0`` adds
+    ``ranked``: the label's top sentences by keyword count (K3, computed in
+    the row, no join back to the text).  ``keep_sentences`` adds the
+    record's ``sentences`` and ``sentences_norm`` (P5-normalised, computed
+    once per record) for a following in-row step; drop them before any
+    shuffle.
     """
     ids = _ids(id_col)
-    d = _prepared_docs(docs, ids, text_col, quotes)
+    need_so = quotes or ranked_k > 0 or keep_sentences
+    d = _prepared_docs(docs, ids, text_col, need_so, normalized=keep_sentences)
     j = _match(d, label_table(lexicon, taxonomy, fields))
     tl, sl = F.col("_tl"), F.col("_sl")
     found = F.filter("kws", lambda k: _occurs(tl, k, whole_word))
@@ -184,7 +207,9 @@ def lexicon_predict(docs: DataFrame, lexicon: DataFrame, id_col="doc_id",
     out = j.select(*ids, "field", "label", "label_pos",
                    F.size(found).cast("bigint").alias("hits"),
                    F.slice(F.array_distinct(F.flatten(per_kw)), 1, max_evidence).alias("evidence"),
-                   *(["_so"] if quotes else []))
+                   *([_ranked_sentences(F.col("kws"), sl, F.col("_so"), ranked_k).alias("ranked")]
+                     if ranked_k > 0 else []),
+                   *(["_so"] if need_so else []), *(["_sn"] if keep_sentences else []))
     out = out.withColumn("confidence",
                          F.least(F.lit(0.95), F.lit(0.3) + F.lit(0.2) * F.col("hits")))
     cols = [*ids, "field", "label", "label_pos", "hits", "confidence", "evidence"]
@@ -192,6 +217,11 @@ def lexicon_predict(docs: DataFrame, lexicon: DataFrame, id_col="doc_id",
         out = out.withColumn("quotes", F.transform(
             "evidence", lambda i: F.element_at(F.col("_so"), i + 1)))
         cols.append("quotes")
+    if ranked_k > 0:
+        cols.append("ranked")
+    if keep_sentences:
+        out = out.withColumn("sentences", F.col("_so")).withColumn("sentences_norm", F.col("_sn"))
+        cols += ["sentences", "sentences_norm"]
     return out.select(*cols)
 
 

@@ -316,20 +316,18 @@ def q_evidence_metrics(spark, sf_dir):
 @query
 def q_evidence_text_match(spark, sf_dir):
     """Evidence given as sentence *text* (keyword-count ranking, K3), mapped
-    back to indices by normalised text (J7), then scored like C9."""
-    from textcards.operators.evidence import evidence_indices_from_text, evidence_metrics
-    from textcards.operators.lexicon import evidence_label_table, keyword_sentence_ranking
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    back to indices by normalised text (J7, last match wins), then scored
+    like C9.  The labels come from the lexicon pass, so ranking and mapping
+    both run inside each record's row (no join back to the text)."""
+    from textcards.functions.text import last_sentence_index
+    from textcards.operators.evidence import evidence_metrics
+    docs = table(spark, sf_dir, "documents")
     ev, recs = gold_evidence(spark, sf_dir)
-    picked = _doc_predictions(spark, sf_dir).select(F.col("doc_id").alias("id"), "field", "label")
-    labels = evidence_label_table(doc_taxonomy(spark), doc_lexicon(spark))
-    ranked = keyword_sentence_ranking(docs, picked, labels, "id", "text", 3)
-    text_ev = (ranked.groupBy("id", "field", "label")
-               .agg(F.sort_array(F.collect_list(F.struct("rank", "sentence"))).alias("_t"))
-               .select("id", "field", "label",
-                       F.transform("_t", lambda x: x["sentence"]).alias("evidence_text")))
-    sents = sentences(docs.join(recs, "id", "left_semi"), "id")
-    pred = evidence_indices_from_text(text_ev, sents, "id")
+    p = lexicon_predict(docs, doc_lexicon(spark), "doc_id", "text", doc_taxonomy(spark),
+                        ranked_k=3, keep_sentences=True)
+    pred = p.select(F.col("doc_id").alias("id"), "field", "label", F.array_compact(F.transform(
+        "ranked", lambda r: last_sentence_index(F.col("sentences_norm"), r["sentence"])))
+        .alias("evidence"))
     return _metrics_out(evidence_metrics(ev, recs, pred, LX.DOCUMENT_FIELDS, "id"))
 
 
