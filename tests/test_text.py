@@ -85,7 +85,7 @@ def test_tokens_and_ngrams(spark):
 
 def test_dates_names_sources(spark):
     df = spark.createDataFrame(
-        [("ift1-2023-04-20", None, "2023-4-2", "  Name ", "http://u", "2024-01-02"),
+        [("rec1-2023-04-20", None, "2023-4-2", "  Name ", "http://u", "2024-01-02"),
          ("tbd-001", "2022-01-01", "2023-13-40", "", "", "2024-01-02"),
          ("x-1999-01-01", "", "", None, "http://v", "")],
         "id string, prior string, d string, name string, url string, rd string")
