@@ -33,9 +33,17 @@ TABLE_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_
               "benchmark": "item_id", "events": "event_id"}
 
 
+# Tables whose rows carry text: per-row work is CPU-heavy, so a scan with
+# too few splits is spread over the cores (see ``read_parquet``).
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     from textcards.sources.readers import read_parquet
-    return read_parquet(spark, f"{sf_dir}/{name}.parquet", TABLE_KEYS.get(name))
+    path = f"{sf_dir}/{name}.parquet"
+    if name not in TEXT_TABLES:
+        return spark.read.parquet(path)
+    return read_parquet(spark, path, TABLE_KEYS.get(name))
 
 
 def doc_lexicon(spark):
