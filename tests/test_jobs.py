@@ -3,6 +3,7 @@
 import json
 import os
 
+from tests.test_text import py_normalize
 from textcards.plans import jobs as J
 
 TEXTS = {
@@ -111,3 +112,24 @@ def test_cards_and_merge_jobs(spark, tmp_dir):
     m = J.merge_annotations_job(spark, data, ann, os.path.join(tmp_dir, "merged")).first()
     assert m["labels"]["cause"] == ["propellant_leak"]
     assert m["evidence_gold"]["cause"] == {"propellant_leak": [0]}
+
+
+def test_clean_and_pages_jobs(spark, tmp_dir):
+    raw = os.path.join(tmp_dir, "scraped.jsonl")
+    with open(raw, "w") as f:
+        f.write(json.dumps({"incident_id": "a", "source_url": "u", "source_type": "news",
+                            "text": "  x\r\n\r\n\r\ny \t z " + "w" * 200}) + "\n")
+        f.write(json.dumps({"incident_id": "b", "source_url": "u", "source_type": "news",
+                            "text": "too short"}) + "\n")
+        f.write(json.dumps({"incident_id": "c", "source_url": "u", "source_type": "news"}) + "\n")
+    kept = J.clean_job(spark, raw, os.path.join(tmp_dir, "clean")).collect()
+    assert [r["incident_id"] for r in kept] == ["a"]
+    assert kept[0]["text"] == py_normalize("  x\r\n\r\n\r\ny \t z " + "w" * 200)
+    assert kept[0]["text"].startswith("x\n\ny z w")         # each \r a newline, 3+ -> 2
+    pages = spark.createDataFrame([(1, "http://p", "<p>One</p><script>x</script><p>Two &amp; 3</p>")],
+                                  "page_id long, url string, html string")
+    out = os.path.join(tmp_dir, "pages")
+    J.extract_pages_job(spark, pages, out)
+    J.extract_pages_job(spark, pages, out)                    # appended
+    got = spark.read.json(out).collect()
+    assert len(got) == 2 and got[0]["text"] == "One\nTwo & 3"
