@@ -23,17 +23,18 @@ def driver_memory_bytes(spark) -> int:
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
-                      bytes_per_row: int = 128) -> DataFrame:
+                      bytes_per_row: int = 128, over: str = "merge") -> DataFrame:
     """``broadcast(df)`` after proving ``count(df)`` is within both ``max_rows``
     and the driver-memory budget (``bytes_per_row`` estimated per row).
 
-    Above the bound the side carries a ``merge`` hint, so the join stays a
-    shuffle (sort-merge) join: without it AQE may still demote the join to a
+    Above the bound the side carries the ``over`` hint (``merge``: sort-merge;
+    ``shuffle_hash``: per-partition hash table of this side, no sort), so the
+    join stays a shuffle join: without a hint AQE may still demote it to a
     broadcast from runtime statistics and build a table the driver cannot
     hold."""
     budget = int(DRIVER_BROADCAST_SHARE * driver_memory_bytes(df.sparkSession) / bytes_per_row)
     n = df.count()
-    return F.broadcast(df) if n <= min(max_rows, budget) else df.hint("merge")
+    return F.broadcast(df) if n <= min(max_rows, budget) else df.hint(over)
 
 
 def safe_ratio(num, den):
