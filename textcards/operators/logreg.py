@@ -225,8 +225,7 @@ def sparse_rows(docs: DataFrame, indexed_vocab: DataFrame, id_col: str, text_col
     """``(id, idx array<int>, val array<double>)``: L2-normalised TF-IDF rows
     (documents with no in-vocabulary term are absent)."""
     from textcards.operators.tfidf import tfidf_vectors
-    v = tfidf_vectors(docs, indexed_vocab.select("term", "idf"), id_col, text_col)
-    j = v.join(indexed_vocab.select("term", "idx"), "term", "inner")
+    j = tfidf_vectors(docs, indexed_vocab, id_col, text_col, carry=("idx",))
     return (j.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("idx", "weight")))
                                   .alias("_e"))
             .select(id_col, F.transform("_e", lambda x: x["idx"]).alias("idx"),
