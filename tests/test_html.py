@@ -1,3 +1,8 @@
+import re
+
+from hypothesis import given, settings, strategies as st
+
+from textcards.functions import html as H
 from textcards.functions.html import paragraph_text
 
 
@@ -33,3 +38,37 @@ def test_empty_and_null(spark):
 
 def test_entity_amp_decoded_last(spark):
     assert page(spark, "<p>&amp;lt; a</p>") == "&lt; a"
+
+
+def py_paragraphs(html):
+    """Plain-Python statement of the P1 rules (test oracle)."""
+    h = re.sub(r"<!--.*?-->", "", html or "", flags=re.S)
+    for tag in H.DROPPED_BLOCK_TAGS:
+        h = re.sub(rf"<{tag}\b[^>]*>.*?</{tag}\s*>", "", h, flags=re.S | re.I)
+    h = re.sub(r"<p(\s[^>]*)?>", "\x01\x02", h, flags=re.I)
+    h = re.sub(r"</?(" + "|".join(H.BLOCK_TAGS) + r")(\s[^>]*)?>", "\x01", h, flags=re.I)
+    paras = []
+    for piece in h.split("\x01"):
+        if not piece.startswith("\x02"):
+            continue
+        body = re.sub(r"<[^>]*>", "\x03", piece[1:])
+        for ent, ch in H.ENTITIES:
+            body = body.replace(ent, ch)
+        text = " ".join(n.strip() for n in body.split("\x03") if n.strip())
+        if text:
+            paras.append(text)
+    return re.sub(r"[ \t]+", " ", "\n".join(paras)).strip()
+
+
+BITS = st.sampled_from(["<p>", "</p>", "<P class='a'>", "<div>", "</div>", "<b>", "</b>", "<br>",
+                        "<script>var t='</p>';</script>", "<!-- <p>x</p> -->", "<pre>",
+                        "&amp;", "&copy;", "&lt;b&gt;", "text", "more words", " ", "\n", "\t",
+                        "<li>", "</li>", "<h2>", "</h2>", "a.b", "<style>p{}</style>"])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(BITS, max_size=20).map("".join), min_size=1, max_size=6))
+def test_paragraphs_match_python_statement(spark, pages):
+    df = spark.createDataFrame([(h,) for h in pages], "html string")
+    for r in df.select("html", paragraph_text("html").alias("t")).collect():
+        assert r["t"] == py_paragraphs(r["html"]), r["html"]
