@@ -108,3 +108,14 @@ def test_preview_badge_normalize_sentence(spark):
     assert out[0]["p"] == "a" * 900 + "..." and out[1]["p"] == "short"
     assert out[0]["b"] == "lab (p=0.50)" and out[1]["b"] == "x"
     assert out[0]["n"] == "a b c"
+
+
+TOKEN_ALPHABET = st.sampled_from(list("aZé9_ ,.-'") + ["²", "½", "ª", "ß", "Ü", "́", "\n", "ñ"])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=TOKEN_ALPHABET, max_size=25), min_size=1, max_size=8))
+def test_tokens_match_python_pattern(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", T.word_tokens("t").alias("w")).collect():
+        assert r["w"] == re.findall(r"(?u)\b\w\w+\b", r["t"].lower()), r["t"]
