@@ -119,3 +119,11 @@ def test_tokens_match_python_pattern(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     for r in df.select("t", T.word_tokens("t").alias("w")).collect():
         assert r["w"] == re.findall(r"(?u)\b\w\w+\b", r["t"].lower()), r["t"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=ALPHABET, max_size=30), min_size=1, max_size=8))
+def test_normalize_sentence_matches_python(spark, texts):
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", T.normalize_sentence("t").alias("n")).collect():
+        assert r["n"] == " ".join(r["t"].strip().split())
