@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textcards.operators.common import bounded_broadcast
-from textcards.operators.logreg import SparseLogisticRegression, index_vocabulary, sparse_rows
+from textcards.operators.logreg import (SparseLogisticRegression, index_vocabulary,
+                                        predict_many, sparse_rows)
 from textcards.operators.tfidf import fit_vocabulary, top_sentence_lists
 
 # The model dimension is the vocabulary size; the L-BFGS loop keeps
@@ -117,11 +118,13 @@ def ovr_predict(train_docs: DataFrame, test_docs: DataFrame, gold_long: DataFram
         # L-BFGS step of one overlaps the distributed passes of the others).
         with ThreadPoolExecutor(max_workers=max(1, min(len(active), MAX_CONCURRENT_FITS))) as ex:
             models = list(ex.map(fit_one, active))
-        for field, label, model in models:
-            p = model.predict_proba(test_rows, id_col)
-            preds.append(p.where(F.col("prob") >= threshold)
-                         .select(id_col, F.lit(field).alias("field"), F.lit(label).alias("label"),
-                                 F.col("prob").alias("confidence")))
+        # every label scored in one pass over the test rows
+        names = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(l).alias("label"))
+                          for f, l, _ in models])
+        p = predict_many([m for _, _, m in models], test_rows, id_col, threshold)
+        preds.append(p.select(id_col, F.element_at(names, F.col("model") + 1).alias("_n"),
+                              F.col("prob").alias("confidence"))
+                     .select(id_col, "_n.field", "_n.label", "confidence"))
     for field, label in always:
         preds.append(test_ids.select(id_col, F.lit(field).alias("field"),
                                      F.lit(label).alias("label"), F.lit(1.0).alias("confidence")))
