@@ -3,17 +3,32 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_gam(spark, sf_dir):
+    from textcards.llm import quality_gam as gam
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = gam.train(docs, labels.where(~gam.held_out()))
+    scored = gam.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", gam.held_out().alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op4_decontamination(spark, sf_dir):
+    from textcards.llm.decontam import contamination_digest
+    return contamination_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_shingle_join(spark, sf_dir):
     from textcards.llm.shingle_join import jaccard_components
     return jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op10_shingle_join,)}
+QUERIES = {f.__name__: f for f in (op1_quality_gam, op4_decontamination, op10_shingle_join)}
 
 ORACLES: dict[str, str] = {}
