@@ -130,14 +130,14 @@ def _per_row(lists, n):
     return np.repeat(np.arange(n), size), lists.flatten()
 
 
-def scan(block: TestItems, keep: list[str]):
+def scan(block: TestItems, keep: list[str], text: str):
     """Task code: adds what this block's items match to what is known so far."""
     def run(batches):
         import pyarrow as pa
         ids = np.array(block.ids, dtype=object)
         for batch in batches:
             n = batch.num_rows
-            buf, offs = tokens.text_bytes(batch.column("text"))
+            buf, offs = tokens.text_bytes(batch.column(text))
             numbers, docs = [], []
             for i, j in tokens.chunks(offs):
                 h, d = tokens.words(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i], tokens.ALNUM)
@@ -222,17 +222,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], w
     ship("textcards.llm.tokens", __name__)
     names = ["k%d" % i for i in range(len(keep))]
     kinds = [f"{k} {docs.schema[c].dataType.simpleString()}" for c, k in zip(keep, names, strict=True)]
-    out = docs.select(*(docs[c].alias(k) for c, k in zip(keep, names, strict=True)), docs["text"].alias("text"),
+    text = names[keep.index("text")] if "text" in keep else "text"
+    out = docs.select(*(docs[c].alias(k) for c, k in zip(keep, names, strict=True)),
+                      *([] if "text" in keep else [docs["text"].alias("text")]),
                       F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("hits"),
                       F.expr("cast(array() as array<string>)").alias("items"),
                       F.expr(f"cast(array() as {MATCH})").alias("matches"))
     blocks = list(_blocks(benchmark, window, block_words))
     for i, block in enumerate(blocks):
-        last = i == len(blocks) - 1
-        if not last:
-            out = out.mapInArrow(scan(block, [*names, "text"]), ", ".join([*kinds, "text string", FOUND])).drop("n_words")
-        else:
-            out = out.mapInArrow(scan(block, names), ", ".join([*kinds, FOUND]))
+        more = [] if text in names or i == len(blocks) - 1 else ["text"]
+        out = out.mapInArrow(scan(block, [*names, *more], text), ", ".join([*kinds, *("text string" for _ in more), FOUND]))
+        out = out.drop("n_words") if i < len(blocks) - 1 else out
     return out, names
 
 

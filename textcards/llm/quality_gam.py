@@ -207,12 +207,12 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
     return Gam().fit(x[order], y[order])
 
 
-def scorer(model: Gam, keep: list[str]):
-    """Task code: batches with ``text`` -> the kept columns and the score."""
+def scorer(model: Gam, keep: list[str], text: str):
+    """Task code: the kept columns and the score of column ``text``."""
     def run(batches):
         import pyarrow as pa
         for batch in batches:
-            score = model.predict(feature_matrix(batch.column("text")))
+            score = model.predict(feature_matrix(batch.column(text)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)],
                                              names=[*keep, "_score"])
     return run
@@ -222,9 +222,11 @@ def score(docs: DataFrame, model: Gam, keep: list[str], name: str = "score") ->
     """The ``keep`` columns of ``docs`` and the model's score (0 to 1) as ``name``."""
     ship("textcards.llm.tokens", __name__)
     kept = ["k%d" % i for i in range(len(keep))]          # whatever the columns are called
-    sent = docs.select(*(docs[c].alias(k) for c, k in zip(keep, kept, strict=True)), docs["text"].alias("text"))
+    sent = [docs[c].alias(k) for c, k in zip(keep, kept, strict=True)]
+    text = kept[keep.index("text")] if "text" in keep else "text"
+    sent += [] if "text" in keep else [docs["text"].alias("text")]
     kinds = ", ".join(f"{k} {docs.schema[c].dataType.simpleString()}" for c, k in zip(keep, kept, strict=True))
-    out = sent.mapInArrow(scorer(model, kept), f"{kinds}, _score double")
+    out = docs.select(*sent).mapInArrow(scorer(model, kept, text), f"{kinds}, _score double")
     return out.select(*(F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)), F.col("_score").alias(name))
 
 

@@ -19,16 +19,45 @@ def op1_quality_gam(spark, sf_dir):
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_warc(spark, sf_dir):
+    from textcards.llm import storage, warc_store
+    base = storage.scratch(spark, "warc")
+    files = warc_store.write_pages(_table(spark, sf_dir, "pages"), base)
+    return warc_store.page_records(storage.cut(warc_store.read_archives(files, base), "records")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op3_source_mixing(spark, sf_dir):
+    from textcards.llm.mixing import mix
+    return mix(_table(spark, sf_dir, "documents")).select(
+        "row.doc_id", "row.source", F.col("tokens").alias("n_tokens"), "share", "weight", "copies")
+
+
 def op4_decontamination(spark, sf_dir):
     from textcards.llm.decontam import contamination_digest
     return contamination_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op8_token_shards(spark, sf_dir):
+    from public_tokenizers import PATTERN, path
+    from textcards.llm import storage, token_output
+    out_dir = storage.scratch(spark, "shards")
+    records = token_output.materialise(_table(spark, sf_dir, "documents"), out_dir,
+                                       path("byte_bpe_50k.tiktoken"), PATTERN)
+    return records.withColumn("docs", F.to_json("docs"))
+
+
+def op9_fingerprints(spark, sf_dir):
+    from textcards.llm.fingerprints import edited_fingerprints
+    return edited_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op10_shingle_join(spark, sf_dir):
     from textcards.llm.shingle_join import jaccard_components
     return jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_gam, op4_decontamination, op10_shingle_join)}
+QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_warc, op3_source_mixing, op4_decontamination, op8_token_shards, op9_fingerprints,
+                                    op10_shingle_join)}
 
 ORACLES: dict[str, str] = {}

@@ -295,3 +295,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, max_clust
     merged = components(found.unionByName(copies), "links")
     return (sets.select("doc_id", "n_shingles").join(merged, sets.doc_id == merged.node, "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
+
+
+def one_of_each(docs: DataFrame, **kw) -> DataFrame:
+    """``docs`` without the documents that another of their component stands for
+    (the smallest doc_id stays, once).  Rows without a doc_id all stay."""
+    found = storage.cut(jaccard_components(docs, **kw).where("doc_id is not null")
+                        .groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c")), "groups")
+    gone = found.where("doc_id != c or n > 1").select("doc_id")
+    out = docs.join(storage.bounded(gone, MAX_BROADCAST), "doc_id", "left_anti").select(*docs.columns)
+    again = found.where("doc_id = c and n > 1").select("doc_id")
+    if not again.isEmpty():      # rows that share the id that stays
+        out = out.unionByName(docs.join(storage.bounded(again, MAX_BROADCAST), "doc_id", "left_semi")
+                              .select(*docs.columns).dropDuplicates(["doc_id"]))
+    return out
