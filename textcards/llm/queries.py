@@ -38,6 +38,26 @@ def op4_decontamination(spark, sf_dir):
     return contamination_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_paragraph_dedup(spark, sf_dir):
+    from textcards.llm.paragraph_dedup import dedup_paragraphs
+    kept = dedup_paragraphs(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_paragraphs", F.size("removed").cast("long").alias("n_removed"),
+                       F.array_join(F.transform("removed", lambda x: x.cast("string")), ",").alias("removed_lines"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op6_license_scan(spark, sf_dir):
+    from textcards.llm.license_scan import digest
+    return digest(_table(spark, sf_dir, "documents"))
+
+
+def op7_suffix_dedup(spark, sf_dir):
+    from textcards.llm.suffix_dedup import dedup_substrings
+    kept = dedup_substrings(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_token_shards(spark, sf_dir):
     from public_tokenizers import PATTERN, path
     from textcards.llm import storage, token_output
@@ -57,7 +77,8 @@ def op10_shingle_join(spark, sf_dir):
     return jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, percent=90)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_warc, op3_source_mixing, op4_decontamination, op8_token_shards, op9_fingerprints,
+QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_warc, op3_source_mixing, op4_decontamination, op5_paragraph_dedup,
+                                    op6_license_scan, op7_suffix_dedup, op8_token_shards, op9_fingerprints,
                                     op10_shingle_join)}
 
 ORACLES: dict[str, str] = {}

@@ -254,6 +254,28 @@ def join_clusters(percent: int):
     return run
 
 
+def verified_links(items: DataFrame, cluster: DataFrame, percent: int, max_cluster: int = MAX_CLUSTER,
+                   block: int = BLOCK) -> DataFrame:
+    """Links ``(a, b)`` that connect what links within each cluster.
+
+    ``items (doc_id, cluster, items)`` holds the sets, ``cluster (doc_id,
+    cluster)`` the membership.  A cluster of up to ``max_cluster`` sets is one
+    task's; a larger one is dealt as all pairs of its blocks."""
+    sizes = cluster.groupBy("cluster").agg(F.count("*").alias("k")).where(F.col("k") > max_cluster)
+    items = items.join(storage.bounded(sizes, MAX_BROADCAST), "cluster", "left")
+    whole = F.col("k").isNull()
+    zero = F.lit(0).cast("long")
+    dealt = (items.withColumn("nb", F.ceil(F.coalesce("k", F.lit(1)) / block))
+             .withColumn("mine", F.when(whole, zero).otherwise(F.pmod(F.xxhash64("doc_id"), "nb")))
+             .withColumn("other", F.explode(F.when(whole, F.array(zero)).otherwise(F.sequence(zero, F.col("nb") - 1))))
+             .select(F.struct("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).alias("pair"),
+                     F.when(F.col("mine") == F.col("other"), -1).when(F.col("mine") < F.col("other"), 0)
+                     .otherwise(1).cast("int").alias("side"), "doc_id", "items"))
+    tasks = (dealt.repartition("pair").sortWithinPartitions("pair", "doc_id")
+             .select(F.concat_ws("/", "pair.cluster", "pair.i", "pair.j").alias("task"), "side", "doc_id", "items"))
+    return tasks.mapInArrow(join_clusters(percent), "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, max_cluster: int = MAX_CLUSTER,
                        block: int = BLOCK) -> DataFrame:
     """``docs (doc_id, text)`` -> ``doc_id, n_shingles, component_id``, a row per
@@ -276,21 +298,9 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, max_clust
     cluster = storage.cut(components(stars, "clusters").select(
         F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "members")
 
-    sizes = cluster.groupBy("cluster").agg(F.count("*").alias("k")).where(F.col("k") > max_cluster)
     items = texts.join(storage.bounded(cluster, MAX_BROADCAST), "doc_id").mapInArrow(
         read_sets(n, percent, True), "doc_id long, cluster long, items binary")
-    items = items.join(storage.bounded(sizes, MAX_BROADCAST), "cluster", "left")
-    mine = F.pmod(F.xxhash64("doc_id"), "nb")
-    dealt = (items.withColumn("nb", F.ceil(F.coalesce("k", F.lit(1)) / block))
-             .withColumn("mine", F.when(F.col("k").isNull(), 0).otherwise(mine))
-             .withColumn("other", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0).cast("long")))
-                                            .otherwise(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))))
-             .select(F.struct("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).alias("pair"),
-                     F.when(F.col("mine") == F.col("other"), -1).when(F.col("mine") < F.col("other"), 0)
-                     .otherwise(1).cast("int").alias("side"), "doc_id", "items"))
-    tasks = (dealt.repartition("pair").sortWithinPartitions("pair", "doc_id")
-             .select(F.concat_ws("/", "pair.cluster", "pair.i", "pair.j").alias("task"), "side", "doc_id", "items"))
-    found = tasks.mapInArrow(join_clusters(percent), "a long, b long")
+    found = verified_links(items, cluster, percent, max_cluster, block)
     copies = same.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     merged = components(found.unionByName(copies), "links")
     return (sets.select("doc_id", "n_shingles").join(merged, sets.doc_id == merged.node, "left")
