@@ -41,7 +41,7 @@ from textcards.llm.paragraph_dedup import _keyed
 
 LENGTH = 200
 GRAM = 64
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 MAX_SEGMENTS = 12_000
 POSITION_BITS = 24
 PIECE = 1 << 22              # bytes of a very long text taken at once
@@ -195,22 +195,25 @@ def expand(x: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     if level >= length:
         raise ValueError("length is too small for the packed start")
     n = len(x)
-    place = np.empty(n, np.int64)
-    place[sa] = np.arange(n)
+    place = np.empty(n, np.int32)
+    place[sa] = np.arange(n, dtype=np.int32)
     back = place[sa - 1]                                 # where backward extension leads (the BWT's LF mapping)
     ahead = place[np.minimum(sa + 1, n - 1)]
     same = ahead[np.maximum(back - 1, 0)]                # the previous suffix with the same byte before it
+    same[sa == 0] = -1                                   # nothing stands before the text
+    every = np.append(np.flatnonzero(border), n)
     new = np.flatnonzero(border & ~before)
-    ok = sa > 0
+    size = every[np.searchsorted(every, new, side="right")] - new     # up to the next border
     while level < length and len(new):
-        at = np.append(np.flatnonzero(border), n)
-        stop = at[np.searchsorted(at, new, side="right")]
-        size = stop - new
-        j = np.repeat(new - np.cumsum(size) + size, size) + np.arange(size.sum())
-        i = np.repeat(new, size)
-        r = back[j]
-        hit = ok[j] & ~border[r] & (same[j] < i)
-        new = np.unique(r[hit])
+        end = np.cumsum(size)
+        j = np.repeat(new - end + size, size) + np.arange(end[-1])
+        first = same[j] < np.repeat(new, size)           # the first suffix with its byte behind the border
+        # suffixes with the same byte before them lead to neighbours: sorted, each run begins at a first
+        run = np.sort((back[j].astype(np.int64) << 1) | first)
+        head = np.flatnonzero(run & 1)
+        new, size = run[head] >> 1, np.diff(np.append(head, len(run)))
+        fresh = ~border[new]
+        new, size = new[fresh], size[fresh]
         border[new] = True
         level += 1
     return sa, border
