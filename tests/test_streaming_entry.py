@@ -24,6 +24,20 @@ def test_stream_equals_batch(spark, tmp_dir):
     assert got == want and len(got) > 0
 
 
+def test_restarted_stream_adds_nothing_twice(spark, tmp_dir):
+    src, sink = os.path.join(tmp_dir, "src"), os.path.join(tmp_dir, "sink")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    lex, tax = lexicon_table(spark, LX.DOCUMENT_LEXICON), taxonomy_table(spark, LX.DOCUMENT_TAXONOMY)
+    for part in (0, 1):          # the second start finds the first one's files done
+        docs.where(f"doc_id % 2 = {part}").write.mode("append").parquet(src)
+        start_lexicon_stream(spark, src, "doc_id long, text string", lex, sink, tax, name=f"labels-{os.path.basename(tmp_dir)}",
+                             checkpoint=None if spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+                             else os.path.join(tmp_dir, "ckpt")).awaitTermination(300)
+    got = spark.read.parquet(sink).groupBy("doc_id", "field", "label").count()
+    assert got.where("count > 1").isEmpty()
+    assert got.count() == lexicon_predict(docs, lex, "doc_id", "text", tax).count()
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as E
     df = E.entry(spark)
@@ -31,4 +45,5 @@ def test_entry_and_registry(spark):
     assert df.count() == 3 * spark.read.parquet(f"{SF}/documents.parquet").count()
     qs, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(qs)
+    qs = {q for q in qs if q.startswith("q_")}
     assert set(qs) - set(sql) == {"q_ovr_predict"}      # iterative model fit: rows-only

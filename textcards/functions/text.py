@@ -108,8 +108,10 @@ def infer_date(record_id, prior_date=None) -> Column:
 
 
 def parse_date(c) -> Column:
-    """Tolerant ``%Y-%m-%d`` parse; bad or empty values become null."""
-    return F.try_to_timestamp(col_(c), F.lit("y-M-d")).cast("date")
+    """Tolerant ``%Y-%m-%d`` parse (a four-digit year, month and day of one
+    or two digits); bad or empty values become null."""
+    ok = F.rlike(col_(c), F.lit("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"))
+    return F.when(ok, F.try_to_timestamp(col_(c), F.lit("y-M-d")).cast("date"))
 
 
 def display_name(name, record_id) -> Column:

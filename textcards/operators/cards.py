@@ -46,14 +46,15 @@ def _parse_labels(raw, options):
 def _parse_indices(raw, n_sents):
     parts = F.transform(F.split(F.coalesce(raw, F.lit("")), ","), py_strip)
     digits = F.filter(parts, lambda s: s.rlike("^[0-9]+$"))
-    # digits longer than a long cannot be a valid index: compare as decimal
-    idx = F.transform(digits, lambda s: F.when(F.length(s) <= 9, s.cast("int")))
-    valid = F.filter(idx, lambda i: i.isNotNull() & (i >= 0) & (i < n_sents))
-    return F.array_sort(F.array_distinct(valid))
+    # leading zeros do not count; more than 18 digits are beyond any sentence
+    idx = F.transform(digits, lambda s: F.regexp_replace(s, "^0+(?=[0-9])", ""))
+    idx = F.transform(idx, lambda s: F.when(F.length(s) <= 18, s.cast("long")))
+    valid = F.filter(idx, lambda i: i.isNotNull() & (i < n_sents))
+    return F.array_sort(F.array_distinct(F.transform(valid, lambda i: i.cast("int"))))
 
 
 def merge_annotations(records: DataFrame, annotations: DataFrame, taxonomy: DataFrame,
-                      fields, id_col: str = "incident_id") -> DataFrame:
+                      fields, id_col: str = "incident_id", ord_col: str | None = None) -> DataFrame:
     """Apply label annotations to records (the batch form of the
     interactive labelling tool).
 
@@ -61,7 +62,9 @@ def merge_annotations(records: DataFrame, annotations: DataFrame, taxonomy: Data
     evidence_gold map<string,map<string,array<int>>>, ...).
     ``annotations``: (id, field, labels_raw string, evidence_raw
     map<string,string>) — comma-separated answers; a missing row or a blank
-    answer keeps the old value.  Non-blank labels are split, stripped and
+    answer keeps the old value.  Of several answers for one (record, field) the
+    last by ``ord_col`` counts (A1); without an order, or on equal order, the
+    larger ``labels_raw``.  Non-blank labels are split, stripped and
     kept only when in the field's taxonomy (input order, repeats kept);
     evidence indices are parsed, kept in ``[0, n_sentences)``, sorted and
     de-duplicated, and asked only for the kept labels.  Records without text
@@ -74,6 +77,10 @@ def merge_annotations(records: DataFrame, annotations: DataFrame, taxonomy: Data
                                    .alias("_o")))
             .select("field", F.transform("_o", lambda x: x["label"]).alias("options")))
     ann = (annotations.join(opts, "field", "inner")
+           .groupBy(id_col, "field")
+           .agg(F.max_by(F.struct("labels_raw", "evidence_raw", "options"), F.struct(
+               (F.col(ord_col) if ord_col else F.lit(0)).alias("o"), "labels_raw")).alias("_a"))
+           .select(id_col, "field", "_a.*")
            .groupBy(id_col)
            .agg(F.map_from_entries(F.collect_list(F.struct(
                "field", F.struct("labels_raw", "evidence_raw", "options")))).alias("_ann")))

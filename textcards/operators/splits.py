@@ -11,8 +11,6 @@ never a single-task window.
 
 from __future__ import annotations
 
-import math
-
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +21,14 @@ from textcards.functions.text import parse_date
 BUCKETS = 2048
 
 
+def _bucket(c: str, lo: int, hi: int, width: int) -> Column:
+    """Bucket number by integer division (a double would round keys beyond
+    2^53 into a neighbouring bucket); decimal where the range needs it."""
+    if hi - lo < 1 << 63 and width < 1 << 63:
+        return F.expr(f"({c} - {lo}L) div {width}L") if lo > -(1 << 63) else F.expr(f"({c} - ({lo + 1}L - 1L)) div {width}L")
+    return F.expr(f"(cast({c} as decimal(20,0)) - {lo}BD) div {width}BD")
+
+
 def _kth(keys: DataFrame, c: str, k: int, largest: bool):
     """The k-th value of long column ``c`` counted from the top (``largest``)
     or the bottom.  Returns ``(v, n_beyond, n_equal)`` where ``n_beyond``
@@ -43,8 +49,8 @@ def _kth(keys: DataFrame, c: str, k: int, largest: bool):
                     return row[0], beyond, row["count"]
                 beyond += row["count"]
             raise ValueError("cut not found: fewer rows than requested")
-        width = math.ceil((hi - lo + 1) / BUCKETS)
-        b = F.floor((F.col(c) - F.lit(lo)) / F.lit(width)).cast("long")
+        width = -(-(hi - lo + 1) // BUCKETS)
+        b = _bucket(c, lo, hi, width)
         hist = rng.groupBy(b.alias("b")).count().collect()
         for row in sorted(hist, key=lambda r: r["b"], reverse=largest):
             if beyond + row["count"] >= k:
@@ -97,13 +103,19 @@ def test_count(n: int, test_size: float) -> int:
     return max(1, int(round(n * test_size)))
 
 
-def id_key(df: DataFrame, id_col: str) -> Column:
-    """Long tie-break key of an id: the id itself when integral, else the
-    first 60 bits of ``md5(id)``."""
-    dt = df.schema[id_col].dataType
-    if isinstance(dt, IntegralType):
-        return F.col(id_col).cast("long")
-    return F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 15), 16, 10).cast("long")
+def id_keys(df: DataFrame, id_col: str) -> dict[str, Column]:
+    """Long key columns that order rows by id, names ``_i0, _i1, ...``.
+
+    An integral id is its own key.  A string id is cut into its bytes, seven
+    to a key, with the length last: comparing the keys one after another is
+    comparing the strings by code point."""
+    if isinstance(df.schema[id_col].dataType, IntegralType):
+        return {"_i0": F.col(id_col).cast("long")}
+    text = F.col(id_col).cast("string")
+    longest = df.agg(F.max(F.octet_length(text))).first()[0] or 0
+    parts = [F.conv(F.rpad(F.hex(F.substring(text.cast("binary"), i + 1, 7)), 14, "0"), 16, 10).cast("long")
+             for i in range(0, longest, 7)]
+    return {f"_i{i}": k for i, k in enumerate([*parts, F.octet_length(text).cast("long")])}
 
 
 def hash_key(id_col: str, seed: int) -> Column:
@@ -123,12 +135,12 @@ def hash_split(records: DataFrame, id_col: str, test_size: float = 0.2,
                seed: int = 13) -> DataFrame:
     """K5 (re-aimed random split): order records by ``md5(id|seed)`` (then
     id), the first ``max(1, round(n*p))`` are test.  Returns ``(id, part)``."""
-    k = records.select(id_col, hash_key(id_col, seed).alias("_h"),
-                       id_key(records, id_col).alias("_i"))
+    keys = id_keys(records, id_col)
+    k = records.select(id_col, hash_key(id_col, seed).alias("_h"), *(c.alias(n) for n, c in keys.items()))
     n = k.count()
     if n == 0:
         return k.select(id_col, F.lit("test").alias("part")).limit(0)
-    pred = extreme_n(k, ["_h", "_i"], test_count(n, test_size), largest=False)
+    pred = extreme_n(k, ["_h", *keys], test_count(n, test_size), largest=False)
     return k.select(id_col, F.when(pred, "test").otherwise("train").alias("part"))
 
 
@@ -140,13 +152,13 @@ def time_split(records: DataFrame, id_col: str, date_col: str, test_size: float
     larger ids are the later ones).  With no dated record at all falls back
     to ``hash_split``.  Returns ``(split (id, part), strategy)``.
     """
-    k = records.select(id_col, date_key(records, date_col).alias("_d"),
-                       id_key(records, id_col).alias("_i"))
+    keys = id_keys(records, id_col)
+    k = records.select(id_col, date_key(records, date_col).alias("_d"), *(c.alias(n) for n, c in keys.items()))
     dated = k.where(F.col("_d").isNotNull())
     n = dated.count()
     if n == 0:
         return hash_split(records.select(id_col), id_col, test_size, seed), "random"
-    pred = extreme_n(dated, ["_d", "_i"], test_count(n, test_size), largest=True)
+    pred = extreme_n(dated, ["_d", *keys], test_count(n, test_size), largest=True)
     part = F.when(F.col("_d").isNotNull() & pred, "test").otherwise("train")
     return k.select(id_col, part.alias("part")), "time"
 
@@ -155,15 +167,15 @@ def head_split(records: DataFrame, id_col: str, ord_col: str, train_frac: float
     """K6: first ``max(1, int(train_frac*n))`` records by ``ord_col`` train,
     the rest eval; if nothing is left, eval = the first record (which is
     then in both parts).  Returns ``(id, part)``."""
-    k = records.select(id_col, F.col(ord_col).cast("long").alias("_o"),
-                       id_key(records, id_col).alias("_i"))
+    keys = id_keys(records, id_col)
+    k = records.select(id_col, F.col(ord_col).cast("long").alias("_o"), *(c.alias(n) for n, c in keys.items()))
     n = k.count()
     split_n = max(1, int(train_frac * n))
-    train = extreme_n(k, ["_o", "_i"], split_n, largest=False)
-    tagged = k.select(id_col, "_o", "_i", F.when(train, "train").otherwise("eval").alias("part"))
+    train = extreme_n(k, ["_o", *keys], split_n, largest=False)
+    tagged = k.select(id_col, F.when(train, "train").otherwise("eval").alias("part"))
     if split_n < n:
         return tagged.select(id_col, "part")
-    first = extreme_n(k, ["_o", "_i"], 1, largest=False)
+    first = extreme_n(k, ["_o", *keys], 1, largest=False)
     extra = k.where(first).select(id_col, F.lit("eval").alias("part"))
     return tagged.select(id_col, "part").unionByName(extra)
 

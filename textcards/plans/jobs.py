@@ -2,8 +2,8 @@
 
 Each job reads its inputs with explicit schemas, runs the operators as
 one Spark plan and writes its outputs; parameters are function arguments.
-Record order in a file is taken from ``monotonically_increasing_id`` right
-after the read (file order within each file) wherever "last record wins".
+Wherever "last record wins", record order is (file path, block, line), taken
+right after the read (``readers.file_order``).
 
 Outputs are directories (Spark writes partitioned files).  A job never
 overwrites a path it reads: give a new output path.  A split is written as
@@ -13,8 +13,6 @@ never as one JSON document holding every id.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +31,9 @@ from textcards.sources.sinks import assemble_records, write_jsonl, write_report
 ID = "incident_id"
 
 
-def _distinct_paths(out: str, *inputs) -> None:
+def _distinct_paths(spark: SparkSession, out: str, *inputs) -> None:
     for p in inputs:
-        if p and os.path.abspath(p) == os.path.abspath(out):
+        if p and R.fs_path(spark, p)[1].equals(R.fs_path(spark, out)[1]):
             raise ValueError(f"output {out} is also an input: write to a new path")
 
 
@@ -45,22 +43,25 @@ def _taxonomy(spark: SparkSession, schema_path: str | None) -> DataFrame:
     return taxonomy_table(spark, LX.INCIDENT_TAXONOMY)
 
 
-def _fields(taxonomy: DataFrame, fields) -> list:
-    return list(fields) if fields else LX.INCIDENT_FIELDS
+def _fields(taxonomy: DataFrame, fields, schema_path: str | None = None) -> list:
+    """The given fields, else those of the given taxonomy, else the built-in ones."""
+    if fields:
+        return list(fields)
+    if schema_path:
+        return [r["field"] for r in taxonomy.select("field").distinct().orderBy("field").collect()]
+    return LX.INCIDENT_FIELDS
 
 
 def read_records(spark: SparkSession, path: str, dedupe: bool = True) -> DataFrame:
     """Records JSONL; with ``dedupe`` the last line per id wins (A1)."""
-    df = R.read_jsonl(spark, path).withColumn("_ord", F.monotonically_increasing_id())
-    if dedupe:
-        df = last_per_id(df, ID, "_ord")
-    return df.drop("_ord")
+    df = R.read_jsonl(spark, path)
+    return last_per_id(df.withColumn("_ord", R.file_order()), ID, "_ord").drop("_ord") if dedupe else df
 
 
 def read_predictions(spark: SparkSession, path: str,
                      schema: str = R.PREDICTION_SCHEMA) -> DataFrame:
     """Prediction JSONL; the last line per id wins (A1)."""
-    df = spark.read.schema(schema).json(path).withColumn("_ord", F.monotonically_increasing_id())
+    df = R.read_jsonl(spark, path, schema).withColumn("_ord", R.file_order())
     return last_per_id(df, ID, "_ord").drop("_ord")
 
 
@@ -78,12 +79,12 @@ def labels_long(records: DataFrame) -> DataFrame:
 # --- C1 C2 C3 ---------------------------------------------------------------------------
 def build_incidents_job(spark: SparkSession, roster_csv: str, raw_dir: str | None, out: str,
                         labels_from: str | None = None) -> DataFrame:
-    _distinct_paths(out, labels_from, roster_csv, raw_dir)
+    _distinct_paths(spark, out, labels_from, roster_csv, raw_dir)
     roster = R.read_csv(spark, roster_csv).select(
         ID, F.col("incident_name").alias("name"), "url", "retrieved_date")
     texts = R.read_text_dir(spark, raw_dir, ID) if raw_dir else None
     prev = None
-    if labels_from and os.path.exists(labels_from):
+    if labels_from and R.exists(spark, labels_from):
         prev = read_records(spark, labels_from).select(ID, "labels", "evidence_gold", "date")
     rec = build_records(roster, texts, prev, ID)
     write_jsonl(rec, out)
@@ -91,7 +92,7 @@ def build_incidents_job(spark: SparkSession, roster_csv: str, raw_dir: str | Non
 
 
 def clean_job(spark: SparkSession, inp: str, out: str, min_chars: int = 200) -> DataFrame:
-    _distinct_paths(out, inp)
+    _distinct_paths(spark, out, inp)
     rec = clean_records(R.read_jsonl(spark, inp, R.SCRAPED_SCHEMA), "text", min_chars)
     write_jsonl(rec, out)
     return rec
@@ -108,16 +109,16 @@ def extract_pages_job(spark: SparkSession, pages: DataFrame, out: str, id_col: s
 # --- C7 ---------------------------------------------------------------------------------
 def split_job(spark: SparkSession, data: str, out: str, seed: int = 13,
               test_size: float = 0.2) -> DataFrame:
-    _distinct_paths(out, data)
+    _distinct_paths(spark, out, data)
     rec = read_records(spark, data)
     labelled = rec.where((F.coalesce(F.size("labels"), F.lit(0)) > 0)
                          & (F.coalesce(F.col("text"), F.lit("")) != ""))
     split, strategy = time_split(labelled.select(ID, "date"), ID, "date", test_size, seed)
-    split.write.mode("overwrite").json(os.path.join(out, "ids"))
+    split.write.mode("overwrite").json(f"{out}/ids")
     spark.range(1).select(F.lit(strategy).alias("strategy"), F.lit(seed).alias("seed"),
                           F.lit(test_size).alias("test_size"),
                           F.lit(labelled.count()).alias("n_labeled")) \
-        .write.mode("overwrite").json(os.path.join(out, "params"))
+        .write.mode("overwrite").json(f"{out}/params")
     return split
 
 
@@ -125,9 +126,9 @@ def split_job(spark: SparkSession, data: str, out: str, seed: int = 13,
 def lexicon_predict_job(spark: SparkSession, data: str, out: str, schema_path: str | None = None,
                         split: str | None = None, lexicon: dict | None = None,
                         fields=None) -> DataFrame:
-    _distinct_paths(out, data)
+    _distinct_paths(spark, out, data)
     tax = _taxonomy(spark, schema_path)
-    fields = _fields(tax, fields)
+    fields = _fields(tax, fields, schema_path)
     rec = read_records(spark, data)
     rec = restrict_ids(rec, _split_ids(spark, split, "test"), ID, empty_split="none")
     p = lexicon_predict(rec, lexicon_table(spark, lexicon or LX.INCIDENT_LEXICON), ID, "text", tax,
@@ -144,9 +145,9 @@ def tfidf_predict_job(spark: SparkSession, out: str, data: str | None = None,
     train, test = train or data, test or data
     if not train or not test:
         raise ValueError("provide data, or both train and test paths")
-    _distinct_paths(out, train, test)
+    _distinct_paths(spark, out, train, test)
     tax = _taxonomy(spark, schema_path)
-    fields = _fields(tax, fields)
+    fields = _fields(tax, fields, schema_path)
     tr = restrict_ids(read_records(spark, train), _split_ids(spark, split, "train"), ID)
     te = restrict_ids(read_records(spark, test), _split_ids(spark, split, "test"), ID)
     preds, _ = ovr_predict(tr.select(ID, "text"), te.select(ID, "text"), labels_long(tr), tax,
@@ -157,11 +158,31 @@ def tfidf_predict_job(spark: SparkSession, out: str, data: str | None = None,
     return nested
 
 
+LOGITS_SCHEMA = "incident_id string, field string, logits array<float>"
+
+
+def score_logits_job(spark: SparkSession, data: str, logits: str, out: str, schema_path: str | None = None,
+                     threshold: float = 0.5, evidence_keywords: dict | None = None, fields=None) -> DataFrame:
+    """C6 from a logits table (JSON lines, ``LOGITS_SCHEMA``): picked labels,
+    probabilities and evidence sentences as nested records."""
+    from textcards.operators.logits import score_logits
+    _distinct_paths(spark, out, data, logits)
+    tax = _taxonomy(spark, schema_path)
+    fields = _fields(tax, fields, schema_path)
+    keywords = LX.INCIDENT_EVIDENCE_KEYWORDS if evidence_keywords is None else evidence_keywords
+    labels = tax.where(F.col("field").isin(fields)).select("field", "label").collect()      # the label space
+    ev = {f: {r["label"]: keywords[r["label"]] for r in labels if r["field"] == f and r["label"] in keywords} for f in fields}
+    nested = score_logits(read_records(spark, data), R.read_jsonl(spark, logits, LOGITS_SCHEMA), tax,
+                          lexicon_table(spark, ev), fields, ID, "text", threshold)
+    write_jsonl(nested, out)
+    return nested
+
+
 # --- C8 C9 C10 C11 -------------------------------------------------------------------------
 def evaluate_job(spark: SparkSession, gold: str, pred: str, out: str,
                  schema_path: str | None = None, split: str | None = None, fields=None):
     tax = _taxonomy(spark, schema_path)
-    fields = _fields(tax, fields)
+    fields = _fields(tax, fields, schema_path)
     test = _split_ids(spark, split, "test")
     g = restrict_ids(read_records(spark, gold), test, ID)
     p = restrict_ids(read_predictions(spark, pred), test, ID)
@@ -169,8 +190,8 @@ def evaluate_job(spark: SparkSession, gold: str, pred: str, out: str,
         ID, "field", F.explode("_l").alias("label"))
     per_label, per_field = label_metrics(labels_long(g), p_long, g.select(ID), p.select(ID),
                                          tax.where(F.col("field").isin(fields)), ID)
-    write_report(per_field, os.path.join(out, "fields"))
-    write_report(per_label, os.path.join(out, "per_label"))
+    write_report(per_field, f"{out}/fields")
+    write_report(per_label, f"{out}/per_label")
     return per_label, per_field
 
 
@@ -206,8 +227,8 @@ def flat_gold_eval_job(spark: SparkSession, labels_csv: str, out: str,
                                {"subsystem": ("subsystem_label", "subsystem"),
                                 "incident_type": ("incident_type_label", "failure_mode")},
                                ID, "text")
-    write_report(acc, os.path.join(out, "accuracy"))
-    write_report(conf, os.path.join(out, "confusion"))
+    write_report(acc, f"{out}/accuracy")
+    write_jsonl(conf, f"{out}/confusion")      # raw labels: unbounded
     return acc, conf
 
 
@@ -215,7 +236,7 @@ def dataset_stats_job(spark: SparkSession, data: str, stats_out: str, labels_out
     rec = read_records(spark, data, dedupe=False)
     s, d = dataset_stats(rec), label_distribution(rec)
     write_report(s, stats_out)
-    write_report(d, labels_out)
+    write_jsonl(d, labels_out)      # raw labels: unbounded
     return s, d
 
 
@@ -228,9 +249,9 @@ def cards_job(spark: SparkSession, data: str, out: str, schema_path: str | None
               lexicon: dict | None = None, fields=None) -> DataFrame:
     """One card per (record, field): badges and verbatim evidence."""
     from textcards.operators.cards import cards
-    _distinct_paths(out, data)
+    _distinct_paths(spark, out, data)
     tax = _taxonomy(spark, schema_path)
-    fields = _fields(tax, fields)
+    fields = _fields(tax, fields, schema_path)
     c = cards(read_records(spark, data), lexicon_table(spark, lexicon or LX.INCIDENT_LEXICON),
               fields, ID, "text", tax)
     write_jsonl(c, out)
@@ -242,9 +263,9 @@ def merge_annotations_job(spark: SparkSession, data: str, annotations: str, out:
     """Apply annotation answers (JSON lines, ``ANNOTATION_SCHEMA``) to
     records and write the updated records to a new path."""
     from textcards.operators.cards import merge_annotations
-    _distinct_paths(out, data, annotations)
+    _distinct_paths(spark, out, data, annotations)
     tax = _taxonomy(spark, schema_path)
-    ann = spark.read.schema(ANNOTATION_SCHEMA).option("mode", "FAILFAST").json(annotations)
-    merged = merge_annotations(read_records(spark, data), ann, tax, _fields(tax, fields), ID)
+    ann = R.read_jsonl(spark, annotations, ANNOTATION_SCHEMA).withColumn("_ord", R.file_order())
+    merged = merge_annotations(read_records(spark, data), ann, tax, _fields(tax, fields, schema_path), ID, "_ord")
     write_jsonl(merged, out)
     return merged

@@ -3,8 +3,6 @@ S5 split.  Every reader takes an explicit schema (no inference)."""
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +27,25 @@ SPLIT_SCHEMA = ("strategy string, seed int, test_size double, n_labeled int, "
                 "train array<string>, test array<string>")
 
 
+def fs_path(spark: SparkSession, path: str):
+    """``(Hadoop file system, qualified path)``: any URI Spark reads, not only the driver's disk."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, fs.makeQualified(p)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = fs_path(spark, path)
+    return fs.exists(p)
+
+
+def file_order() -> F.Column:
+    """Order of the lines of a text-like source: by file, block, then line
+    (``monotonically_increasing_id`` follows the lines within one block)."""
+    return F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"),
+                    F.monotonically_increasing_id().alias("l"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA) -> DataFrame:
     """One JSON object per line; blank lines skipped; a malformed line
     fails the job (FAILFAST), as the reference raises."""
@@ -52,7 +69,8 @@ def read_text_dir(spark: SparkSession, path: str, id_col: str = "incident_id") -
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     """The JSON taxonomy ``{"labels": {field: [label, ...]}}`` ->
     ``(field, label, label_pos)`` rows (list order kept)."""
-    doc = spark.read.schema("labels map<string,array<string>>").option("multiLine", "true").json(path)
+    doc = (spark.read.schema("labels map<string,array<string>>").option("multiLine", "true")
+           .option("mode", "FAILFAST").json(path))
     ex = doc.select(F.explode("labels").alias("field", "_ls"))
     return ex.select("field", F.posexplode("_ls").alias("label_pos", "label")).select(
         "field", "label", F.col("label_pos").cast("int").alias("label_pos"))
@@ -61,33 +79,39 @@ def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
 def read_split(spark: SparkSession, path: str | None, id_col: str = "incident_id"):
     """Split -> ``(id, part)`` rows; ``None`` when no path (no filter).
 
-    Reads both the one-document JSON form (``{"train": [...], "test": [...]}``)
+    Broken JSON fails the job.  Reads both the one-document JSON form (``{"train": [...], "test": [...]}``)
     and the long form written by ``jobs.split_job`` (``path/ids``)."""
     if not path:
         return None
-    ids_dir = os.path.join(path, "ids")
-    if os.path.isdir(ids_dir):
-        df = spark.read.schema(f"{id_col} string, part string").json(ids_dir)
+    ids_dir = f"{path.rstrip('/')}/ids"
+    if exists(spark, ids_dir):
+        df = spark.read.schema(f"{id_col} string, part string").option("mode", "FAILFAST").json(ids_dir)
         return df.select(id_col, "part")
-    doc = spark.read.schema(SPLIT_SCHEMA).option("multiLine", "true").json(path)
+    doc = spark.read.schema(SPLIT_SCHEMA).option("multiLine", "true").option("mode", "FAILFAST").json(path)
     train = doc.select(F.explode("train").alias(id_col), F.lit("train").alias("part"))
     test = doc.select(F.explode("test").alias(id_col), F.lit("test").alias("part"))
     return train.unionByName(test)
 
 
+#: Tables of fewer bytes than this may be spread over the cores.
+SMALL_TABLE_BYTES = 256 << 20
+
+
 def read_parquet(spark: SparkSession, path: str, key: str | None = None,
-                 min_partitions: int | None = None) -> DataFrame:
-    """Parquet scan (pushdown and pruning apply) spread over at least
-    ``min_partitions`` tasks (default: the cluster's parallelism).
-
-    Text operators are CPU-bound per row, so a scan that yields fewer splits
-    than cores (one small file, one row group) leaves cores idle.  Only in
-    that case the rows are hash-partitioned by ``key`` (so later grouping,
-    windows and joins on that key reuse the partitioning) or round-robin.
-    A large input already has many splits and is returned untouched.
+                 spread_to: int | None = None) -> DataFrame:
+    """Parquet scan (pushdown and pruning apply).
+
+    ``spread_to`` asks for so many tasks where a small table (under
+    ``SMALL_TABLE_BYTES`` on disk, whatever the cluster's size) has fewer
+    splits: text operators are CPU-bound per row, and one small row group
+    would keep all but one core idle.  Rows are then dealt by ``key`` (so
+    later grouping on it reuses the partitioning) or round-robin.  A larger
+    table is never shuffled here.
     """
     df = spark.read.parquet(path)
-    want = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
+    if not spread_to:
+        return df
+    fs, p = fs_path(spark, path)
+    if fs.getContentSummary(p).getLength() >= SMALL_TABLE_BYTES or df.rdd.getNumPartitions() >= spread_to:
         return df
-    return df.repartition(want, key) if key else df.repartition(want)
+    return df.repartition(spread_to, key) if key else df.repartition(spread_to)

@@ -46,10 +46,7 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """A small metric DataFrame as JSON lines (one object per row)."""
-    df.coalesce(1).write.mode(mode).json(path)
-
-
-def report_json(df: DataFrame) -> DataFrame:
-    """A metric DataFrame folded to one JSON string column ``report``."""
-    return df.select(F.to_json(F.struct(*df.columns)).alias("report"))
+    """A metric table with one row per taxonomy label, field or scope at
+    most, as one file of JSON lines.  The rows go to one task *after* their
+    aggregation (a plain ``coalesce`` would pull that into the task as well)."""
+    df.repartition(1).write.mode(mode).json(path)

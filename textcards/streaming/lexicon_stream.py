@@ -4,14 +4,13 @@ The lexicon path needs no cross-record state: each record is labelled
 inside its own row after a stream-static broadcast join with the label
 table, so the same ``lexicon_predict`` plan runs on a streaming DataFrame
 in append mode.  Exactly-once output comes from the file sink + checkpoint;
-the checkpoint lives under the cluster's ``spark.checkpoint.dir`` unless a
-location is given.
+a restarted stream must find the same checkpoint, so without an explicit
+location it is ``spark.checkpoint.dir`` plus the stream's name (not the
+session's own subfolder of it, which changes with every session).
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,16 +29,18 @@ def stream_lexicon_predictions(records: DataFrame, lexicon: DataFrame,
 def start_lexicon_stream(spark: SparkSession, source_dir: str, schema: str, lexicon: DataFrame,
                          sink_dir: str, taxonomy: DataFrame | None = None,
                          id_col: str = "doc_id", text_col: str = "text",
-                         checkpoint: str | None = None, available_now: bool = True,
+                         checkpoint: str | None = None, name: str | None = None,
+                         available_now: bool = True,
                          max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Read parquet files arriving in ``source_dir``, write predictions as
     parquet to ``sink_dir``.  ``available_now`` processes what is there (in
-    bounded micro-batches) and stops; otherwise runs continuously."""
+    bounded micro-batches) and stops; otherwise runs continuously.  Needs a
+    ``checkpoint`` location, or a ``name`` and ``spark.checkpoint.dir``."""
     if checkpoint is None:
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            raise ValueError("no checkpoint location: pass one or set spark.checkpoint.dir")
-        checkpoint = os.path.join(base, "lexicon_stream")
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+        if not base or not name:
+            raise ValueError("pass a checkpoint location, or a stream name with spark.checkpoint.dir set")
+        checkpoint = f"{base.rstrip('/')}/streams/{name}"
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
