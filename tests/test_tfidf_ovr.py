@@ -148,17 +148,36 @@ def test_ovr_probability_matches_newton(spark):
     assert got["orbit"] == pytest.approx(want, abs=1e-3)
 
 
-def test_reduce_scatter_gradient_equals_driver_sum(spark, monkeypatch):
-    """Many partitions -> blocks summed on executors; same fit as few."""
+def test_fit_does_not_depend_on_tasks_and_blocks(spark, monkeypatch):
     import numpy as np
     from textcards.operators import logreg as LR
     rng = np.random.default_rng(0)
-    rows = []
+    rows, x = [], np.zeros((200, 50))
     for i in range(200):
-        idx = sorted(rng.choice(50, size=5, replace=False).tolist())
-        rows.append((idx, rng.random(5).tolist(), float(i % 3 == 0)))
-    df = spark.createDataFrame(rows, "idx array<int>, val array<double>, y double")
-    monkeypatch.setattr(LR, "GRAD_BLOCK", 16)          # several blocks for dim 50
-    a = LR.SparseLogisticRegression(50, tol=1e-8).fit(df.coalesce(1))
-    b = LR.SparseLogisticRegression(50, tol=1e-8).fit(df.repartition(9))
-    assert np.allclose(a.coef, b.coef, atol=1e-6) and abs(a.intercept - b.intercept) < 1e-6
+        for j in rng.choice(50, size=5, replace=False):
+            x[i, j] = rng.random()
+            rows.append((i, f"t{j:02d}", float(x[i, j])))
+    y = np.column_stack([np.arange(200) % 3 == 0, x[:, 0] > 0]).astype(float)
+    df = spark.createDataFrame(rows, "row int, term string, weight double")
+    fits = []
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    for tasks, entries in ((1, 2_000_000), (7, 40)):
+        monkeypatch.setattr(LR, "BLOCK_ENTRIES", entries)
+        blocks = df.repartition(tasks, "term").sortWithinPartitions("term", "row").mapInArrow(
+            LR.pack_columns, "rows binary, vals binary, starts binary").cache()
+        assert tasks == 1 or blocks.count() > 7
+        fits.append(LR.fit_labels(blocks, y, tol=1e-9))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    (a, b), (c, d) = fits
+    assert np.allclose(x.T @ a, x.T @ c, atol=1e-6) and np.allclose(b, d, atol=1e-6)
+    for k in range(2):          # the optimum, by Newton
+        w = newton_lr(x, y[:, k])
+        assert np.allclose(x.T @ a[:, k], w[:-1], atol=1e-4) and abs(b[k] - w[-1]) < 1e-4
+
+
+def test_bounded_training_sample(spark):
+    from textcards.operators.logreg import sample_rows
+    ids = spark.range(100).withColumnRenamed("id", "k")
+    few = sample_rows(ids, "k", 10).collect()
+    assert sorted(r["row"] for r in few) == list(range(10)) and len({r["k"] for r in few}) == 10
+    assert sample_rows(ids, "k", 1000).count() == 100

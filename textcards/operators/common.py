@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,19 +23,32 @@ def driver_memory_bytes(spark) -> int:
     return int(float(v[:-1]) * _UNITS[v[-1]]) if v and v[-1] in _UNITS else int(float(v) * (1 << 20))
 
 
+def within_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, bytes_per_row: int = 128) -> bool:
+    """Whether ``count(df)`` is within ``max_rows`` and the driver-memory budget."""
+    budget = int(DRIVER_BROADCAST_SHARE * driver_memory_bytes(df.sparkSession) / bytes_per_row)
+    return df.count() <= min(max_rows, budget)
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS,
                       bytes_per_row: int = 128, over: str = "merge") -> DataFrame:
-    """``broadcast(df)`` after proving ``count(df)`` is within both ``max_rows``
-    and the driver-memory budget (``bytes_per_row`` estimated per row).
+    """``broadcast(df)`` after proving its size (``within_broadcast``).
 
     Above the bound the side carries the ``over`` hint (``merge``: sort-merge;
     ``shuffle_hash``: per-partition hash table of this side, no sort), so the
     join stays a shuffle join: without a hint AQE may still demote it to a
     broadcast from runtime statistics and build a table the driver cannot
     hold."""
-    budget = int(DRIVER_BROADCAST_SHARE * driver_memory_bytes(df.sparkSession) / bytes_per_row)
-    n = df.count()
-    return F.broadcast(df) if n <= min(max_rows, budget) else df.hint(over)
+    return F.broadcast(df) if within_broadcast(df, max_rows, bytes_per_row) else df.hint(over)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` computed once, for plans that read it several times.
+
+    In the cluster's checkpoint folder where there is one (survives a lost
+    executor; cleaned when nothing refers to it any more), else cached."""
+    if df.sparkSession.sparkContext.getCheckpointDir():
+        return df.checkpoint()
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def safe_ratio(num, den):

@@ -1,25 +1,28 @@
-"""Binary L2 logistic regression on sparse TF-IDF rows (M1, M2).
+"""Binary L2 logistic regressions for several labels at once (M1, M2).
 
-Objective (the reference learner's, C = 1 by default)::
+Objective per label (the reference learner's, C = 1 by default)::
 
     f(w, b) = mean_i log(1 + exp(-s_i (x_i . w + b))) + ||w||^2 / (2 C n)
 
-minimised in the *original* feature space by L-BFGS on the driver; every
-loss/gradient evaluation is one distributed pass: each task turns its
-Arrow batch of sparse rows into numpy arrays, computes its partial loss
-and gradient, and the partials are summed.  The driver holds only the
-coefficient vector (vocabulary-sized, bounded by the featurizer's check).
-
-Why not ``pyspark.ml.classification.LogisticRegression``: it always
-optimises in standardised feature space, and with
-``standardization=False`` it compensates with a per-feature penalty
-``1/sigma_j^2``.  For sparse TF-IDF terms ``sigma_j`` is tiny, the problem
-becomes badly conditioned, and it was measured to run the full 2000
-iterations per label.  The original problem (unit-norm rows, L2) is well
-conditioned.
-
-Stopping rules follow the reference learner's L-BFGS: ``max|grad| <= tol``
-(1e-4), relative decrease ``<= 64 * eps``, or ``max_iter`` iterations.
+on a bounded sample of labelled rows (``max_train_rows``, a parameter); the
+vocabulary has no bound.  Every iterate of a gradient method lies in the span
+of the training rows, ``w = X' a``, so the state of a label is one number per
+sampled row, whatever the vocabulary.  The only large operation is
+``K A = X X' A`` for the columns of all labels together.  The training matrix
+is cut by term: a task multiplies with the columns it holds and returns one
+(rows x labels) partial sum, so nothing of the vocabulary's length ever exists
+in one place.  One such pass per iteration serves all labels; the line search
+needs none, because margins are linear along a direction.  The iteration is
+L-BFGS with inner products taken through K, which is L-BFGS on w itself.
+
+Why not ``pyspark.ml.classification.LogisticRegression``: it optimises in
+standardised feature space, and with ``standardization=False`` it compensates
+with a per-feature penalty ``1/sigma_j^2``.  For sparse TF-IDF terms
+``sigma_j`` is tiny, the problem becomes badly conditioned, and it was measured
+to run its full 2000 iterations per label (696 s at sf0.1).
+
+Stopping rules follow the reference learner's: ``max|grad w| <= tol`` (1e-4),
+relative decrease ``<= 64 * eps``, or ``max_iter`` iterations.
 """
 
 from __future__ import annotations
@@ -27,233 +30,166 @@ from __future__ import annotations
 import sys
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FTOL = 64 * np.finfo(float).eps
-# Gradient blocks (doubles) and the partition count up to which partial
-# gradients are summed on the driver instead of on the executors.
-GRAD_BLOCK = 1 << 18
-DRIVER_SUM_MAX_PARTS = 4
+MAX_TRAIN_ROWS = 20_000
+BLOCK_ENTRIES = 2_000_000      # matrix entries of one stored block (24 MB)
+MAX_TASKS = 16                 # partial sums that reach the driver per pass
+HISTORY = 10
 
-# The task functions below run in Python workers.  Ship this module's code
-# with them (by value) so executors need only numpy and pandas, not an
-# installed copy of this package.
+# Task code is pickled by value: executors need only numpy and pyarrow.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _sigmoid(z):
-    return 0.5 * (1.0 + np.tanh(0.5 * z))
-
-
-def _batch_arrays(pdf):
-    lens = pdf["idx"].map(len).to_numpy()
-    if len(pdf) and lens.sum():
-        idx = np.concatenate(pdf["idx"].to_numpy()).astype(np.int64)
-        val = np.concatenate(pdf["val"].to_numpy()).astype(np.float64)
-    else:
-        idx, val = np.zeros(0, np.int64), np.zeros(0)
-    row = np.repeat(np.arange(len(pdf)), lens)
-    return idx, val, row, lens
-
-
-class SparseLogisticRegression:
-    """Fit on rows ``(idx array<int>, val array<double>, y double)``."""
-
-    def __init__(self, dim: int, C: float = 1.0, tol: float = 1e-4, max_iter: int = 2000,
-                 history: int = 10):
-        self.dim, self.C, self.tol, self.max_iter, self.m = dim, C, tol, max_iter, history
-        self.coef = None
-        self.intercept = 0.0
-        self.n_iter = 0
-
-    def _loss_grad(self, data: DataFrame, wb: np.ndarray, n: int):
-        sc = data.sparkSession.sparkContext
-        bc = sc.broadcast(wb)
-        dim = self.dim
-        n_blocks = -(-(dim + 1) // GRAD_BLOCK)
-
-        def part(batches):
-            wbv = bc.value
-            w, b = wbv[:-1], wbv[-1]
-            g = np.zeros(dim + 1)
-            loss = 0.0
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                idx, val, row, lens = _batch_arrays(pdf)
-                z = np.bincount(row, weights=val * w[idx], minlength=len(pdf)) + b
-                y = pdf["y"].to_numpy(dtype=np.float64)
-                loss += float(np.sum(np.logaddexp(0.0, np.where(y > 0, -z, z))))
-                r = _sigmoid(z) - y
-                g[:-1] += np.bincount(idx, weights=val * np.repeat(r, lens), minlength=dim)
-                g[-1] += r.sum()
-            # the partial gradient leaves the task as fixed-size blocks
-            yield pd.DataFrame({
-                "blk": np.arange(n_blocks, dtype=np.int32),
-                "loss": [loss] + [0.0] * (n_blocks - 1),
-                "g": [g[i * GRAD_BLOCK:(i + 1) * GRAD_BLOCK].tobytes() for i in range(n_blocks)]})
-
-        def add(pdf):
-            total = np.sum([np.frombuffer(x, dtype=np.float64) for x in pdf["g"]], axis=0)
-            return pd.DataFrame({"blk": [int(pdf["blk"].iloc[0])], "loss": [float(pdf["loss"].sum())],
-                                 "g": [total.tobytes()]})
-
-        schema = "blk int, loss double, g binary"
-        try:
-            partials = data.mapInPandas(part, schema)
-            if data.rdd.getNumPartitions() > DRIVER_SUM_MAX_PARTS:
-                # reduce-scatter: blocks are summed on the executors, so the
-                # driver receives one vector whatever the partition count
-                partials = partials.groupBy("blk").applyInPandas(add, schema)
-            rows = partials.collect()
-        finally:
-            bc.destroy()
-        loss = sum(r["loss"] for r in rows)
-        g = np.zeros(n_blocks * GRAD_BLOCK)
-        for r in rows:
-            blk = np.frombuffer(r["g"], dtype=np.float64)
-            g[r["blk"] * GRAD_BLOCK:r["blk"] * GRAD_BLOCK + len(blk)] += blk
-        g = g[:dim + 1]
-        w = wb[:-1]
-        reg = 1.0 / (self.C * n)
-        f = loss / n + 0.5 * reg * float(w @ w)
-        grad = g / n
-        grad[:-1] += reg * w
-        return f, grad
-
-    def fit(self, data: DataFrame, n: int | None = None):
-        n = n if n is not None else data.count()
-        x = np.zeros(self.dim + 1)
-        f, g = self._loss_grad(data, x, n)
-        s_hist, y_hist = [], []
-        it = 0
-        while it < self.max_iter and np.max(np.abs(g)) > self.tol:
-            # two-loop recursion
-            q = g.copy()
-            alphas = []
-            for s, yv in reversed(list(zip(s_hist, y_hist))):
-                a = (s @ q) / (yv @ s)
-                alphas.append(a)
-                q -= a * yv
-            if s_hist:
-                q *= (s_hist[-1] @ y_hist[-1]) / (y_hist[-1] @ y_hist[-1])
-            else:
-                q /= max(np.linalg.norm(g), 1e-12)
-            for (s, yv), a in zip(zip(s_hist, y_hist), reversed(alphas)):
-                bta = (yv @ q) / (yv @ s)
-                q += s * (a - bta)
-            d = -q
-            slope = g @ d
-            if slope >= 0:              # not a descent direction: restart
-                s_hist, y_hist = [], []
-                d = -g / max(np.linalg.norm(g), 1e-12)
-                slope = g @ d
-            step, accepted = 1.0, False
-            for _ in range(50):          # backtracking (Armijo)
-                xn = x + step * d
-                fn, gn = self._loss_grad(data, xn, n)
-                if fn <= f + 1e-4 * step * slope:
-                    accepted = True
-                    break
-                step *= 0.5
-            if not accepted:
-                break
-            s, yv = xn - x, gn - g
-            if s @ yv > 1e-12:
-                s_hist.append(s)
-                y_hist.append(yv)
-                if len(s_hist) > self.m:
-                    s_hist.pop(0)
-                    y_hist.pop(0)
-            it += 1
-            done = (f - fn) / max(abs(f), abs(fn), 1.0) <= FTOL
-            x, f, g = xn, fn, gn
-            if done:
-                break
-        self.coef, self.intercept, self.n_iter = x[:-1], float(x[-1]), it
-        return self
-
-    def predict_proba(self, rows: DataFrame, id_col: str) -> DataFrame:
-        """``(id, prob)`` for rows ``(id, idx, val)``; one broadcast of the model."""
-        sc = rows.sparkSession.sparkContext
-        bc = sc.broadcast(np.concatenate([self.coef, [self.intercept]]))
-        id_type = rows.schema[id_col].dataType.simpleString()
-
-        def part(batches):
-            wbv = bc.value
-            w, b = wbv[:-1], wbv[-1]
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                idx, val, row, _ = _batch_arrays(pdf)
-                z = np.bincount(row, weights=val * w[idx], minlength=len(pdf)) + b
-                yield pd.DataFrame({id_col: pdf[id_col], "prob": 1.0 / (1.0 + np.exp(-z))})
-
-        return rows.mapInPandas(part, f"{id_col} {id_type}, prob double")
-
-
-def predict_many(models, rows: DataFrame, id_col: str, threshold: float) -> DataFrame:
-    """Score several fitted models in one pass: ``(id, model, prob)`` for every
-    model whose probability is ``>= threshold`` (``model`` = list position).
-    One broadcast of the stacked coefficients instead of one pass per model."""
-    sc = rows.sparkSession.sparkContext
-    bc = sc.broadcast((np.vstack([m.coef for m in models]),
-                       np.array([m.intercept for m in models])))
-    id_type = rows.schema[id_col].dataType.simpleString()
+def sample_rows(ids: DataFrame, id_col: str, max_rows: int = MAX_TRAIN_ROWS) -> DataFrame:
+    """``(id, row)``: at most ``max_rows`` ids, by hash, numbered from 0."""
+    order = [F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)]
+    few = ids.select(id_col).distinct().orderBy(*order).limit(max_rows)
+    return few.select(id_col, (F.row_number().over(Window.orderBy(*order)) - 1).cast("int").alias("row"))
+
+
+def pack_columns(batches):
+    """Task code: (row, term, weight) sorted by term -> compact column blocks."""
+    import pyarrow as pa
+    rows, vals, starts, last, n = [], [], [], None, 0
+
+    def block():
+        r, v = np.concatenate(rows).astype(np.int32), np.concatenate(vals)
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (
+            r, v, np.concatenate(starts).astype(np.int32))], names=["rows", "vals", "starts"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        terms = np.array(batch.column("term").to_pylist(), dtype=object)
+        new = np.concatenate(([terms[0] != last], terms[1:] != terms[:-1]))
+        if n >= BLOCK_ENTRIES and new.any():      # cut at the first new term
+            k = int(new.argmax())
+            rows.append(np.array(batch.column("row"))[:k])
+            vals.append(np.array(batch.column("weight"))[:k])
+            yield block()
+            rows, vals, starts, n = [], [], [], 0
+            terms, new, batch = terms[k:], new[k:], batch.slice(k)
+        rows.append(np.array(batch.column("row")))
+        vals.append(np.array(batch.column("weight")))
+        starts.append(np.flatnonzero(new) + n)
+        n += len(terms)
+        last = terms[-1]
+    if n:
+        yield block()
+
+
+def gram(blocks: DataFrame, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(X X' a, max |X' a| per column)``: one distributed pass."""
+    n, labels = a.shape
 
     def part(batches):
-        W, b = bc.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            idx, val, row, _ = _batch_arrays(pdf)
-            ids = pdf[id_col].to_numpy()
-            for k in range(W.shape[0]):
-                z = np.bincount(row, weights=val * W[k][idx], minlength=len(pdf)) + b[k]
-                p = 1.0 / (1.0 + np.exp(-z))
-                keep = p >= threshold
-                if keep.any():
-                    yield pd.DataFrame({id_col: ids[keep], "model": np.full(keep.sum(), k, np.int32),
-                                        "prob": p[keep]})
-
-    return rows.mapInPandas(part, f"{id_col} {id_type}, model int, prob double")
-
-
-def index_vocabulary(vocab: DataFrame) -> DataFrame:
-    """``(term, idf, idx)`` with dense indices ``0..V-1``, without a global
-    window: per-partition row counts give offsets (a bounded collect of one
-    row per partition).  The layout the offsets describe is deterministic by
-    construction (hash-partitioned by term, sorted within partitions), so a
-    recomputed partition gets the same indices; it is also checkpointed when
-    the cluster names a checkpoint directory (lineage cut)."""
-    spark = vocab.sparkSession
-    n_parts = max(1, spark.sparkContext.defaultParallelism)
-    v = vocab.select("term", "idf").repartition(n_parts, "term").sortWithinPartitions("term")
-    v = v.checkpoint() if spark.sparkContext.getCheckpointDir() else v.persist()
-    tagged = v.select("term", "idf", F.spark_partition_id().alias("_p"),
-                      F.monotonically_increasing_id().alias("_m"))
-    counts = {r["_p"]: r["n"] for r in
-              tagged.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    offsets, acc = {}, 0
-    for p in sorted(counts):
-        offsets[p] = acc
-        acc += counts[p]
-    off = F.create_map(*[x for p, o in offsets.items() for x in (F.lit(p), F.lit(o))]) \
-        if offsets else F.create_map().cast("map<int,bigint>")
-    local = F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33)
-    return tagged.select("term", "idf", (F.element_at(off, F.col("_p")) + local)
-                         .cast("int").alias("idx"))
-
-
-def sparse_rows(docs: DataFrame, indexed_vocab: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, idx array<int>, val array<double>)``: L2-normalised TF-IDF rows
-    (documents with no in-vocabulary term are absent)."""
-    from textcards.operators.tfidf import tfidf_vectors
-    j = tfidf_vectors(docs, indexed_vocab, id_col, text_col, carry=("idx",))
-    return (j.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("idx", "weight")))
-                                  .alias("_e"))
-            .select(id_col, F.transform("_e", lambda x: x["idx"]).alias("idx"),
-                    F.transform("_e", lambda x: x["weight"]).alias("val")))
+        import pyarrow as pa
+        total, top = np.zeros((n, labels)), np.zeros(labels)
+        for batch in batches:
+            for r, v, s in zip(*(c.to_pylist() for c in batch.columns)):
+                r, v, s = np.frombuffer(r, np.int32), np.frombuffer(v), np.frombuffer(s, np.int32)
+                size = np.diff(np.append(s, len(r)))
+                for k in range(labels):
+                    w = np.add.reduceat(v * a[r, k], s)
+                    top[k] = max(top[k], np.abs(w).max())
+                    total[:, k] += np.bincount(r, weights=v * np.repeat(w, size), minlength=n)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([top.tobytes()], pa.binary())],
+                                         names=["total", "top"])
+
+    found = blocks.mapInArrow(part, "total binary, top binary").collect()      # one row a task
+    total, top = np.zeros((n, labels)), np.zeros(labels)
+    for x in found:
+        total += np.frombuffer(x["total"]).reshape(n, labels)
+        top = np.maximum(top, np.frombuffer(x["top"]))
+    return total, top
+
+
+class _Fit:
+    """One label's iterate: a (w = X' a), K a, intercept, and its history."""
+
+    def __init__(self, y: np.ndarray, reg: float):
+        self.sign, self.y, self.reg, self.n = np.where(y > 0, 1.0, -1.0), y, reg, len(y)
+        self.a, self.ka, self.b = np.zeros(self.n), np.zeros(self.n), 0.0
+        self.pairs, self.done, self.iterations = [], False, 0
+        self.f = self.loss(self.ka + self.b, 0.0)
+
+    def loss(self, z, norm2):
+        return float(np.mean(np.logaddexp(0.0, -self.sign * z))) + 0.5 * self.reg * norm2
+
+    def gradient(self):
+        """(in the span of the rows, of the intercept)."""
+        r = 0.5 * (1.0 + np.tanh(0.5 * (self.ka + self.b))) - self.y
+        return r / self.n + self.reg * self.a, float(r.mean())
+
+    @staticmethod
+    def dot(u, v):
+        return float(u[0] @ v[1]) + u[2] * v[2]
+
+    def step(self, g, kg, gb, top, tol, max_iter):
+        """One L-BFGS step from the gradient and K times it."""
+        g = (g, kg, gb)
+        if self.pairs and self.pairs[-1][1] is None:        # the last step's gradient change is known now
+            s, _, before = self.pairs[-1]
+            y = tuple(p - q for p, q in zip(g, before))
+            self.pairs[-1] = (s, y, None)
+            if self.dot(s, y) <= 1e-12:
+                self.pairs.pop()
+        self.pairs = self.pairs[-HISTORY:]
+        if self.done or max(top, abs(gb)) <= tol or self.iterations >= max_iter:
+            self.done = True
+            return
+        q, back = g, []
+        for s, y, _ in reversed(self.pairs):
+            c = self.dot(s, q) / self.dot(s, y)
+            back.append(c)
+            q = tuple(p - c * v for p, v in zip(q, y))
+        if self.pairs:
+            s, y, _ = self.pairs[-1]
+            c = self.dot(s, y) / self.dot(y, y)
+        else:
+            c = 1.0 / max(np.sqrt(max(self.dot(g, g), 0.0)), 1e-12)
+        q = tuple(c * p for p in q)
+        for (s, y, _), c in zip(self.pairs, reversed(back)):
+            c -= self.dot(y, q) / self.dot(s, y)
+            q = tuple(p + c * v for p, v in zip(q, s))
+        d = tuple(-p for p in q)
+        slope = self.dot(d, g)
+        if slope >= 0:                   # not a descent direction: start again
+            self.pairs = []
+            c = 1.0 / max(np.sqrt(max(self.dot(g, g), 0.0)), 1e-12)
+            d = tuple(-c * p for p in g)
+            slope = self.dot(d, g)
+        z, dz = self.ka + self.b, d[1] + d[2]
+        aa, ad, dd = float(self.a @ self.ka), float(d[0] @ self.ka), float(d[0] @ d[1])
+        t = 1.0
+        for _ in range(50):              # backtracking (Armijo): no pass over the data
+            f = self.loss(z + t * dz, aa + 2 * t * ad + t * t * dd)
+            if f <= self.f + 1e-4 * t * slope:
+                break
+            t *= 0.5
+        else:
+            self.done = True
+            return
+        self.a, self.ka, self.b = self.a + t * d[0], self.ka + t * d[1], self.b + t * d[2]
+        self.pairs.append((tuple(t * p for p in d), None, g))
+        self.iterations += 1
+        self.done = (self.f - f) / max(abs(self.f), abs(f), 1.0) <= FTOL
+        self.f = f
+
+
+def fit_labels(blocks: DataFrame, y: np.ndarray, C: float = 1.0, tol: float = 1e-4, max_iter: int = 2000):
+    """``(a, intercepts)`` for the label columns of ``y`` (rows x labels, 0/1);
+    the coefficients are ``X' a``."""
+    n, labels = y.shape
+    fits = [_Fit(y[:, k], 1.0 / (C * n)) for k in range(labels)]
+    while True:
+        g = [f.gradient() for f in fits]
+        kg, top = gram(blocks, np.column_stack([x for x, _ in g]))
+        for k, f in enumerate(fits):
+            f.step(g[k][0], kg[:, k], g[k][1], top[k], tol, max_iter)
+        if all(f.done for f in fits):
+            return np.column_stack([f.a for f in fits]), np.array([f.b for f in fits])

@@ -5,12 +5,11 @@
   always-on (predicted at confidence 1.0), ``0`` -> never predicted.
 * Features: the TF-IDF vocabulary is fitted once on the training texts and
   shared by all fields (the reference refits the identical vectoriser per
-  field).  Rows are sparse ``(idx, val)`` arrays built by DataFrame
-  operations (``logreg.sparse_rows``) on a densely indexed vocabulary.
-* One binary L2 logistic regression per active label (``logreg``: the
-  reference learner's objective and stopping rules, distributed gradient
-  passes), on the one training table (checkpointed: lineage is cut once,
-  every pass rereads it).
+  field), with no bound on its size.
+* One binary L2 logistic regression per active label (``logreg``), all fitted
+  together on at most ``max_train_rows`` labelled records (by hash of the id;
+  the bound is a parameter).  Coefficients are a table ``(term, one value per
+  label)``; test records meet it in a join by term.
 * Prediction: probability ``>= threshold``; always-on labels added at 1.0;
   labels listed alphabetically; evidence = the record's top TF-IDF
   sentences, shared by every label of the record.
@@ -18,24 +17,18 @@
 
 from __future__ import annotations
 
-import math
-from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-from pyspark import StorageLevel
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textcards.operators.common import bounded_broadcast
-from textcards.operators.logreg import (SparseLogisticRegression, index_vocabulary,
-                                        predict_many, sparse_rows)
-from textcards.operators.tfidf import fit_vocabulary, top_sentence_lists
+from textcards.operators.common import bounded_broadcast, stored
+from textcards.operators.logreg import (MAX_TASKS, MAX_TRAIN_ROWS, fit_labels, pack_columns,
+                                        sample_rows)
+from textcards.operators.tfidf import fit_vocabulary, lookup, tfidf_vectors, top_sentence_lists
 
-# The model dimension is the vocabulary size; the L-BFGS loop keeps
-# coefficient vectors of that size on the driver, so it is bounded here.
-MAX_MODEL_VOCAB = 4_000_000
-# Labels fitted at the same time, and training rows per partition.
-MAX_CONCURRENT_FITS = 8
-ROWS_PER_TRAIN_PARTITION = 20_000
+KEY = "\u0000"      # between field and label
 
 
 def label_states(gold_long: DataFrame, train_ids: DataFrame, taxonomy: DataFrame,
@@ -57,90 +50,112 @@ def label_states(gold_long: DataFrame, train_ids: DataFrame, taxonomy: DataFrame
                     F.lit(n).cast("bigint").alias("n"), state.alias("state")))
 
 
+@dataclass
+class OvrModel:
+    """``labels``: fitted (field, label) pairs; ``coef``: (term, heavy, c0, c1,
+    ...) stored; ``entries``: the training matrix (row, term, weight) stored."""
+
+    labels: list
+    n: int
+    y: np.ndarray
+    intercepts: np.ndarray
+    coef: DataFrame
+    entries: DataFrame
+    C: float
+
+
+def fit_ovr(train_docs: DataFrame, gold_long: DataFrame, active: list, vocab: DataFrame,
+            id_col: str = "id", text_col: str = "text", max_iter: int = 2000, C: float = 1.0,
+            tol: float = 1e-4, max_train_rows: int = MAX_TRAIN_ROWS) -> OvrModel:
+    """All ``active`` labels fitted on the sampled training records."""
+    rows = stored(sample_rows(train_docs.select(id_col), id_col, max_train_rows))
+    gold_sets = (gold_long.where(F.concat_ws(KEY, "field", "label").isin([KEY.join(x) for x in active]))
+                 .groupBy(id_col).agg(F.collect_set(F.concat_ws(KEY, "field", "label")).alias("g")))
+    marked = rows.join(gold_sets, id_col, "left").select("row", "g").collect()      # the sample
+    y = np.zeros((len(marked), len(active)))
+    at = {KEY.join(x): k for k, x in enumerate(active)}
+    for r in marked:
+        y[r["row"], [at[x] for x in r["g"] or []]] = 1.0
+    sampled = train_docs.join(F.broadcast(rows), id_col)
+    entries = stored(tfidf_vectors(sampled.select("row", text_col), vocab, "row", text_col).select("row", "term", "weight"))
+    tasks = min(MAX_TASKS, train_docs.sparkSession.sparkContext.defaultParallelism)
+    blocks = stored(entries.repartition(tasks, "term").sortWithinPartitions("term", "row")
+                    .mapInArrow(pack_columns, "rows binary, vals binary, starts binary"))
+    a, intercepts = fit_labels(blocks, y, C, tol, max_iter)
+    spark = train_docs.sparkSession
+    alpha = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(a)],
+                                  "row int, " + ", ".join(f"a{k} double" for k in range(len(active))))
+    coef = entries.join(F.broadcast(alpha), "row").groupBy("term").agg(
+        *[F.sum(F.col("weight") * F.col(f"a{k}")).alias(f"c{k}") for k in range(len(active))])
+    coef = stored(coef.join(vocab.select("term", "heavy"), "term"))
+    return OvrModel(list(active), len(y), y, intercepts, coef, entries, C)
+
+
+def margins(vectors: DataFrame, model: OvrModel, key: str) -> DataFrame:
+    """``(key, m0, m1, ...)``: the labels' margins without intercepts, of rows
+    with a known term."""
+    names = [f"c{k}" for k in range(len(model.labels))]
+    return lookup(vectors.select(key, "term", "weight"), model.coef, names).groupBy(key).agg(
+        *[F.sum(F.col("weight") * F.col(c)).alias(f"m{k}") for k, c in enumerate(names)])
+
+
+def optimality(model: OvrModel) -> DataFrame:
+    """``(field, label, n, positives, max_grad)``: the gradient of each label's
+    objective at the fitted coefficients, recomputed with joins and aggregates
+    from the training matrix; nothing of the solver is used."""
+    spark, names = model.entries.sparkSession, range(len(model.labels))
+    gold = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(model.y)],
+                                 "row int, " + ", ".join(f"y{k} double" for k in names))
+    m = gold.join(margins(model.entries, model, "row"), "row", "left")
+    z = [F.coalesce(F.col(f"m{k}"), F.lit(0.0)) + F.lit(float(model.intercepts[k])) for k in names]
+    residual = stored(m.select("row", *[(1 / (1 + F.exp(-z[k])) - F.col(f"y{k}")).alias(f"r{k}") for k in names],
+                               *[f"y{k}" for k in names]))
+    g = model.entries.join(F.broadcast(residual), "row").groupBy("term").agg(
+        *[(F.sum(F.col("weight") * F.col(f"r{k}")) / model.n).alias(f"g{k}") for k in names])
+    g = g.join(model.coef, "term").agg(
+        *[F.max(F.abs(F.col(f"g{k}") + F.col(f"c{k}") / (model.C * model.n))).alias(f"g{k}") for k in names])
+    b = residual.agg(*[F.abs(F.avg(f"r{k}")).alias(f"b{k}") for k in names],
+                     *[F.sum(f"y{k}").cast("long").alias(f"p{k}") for k in names])
+    both = g.withColumn("_k", F.lit(1)).join(F.broadcast(b.withColumn("_k", F.lit(1))), "_k")     # one row each
+    return both.select(F.explode(F.array(*[F.struct(
+        F.lit(f).alias("field"), F.lit(lab).alias("label"), F.lit(model.n).cast("long").alias("n"),
+        F.col(f"p{k}").alias("positives"), F.greatest(F.coalesce(f"g{k}", F.lit(0.0)), f"b{k}").alias("max_grad"))
+        for k, (f, lab) in enumerate(model.labels)])).alias("x")).select("x.*")
+
+
+def predict_ovr(model: OvrModel, test_docs: DataFrame, vocab: DataFrame, id_col: str = "id",
+                text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """``(id, field, label, confidence)`` of the labels at or above the threshold."""
+    m = margins(tfidf_vectors(test_docs, vocab, id_col, text_col), model, id_col)
+    j = test_docs.select(id_col).join(m, id_col, "left")
+    p = [1 / (1 + F.exp(-(F.coalesce(F.col(f"m{k}"), F.lit(0.0)) + F.lit(float(b)))))
+         for k, b in enumerate(model.intercepts)]
+    named = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(lab).alias("label"), p[k].alias("confidence"))
+                      for k, (f, lab) in enumerate(model.labels)])
+    return j.select(id_col, F.explode(F.filter(named, lambda x: x["confidence"] >= threshold)).alias("x")).select(id_col, "x.*")
+
+
 def ovr_predict(train_docs: DataFrame, test_docs: DataFrame, gold_long: DataFrame,
                 taxonomy: DataFrame, fields, id_col: str = "id", text_col: str = "text",
                 threshold: float = 0.5, max_iter: int = 2000, max_df: float = 0.95,
-                evidence_k: int = 3, C: float = 1.0, tol: float = 1e-4):
+                evidence_k: int = 3, C: float = 1.0, tol: float = 1e-4,
+                max_train_rows: int = MAX_TRAIN_ROWS):
     """Fit on ``train_docs`` (id, text) with gold ``(id, field, label)``;
     predict ``test_docs``.  Returns ``(predictions, states)``:
     predictions ``(id, field, label, confidence, evidence array<int>)``."""
     fields = list(fields)
-    spark = train_docs.sparkSession
     states = label_states(gold_long, train_docs.select(id_col), taxonomy, id_col)
     state_rows = states.where(F.col("field").isin(fields)).collect()   # <= taxonomy size
-    active = [(r["field"], r["label"]) for r in state_rows if r["state"] == "active"]
-    always = [(r["field"], r["label"]) for r in state_rows if r["state"] == "always"]
-
-    vocab = fit_vocabulary(train_docs, text_col, max_df=max_df)
-    test_ids = test_docs.select(id_col)
-    preds = []
-    if active and vocab.take(1):
-        ivocab = index_vocabulary(vocab)
-        dim = ivocab.count()
-        if dim > MAX_MODEL_VOCAB:
-            raise ValueError(f"vocabulary of {dim} terms exceeds MAX_MODEL_VOCAB")
-        n_train = train_docs.count()
-        empty_i, empty_v = F.array().cast("array<int>"), F.array().cast("array<double>")
-        gold_sets = (gold_long.join(train_docs.select(id_col), id_col, "left_semi")
-                     .groupBy(id_col).agg(F.collect_set(F.concat_ws("\u0000", "field", "label"))
-                                          .alias("_gold")))
-        # every training record counts, also one without in-vocabulary terms
-        train_tab = (train_docs.select(id_col)
-                     .join(sparse_rows(train_docs, ivocab, id_col, text_col), id_col, "left")
-                     .join(gold_sets, id_col, "left")
-                     .select(F.coalesce("idx", empty_i).alias("idx"),
-                             F.coalesce("val", empty_v).alias("val"),
-                             F.coalesce("_gold", F.array().cast("array<string>")).alias("_gold")))
-        # Few partitions for a small training set: every pass returns one
-        # vocabulary-sized partial gradient per partition.
-        parts = max(1, min(spark.sparkContext.defaultParallelism,
-                           math.ceil(n_train / ROWS_PER_TRAIN_PARTITION)))
-        train_tab = train_tab.coalesce(parts)
-        if spark.sparkContext.getCheckpointDir():
-            train_tab = train_tab.checkpoint()
-        else:
-            train_tab = train_tab.cache()
-        # read by every label's prediction pass: computed once
-        test_rows = (test_ids.join(sparse_rows(test_docs, ivocab, id_col, text_col), id_col, "left")
-                     .select(id_col, F.coalesce("idx", empty_i).alias("idx"),
-                             F.coalesce("val", empty_v).alias("val"))
-                     .persist(StorageLevel.MEMORY_AND_DISK))
-
-        def fit_one(fl):
-            field, label = fl
-            key = field + "\u0000" + label
-            data = train_tab.select("idx", "val", F.array_contains("_gold", key).cast("double")
-                                    .alias("y"))
-            model = SparseLogisticRegression(dim, C=C, tol=tol, max_iter=max_iter).fit(data, n_train)
-            return field, label, model
-
-        # The fits are independent: run them side by side (the driver-side
-        # L-BFGS step of one overlaps the distributed passes of the others).
-        with ThreadPoolExecutor(max_workers=max(1, min(len(active), MAX_CONCURRENT_FITS))) as ex:
-            models = list(ex.map(fit_one, active))
-        # every label scored in one pass over the test rows
-        names = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(l).alias("label"))
-                          for f, l, _ in models])
-        p = predict_many([m for _, _, m in models], test_rows, id_col, threshold)
-        preds.append(p.select(id_col, F.element_at(names, F.col("model") + 1).alias("_n"),
-                              F.col("prob").alias("confidence"))
-                     .select(id_col, "_n.field", "_n.label", "confidence"))
-    for field, label in always:
-        preds.append(test_ids.select(id_col, F.lit(field).alias("field"),
-                                     F.lit(label).alias("label"), F.lit(1.0).alias("confidence")))
-    if not preds:
-        out = test_ids.select(id_col, F.lit(None).cast("string").alias("field"),
-                              F.lit(None).cast("string").alias("label"),
-                              F.lit(None).cast("double").alias("confidence")).limit(0)
-    else:
-        out = preds[0]
-        for p in preds[1:]:
-            out = out.unionByName(p)
-    ev = (top_sentence_lists(test_docs, vocab, id_col, text_col, evidence_k)
-          if vocab.take(1) else None)
-    if ev is not None:
-        out = out.join(ev, id_col, "left")
-    else:
-        out = out.withColumn("evidence", F.lit(None).cast("array<int>"))
-    out = out.withColumn("evidence", F.coalesce("evidence", F.array().cast("array<int>")))
+    active = sorted((r["field"], r["label"]) for r in state_rows if r["state"] == "active")
+    always = sorted((r["field"], r["label"]) for r in state_rows if r["state"] == "always")
+
+    vocab = stored(fit_vocabulary(train_docs, text_col, max_df=max_df))
+    sure = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(lab).alias("label"), F.lit(1.0).alias("confidence"))
+                     for f, lab in always]).cast("array<struct<field:string,label:string,confidence:double>>")
+    out = test_docs.select(id_col, F.explode(sure).alias("x")).select(id_col, "x.*")
+    if active:
+        model = fit_ovr(train_docs, gold_long, active, vocab, id_col, text_col, max_iter, C, tol, max_train_rows)
+        out = out.unionByName(predict_ovr(model, test_docs, vocab, id_col, text_col, threshold))
+    ev = top_sentence_lists(test_docs, vocab, id_col, text_col, evidence_k)
+    out = out.join(ev, id_col, "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<int>")))
     return out, states
