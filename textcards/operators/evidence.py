@@ -9,12 +9,11 @@ records that have a non-empty gold map.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textcards.functions.text import normalize_sentence
-from textcards.operators.common import bounded_broadcast
+from textcards.operators.common import safe_ratio
 
 
 def evidence_indices_from_text(pred_text: DataFrame, sentences_df: DataFrame,
@@ -74,48 +73,36 @@ def evidence_metrics(gold_evidence: DataFrame, gold_records: DataFrame, pred_evi
 
     p1, r1 = at(1)
     p3, r3 = at(3)
-    # one row per gold item, read by the overall, per-record and per-field
-    # aggregates below: computed once
-    scored = j.select(id_col, "field", p1.alias("p1"), p3.alias("p3"), r1.alias("r1"),
-                      r3.alias("r3"), (F.size(ev) > 0).alias("_any")
-                      ).persist(StorageLevel.MEMORY_AND_DISK)
-
-    # overall row: one aggregate over item rows and record rows together
-    rec_hits = scored.groupBy(id_col).agg(F.max("_any").alias("_hit"))
-    per_rec = recs.join(rec_hits, id_col, "left").select(
-        F.lit("rec").alias("_kind"), F.coalesce("_hit", F.lit(False)).alias("_hit"),
-        *[F.lit(None).cast("double").alias(c) for c in ("p1", "p3", "r1", "r3")])
-    per_item = scored.select(F.lit("item").alias("_kind"), F.lit(None).cast("boolean")
-                             .alias("_hit"), "p1", "p3", "r1", "r3")
-    both = per_item.unionByName(per_rec)
-    is_item = F.col("_kind") == "item"
-    n_rec = F.count_if(F.col("_kind") == "rec")
-    overall = both.agg(
-        F.lit("overall").alias("scope"),
-        F.count_if(is_item).alias("n_items"),
-        *[F.coalesce(F.avg(F.when(is_item, F.col(c))), F.lit(0.0)).alias(name)
-          for c, name in (("p1", "precision_at_1"), ("p3", "precision_at_3"),
-                          ("r1", "recall_at_1"), ("r3", "recall_at_3"))],
-        F.when(n_rec == 0, 0.0).otherwise(F.count_if("_hit") / n_rec).alias("coverage"),
-        n_rec.alias("n_incidents"))
-
-    spine = bounded_broadcast(recs.sparkSession.range(1).select(
-        F.explode(F.array(*[F.lit(f) for f in fields])).alias("field")))
-    by_field = scored.groupBy("field").agg(
-        F.count(F.lit(1)).alias("n_items"),
-        F.avg("p1").alias("precision_at_1"), F.avg("p3").alias("precision_at_3"),
-        F.avg("r1").alias("recall_at_1"), F.avg("r3").alias("recall_at_3"))
-    per_field = (spine.join(by_field, "field", "left").select(
-        F.col("field").alias("scope"),
-        F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
-        *[F.coalesce(c, F.lit(0.0)).alias(c) for c in
-          ("precision_at_1", "precision_at_3", "recall_at_1", "recall_at_3")],
-        ))
-    # the report-level values are two scalars of the one-row overall aggregate
-    top = overall.select("coverage", "n_incidents").first()
-    per_field = per_field.select("*", F.lit(top["coverage"]).cast("double").alias("coverage"),
-                                 F.lit(top["n_incidents"]).cast("bigint").alias("n_incidents"))
-    return overall.unionByName(per_field)
+    scored = j.select(id_col, F.struct("field", p1.alias("p1"), p3.alias("p3"), r1.alias("r1"), r3.alias("r3"),
+                                       (F.size(ev) > 0).alias("any")).alias("_i"))
+    # per record: its items and whether any has predicted evidence; then every
+    # item counts for its field and overall, every record overall: one aggregate
+    per_rec = recs.join(scored.groupBy(id_col).agg(F.collect_list("_i").alias("_is")), id_col, "left")  # items of one record
+    none = F.lit(None).cast("double")
+    names = ("p1", "p3", "r1", "r3")
+    items_of = F.coalesce(F.col("_is"), F.array().cast(per_rec.schema["_is"].dataType))
+    record = F.struct(F.lit("overall").alias("scope"), F.exists(items_of, lambda x: x["any"]).alias("hit"),
+                      *[none.alias(c) for c in names])
+
+    def cell(scope):
+        return lambda x: F.struct((F.lit(scope) if scope else x["field"]).alias("scope"),
+                                  F.lit(None).cast("boolean").alias("hit"), *[x[c].alias(c) for c in names])
+
+    cells = per_rec.select(F.explode(F.concat(F.array(record), F.transform(items_of, cell("overall")),
+                                              F.transform(items_of, cell(None)))).alias("c")).select("c.*")
+    agg = cells.groupBy("scope").agg(
+        F.count_if(F.col("hit").isNull()).alias("n_items"), F.count("hit").alias("_recs"), F.count_if("hit").alias("_hits"),
+        *[F.avg(c).alias(c) for c in names])
+    spine = recs.sparkSession.range(1).select(F.explode(F.array(*[F.lit(f) for f in ["overall", *fields]])).alias("scope"))
+    whole = Window.partitionBy(F.lit(0))          # over the report's rows, one per field and one overall
+    of_all = lambda c: F.coalesce(F.max(c).over(whole), F.lit(0))
+    t = spine.join(F.broadcast(agg), "scope", "left").select(
+        "scope", F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
+        *[F.coalesce(c, F.lit(0.0)).alias(name) for c, name in zip(
+            names, ("precision_at_1", "precision_at_3", "recall_at_1", "recall_at_3"))],
+        of_all("_recs").cast("bigint").alias("n_incidents"), of_all("_hits").alias("_hits"))
+    return t.select("scope", "n_items", "precision_at_1", "precision_at_3", "recall_at_1", "recall_at_3",
+                    safe_ratio(F.col("_hits"), F.col("n_incidents")).alias("coverage"), "n_incidents")
 
 
 def evidence_text(pred_evidence: DataFrame, sentences_df: DataFrame,

@@ -7,8 +7,7 @@ macro-F1 as 0, exactly like a fixed label list passed to a metric library.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textcards.lexicons import NO_LABEL, SKIP_LABELS
@@ -27,10 +26,14 @@ def restrict_ids(df: DataFrame, ids: DataFrame | None, id_col: str,
     """
     if ids is None:
         return df
-    ids = ids.select(F.col(ids.columns[0]).alias(id_col))
-    if ids.isEmpty():
-        return df if empty_split == "all" else df.limit(0)
-    return df.join(ids.distinct(), id_col, "left_semi")
+    ids = ids.select(F.col(ids.columns[0]).alias(id_col)).distinct()
+    if empty_split == "none":
+        return df.join(ids, id_col, "left_semi")
+    # whether the list is empty is part of the plan: one count row, no eager check
+    n = ids.agg(F.count(F.lit(1)).alias("_n")).withColumn("_one", F.lit(1))
+    return (df.withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one")
+            .join(ids.withColumn("_in", F.lit(True)), id_col, "left")
+            .where(F.col("_in") | (F.col("_n") == 0)).select(*df.columns))
 
 
 def label_metrics(gold_long: DataFrame, pred_long: DataFrame, gold_ids: DataFrame,
@@ -44,49 +47,77 @@ def label_metrics(gold_long: DataFrame, pred_long: DataFrame, gold_ids: DataFram
     A record is scored when it is in both; an unlabelled gold record counts
     as all-negative.  Labels outside the taxonomy are ignored.
 
+    One shuffle brings the four inputs together by record; gold and predicted
+    label sets are compared inside its row, and one map-side combined
+    aggregate over (field, label) gives all counts.  A row without a field
+    carries the number of records (A14).  Nothing runs while the plan is built.
+
     Returns ``(per_label, per_field)``.  ``per_field`` has no rows when no
     record is scored (the field is left out, as in the reference).
     ``labelled_only=True`` drops gold records without any gold label first
     (the reference scores them as all-negative).
     """
-    gids = gold_ids.select(id_col).distinct()
-    if labelled_only:
-        gids = gids.join(gold_long.select(id_col), id_col, "left_semi")
-    pairs = gids.join(pred_ids.select(id_col).distinct(), id_col, "inner")
-    tax = bounded_broadcast(taxonomy.select("field", "label", "label_pos"))
-    keys = [id_col, "field", "label"]
-    g = (gold_long.select(*keys).join(tax, ["field", "label"], "left_semi")
-         .join(pairs, id_col, "left_semi").distinct().withColumn("_g", F.lit(True)))
-    p = (pred_long.select(*keys).join(tax, ["field", "label"], "left_semi")
-         .join(pairs, id_col, "left_semi").distinct().withColumn("_p", F.lit(True)))
-    j = g.join(p, keys, "full_outer")
-    counts = j.groupBy("field", "label").agg(
-        F.count_if(F.col("_g") & F.col("_p")).alias("tp"),
-        F.count_if(F.col("_p") & F.col("_g").isNull()).alias("fp"),
-        F.count_if(F.col("_g") & F.col("_p").isNull()).alias("fn"))
-    per_label = (tax.join(counts, ["field", "label"], "left")
-                 .select("field", "label", "label_pos",
-                         *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-                           for c in ("tp", "fp", "fn")]))
+    none = F.lit(None).cast("struct<field:string,label:string>")
+    pair = F.struct(F.col("field"), F.col("label"))
+
+    def part(df, kind, value):
+        return df.select(F.col(id_col).alias("_id"), F.lit(kind).alias("_k"), value.alias("_l"))
+
+    rows = (part(gold_ids, "gi", none).unionByName(part(pred_ids, "pi", none))
+            .unionByName(part(gold_long, "g", pair)).unionByName(part(pred_long, "p", pair)))
+    is_ = lambda kind: F.col("_k") == kind
+    per_id = rows.groupBy("_id").agg(
+        F.bool_or(is_("gi")).alias("gi"), F.bool_or(is_("pi")).alias("pi"),
+        F.collect_set(F.when(is_("g"), F.col("_l"))).alias("g"),      # labels of one record
+        F.collect_set(F.when(is_("p"), F.col("_l"))).alias("p"))
+    gold = F.col("gi") & (F.size("g") > 0) if labelled_only else F.col("gi")
+    scored = gold & F.col("pi")
+    seen = F.when(scored, F.array_union("g", "p")).otherwise(F.array().cast("array<struct<field:string,label:string>>"))
+    cells = per_id.where(gold).select(scored.alias("scored"), "g", "p", F.explode(
+        F.concat(F.array(F.struct(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("label"))),
+                 seen)).alias("c"))
+    cells = cells.select("scored", "c.field", "c.label", F.array_contains("g", F.col("c")).alias("ing"),
+                         F.array_contains("p", F.col("c")).alias("inp"))
+    # the spine: every taxonomy label, and the row without a field
+    tax = taxonomy.select("field", "label", "label_pos")
+    spine = tax.unionByName(
+        tax.sparkSession.range(1).select(F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("label"),
+                                         F.lit(None).cast("int").alias("label_pos")))
+    spine = bounded_broadcast(spine)
+    same = lambda a, b: a["field"].eqNullSafe(b["field"]) & a["label"].eqNullSafe(b["label"])
+    known = cells.alias("c").join(spine.select("field", "label").alias("s"),
+                                  same({k: F.col(f"c.{k}") for k in ("field", "label")},
+                                       {k: F.col(f"s.{k}") for k in ("field", "label")}), "left_semi")
+    counts = known.groupBy("field", "label").agg(
+        F.count_if(F.col("ing") & F.col("inp")).alias("tp"), F.count_if(F.col("inp") & ~F.col("ing")).alias("fp"),
+        F.count_if(F.col("ing") & ~F.col("inp")).alias("fn"), F.count(F.lit(1)).alias("_n"),
+        F.count_if("scored").alias("_s"))
+    # at most one row per row of the spine, whose size is proven
+    joined = spine.alias("s").join(F.broadcast(counts).alias("c"), same({k: F.col(f"s.{k}") for k in ("field", "label")},
+                                                          {k: F.col(f"c.{k}") for k in ("field", "label")}), "left")
+    whole = Window.partitionBy(F.lit(0))       # over the taxonomy's rows
+    of_all = lambda c: F.coalesce(F.max(F.when(F.col("s.field").isNull(), F.col(c))).over(whole), F.lit(0))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("bigint")
+    table = joined.select("s.field", "s.label", F.col("s.label_pos").cast("int").alias("label_pos"),
+                          *[zero(c).alias(c) for c in ("tp", "fp", "fn")],
+                          of_all("_n").cast("bigint").alias("n"), of_all("_s").cast("bigint").alias("n_scored"))
+    table = table.where("field is not null")
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    per_label = per_label.select(
-        "*", (tp + fn).alias("support"),
+    per_label = table.select(
+        "field", "label", "label_pos", "tp", "fp", "fn", (tp + fn).alias("support"),
         safe_ratio(tp, tp + fp).alias("precision"),
         safe_ratio(tp, tp + fn).alias("recall"),
-        safe_ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
-
-    n, n_scored = gids.count(), pairs.count()   # two scalars (A14)
+        safe_ratio(2 * tp, 2 * tp + fp + fn).alias("f1"), "n", "n_scored")
     sums = per_label.groupBy("field").agg(
         F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"),
-        F.avg("f1").alias("macro_f1"))
-    per_field = (sums.where(F.lit(n_scored > 0))
-                 .select("field", F.lit(n).cast("bigint").alias("n"),
-                         F.lit(n_scored).cast("bigint").alias("n_scored"),
+        F.avg("f1").alias("macro_f1"), F.max("n").alias("n"), F.max("n_scored").alias("n_scored"))
+    per_field = (sums.where("n_scored > 0")
+                 .select("field", "n", "n_scored",
                          safe_ratio(tp, tp + fp).alias("micro_precision"),
                          safe_ratio(tp, tp + fn).alias("micro_recall"),
                          safe_ratio(2 * tp, 2 * tp + fp + fn).alias("micro_f1"),
                          "macro_f1"))
-    return per_label, per_field
+    return per_label.drop("n", "n_scored"), per_field
 
 
 def flat_gold_eval(rows: DataFrame, lexicon: DataFrame, field_map: dict,
@@ -114,23 +145,20 @@ def flat_gold_eval(rows: DataFrame, lexicon: DataFrame, field_map: dict,
     pred_fields = sorted({pf for _, pf in field_map.values()})
     preds = (lexicon_labels(scored.select("_id", "_text"), lexicon, "_id", "_text",
                             fields=pred_fields)
-             .groupBy("_id", "field")
-             .agg(F.collect_list("label").alias("labels"),
-                  F.min_by("label", "label_pos").alias("top1"))
-             .persist(StorageLevel.MEMORY_AND_DISK))      # read once per report field
-    per_field = []
-    for name, (_, pf) in field_map.items():
-        pr = preds.where(F.col("field") == pf).select("_id", "labels", "top1")
-        per_field.append(
-            scored.select("_id", F.col(f"_g_{name}").alias("gold"))
-            .join(pr, "_id", "left")
-            .select(F.lit(name).alias("field"), "gold",
-                    F.coalesce("top1", F.lit(NO_LABEL)).alias("pred"),
-                    F.coalesce(F.array_contains("labels", F.col("gold")), F.lit(False))
-                    .alias("correct")))
-    scored_rows = per_field[0]
-    for extra in per_field[1:]:
-        scored_rows = scored_rows.unionByName(extra)
+             .groupBy("_id")
+             .agg(F.collect_list(F.struct("field", "label_pos", "label")).alias("_p")))   # labels of one record
+    found = F.coalesce(F.col("_p"), F.array().cast(preds.schema["_p"].dataType))
+
+    def judged(name, pf):
+        mine = F.array_sort(F.filter(found, lambda x: x["field"] == F.lit(pf)))
+        gold = F.col(f"_g_{name}")
+        return F.struct(F.lit(name).alias("field"), gold.alias("gold"),
+                        F.coalesce(F.try_element_at(mine, F.lit(1))["label"], F.lit(NO_LABEL)).alias("pred"),
+                        F.exists(mine, lambda x: x["label"] == gold).alias("correct"))
+
+    scored_rows = (scored.drop("_text").join(preds, "_id", "left")
+                   .select(F.explode(F.array(*[judged(n, pf) for n, (_, pf) in field_map.items()])).alias("_j"))
+                   .select("_j.*"))
     skipped = tagged.agg(F.count_if("_skip").alias("skipped"))
     names = F.array(*[F.lit(n) for n in field_map])
     totals = (scored_rows.groupBy("field")
