@@ -1,4 +1,6 @@
+import html as html_lib
 import re
+from html.entities import name2codepoint
 
 from hypothesis import given, settings, strategies as st
 
@@ -40,6 +42,16 @@ def test_entity_amp_decoded_last(spark):
     assert page(spark, "<p>&amp;lt; a</p>") == "&lt; a"
 
 
+def test_character_references(spark):
+    assert page(spark, "<p>it&#8217;s 5&#x20AC; &mdash; &rsquo;</p>") == "it\u2019s 5\u20ac \u2014 \u2019"
+    assert page(spark, "<p>&amp;#65; &#0; &#1114112; &#xD800; &#150; &nosuch; &lt</p>") == \
+        "&#65; \ufffd \ufffd \ufffd \u2013 &nosuch; &lt"
+
+
+def test_less_than_that_opens_no_tag(spark):
+    assert page(spark, "<p>if a < b and c > d then <b>x</b> <3</p>") == "if a < b and c > d then x <3"
+
+
 def py_paragraphs(html):
     """Plain-Python statement of the P1 rules (test oracle)."""
     h = re.sub(r"<!--.*?-->", "", html or "", flags=re.S)
@@ -51,9 +63,9 @@ def py_paragraphs(html):
     for piece in h.split("\x01"):
         if not piece.startswith("\x02"):
             continue
-        body = re.sub(r"<[^>]*>", "\x03", piece[1:])
-        for ent, ch in H.ENTITIES:
-            body = body.replace(ent, ch)
+        body = re.sub(r"</?[a-zA-Z][^>]*>|<[!?][^>]*>", "\x03", piece[1:])
+        body = re.sub(r"&(#\d{1,9}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z]\w{1,30});", lambda m: html_lib.unescape(m[0])
+                      if m[1][0] == "#" or m[1] in name2codepoint or m[1] == "apos" else m[0], body)
         text = " ".join(n.strip() for n in body.split("\x03") if n.strip())
         if text:
             paras.append(text)
@@ -62,7 +74,8 @@ def py_paragraphs(html):
 
 BITS = st.sampled_from(["<p>", "</p>", "<P class='a'>", "<div>", "</div>", "<b>", "</b>", "<br>",
                         "<script>var t='</p>';</script>", "<!-- <p>x</p> -->", "<pre>",
-                        "&amp;", "&copy;", "&lt;b&gt;", "text", "more words", " ", "\n", "\t",
+                        "&amp;", "&copy;", "&lt;b&gt;", "&#8217;", "&#x20AC;", "&mdash;", "&rsquo;", "&amp;#65;", "&nosuch;", "& ",
+                        "a < b", "&#150;", "&apos;", "<", "&eacute", "&#55296;", "text", "more words", " ", "\n", "\t",
                         "<li>", "</li>", "<h2>", "</h2>", "a.b", "<style>p{}</style>"])
 
 

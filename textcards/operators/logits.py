@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from textcards.functions.labels import picked_by_threshold, sigmoid32
 from textcards.operators.common import bounded_broadcast
+from textcards.operators.lexicon import evidence_label_table, keyword_sentence_ranking
+from textcards.sources.sinks import assemble_records
 
 
 def logit_probabilities(logits: DataFrame, taxonomy: DataFrame, id_col: str = "id",
@@ -34,6 +36,34 @@ def logit_labels(logits: DataFrame, taxonomy: DataFrame, id_col: str = "id",
                     F.col("prob").cast("double").alias("confidence")))
 
 
+def score_logits(docs: DataFrame, logits: DataFrame, taxonomy: DataFrame, evidence_lexicon: DataFrame | None,
+                 fields, id_col: str = "incident_id", text_col: str = "text", threshold: float = 0.5,
+                 k: int = 3) -> DataFrame:
+    """Logits -> nested records (S9) whose evidence is sentence *texts*.
+
+    ``logits (id, field, logits)``: one vector per record and field, value i for
+    the field's label at ``label_pos = i``.  Picked are labels with probability
+    ``>= threshold`` (P19); each gets the ``k`` sentences with most of its
+    evidence keywords (K3), a label without keywords its own name (P15).
+    Records of ``docs`` that have logits are returned, with every field.
+    """
+    fields = list(fields)
+    tax = taxonomy.select("field", "label", "label_pos")
+    cells = logits.where(F.col("field").isin(fields)).select(
+        id_col, "field", F.posexplode("logits").alias("label_pos", "logit"))
+    picked = (cells.join(bounded_broadcast(tax), ["field", "label_pos"])
+              .withColumn("prob", sigmoid32("logit")).where(picked_by_threshold("prob", threshold))
+              .select(id_col, "field", "label", "label_pos", F.col("prob").cast("double").alias("confidence")))
+    ranked = keyword_sentence_ranking(docs.select(id_col, text_col), picked.select(id_col, "field", "label"),
+                                      evidence_label_table(taxonomy, evidence_lexicon), id_col, text_col, k)
+    quotes = ranked.groupBy(id_col, "field", "label").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "sentence"))).alias("_e"))      # at most k sentences
+    found = picked.join(quotes, [id_col, "field", "label"], "left").withColumn(
+        "evidence", F.coalesce(F.transform("_e", lambda x: x["sentence"]), F.array().cast("array<string>"))).drop("_e")
+    scored = docs.select(id_col).join(logits.select(id_col).distinct(), id_col, "left_semi")
+    return assemble_records(found, scored, fields, id_col)
+
+
 def epsilon_micro_f1(logits: DataFrame, gold_hot: DataFrame, id_col: str = "id",
                      logits_col: str = "logits", gold_col: str = "gold",
                      threshold: float = 0.5) -> DataFrame:
