@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from textcards import lexicons as LX
-from textcards.functions.html import (BLOCK_RE, COMMENT_RE, DROPPED_BLOCK_TAGS, ENTITIES,
-                                      PARA_OPEN_RE, TAG_RE, dropped_block_re)
 from textcards.plans.sqlbits import (WS_CLASS, lexicon_values, sentences, sql_str, strip,
                                      taxonomy_values)
 
@@ -47,26 +45,44 @@ FROM (SELECT doc_id, {_normalize("coalesce(text, '')")} AS text FROM documents)
 WHERE length(text) >= 200"""
 
 
-def _re(p):
-    return sql_str(p)
+def _page_text(html):
+    """P1 from its rules: comments and script, style, noscript go; <p> opens a
+    paragraph, </p> and block tags end it; inside it tags part text nodes."""
+    h = f"regexp_replace({html}, '<!--(.|\\n)*?-->', '', 'g')"
+    for tag in ("script", "style", "noscript"):
+        h = f"regexp_replace({h}, '<{tag}\\b[^>]*>(.|\\n)*?</{tag}\\s*>', '', 'gi')"
+    h = f"regexp_replace({h}, '<p(\\s[^>]*)?>', chr(1) || chr(2), 'gi')"
+    blocks = "p|article|div|section|main|nav|footer|header|ul|ol|li|table|body|html|h[1-6]"
+    h = f"regexp_replace({h}, '</?({blocks})(\\s[^>]*)?>', chr(1), 'gi')"
+    node = "regexp_replace(substr(p, 2), '</?[a-zA-Z][^>]*>|<[!?][^>]*>', chr(3), 'g')"
+    named = {"lt": 60, "gt": 62, "quot": 34, "apos": 39, "nbsp": 160, "copy": 169, "middot": 183, "amp": 38,
+             "mdash": 8212, "rsquo": 8217, "eacute": 233, "Eacute": 201}
+    by_name = " ".join(f"WHEN '{k}' THEN chr({v})" for k, v in named.items())
+    ref = "regexp_extract(x, '^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]+);', 1)"
+    num = (f"CASE WHEN {ref}[2:2] IN ('x', 'X') THEN CAST('0x' || substr({ref}, 3) AS BIGINT) "
+           f"ELSE CAST(substr({ref}, 2) AS BIGINT) END")
+    char = (f"CASE WHEN {ref} = '' THEN NULL WHEN {ref}[1:1] = '#' THEN "
+            f"(CASE {num} WHEN 0 THEN chr(65533) WHEN 150 THEN chr(8211) ELSE chr(CAST({num} AS INTEGER)) END) "
+            f"ELSE (CASE {ref} {by_name} END) END")
+    decoded = (f"list_aggregate(list_transform(string_split({node}, '&'), lambda x, i: CASE WHEN i = 1 THEN x "
+               f"WHEN {char} IS NULL THEN '&' || x ELSE {char} || substr(x, len({ref}) + 2) END), 'string_agg', '')")
+    para = (f"array_to_string(list_filter(list_transform(string_split({decoded}, chr(3)), "
+            f"lambda s: {strip('s')}), lambda s: s <> ''), ' ')")
+    paras = (f"list_filter(list_transform(list_filter(string_split({h}, chr(1)), "
+             f"lambda p: starts_with(p, chr(2))), lambda p: {para}), lambda s: s <> '')")
+    return strip(f"regexp_replace(array_to_string({paras}, chr(10)), '[ \\t]+', ' ', 'g')")
 
 
 @oracle("q_page_text")
 def _():
-    h = f"regexp_replace(coalesce(html, ''), {_re(COMMENT_RE)}, '', 'g')"
-    for tag in DROPPED_BLOCK_TAGS:
-        h = f"regexp_replace({h}, {_re(dropped_block_re(tag))}, '', 'g')"
-    h = f"regexp_replace({h}, {_re(PARA_OPEN_RE)}, chr(1) || chr(2), 'g')"
-    h = f"regexp_replace({h}, {_re(BLOCK_RE)}, chr(1), 'g')"
-    node = f"regexp_replace(substr(p, 2), {_re(TAG_RE)}, chr(3), 'g')"
-    for ent, ch in ENTITIES:
-        node = f"replace({node}, {sql_str(ent)}, chr({ord(ch)}))"
-    para = (f"array_to_string(list_filter(list_transform(string_split({node}, chr(3)), "
-            f"lambda s: {strip('s')}), lambda s: s <> ''), ' ')")
-    paras = (f"list_filter(list_transform(list_filter(string_split({h}, chr(1)), "
-             f"lambda p: starts_with(p, chr(2))), lambda p: {para}), lambda s: s <> '')")
-    body = f"regexp_replace(array_to_string({paras}, chr(10)), '[ \\t]+', ' ', 'g')"
-    return f"SELECT page_id, {strip(body)} AS text FROM pages"
+    return f"SELECT page_id, {_page_text("coalesce(html, '')")} AS text FROM pages"
+
+
+@oracle("q_page_text_references")
+def _():
+    made = ("'<p>n&#' || (page_id % 900 + 160) || '; x&#x' || upper(to_hex(page_id % 3000 + 8192)) || "
+            "'; a < b &mdash; &rsquo;q&rsquo; &eacute;&Eacute; &amp;lt; &amp;#65; &unknown; &#0; &#150; c > d & e &#8364</p>'")
+    return f"SELECT page_id, {_page_text('h')} AS text FROM (SELECT page_id, {made} || coalesce(html, '') AS h FROM pages)"
 
 
 def _lexicon_ctes(lexicon=LX.DOCUMENT_LEXICON, taxonomy=LX.DOCUMENT_TAXONOMY,
@@ -174,11 +190,11 @@ SELECT field, (SELECT count(*) FROM gids) AS n, (SELECT count(*) FROM pairs) AS
 FROM fsum WHERE (SELECT count(*) FROM pairs) > 0"""
 
 
-def _flat_gold_ctes():
+def _flat_gold_ctes(gold="lang"):
     return f"""WITH lex AS (SELECT * FROM {lexicon_values(LX.DOCUMENT_LEXICON)}),
 l AS (SELECT label, label_pos, lower(keyword) AS kw FROM lex WHERE field = 'language'),
 rows_ AS (SELECT doc_id AS id, {strip("coalesce(text, '')")} AS t,
-                 {strip("coalesce(lang, '')")} AS gold FROM documents),
+                 {strip(f"coalesce({gold}, '')")} AS gold FROM documents),
 sc AS (SELECT * FROM rows_ WHERE gold NOT IN ('', 'TBD')),
 hk AS (SELECT sc.id, l.label, l.label_pos FROM sc JOIN l ON contains(lower(sc.t), l.kw)),
 pr AS (SELECT id, list(DISTINCT label) AS labels, arg_min(label, label_pos) AS top1
@@ -188,15 +204,27 @@ r AS (SELECT 'language' AS field, sc.gold, coalesce(pr.top1, 'none') AS pred,
       FROM sc LEFT JOIN pr ON pr.id = sc.id)"""
 
 
+def _confusion(gold="lang"):
+    return f"""{_flat_gold_ctes(gold)}
+SELECT field, gold, pred, count(*) AS n FROM r GROUP BY field, gold, pred"""
+
+
 @oracle("q_top1_confusion")
 def _():
-    return f"""{_flat_gold_ctes()}
-SELECT field, gold, pred, count(*) AS n FROM r GROUP BY field, gold, pred"""
+    return _confusion()
 
 
-@oracle("q_anyhit_accuracy")
+MARKED_GOLD = ("(CASE doc_id % 7 WHEN 0 THEN ' TBD ' WHEN 1 THEN '  ' WHEN 2 THEN NULL "
+               "WHEN 3 THEN ' ' || lang || chr(9) ELSE lang END)")
+
+
+@oracle("q_flat_gold_confusion")
 def _():
-    return f"""{_flat_gold_ctes()}
+    return _confusion(MARKED_GOLD)
+
+
+def _accuracy(gold="lang"):
+    return f"""{_flat_gold_ctes(gold)}
 SELECT 'language' AS field, CAST(count(*) FILTER (WHERE correct) AS BIGINT) AS correct,
        CAST(count(*) AS BIGINT) AS total,
        {_r(_ratio('count(*) FILTER (WHERE correct)', 'count(*)'))} AS accuracy,
@@ -204,6 +232,29 @@ SELECT 'language' AS field, CAST(count(*) FILTER (WHERE correct) AS BIGINT) AS c
 FROM r"""
 
 
+@oracle("q_anyhit_accuracy")
+def _():
+    return _accuracy()
+
+
+@oracle("q_flat_gold_skips")
+def _():
+    return _accuracy(MARKED_GOLD)
+
+
+@oracle("q_multi_hot")
+def _():
+    names = ", ".join(sql_str(x) for x in LX.GOLD_TAXONOMY["language"])
+    return f"""SELECT doc_id, array_to_string(list_transform([{names}], lambda l: CASE WHEN l = lang OR (doc_id % 5 = 0 AND l = 'it')
+  THEN '1' ELSE '0' END), ',') AS hot FROM documents"""
+
+
+@oracle("q_last_per_id")
+def _():
+    return """SELECT conv_id, turn, role, CAST(length(text) AS BIGINT) AS n_chars FROM conversations
+QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1"""
+
+
 TOKEN_RE_SQL = "[\\p{L}\\p{N}_]{2,}"
 
 
@@ -279,6 +330,34 @@ SELECT gtax.field, gtax.label, CAST(gtax.label_pos AS INTEGER) AS label_pos,
 FROM gtax LEFT JOIN cnt ON cnt.field = gtax.field AND cnt.label = gtax.label, n"""
 
 
+OVR_SPLIT = f"""{GOLD_CTES},
+otn AS (SELECT greatest(1, CAST(round_even(count(*) * 0.2::DOUBLE, 0) AS BIGINT)) AS tn FROM gids),
+ork AS (SELECT id, row_number() OVER (ORDER BY substr(md5(CAST(id AS VARCHAR) || '|13'), 1, 15), id) AS rn FROM gids),
+otrain AS (SELECT d.* FROM documents d JOIN ork ON ork.id = d.doc_id WHERE rn > (SELECT tn FROM otn)),
+otest AS (SELECT d.* FROM documents d JOIN ork ON ork.id = d.doc_id WHERE rn <= (SELECT tn FROM otn))"""
+
+
+@oracle("q_ovr_optimality")
+def _():
+    return f"""WITH {OVR_SPLIT},
+c AS (SELECT field, label, count(DISTINCT id) AS k FROM gold WHERE id IN (SELECT doc_id FROM otrain) GROUP BY field, label),
+n AS (SELECT count(*) AS n FROM otrain)
+SELECT gtax.field, gtax.label, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS positives, true AS optimal
+FROM gtax JOIN c ON c.field = gtax.field AND c.label = gtax.label, n WHERE k > 0 AND k < n"""
+
+
+@oracle("q_ovr_always_on")
+def _():
+    train, test = _sentence_score_ctes().split("ss AS (", 1)
+    train, test = train.replace("FROM documents", "FROM otrain"), test.replace("FROM documents", "FROM otest")
+    return f"""WITH {OVR_SPLIT}, {train}ss AS ({test},
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, sent_idx DESC) AS rank
+       FROM sscore WHERE score > 0),
+e AS (SELECT doc_id, string_agg(CAST(sent_idx AS VARCHAR), ',' ORDER BY rank) AS evidence FROM rk WHERE rank <= 3 GROUP BY doc_id)
+SELECT t.doc_id, 'text,web' AS labels, 1.0::DOUBLE AS confidence, coalesce(e.evidence, '') AS evidence
+FROM otest t LEFT JOIN e ON e.doc_id = t.doc_id"""
+
+
 @oracle("q_time_split")
 def _():
     return """WITH r AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders),
@@ -290,6 +369,18 @@ SELECT r.o_orderkey, CASE WHEN rk.rn <= (SELECT tn FROM k) THEN 'test' ELSE 'tra
 FROM r LEFT JOIN rk ON rk.o_orderkey = r.o_orderkey"""
 
 
+@oracle("q_time_split_string_ids")
+def _():
+    return """WITH o AS (SELECT DISTINCT 'record-' || reverse(CAST(o_orderkey AS VARCHAR)) ||
+         CASE WHEN o_orderkey % 2 = 0 THEN '-é' ELSE '' END AS rid, o_orderkey % 11 AS k, o_orderdate AS od FROM orders),
+r AS (SELECT rid, CASE WHEN k < 4 THEN NULL WHEN k = 4 THEN CAST(date_trunc('month', od) AS DATE)
+                       ELSE CAST(date_trunc('year', od) AS DATE) END AS d FROM o),
+tn AS (SELECT greatest(1, CAST(round_even(count(*) * 0.2::DOUBLE, 0) AS BIGINT)) AS tn FROM r WHERE d IS NOT NULL),
+rk AS (SELECT rid, row_number() OVER (ORDER BY d DESC, rid DESC) AS rn FROM r WHERE d IS NOT NULL)
+SELECT r.rid, CASE WHEN rk.rn <= (SELECT tn FROM tn) THEN 'test' ELSE 'train' END AS part
+FROM r LEFT JOIN rk ON rk.rid = r.rid"""
+
+
 @oracle("q_hash_split")
 def _():
     return """WITH ids AS (SELECT DISTINCT doc_id FROM documents
@@ -471,8 +562,8 @@ FROM j"""
 LOGIT_CTES = f"""
 ltax AS (SELECT * FROM {taxonomy_values({LX.LOGIT_FIELD: LX.LOGIT_LABELS})}),
 lx AS (SELECT vec_id, label AS gold_label,
-              CAST(unnest(range(len(embedding[1:{len(LX.LOGIT_LABELS)}]))) AS INTEGER) AS label_pos,
-              unnest(embedding[1:{len(LX.LOGIT_LABELS)}]) AS logit FROM embeddings),
+              CAST(unnest(range(len(embedding))) AS INTEGER) AS label_pos,
+              unnest(embedding) AS logit FROM embeddings),
 lp AS (SELECT vec_id, gold_label, label_pos,
               CAST(1 AS FLOAT) / (CAST(1 AS FLOAT) + CAST(exp(-CAST(logit AS DOUBLE)) AS FLOAT)) AS prob
        FROM lx)"""
@@ -521,6 +612,21 @@ SELECT id AS doc_id, label, CAST(r AS INTEGER) AS rank, sent_idx, score, sent AS
 FROM krk WHERE r <= 3"""
 
 
+@oracle("q_score_logits")
+def _():
+    ranked = ORACLES["q_pick_evidence_text"]
+    return f"""WITH ev AS ({ranked}),
+{LOGIT_CTES.strip()},
+picked AS (SELECT lp.vec_id AS id, ltax.label, ltax.label_pos, CAST(prob AS DOUBLE) AS p
+           FROM lp JOIN ltax ON ltax.label_pos = lp.label_pos WHERE prob >= CAST(0.5 AS FLOAT)),
+q AS (SELECT doc_id, label, string_agg(sentence, '|' ORDER BY rank) AS e FROM ev GROUP BY doc_id, label),
+n AS (SELECT picked.id, string_agg(picked.label, ',' ORDER BY label_pos) AS labels, sum(p) AS conf,
+             string_agg(coalesce(q.e, ''), ';' ORDER BY label_pos) AS e
+      FROM picked LEFT JOIN q ON q.doc_id = picked.id AND q.label = picked.label GROUP BY picked.id)
+SELECT d.doc_id, coalesce(n.labels, '') AS labels, {_r('coalesce(n.conf, 0.0)')} AS confidence, coalesce(n.e, '') AS evidence
+FROM documents d LEFT JOIN n ON n.id = d.doc_id WHERE d.doc_id IN (SELECT vec_id FROM embeddings)"""
+
+
 # --- C12 / C13 --------------------------------------------------------------------------------------
 @oracle("q_cards")
 def _():
@@ -551,9 +657,10 @@ def _():
 def _():
     def parse(raw):
         parts = f"list_transform(string_split({raw}, ','), lambda s: {strip('s')})"
-        digits = f"list_filter({parts}, lambda s: regexp_full_match(s, '[0-9]+') AND length(s) <= 9)"
-        ints = f"list_transform({digits}, lambda s: CAST(s AS INTEGER))"
-        return f"list_sort(list_distinct(list_filter({ints}, lambda i: i >= 0 AND i < ns)))"
+        digits = f"list_filter({parts}, lambda s: regexp_full_match(s, '[0-9]+'))"
+        ints = f"list_transform({digits}, lambda s: TRY_CAST(s AS HUGEINT))"
+        inside = f"list_filter({ints}, lambda i: i IS NOT NULL AND i >= 0 AND i < ns)"
+        return f"list_sort(list_distinct(list_transform({inside}, lambda i: CAST(i AS INTEGER))))"
     opts = {f: labs for f, labs in LX.GOLD_TAXONOMY.items()}
     opt_case = "CASE field " + " ".join(
         f"WHEN {sql_str(f)} THEN [{', '.join(sql_str(x) for x in labs)}]" for f, labs in opts.items()
@@ -575,7 +682,7 @@ x AS (SELECT r.*, fl.field, {opt_case} AS options,
                   THEN CASE WHEN quality = 1 THEN ' high , bogus ,high' ELSE '' END
              WHEN labelled AND field = 'language'
                   THEN CASE WHEN toxic = 1 THEN 'fr,en' ELSE '   ' END END AS raw,
-        CASE WHEN field = 'quality' THEN [{{'k': 'high', 'v': '2, 0,0, 999 ,x, -1'}}]
+        CASE WHEN field = 'quality' THEN [{{'k': 'high', 'v': '2, 0,0, 999 ,x, -1, 0000000001, 99999999999999999999'}}]
              WHEN field = 'language' THEN [{{'k': 'fr', 'v': '1'}}, {{'k': 'en', 'v': ''}}]
              ELSE CAST([] AS STRUCT(k VARCHAR, v VARCHAR)[]) END AS ev_raw
       FROM recs r CROSS JOIN fl),
@@ -641,3 +748,14 @@ def _():
     return f"""WITH {_lexicon_ctes(LX.INCIDENT_LEXICON, LX.INCIDENT_TAXONOMY)}
 SELECT id AS doc_id, field, label, hits, confidence, array_to_string(evidence, ',') AS evidence
 FROM preds"""
+
+
+@oracle("q_incident_lexicon_hits")
+def _():
+    from textcards.plans.queries import INCIDENT_SENTENCES
+    said = "[" + ", ".join(sql_str(x) for x in INCIDENT_SENTENCES) + "]"
+    pick = lambda k: f"{said}[({k}) % {len(INCIDENT_SENTENCES)} + 1]"
+    docs = (f"(SELECT doc_id, {pick('doc_id')} || ' ' || CASE WHEN doc_id % 3 = 0 THEN {pick('doc_id // 7')} ELSE '' END "
+            f"|| ' ' || coalesce(text, '') AS text FROM documents)")
+    return f"""WITH {_lexicon_ctes(LX.INCIDENT_LEXICON, LX.INCIDENT_TAXONOMY, docs)}
+SELECT id AS doc_id, field, label, hits, confidence, array_to_string(evidence, ',') AS evidence FROM preds"""

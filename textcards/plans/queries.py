@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textcards import lexicons as LX
 from textcards.functions.html import paragraph_text
 from textcards.functions.text import clean_text, split_sentences
+from textcards.operators.common import stored
 from textcards.operators.lexicon import lexicon_predict, lexicon_table, taxonomy_table
 from textcards.operators.sentences import sentences
 
@@ -33,8 +33,8 @@ TABLE_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_
               "benchmark": "item_id", "events": "event_id"}
 
 
-# Tables whose rows carry text: per-row work is CPU-heavy, so a scan with
-# too few splits is spread over the cores (see ``read_parquet``).
+# Tables whose rows carry text: per-row work is CPU-heavy, so the scan of a
+# small one is spread over the cores (see ``read_parquet``).
 TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
 
 
@@ -43,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = f"{sf_dir}/{name}.parquet"
     if name not in TEXT_TABLES:
         return spark.read.parquet(path)
-    return read_parquet(spark, path, TABLE_KEYS.get(name))
+    return read_parquet(spark, path, TABLE_KEYS.get(name), spread_to=spark.sparkContext.defaultParallelism)
 
 
 def doc_lexicon(spark):
@@ -86,6 +86,17 @@ def q_page_text(spark, sf_dir):
     return pages.select("page_id", paragraph_text("html").alias("text"))
 
 
+@query
+def q_page_text_references(spark, sf_dir):
+    """P1 on pages that hold character references and a ``<`` that opens no
+    tag: each page's own text follows a paragraph made from its page_id."""
+    pages = table(spark, sf_dir, "pages")
+    n = F.col("page_id")
+    made = F.concat(F.lit("<p>n&#"), (n % 900 + 160).cast("string"), F.lit("; x&#x"), F.hex(n % 3000 + 8192),
+                    F.lit("; a < b &mdash; &rsquo;q&rsquo; &eacute;&Eacute; &amp;lt; &amp;#65; &unknown; &#0; &#150; c > d & e &#8364</p>"))
+    return pages.select("page_id", paragraph_text(F.concat(made, F.coalesce("html", F.lit("")))).alias("text"))
+
+
 # --- C4: F7 J5 J6 A2 A3 K1 U3 F5 ------------------------------------------------
 def _doc_predictions(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -118,7 +129,7 @@ def gold_tables(spark, sf_dir):
     language = the document's ``lang``; quality = high/low from
     ``labels.quality``; toxicity = ``toxic`` when ``labels.toxic = 1``.
     """
-    docs = table(spark, sf_dir, "documents")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")      # ids and languages only: no spreading
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     g = docs.select("doc_id", "lang").join(lab, "doc_id", "inner")
     long = (g.select("doc_id", F.explode(F.array(
@@ -158,7 +169,7 @@ def _label_metrics(spark, sf_dir):
     pred = (lexicon_labels(docs, doc_lexicon(spark), "doc_id", "text", doc_taxonomy(spark))
             .select(F.col("doc_id").alias("id"), "field", "label"))
     gold, gold_ids = gold_tables(spark, sf_dir)
-    pred_ids = docs.select(F.col("doc_id").alias("id"))
+    pred_ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"))
     return label_metrics(gold, pred, gold_ids, pred_ids, gold_taxonomy(spark), "id")
 
 
@@ -198,6 +209,48 @@ def q_anyhit_accuracy(spark, sf_dir):
     return acc.select("field", "correct", "total", r9("accuracy").alias("accuracy"), "skipped")
 
 
+def marked_gold(lang, doc_id):
+    """Gold labels with the cases a hand-made table has: blank, ``TBD``, padded."""
+    k = F.col(doc_id) % 7
+    return (F.when(k == 0, F.lit(" TBD ")).when(k == 1, F.lit("  ")).when(k == 2, F.lit(None).cast("string"))
+            .when(k == 3, F.concat(F.lit(" "), F.col(lang), F.lit("\t"))).otherwise(F.col(lang)))
+
+
+def _marked_eval(spark, sf_dir):
+    from textcards.operators.metrics import flat_gold_eval
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", marked_gold("lang", "doc_id").alias("gold"))
+    return flat_gold_eval(docs, doc_lexicon(spark), {"language": ("gold", "language")}, "doc_id", "text")
+
+
+@query
+def q_flat_gold_skips(spark, sf_dir):
+    acc, _ = _marked_eval(spark, sf_dir)
+    return acc.select("field", "correct", "total", r9("accuracy").alias("accuracy"), "skipped")
+
+
+@query
+def q_flat_gold_confusion(spark, sf_dir):
+    return _marked_eval(spark, sf_dir)[1]
+
+
+@query
+def q_multi_hot(spark, sf_dir):
+    """Language labels (one repeated, one unknown) over an ordered list."""
+    from textcards.functions.labels import multi_hot
+    docs = table(spark, sf_dir, "documents")
+    names = F.array(*map(F.lit, LX.GOLD_TAXONOMY["language"]))
+    labels = F.when(F.col("doc_id") % 5 == 0, F.array(F.lit("it"), "lang")).otherwise(F.array("lang", "lang", F.lit("zz")))
+    return docs.select("doc_id", ints_csv(multi_hot(names, labels)).alias("hot"))
+
+
+@query
+def q_last_per_id(spark, sf_dir):
+    """A1: of the turns of a conversation the last one counts."""
+    from textcards.operators.ingest import last_per_id
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").cast("bigint").alias("n_chars"))
+    return last_per_id(turns.withColumn("ord", F.col("turn")), "conv_id", "ord").select("conv_id", "turn", "role", "n_chars")
+
+
 # --- A4 A5 / A6 A7 K2 J9 F8 ---------------------------------------------------------
 @query
 def q_vocab_idf(spark, sf_dir):
@@ -210,7 +263,7 @@ def q_vocab_idf(spark, sf_dir):
 def q_tfidf_sentences(spark, sf_dir):
     from textcards.operators.tfidf import fit_vocabulary, top_sentences
     docs = table(spark, sf_dir, "documents")
-    t = top_sentences(docs, fit_vocabulary(docs), "doc_id", "text", 3)
+    t = top_sentences(docs, stored(fit_vocabulary(docs)), "doc_id", "text", 3)
     return t.select("doc_id", "rank", "sent_idx", r9("score").alias("score"))
 
 
@@ -220,7 +273,7 @@ def q_doc_tfidf_norms(spark, sf_dir):
     squared normalised weights (1.0 for every non-empty vector)."""
     from textcards.operators.tfidf import fit_vocabulary, tfidf_vectors
     docs = table(spark, sf_dir, "documents")
-    v = tfidf_vectors(docs, fit_vocabulary(docs), "doc_id", "text")
+    v = tfidf_vectors(docs, stored(fit_vocabulary(docs)), "doc_id", "text")
     return v.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_terms"),
                                    F.sum("tf").alias("n_tokens"),
                                    r9(F.sum(F.col("weight") * F.col("weight"))).alias("sq_norm"))
@@ -234,21 +287,56 @@ def q_label_state(spark, sf_dir):
     return label_states(gold, ids, gold_taxonomy(spark), "id")
 
 
-@query
-def q_ovr_predict(spark, sf_dir):
-    from textcards.operators.ovr import ovr_predict
+def _ovr_split(spark, sf_dir):
+    """(training documents, test documents, gold) of the K5 split of the labelled documents."""
     from textcards.operators.splits import hash_split
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     gold, ids = gold_tables(spark, sf_dir)
-    split = hash_split(ids, "id", 0.2, 13)
+    split = stored(hash_split(ids, "id", 0.2, 13))
     train = docs.join(split.where(F.col("part") == "train"), "id", "left_semi")
     test = docs.join(split.where(F.col("part") == "test"), "id", "left_semi")
+    return train, test, gold
+
+
+@query
+def q_ovr_predict(spark, sf_dir):
+    from textcards.operators.ovr import ovr_predict
+    train, test, gold = _ovr_split(spark, sf_dir)
     preds, _ = ovr_predict(train, test, gold, gold_taxonomy(spark), LX.GOLD_FIELDS, "id")
     return preds.select(F.col("id").alias("doc_id"), "field", "label",
                         F.round("confidence", 6).alias("confidence"),
                         ints_csv("evidence").alias("evidence"))
 
 
+@query
+def q_ovr_optimality(spark, sf_dir):
+    """M1: every active label's fit is a minimum of its objective: the largest
+    gradient component, recomputed by joins, is within the learner's tolerance."""
+    from textcards.operators.ovr import fit_ovr, label_states, optimality
+    from textcards.operators.tfidf import fit_vocabulary
+    train, _, gold = _ovr_split(spark, sf_dir)
+    states = label_states(gold, train.select("id"), gold_taxonomy(spark), "id")
+    active = sorted((r["field"], r["label"]) for r in states.where("state = 'active'").collect())
+    model = fit_ovr(train, gold, active, stored(fit_vocabulary(train)))
+    return optimality(model).select("field", "label", "n", "positives", (F.col("max_grad") <= 1e-4).alias("optimal"))
+
+
+@query
+def q_ovr_always_on(spark, sf_dir):
+    """Labels that every training record has are predicted at 1.0,
+    in alphabetical order, with the record's TF-IDF sentences as evidence."""
+    from textcards.operators.ovr import ovr_predict
+    train, test, _ = _ovr_split(spark, sf_dir)
+    gold = train.select("id", F.lit("scope").alias("field"), F.explode(F.array(F.lit("web"), F.lit("text"), F.lit("off"))).alias("label"))
+    tax = taxonomy_table(spark, {"scope": ["web", "never", "text"]})
+    preds, _ = ovr_predict(train, test, gold, tax, ["scope"], "id")
+    per = preds.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("label", "confidence"))).alias("l"),
+                                  F.first("evidence").alias("evidence"))
+    return per.select(F.col("id").alias("doc_id"), F.array_join(F.transform("l", lambda x: x["label"]), ",").alias("labels"),
+                      F.array_min(F.transform("l", lambda x: x["confidence"])).alias("confidence"),
+                      ints_csv("evidence").alias("evidence"))
+
+
 # --- K4 K5 K6 K8 U4 P8 F2 -------------------------------------------------------------
 @query
 def q_time_split(spark, sf_dir):
@@ -259,6 +347,21 @@ def q_time_split(spark, sf_dir):
     return split
 
 
+@query
+def q_time_split_string_ids(spark, sf_dir):
+    """K4 with string ids of different lengths, many ties on the cut date,
+    unpadded, missing and malformed dates."""
+    from textcards.operators.splits import time_split
+    k = F.col("o_orderkey")
+    date = (F.when(k % 11 == 0, F.lit(None).cast("string")).when(k % 11 == 1, F.lit("23-4-2")).when(k % 11 == 2, F.lit("12023-01-01"))
+            .when(k % 11 == 3, F.lit("-5-01-01")).when(k % 11 == 4, F.date_format("o_orderdate", "yyyy-M-1"))
+            .otherwise(F.date_format("o_orderdate", "yyyy-01-01")))
+    rid = F.concat(F.lit("record-"), F.reverse(k.cast("string")), F.when(k % 2 == 0, F.lit("-é")).otherwise(F.lit("")))
+    orders = table(spark, sf_dir, "orders").select(rid.alias("rid"), date.alias("date")).dropDuplicates(["rid"])
+    split, _ = time_split(orders, "rid", "date", 0.2, 13)
+    return split
+
+
 @query
 def q_hash_split(spark, sf_dir):
     from textcards.operators.splits import hash_split
@@ -418,8 +521,7 @@ def logit_taxonomy(spark):
 
 def _logits(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("vec_id").alias("id"),
-                    F.slice("embedding", 1, len(LX.LOGIT_LABELS)).alias("logits"), "label")
+    return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("logits"), "label")
 
 
 @query
@@ -432,10 +534,12 @@ def q_logit_labels(spark, sf_dir):
 
 @query
 def q_epsilon_f1(spark, sf_dir):
+    from textcards.functions.labels import multi_hot
     from textcards.operators.logits import epsilon_micro_f1
     lg = _logits(spark, sf_dir)
-    gold = lg.select("id", F.transform(F.sequence(F.lit(0), F.lit(len(LX.LOGIT_LABELS) - 1)),
-                                       lambda i: (i == F.col("label")).cast("int")).alias("gold"))
+    # The gold vector over the whole label list
+    names = F.array(*map(F.lit, LX.LOGIT_LABELS))
+    gold = lg.select("id", multi_hot(names, F.array(F.element_at(names, F.col("label") + 1))).alias("gold"))
     m = epsilon_micro_f1(lg, gold, "id", "logits", "gold", 0.5)
     return m.select("tp", "fp", "fn", r9("precision").alias("precision"),
                     r9("recall").alias("recall"), r9("micro_f1").alias("micro_f1"))
@@ -454,6 +558,21 @@ def q_pick_evidence_text(spark, sf_dir):
     return r.select(F.col("id").alias("doc_id"), "label", "rank", "sent_idx", "score", "sentence")
 
 
+@query
+def q_score_logits(spark, sf_dir):
+    """The logits path end to end, nested records flattened."""
+    from textcards.operators.logits import score_logits
+    lg = _logits(spark, sf_dir).select("id", F.lit(LX.LOGIT_FIELD).alias("field"), "logits")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    rec = score_logits(docs, lg, logit_taxonomy(spark), lexicon_table(spark, {LX.LOGIT_FIELD: LX.LOGIT_EVIDENCE_KEYWORDS}),
+                       [LX.LOGIT_FIELD], "id")
+    f = LX.LOGIT_FIELD
+    ev = F.col("evidence")[f]
+    return rec.select(F.col("id").alias("doc_id"), F.array_join(F.col("pred")[f], ",").alias("labels"),
+                      r9(F.aggregate(F.map_values(F.col("confidence")[f]), F.lit(0.0), lambda a, x: a + x)).alias("confidence"),
+                      F.array_join(F.transform(F.col("pred")[f], lambda l: F.array_join(ev[l], "|")), ";").alias("evidence"))
+
+
 # --- C12: P16 P17 J8 / C13: J11 ------------------------------------------------------------
 @query
 def q_cards(spark, sf_dir):
@@ -487,19 +606,22 @@ def annotation_tables(spark, sf_dir):
     q = lab.select("incident_id", F.lit("quality").alias("field"),
                    F.when(F.col("quality") == 1, F.lit(" high , bogus ,high")).otherwise(F.lit(""))
                    .alias("labels_raw"),
-                   F.create_map(F.lit("high"), F.lit("2, 0,0, 999 ,x, -1")).alias("evidence_raw"))
+                   F.create_map(F.lit("high"), F.lit("2, 0,0, 999 ,x, -1, 0000000001, 99999999999999999999")).alias("evidence_raw"))
     la = lab.select("incident_id", F.lit("language").alias("field"),
                     F.when(F.col("toxic") == 1, F.lit("fr,en")).otherwise(F.lit("   "))
                     .alias("labels_raw"),
                     F.create_map(F.lit("fr"), F.lit("1"), F.lit("en"), F.lit("")).alias("evidence_raw"))
-    return records.drop("lang"), q.unionByName(la)
+    early = lab.select("incident_id", F.lit("quality").alias("field"), F.lit("low").alias("labels_raw"),
+                       F.create_map(F.lit("low"), F.lit("0")).alias("evidence_raw"), F.lit(0).alias("ord"))
+    late = q.unionByName(la).withColumn("ord", F.lit(1))
+    return records.drop("lang"), early.unionByName(late)
 
 
 @query
 def q_merge_annotations(spark, sf_dir):
     from textcards.operators.cards import merge_annotations
     records, ann = annotation_tables(spark, sf_dir)
-    out = merge_annotations(records, ann, gold_taxonomy(spark), LX.GOLD_FIELDS, "incident_id")
+    out = merge_annotations(records, ann, gold_taxonomy(spark), LX.GOLD_FIELDS, "incident_id", "ord")
     ex = out.select("incident_id", "evidence_gold", F.explode("labels").alias("field", "labs"))
     ev = F.element_at(F.col("evidence_gold"), F.col("field"))
     return ex.select(F.col("incident_id").alias("doc_id"), "field",
@@ -544,15 +666,13 @@ def q_split_label_metrics(spark, sf_dir):
     from textcards.operators.splits import hash_split
     docs = table(spark, sf_dir, "documents")
     gold, gold_ids = gold_tables(spark, sf_dir)
-    # reused by four restrictions (and their emptiness checks): keep one copy
-    test = (hash_split(gold_ids, "id", 0.2, 13).where(F.col("part") == "test").select("id")
-            .persist(StorageLevel.MEMORY_AND_DISK))
+    test = hash_split(gold_ids, "id", 0.2, 13).where(F.col("part") == "test").select("id")
     pred = (lexicon_labels(docs, doc_lexicon(spark), "doc_id", "text", doc_taxonomy(spark))
             .select(F.col("doc_id").alias("id"), "field", "label"))
-    pred_ids = docs.select(F.col("doc_id").alias("id"))
-    _, per_field = label_metrics(restrict_ids(gold, test, "id"), restrict_ids(pred, test, "id"),
-                                 restrict_ids(gold_ids, test, "id"),
-                                 restrict_ids(pred_ids, test, "id"), gold_taxonomy(spark), "id")
+    pred_ids = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"))
+    # only gold records of the split are scored, whatever else was predicted
+    _, per_field = label_metrics(gold, pred, restrict_ids(gold_ids, test, "id"), pred_ids,
+                                 gold_taxonomy(spark), "id")
     return per_field.select("field", "n", "n_scored",
                             *[r9(c).alias(c) for c in ("micro_precision", "micro_recall",
                                                         "micro_f1", "macro_f1")])
@@ -567,3 +687,33 @@ def q_incident_lexicon(spark, sf_dir):
                         taxonomy_table(spark, LX.INCIDENT_TAXONOMY))
     return p.select("doc_id", "field", "label", "hits", "confidence",
                     ints_csv("evidence").alias("evidence"))
+
+
+INCIDENT_SENTENCES = [
+    "The raptor engine failed to ignite and the tank began leaking.",
+    "Telemetry dropped; guidance was lost. Attitude control failed, and FTS was activated.",
+    "Fire near the launch mount. A heat shield tile hit by debris broke apart; the vehicle was lost.",
+    "Launch delayed by a software bug, a small issue. Reentry heating. Cause unclear.",
+    "Nothing of note happened. The signal\nlost its way. Engineers unlisted the update.",
+]
+
+
+def incident_texts(id_col: str = "doc_id"):
+    """Documents with an incident sentence or two ahead of their own text."""
+    pick = lambda k: F.element_at(F.array(*map(F.lit, INCIDENT_SENTENCES)), (k % len(INCIDENT_SENTENCES) + 1).cast("int"))
+    i = F.col(id_col)
+    return F.concat(pick(i), F.lit(" "), F.when(i % 3 == 0, pick(F.floor(i / 7))).otherwise(F.lit("")), F.lit(" "),
+                    F.coalesce("text", F.lit("")))
+
+
+@query
+def q_incident_lexicon_hits(spark, sf_dir):
+    """The original lexicon where its keywords occur: all four fields, keywords
+    in several labels and across a line end, and a label outside the taxonomy."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", incident_texts().alias("text"))
+    lexicon = {f: dict(labels) for f, labels in LX.INCIDENT_LEXICON.items()}
+    lexicon["subsystem"]["unlisted"] = ["unlisted"]
+    p = lexicon_predict(docs, lexicon_table(spark, lexicon), "doc_id", "text",
+                        taxonomy_table(spark, LX.INCIDENT_TAXONOMY))
+    return p.select("doc_id", "field", "label", "hits", "confidence",
+                    ints_csv("evidence").alias("evidence"))
