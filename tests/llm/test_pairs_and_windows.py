@@ -33,6 +33,14 @@ def near_copies(count, seed=3, size=80, edits=4):
     return out
 
 
+def test_weak_parts_lose_no_link(spark, monkeypatch):
+    rows = near_copies(120, 9, 60, 5)
+    monkeypatch.setattr(shingle_join, "HOT_PART", 2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in shingle_join.jaccard_components(docs, n=3, percent=80).collect()]
+    assert order(got) == order(brute.jaccard_components(rows, 3, 80))
+
+
 def test_large_cluster_is_dealt_in_blocks(spark):
     rows = near_copies(60)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -41,7 +49,7 @@ def test_large_cluster_is_dealt_in_blocks(spark):
 
 
 @pytest.mark.parametrize("percent", [80, 90])
-def test_parts_of_linked_sets_meet(percent):
+def test_prefixes_of_linked_sets_meet(percent):
     rng = np.random.default_rng(1)
     for size in [1, 2, 3, 5, 8, 9, 10, 13, 20, 37, 90, 250]:
         for _ in range(30):
@@ -50,7 +58,13 @@ def test_parts_of_linked_sets_meet(percent):
             b = np.unique(np.concatenate([np.delete(a, drop), rng.integers(0, 1 << 63, rng.integers(0, 2)).astype(np.uint64)]))
             k = len(np.intersect1d(a, b))
             if k and 100 * k >= percent * (len(a) + len(b) - k) and not np.array_equal(a, b):
-                assert np.intersect1d(shingle_join.signatures(a, percent), shingle_join.signatures(b, percent)).size
+                both = np.intersect1d(shingle_join.prefix(a, percent), shingle_join.prefix(b, percent)).size
+                assert both >= shingle_join.common(len(a), percent) and both >= shingle_join.common(len(b), percent)
+                (x, s), (y, t) = shingle_join.signatures(a, percent), shingle_join.signatures(b, percent)
+                same = np.isin(x, y)         # in one partition, more than either set's budget
+                assert any((same & (s == g)).sum() > g // shingle_join.TAGS for g in np.unique(s))
+                same = np.isin(y, x)
+                assert any((same & (t == g)).sum() > g // shingle_join.TAGS for g in np.unique(t))
 
 
 def test_count_tree_finds_all_that_can_link():

@@ -6,12 +6,18 @@ their Jaccard similarity reaches a threshold (exactly, in integers).
 1. *Sets.*  One pass over the texts gives each document the size and a 128-bit
    hash of its set.  Documents of equal sets are one class, which its smallest
    doc_id represents: copies are never expanded into pairs.
-2. *Lossless partition.*  Only representatives go on.  A set is cut by hash
-   range into P parts, where two sets that link can differ in at most d
-   elements and P exceeds d by 1 + (parts that may be empty); so linked sets
-   have a non-empty part in common (sets with more empty parts than that are
-   cut anew by another hash).  Parts of at least two different sets tie
-   these into clusters (a star to the smallest, then connected components).
+2. *Lossless partition.*  Only representatives go on, in two steps.
+   a. Sets are ordered by hash.  Two sets that link overlap so much that their
+      prefixes, as long as a set may lack of a partner and ``SHARED`` percent of
+      it more, have about that many elements in common.  A set that shares
+      fewer elements of its prefix with others has no link and goes.
+   b. The sets left are cut by hash range into P parts, where linked sets differ
+      in at most d elements and P exceeds d by 1 + spare; so they agree in more
+      than ``spare`` parts.  Empty parts may be left out up to that number (a
+      set with more is cut anew by another hash), a set that shares fewer parts
+      goes, and parts that very many sets share, as those of a common line, may
+      be left out as well.  What is left ties the sets that share a part into
+      clusters (a star to the smallest, then connected components).
    A link never leaves its cluster.
 3. *R-tree.*  Within a cluster the shingles are hashed into groups; a
    document is the point of its group counts.  The points are packed into a
@@ -20,9 +26,9 @@ their Jaccard similarity reaches a threshold (exactly, in integers).
    overlap, and surviving pairs are verified on the exact sets.  Pairs that
    are already connected are not verified again; a spanning forest of
    verified links leaves the task.
-   A cluster beyond ``max_cluster`` sets is dealt as pairs of blocks, one task
-   each, so that no task holds an unbounded group; every pair of sets still
-   meets in one of them.
+   A cluster beyond ``max_cluster`` sets is cut by set size, and where that
+   does not do, dealt as pairs of blocks, one task each; so no task holds an
+   unbounded group, and every pair of sets that can link meets in one of them.
 4. Components of the verified links.
 
 Cases: null or empty texts and texts without words have an empty set, link
@@ -35,7 +41,7 @@ columns are neither read nor returned.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textcards.llm import ship, storage, tokens
@@ -46,26 +52,44 @@ FANOUT = 16          # points of a leaf, children of a node
 MAX_CLUSTER = 1500   # sets compared in one task
 BLOCK = 750          # sets of a block of a larger cluster
 BATCH_ROWS = 256     # rows of an Arrow batch that a task returns
-STEP = 1.5           # ratio of the size classes
+SHARED = 10          # percent of a set that linked prefixes have in common at least
+STEP = 1.5           # ratio of the size classes of the parts
+HOT_PART = 64        # a part of more sets than this is weak: it selects little
+WEAK_SHARE = 0.1     # parts (of all of a set) added so that weak ones may be left out
 ROUNDS = 6           # partitions tried before empty parts count as common ones
+TAGS = 16            # at least 2 * ROUNDS
 MAX_BROADCAST = 500_000   # rows of (doc_id, cluster) sent to every executor
 
 
-def size_class(n: int, percent: int) -> tuple[int, list[int]]:
-    """(class of a set of n elements, classes for which it gives parts)."""
-    c, upper = 0, 1
-    while n > upper:
-        c, upper = c + 1, class_upper(c + 1)
-    return c, [c, c + 1] if n * 100 // percent > upper else [c]
+def common(n: int, percent: int) -> int:
+    """Elements that the prefix of a set of n has in common with that of every
+    set it links with, whose size is at least ``percent`` of n."""
+    return max(1, SHARED * -(-percent * n // 100) // 100)
+
+
+def prefix(s: np.ndarray, percent: int) -> np.ndarray:
+    """The first elements of a sorted set: as many as it may lack of a partner
+    (it shares at least ``percent`` of its elements with one) and those that
+    are to be in common."""
+    n = len(s)
+    return s[:n - -(-percent * n // 100) + max(1, SHARED * n // 100)]
 
 
 def class_upper(c: int) -> int:
     return int(STEP ** (c + 1)) + c
 
 
+def size_class(n: int, percent: int) -> list[int]:
+    """The class of a set of n elements, and the next if a partner may be in it."""
+    c = 0
+    while n > class_upper(c):
+        c += 1
+    return [c, c + 1] if n * 100 // percent > class_upper(c) else [c]
+
+
 def class_parts(c: int, percent: int) -> tuple[int, int]:
-    """(parts P of a class, empty parts that may be skipped); P = 0: no two
-    different sets of the class link."""
+    """(parts P of a class, spare ones); P = 0: no two different sets of the
+    class link."""
     u = class_upper(c)
     d = (100 - percent) * 2 * u // (100 + percent)
     if d == 0:
@@ -75,7 +99,7 @@ def class_parts(c: int, percent: int) -> tuple[int, int]:
         p = d + 1 + spare
         low = u / STEP       # the smallest sets of the class have most empty parts
         empty = p * np.exp(-low / p)
-        want = int(np.ceil(empty + 3 * np.sqrt(empty)))
+        want = int(np.ceil(empty + 3 * np.sqrt(empty) + p * WEAK_SHARE)) + 1
         if want <= spare:
             break
         if want > p // 2:    # tiny sets: all parts count, empty ones too
@@ -84,14 +108,16 @@ def class_parts(c: int, percent: int) -> tuple[int, int]:
     return d + 1 + spare, spare
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """Hashes of the parts of one set, for each class it may meet.
+def signatures(s: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the parts of one set, their tags), for each class it may meet.
 
     Two sets that link agree in more parts than ``spare``; if either has at
     most ``spare`` empty parts, they share a non-empty one.  If both have
-    more, both go on to another partition of the same kind."""
-    out = []
-    for c in size_class(len(s), percent)[1] if len(s) else []:
+    more, both go on to another partition of the same kind.  A tag is
+    ``TAGS * budget + partition``: the budget is how many more parts of that
+    partition the set may leave out with that still true."""
+    sigs, tags = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+    for k, c in enumerate(size_class(len(s), percent) if len(s) else []):
         p, spare = class_parts(c, percent)
         for again in range(ROUNDS if p else 0):
             t = np.sort(tokens.mix(s ^ np.uint64(again))) if again else s
@@ -103,11 +129,14 @@ def signatures(s: np.ndarray, percent: int) -> np.ndarray:
             tag = tokens.mix(np.arange(p, dtype=np.uint64) + np.uint64((c + 1) * ROUNDS + again << 32))
             sig = tokens.mix((acc[end] - acc[at]) ^ tag)
             full = end > at
-            few = p - full.sum() <= spare
-            out.append(sig if again == ROUNDS - 1 and not few else sig[full])
-            if few:
+            empty = int(p - full.sum())
+            if again == ROUNDS - 1 and empty > spare:
+                full[:], empty = True, 0
+            sigs.append(sig[full])
+            tags.append(np.full(full.sum(), TAGS * max(0, spare - empty) + k * ROUNDS + again, np.int32))
+            if empty <= spare:
                 break
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+    return np.concatenate(sigs), np.concatenate(tags)
 
 
 def set_hash(s: np.ndarray) -> tuple[int, int]:
@@ -116,7 +145,7 @@ def set_hash(s: np.ndarray) -> tuple[int, int]:
 
 
 def read_sets(n: int, percent: int, want_set: bool):
-    """Task code: (doc_id, text[, cluster, ...]) -> sets or their signatures."""
+    """Task code: (doc_id, text) -> sizes, hashes and prefixes, or whole sets and their parts."""
     def run(batches):
         import pyarrow as pa
         for batch in batches:
@@ -124,18 +153,22 @@ def read_sets(n: int, percent: int, want_set: bool):
             for i, j in tokens.chunks(offs):
                 rows = list(tokens.shingle_sets(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i], tokens.NON_SPACE, n))
                 if want_set:
-                    keep = [batch.column(c).slice(i, j - i) for c in ("doc_id", "cluster")]
-                    out = pa.RecordBatch.from_arrays([*keep, pa.array([s.tobytes() for s in rows], pa.binary())],
-                                                     names=["doc_id", "cluster", "items"])
+                    sig = [signatures(s, percent) for s in rows]
+                    at = pa.array(np.cumsum([0, *(len(x) for x, _ in sig)]).astype(np.int32))
+                    parts, tags = (np.concatenate([x[k] for x in sig]) for k in (0, 1))
+                    out = pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").slice(i, j - i), pa.array([s.tobytes() for s in rows], pa.binary()),
+                         pa.ListArray.from_arrays(at, pa.array(parts.view(np.int64))),
+                         pa.ListArray.from_arrays(at, pa.array(tags))], names=["doc_id", "items", "parts", "tags"])
                 else:
                     h = [set_hash(s) for s in rows]
-                    sig = [signatures(s, percent).view(np.int64) for s in rows]
-                    at = np.cumsum([0, *map(len, sig)]).astype(np.int32)
+                    first = [prefix(s, percent) for s in rows]
+                    at = pa.array(np.cumsum([0, *map(len, first)]).astype(np.int32))
                     out = pa.RecordBatch.from_arrays(
                         [batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in rows], pa.int64()),
                          pa.array([x[0] for x in h], pa.int64()), pa.array([x[1] for x in h], pa.int64()),
-                         pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(sig)))],
-                        names=["doc_id", "n_shingles", "h1", "h2", "parts"])
+                         pa.ListArray.from_arrays(at, pa.array(np.concatenate(first).view(np.int64)))],
+                        names=["doc_id", "n_shingles", "h1", "h2", "prefix"])
                 yield out
     return run
 
@@ -232,7 +265,7 @@ def join_clusters(percent: int):
         def solve(rows):
             ids = [r[1] for r in rows]
             sets = [np.frombuffer(r[2], np.uint64) for r in rows]
-            cross = any(r[0] >= 0 for r in rows)
+            cross = rows[0][0] >= 0
             return links(ids, sets, percent, np.array([r[0] for r in rows]) if cross else None)
 
         def pack(found):
@@ -260,22 +293,49 @@ def verified_links(items: DataFrame, cluster: DataFrame, percent: int, max_clust
 
     ``items (doc_id, cluster, items)`` holds the sets, ``cluster (doc_id,
     cluster)`` the membership.  A cluster of up to ``max_cluster`` sets is one
-    task's; a larger one is dealt as all pairs of its blocks."""
-    sizes = cluster.groupBy("cluster").agg(F.count("*").alias("k")).where(F.col("k") > max_cluster)
-    items = items.join(storage.bounded(sizes, MAX_BROADCAST), "cluster", "left")
-    whole = F.col("k").isNull()
+    task's.  A larger one is cut into bands of set size, no wider than linked
+    sets may differ, and a task gets two neighbouring bands; if these are still
+    too many sets, it is dealt as all pairs of its blocks."""
+    items = storage.cut(items, "items")
+    large = cluster.groupBy("cluster").agg(F.count("*").alias("k")).where(F.col("k") > max_cluster).select(
+        "cluster", F.lit(True).alias("large"))
+    size = F.octet_length("items") / 8
+    band = F.floor(F.log(size) / F.lit(np.log(100.2 / percent))).cast("long")
+    alone = F.array(F.lit(-2).cast("long"))
+    placed = (items.join(storage.bounded(large, MAX_BROADCAST), "cluster", "left")
+              .withColumn("band", F.explode(F.when(F.col("large"), F.array(band - 1, band)).otherwise(alone))))
+    many = (placed.groupBy("cluster", "band").agg(F.count("*").alias("k")).where(F.col("k") > max_cluster)
+            .withColumn("nb", F.ceil(F.col("k") / block)).drop("k"))
+    many = storage.cut(many, "blocks")
     zero = F.lit(0).cast("long")
-    dealt = (items.withColumn("nb", F.ceil(F.coalesce("k", F.lit(1)) / block))
-             .withColumn("mine", F.when(whole, zero).otherwise(F.pmod(F.xxhash64("doc_id"), "nb")))
-             .withColumn("other", F.explode(F.when(whole, F.array(zero)).otherwise(F.sequence(zero, F.col("nb") - 1))))
-             .select(F.struct("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).alias("pair"),
+    dealt = (placed.join(storage.bounded(many, MAX_BROADCAST), ["cluster", "band"], "left")
+             .withColumn("nb", F.coalesce("nb", F.lit(1).cast("long")))
+             .withColumn("mine", F.pmod(F.xxhash64("doc_id"), "nb"))
+             .withColumn("other", F.explode(F.sequence(zero, F.col("nb") - 1)))
+             .select(F.struct("cluster", "band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).alias("pair"),
                      F.when(F.col("mine") == F.col("other"), -1).when(F.col("mine") < F.col("other"), 0)
                      .otherwise(1).cast("int").alias("side"), "doc_id", "items"))
     tasks = (dealt.repartition("pair").sortWithinPartitions("pair", "doc_id")
-             .select(F.concat_ws("/", "pair.cluster", "pair.i", "pair.j").alias("task"), "side", "doc_id", "items"))
+             .select(F.concat_ws("/", "pair.cluster", "pair.band", "pair.i", "pair.j").alias("task"), "side", "doc_id", "items"))
     return tasks.mapInArrow(join_clusters(percent), "a long, b long")
 
 
+def shared_parts(near: DataFrame) -> DataFrame:
+    """``(part, weak)`` of the parts that more than one row has; ``weak`` tells
+    a part of very many sets.  A table that grows with the corpus: it is
+    counted with map-side partial sums and merge-joined, never broadcast."""
+    return storage.cut(near.groupBy("part").agg(F.count("*").alias("n")).where("n > 1")
+                       .select("part", (F.col("n") > HOT_PART).alias("weak")), "shared")
+
+
+def shared_by_enough(near: DataFrame, of: list[str], least: str) -> DataFrame:
+    """``near (rep, part, ...)`` without parts that only one row has, and without
+    the groups ``of`` one set that have fewer than ``least`` left."""
+    found = near.drop("weak").join(shared_parts(near).hint("merge"), "part")
+    return storage.cut(found.withColumn("n", F.count("*").over(Window.partitionBy(*of)))       # parts of one set
+                       .where(f"n >= {least}").drop("n"), "near")
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, max_cluster: int = MAX_CLUSTER,
                        block: int = BLOCK) -> DataFrame:
     """``docs (doc_id, text)`` -> ``doc_id, n_shingles, component_id``, a row per
@@ -284,25 +344,40 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, max_clust
     ship("textcards.llm.tokens", __name__)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = storage.cut(texts.mapInArrow(
-        read_sets(n, percent, False), "doc_id long, n_shingles long, h1 long, h2 long, parts array<long>"), "sets")
+        read_sets(n, percent, False), "doc_id long, n_shingles long, h1 long, h2 long, prefix array<long>"), "sets")
     known = sets.where("doc_id is not null and n_shingles > 0")
     classes = storage.cut(known.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
     key = ["n_shingles", "h1", "h2"]
-    same = known.join(classes, key)          # a class holding a third of all rows is split by AQE
-
-    parts = (same.where("doc_id = rep").select("rep", F.explode("parts").alias("part")))
-    shared = storage.cut(parts.groupBy("part").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"))
-                         .where("hub < top").select("part", "hub"), "shared")
-    stars = parts.join(shared, "part").where("rep != hub").select(
+    copies = storage.cut(known.select("doc_id", *key).join(classes, key)      # AQE splits a class of a third of all rows
+                         .where("doc_id != rep").select("doc_id", "h1", "rep"), "copies")
+    # the prefixes stay where they are: other tables are joined to them
+    reps = known.join(storage.bounded(copies.select("doc_id", "h1"), MAX_BROADCAST), ["doc_id", "h1"], "left_anti")
+    near = reps.select(F.col("doc_id").alias("rep"), F.explode("prefix").alias("part"))
+    shares = shared_parts(near).join(near.hint("merge"), "part").groupBy("rep").agg(F.count("*").alias("n"))
+    least = F.expr(f"greatest(1L, {SHARED} * (({percent} * n_shingles + 99) div 100) div 100)")
+    left = shares.join(reps.select(F.col("doc_id").alias("rep"), least.alias("least")), "rep").where("n >= least")
+    left = left.select(F.col("rep").alias("doc_id")).distinct()
+
+    kept = storage.cut(texts.join(storage.bounded(storage.cut(left, "left"), MAX_BROADCAST), "doc_id").mapInArrow(
+        read_sets(n, percent, True), "doc_id long, items binary, parts array<long>, tags array<int>"), "kept")
+    near = (kept.select(F.col("doc_id").alias("rep"), F.explode(F.arrays_zip("parts", "tags")).alias("x"))
+            .select("rep", F.col("x.parts").alias("part"), F.col("x.tags").alias("tag"))
+            .withColumn("least", F.expr(f"tag div {TAGS} + 1")))
+    for _ in range(2):
+        near = shared_by_enough(near, ["rep", "tag"], "least")
+    # a set leaves out its weak parts where one that is not weak must be left
+    n_weak = F.sum(F.col("weak").cast("int")).over(Window.partitionBy("rep", "tag"))
+    near = storage.cut(near.withColumn("n", n_weak).where("not weak or n >= least").select("rep", "part"), "near")
+    hubs = storage.cut(near.groupBy("part").agg(F.min("rep").alias("hub"), F.max("rep").alias("high"))
+                       .where("hub < high").select("part", "hub"), "hubs")
+    stars = near.join(hubs.hint("merge"), "part").where("rep != hub").select(
         F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     cluster = storage.cut(components(stars, "clusters").select(
         F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "members")
 
-    items = texts.join(storage.bounded(cluster, MAX_BROADCAST), "doc_id").mapInArrow(
-        read_sets(n, percent, True), "doc_id long, cluster long, items binary")
+    items = kept.select("doc_id", "items").join(storage.bounded(cluster, MAX_BROADCAST), "doc_id")
     found = verified_links(items, cluster, percent, max_cluster, block)
-    copies = same.where("doc_id != rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    merged = components(found.unionByName(copies), "links")
+    merged = components(found.unionByName(copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))), "links")
     return (sets.select("doc_id", "n_shingles").join(merged, sets.doc_id == merged.node, "left")
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
 
