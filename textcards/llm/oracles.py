@@ -1,0 +1,110 @@
+"""DuckDB twins of the llm queries that SQL can express."""
+
+from __future__ import annotations
+
+from textcards.llm.license_templates import TEMPLATES
+
+LOW = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SPACED = "[^\\x20\\x09-\\x0D]+"
+ALNUM = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+
+
+def _words(pattern: str, text: str = "coalesce(text, '')") -> str:
+    return f"regexp_extract_all({LOW.format(t=text)}, '{pattern}')"
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+OP4 = f"""
+WITH it AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words(ALNUM)} AS w FROM benchmark),
+ik AS (SELECT item, w, least(10, len(w)) AS k FROM it WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS s
+        FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM ik)),
+d AS (SELECT doc_id, {_words(ALNUM)} AS w FROM documents),
+dk AS (SELECT doc_id, w, k FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k),
+dw AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s
+       FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM dk)),
+hit AS (SELECT dw.doc_id, dw.i, dw.k, win.item FROM dw JOIN win ON win.s = dw.s AND win.k = dw.k),
+h AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
+i AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(i.n, 0) AS BIGINT) AS n_items, sha256(coalesce(i.items, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id"""
+
+OP5 = f"""
+WITH RECURSIVE ln AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS line, unnest(l) AS s
+             FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+p AS (SELECT doc_id, line, row_number() OVER (ORDER BY doc_id, line) AS id, w
+      FROM (SELECT doc_id, line, {_words(SPACED, 's')} AS w FROM ln) WHERE len(w) >= 20),
+sh AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM p)),
+n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
+pair AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM sh a JOIN sh b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id),
+link AS (SELECT x, y FROM pair JOIN n a ON a.id = x JOIN n b ON b.id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
+both_ AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+r AS (SELECT DISTINCT x AS a, x AS b FROM both_ UNION SELECT r.a, both_.y FROM r JOIN both_ ON both_.x = r.b),
+gone AS (SELECT a AS id FROM r GROUP BY a HAVING min(b) < a),
+g AS (SELECT p.doc_id, list(line ORDER BY line) AS lines FROM p JOIN gone USING (id) GROUP BY p.doc_id),
+np AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
+kept AS (SELECT ln.doc_id, string_agg(s, chr(10) ORDER BY line) AS t FROM ln LEFT JOIN g ON g.doc_id = ln.doc_id
+         WHERE g.lines IS NULL OR NOT list_contains(g.lines, line) GROUP BY ln.doc_id)
+SELECT d.doc_id, CAST(coalesce(np.n, 0) AS BIGINT) AS n_paragraphs, CAST(coalesce(len(g.lines), 0) AS BIGINT) AS n_removed,
+       coalesce(array_to_string(g.lines, ','), '') AS removed_lines, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM documents d LEFT JOIN np ON np.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+_TEMPLATES = ", ".join(f"({_text(k)}, {_text(v)})" for k, v in TEMPLATES.items())
+_GRAMS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+
+
+def _plain(x: str) -> str:
+    return f"string_split(trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), ' ')"
+
+
+OP6 = f"""
+WITH t AS (SELECT name, {_GRAMS} AS g FROM (SELECT name, {_plain('body')} AS w FROM (VALUES {_TEMPLATES}) v(name, body))),
+u AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS line, unnest(l) AS s
+      FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)
+      UNION ALL SELECT doc_id, -1, coalesce(text, '') FROM documents),
+g AS (SELECT doc_id, line, {_GRAMS} AS g FROM (SELECT doc_id, line, {_plain('s')} AS w FROM u)),
+m AS (SELECT doc_id, line, name, 2.0::DOUBLE * len(list_intersect(g.g, t.g)) / (len(g.g) + len(t.g)) AS dice
+      FROM g JOIN t ON len(g.g) * 1.2 >= len(t.g) * 0.8 AND len(t.g) * 1.2 >= len(g.g) * 0.8),
+h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, line, name) AS r FROM m WHERE dice >= 0.8),
+a AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM h GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n_units, CAST(coalesce(a.n, 0) AS BIGINT) AS n_matches,
+       h.name AS license, h.dice, CAST(h.line AS INTEGER) AS line, coalesce(a.names, '') AS licenses
+FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN h ON h.doc_id = d.doc_id AND h.r = 1"""
+
+OP7 = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, p, md5(substr(x, 2 * p + 1, 400)) AS h
+      FROM (SELECT doc_id, x, unnest(range(0, len(x) // 2 - 199)) AS p FROM d WHERE len(x) >= 400)),
+twice AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+m AS (SELECT doc_id, p FROM w WHERE h IN (SELECT h FROM twice)),
+e AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS new FROM m),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS b FROM (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM e)
+      GROUP BY doc_id, k),
+cut AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f, a AS t, a FROM s
+        UNION ALL SELECT doc_id, max(b), NULL, 9e18 FROM s GROUP BY doc_id),
+kept AS (SELECT d.doc_id, string_agg(substr(x, 2 * f + 1, 2 * (coalesce(t, len(x) // 2) - f)), '' ORDER BY a) AS x
+         FROM cut JOIN d ON d.doc_id = cut.doc_id GROUP BY d.doc_id),
+n AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n.removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n.spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
+OP10 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_words(SPACED)} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN 'all ' || array_to_string(w, ' ') ELSE '3 ' || array_to_string(w[i:i + 2], ' ') END AS g
+       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS (SELECT x, y FROM pair JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 90 * (a.n + b.n - k)),
+both_ AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+r AS (SELECT DISTINCT x AS a, x AS b FROM both_ UNION SELECT r.a, both_.y FROM r JOIN both_ ON both_.x = r.b),
+c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id"""
+
+ORACLES = {"op4_decontamination": OP4, "op5_paragraph_dedup": OP5, "op6_license_scan": OP6, "op7_suffix_dedup": OP7,
+           "op10_shingle_join": OP10}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textcards.llm.oracles import ORACLES  # noqa: F401  (read by the entry point)
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -80,5 +82,3 @@ def op10_shingle_join(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_warc, op3_source_mixing, op4_decontamination, op5_paragraph_dedup,
                                     op6_license_scan, op7_suffix_dedup, op8_token_shards, op9_fingerprints,
                                     op10_shingle_join)}
-
-ORACLES: dict[str, str] = {}
