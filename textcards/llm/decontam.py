@@ -1,8 +1,8 @@
 """Operator 4: benchmark decontamination with suffix arrays of the training text.
 
 A *window* is ``window`` consecutive words of an item; an item of fewer words,
-but not none, is one window.  Each task takes its batch of training documents
-as one shard: it replaces words by their numbers in the vocabulary of the
+but not none, is one window.  Each task takes its training documents in shards
+of a few megabytes: it replaces words by their numbers in the vocabulary of the
 test items, sorts the suffixes that can start a window (their first words
 start some window) into a suffix array, and binary-searches every test suffix
 in it, word by word.  The interval that is left after a whole window holds all
@@ -135,7 +135,7 @@ def scan(block: TestItems, keep: list[str], text: str):
     def run(batches):
         import pyarrow as pa
         ids = np.array(block.ids, dtype=object)
-        for batch in batches:
+        for batch in (x for b in batches for x in tokens.slices(b, text)):
             n = batch.num_rows
             buf, offs = tokens.text_bytes(batch.column(text))
             numbers, docs = [], []

@@ -77,7 +77,7 @@ def feature_matrix(column) -> np.ndarray:
 def read_features(batches):
     """Task code: (quality, text) -> (quality, features)."""
     import pyarrow as pa
-    for batch in batches:
+    for batch in (x for b in batches for x in tokens.slices(b, "text")):
         x = feature_matrix(batch.column("text"))
         at = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
         yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.ListArray.from_arrays(at, pa.array(x.ravel()))],
@@ -211,7 +211,7 @@ def scorer(model: Gam, keep: list[str], text: str):
     """Task code: the kept columns and the score of column ``text``."""
     def run(batches):
         import pyarrow as pa
-        for batch in batches:
+        for batch in (x for b in batches for x in tokens.slices(b, text)):
             score = model.predict(feature_matrix(batch.column(text)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)],
                                              names=[*keep, "_score"])

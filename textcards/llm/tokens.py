@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 U64 = np.uint64
-CHUNK_BYTES = 2 << 20          # temporary arrays are about 40 times this
+CHUNK_BYTES = 1 << 20          # temporary arrays are about 40 times this
 _BASE = 0x9E3779B97F4A7C15     # odd, so it has an inverse modulo 2**64
 
 
@@ -76,6 +76,17 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
         i = j
 
 
+SLICE_BYTES = 4 << 20
+
+
+def slices(batch, text: str):
+    """An Arrow batch in parts of about ``SLICE_BYTES`` of text (one row at
+    least): what a task makes of a batch, and returns at once, stays small."""
+    _, offs = text_bytes(batch.column(text))
+    for i, j in chunks(offs, SLICE_BYTES):
+        yield batch.slice(i, j - i)
+
+
 def _words(buf, offs, lut):
     low = lut[buf]
     inside = low != 0
