@@ -85,9 +85,10 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, texts: dict[str, str] |
 
 
 def digest(docs: DataFrame, **kw) -> DataFrame:
-    """One row per document: its best match and the names of all it matches."""
+    """One row per document: its best match and the names of all it matches
+    (without a match: an empty name, coefficient 0 and line -2)."""
     df = scan(docs, **kw)
     best = F.try_element_at("matches", F.lit(1))
-    return df.select("doc_id", "n_units", F.size("matches").cast("long").alias("n_matches"), best["license"].alias("license"),
-                     best["dice"].alias("dice"), best["line"].alias("line"),
+    return df.select("doc_id", "n_units", F.size("matches").cast("long").alias("n_matches"), F.coalesce(best["license"], F.lit("")).alias("license"),
+                     F.coalesce(best["dice"], F.lit(0.0)).alias("dice"), F.coalesce(best["line"], F.lit(-2)).alias("line"),
                      F.array_join(F.array_sort(F.array_distinct(F.col("matches")["license"])), ",").alias("licenses"))

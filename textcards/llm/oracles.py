@@ -72,7 +72,7 @@ m AS (SELECT doc_id, line, name, 2.0::DOUBLE * len(list_intersect(g.g, t.g)) / (
 h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, line, name) AS r FROM m WHERE dice >= 0.8),
 a AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM h GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n_units, CAST(coalesce(a.n, 0) AS BIGINT) AS n_matches,
-       h.name AS license, h.dice, CAST(h.line AS INTEGER) AS line, coalesce(a.names, '') AS licenses
+       coalesce(h.name, '') AS license, coalesce(h.dice, 0.0::DOUBLE) AS dice, CAST(coalesce(h.line, -2) AS INTEGER) AS line, coalesce(a.names, '') AS licenses
 FROM documents d LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN h ON h.doc_id = d.doc_id AND h.r = 1"""
 
 OP7 = """
