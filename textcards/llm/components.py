@@ -41,4 +41,6 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             break
         seen = now
     out = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return out.unionByName(out.select(F.col("component").alias("node"), "component").distinct())
+    out = out.unionByName(out.select(F.col("component").alias("node"), "component").distinct())
+    out._shared_path = edges._shared_path
+    return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,20 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/textcards-{name}-{uuid.uuid4().hex}"
 
 
+_made: list[list[str]] = []
+
+
+@contextmanager
+def released():
+    """Deletes at the end what ``cut`` has written inside, but for the tables
+    whose paths are taken off the yielded list."""
+    _made.append([])
+    try:
+        yield _made[-1]
+    finally:
+        drop(*_made.pop())
+
+
 def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -35,6 +50,8 @@ def cut(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._shared_path = path
+    for made in _made:
+        made.append(path)
     return out
 
 
