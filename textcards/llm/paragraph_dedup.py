@@ -1,7 +1,9 @@
 """Operator 5: near-duplicate paragraphs by MinHash banding.
 
 A paragraph is a line of at least ``min_words`` words (white-space separated,
-A-Z lower-cased).  Shorter lines are never removed: they repeat by chance.
+A-Z lower-cased), and also a block of that many words: the lines between two
+blank lines, joined, where they are several (hard-wrapped text, passages over
+several lines).  Lines and blocks are compared with each other.
 
 1. One pass hashes every paragraph of every whole text: an identity hash of its
    words and a MinHash signature of its ``SHINGLE``-word shingles, folded into
@@ -12,8 +14,11 @@ A-Z lower-cased).  Shorter lines are never removed: they repeat by chance.
    the smallest of the band; connected components of these ties are clusters.
 3. Within a cluster the exact shingle sets are compared (Jaccard similarity,
    in integers); a cluster beyond a bound is dealt as pairs of blocks.
-4. Components of the verified links are groups.  Of each group the first
-   paragraph (smallest doc_id, then line) stays and the others are removed.
+4. Components of the verified links are groups.  Of a group with blocks the
+   first block (smallest doc_id, then line) stays and the other blocks go; the
+   lines go that are not in the block that stays.  Of a group without blocks
+   the first line stays that went with no block, and the others go.  So each
+   paragraph that goes has one that stays, and none goes for its own block.
 
 Cases: null and empty texts have no paragraphs.  Rows that share a doc_id are
 told apart by their text; rows that share both count as the same document and
@@ -33,7 +38,7 @@ from textcards.llm.shingle_join import MAX_BROADCAST, verified_links
 
 SHINGLE = 5
 PERCENT = 80
-MIN_WORDS = 20
+MIN_WORDS = SHINGLE
 RECALL = 0.9998
 MAX_ROWS = 2                 # minhashes of a band; more select better but need more bands
 ID_BITS = 33                 # paragraphs of one input partition: 2**33
@@ -63,30 +68,49 @@ def _spans(op, values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return op.reduceat(np.append(values, np.uint64(0)), np.column_stack([a, b]).ravel())[::2]
 
 
+def block_starts(buf: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """First lines of the blocks; a blank line is one of its own."""
+    if len(at) < 2:
+        return np.zeros(0, np.int64)
+    full = np.logical_or.reduceat(tokens.NON_SPACE[buf] != 0, at[:-1])
+    new = np.ones(len(full), bool)
+    new[1:] = ~(full[1:] & full[:-1]) | (doc[1:] != doc[:-1])
+    return np.flatnonzero(new)
+
+
 def read_paragraphs(min_words: int, bands: int, rows: int):
     """Task code: (doc_id, th, text) -> a row per paragraph."""
     u = np.uint64
 
-    def signed(part, at):
-        """(lines that are paragraphs, identity hashes, band hashes) of some lines."""
+    def identity(h, edge, a, b):
+        """Two hashes of the words of each span [a, b); ``edge``: where the
+        positions of the words are counted from."""
+        pos = (np.arange(len(h)) - np.repeat(edge[:-1], np.diff(edge))).astype(u)
+        return _sums(tokens.mix(h ^ tokens.mix(pos)), a, b), _sums(tokens.mix(h + tokens.mix(~pos)), a, b)
+
+    def signed(part, at, starts):
+        """(first and last lines of the paragraphs, identity hashes, band hashes) of some whole blocks."""
         h, line = tokens.words(part, at, tokens.NON_SPACE)
         edge = np.searchsorted(line, np.arange(len(at)))
-        keep = np.flatnonzero(np.diff(edge) >= min_words)
-        if not len(keep):
+        ends = np.append(starts[1:], len(at) - 1)
+        whole = edge[np.append(starts, len(at) - 1)]
+        lines = np.flatnonzero(np.diff(edge) >= min_words)
+        blocks = np.flatnonzero((np.diff(whole) >= min_words) & (ends - starts > 1))
+        first, last = np.append(lines, starts[blocks]), np.append(lines, ends[blocks] - 1)
+        if not len(first):
             return None
-        a, b = edge[keep], edge[keep + 1]
-        pos = (np.arange(len(h)) - np.repeat(edge[:-1], np.diff(edge))).astype(u)
-        h1 = _sums(tokens.mix(h ^ tokens.mix(pos)), a, b)
-        h2 = _sums(tokens.mix(h + tokens.mix(~pos)), a, b)
+        a, b = edge[first], edge[last + 1]
+        h1, h2 = map(np.concatenate, zip(identity(h, edge, a[:len(lines)], b[:len(lines)]),
+                                         identity(h, whole, a[len(lines):], b[len(lines):]), strict=True))
         sh = tokens.combine(h, SHINGLE)
         low = [_spans(np.minimum, tokens.mix(sh ^ u(tokens._K[k])), a, b - SHINGLE + 1) for k in range(bands * rows)]
         sig = []
         for band in range(bands):
-            x = np.full(len(keep), band, u)
+            x = np.full(len(first), band, u)
             for m in low[band * rows:(band + 1) * rows]:
                 x = tokens.mix(x * u(0x9E3779B97F4A7C15) + m)
             sig.append(x)
-        return keep, h1, h2, np.column_stack(sig).view(np.int64).ravel()
+        return first, last, h1, h2, np.column_stack(sig).view(np.int64).ravel()
 
     def run(batches):
         import pyarrow as pa
@@ -98,24 +122,27 @@ def read_paragraphs(min_words: int, bands: int, rows: int):
                 part, local = buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
                 at, doc = lines_of(part, local)
                 number = np.arange(len(at) - 1) - np.searchsorted(doc, np.arange(len(local)))[doc]
-                for p, q in tokens.chunks(at):
-                    found = signed(part[at[p]:at[q]], at[p:q + 1] - at[p])
+                starts = block_starts(part, at, doc)
+                cuts = np.append(starts, len(at) - 1)
+                for p, q in tokens.chunks(at[cuts]):
+                    x, y = cuts[p], cuts[q]
+                    found = signed(part[at[x]:at[y]], at[x:y + 1] - at[x], starts[p:q] - x)
                     if found is None:
                         continue
-                    keep, h1, h2, sig = found
-                    rows_at = pa.array(np.arange(len(keep) + 1, dtype=np.int32) * bands)
-                    take = pa.array(doc[keep + p] + i)
+                    first, last, h1, h2, sig = found
+                    rows_at = pa.array(np.arange(len(first) + 1, dtype=np.int32) * bands)
+                    take = pa.array(doc[first + x] + i)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.arange(pid, pid + len(keep))), batch.column("doc").take(take), batch.column("th").take(take),
-                         pa.array(number[keep + p].astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
-                         pa.ListArray.from_arrays(rows_at, pa.array(sig))],
-                        names=["pid", "doc", "th", "line", "h1", "h2", "bands"])
-                    pid += len(keep)
+                        [pa.array(np.arange(pid, pid + len(first))), batch.column("doc").take(take), batch.column("th").take(take),
+                         pa.array(number[first + x].astype(np.int32)), pa.array(number[last + x].astype(np.int32)),
+                         pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(rows_at, pa.array(sig))],
+                        names=["pid", "doc", "th", "line", "last", "h1", "h2", "bands"])
+                    pid += len(first)
     return run
 
 
 def read_line_sets(batches):
-    """Task code: (text, wanted lines) -> the shingle set of each wanted line."""
+    """Task code: (text, wanted paragraphs) -> the shingle set of each wanted paragraph."""
     import pyarrow as pa
     for batch in batches:
         buf, offs = tokens.text_bytes(batch.column("text"))
@@ -124,7 +151,7 @@ def read_line_sets(batches):
             part = buf[offs[k]:offs[k + 1]]
             at, _ = lines_of(part, np.array([0, len(part)]))
             for w in wanted:
-                x = part[at[w["line"]]:at[w["line"] + 1]]
+                x = part[at[w["line"]]:at[w["last"] + 1]]
                 s = next(tokens.shingle_sets(x, np.array([0, len(x)]), tokens.NON_SPACE, SHINGLE))
                 out.append((w["pid"], w["cluster"], s.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()),
@@ -137,8 +164,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs (doc_id, text)`` -> ``doc, th, line, group, first``: every paragraph
-    that has a near duplicate, its group, and whether it is the one that stays."""
+    """``docs (doc_id, text)`` -> ``doc, th, line, last, group``: every paragraph
+    that has a near duplicate, its first and last line, and its group."""
     if min_words < SHINGLE:
         raise ValueError(f"a paragraph needs at least {SHINGLE} words")
     ship("textcards.llm.tokens", "textcards.llm.shingle_join", __name__)
@@ -146,8 +173,8 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int
     bands, rows = tune_bands(percent)
     every = storage.cut(texts.mapInArrow(
         read_paragraphs(min_words, bands, rows),
-        "pid long, doc long, th long, line int, h1 long, h2 long, bands array<long>"), "paragraphs")
-    place = F.struct("doc", "th", "line", "pid")
+        "pid long, doc long, th long, line int, last int, h1 long, h2 long, bands array<long>"), "paragraphs")
+    place = F.struct("doc", "th", "line", "last", "pid")
     classes = storage.cut(every.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"))
                           .select("h1", "h2", "first.*", "n"), "classes")
 
@@ -161,27 +188,43 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int
         F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "members")
 
     wanted = (classes.join(cluster.withColumnRenamed("doc_id", "pid"), "pid").groupBy("doc", "th")
-              .agg(F.collect_list(F.struct("line", "pid", "cluster")).alias("wanted")))      # lines of one document
+              .agg(F.collect_list(F.struct("line", "last", "pid", "cluster")).alias("wanted")))      # lines of one document
     items = texts.join(storage.bounded(wanted, MAX_BROADCAST), ["doc", "th"]) \
         .select("text", "wanted").mapInArrow(read_line_sets, "doc_id long, cluster long, items binary")
     found = components(verified_links(items, cluster, percent), "links").select(
         F.col("node").alias("pid"), F.col("component").alias("group"))
 
-    grouped = classes.join(found, "pid", "left").where("group is not null or n > 1").select(
-        "h1", "h2", F.coalesce("group", "pid").alias("group"), F.struct("doc", "th", "line").alias("place"))
-    heads = grouped.groupBy("group").agg(F.min("place").alias("head"))
-    grouped = storage.cut(grouped.join(heads, "group").select("h1", "h2", "group", "head"), "grouped")
-    return every.select("doc", "th", "line", "h1", "h2").join(grouped, ["h1", "h2"]).select(
-        "doc", "th", "line", "group", (F.struct("doc", "th", "line") == F.col("head")).alias("first"))
+    grouped = storage.cut(classes.join(found, "pid", "left").where("group is not null or n > 1").select(
+        "h1", "h2", F.coalesce("group", "pid").alias("group")), "grouped")
+    return every.select("doc", "th", "line", "last", "h1", "h2").join(grouped, ["h1", "h2"]).select(
+        "doc", "th", "line", "last", "group")
+
+
+def repeated_lines(members: DataFrame) -> DataFrame:
+    """``repeated_paragraphs`` -> ``doc, th, line``: the lines that go."""
+    members = storage.cut(members, "repeats")
+    blocks, lines = members.where("last > line"), members.where("last = line").drop("last")
+    place = F.struct("doc", "th", "line", "last")
+    kept = storage.cut(blocks.groupBy("group").agg(F.min(place).alias("kept")), "kept")
+    gone = storage.cut(blocks.join(storage.bounded(kept, MAX_BROADCAST), "group").where(place != F.col("kept"))
+                       .select("doc", "th", F.explode(F.sequence("line", "last")).alias("line")).distinct(), "gone")
+    lines = storage.cut(lines.join(storage.bounded(gone, MAX_BROADCAST), ["doc", "th", "line"], "left_anti"), "lines")
+    heads = lines.groupBy("group").agg(F.min(F.struct("doc", "th", "line")).alias("head")).join(kept, "group", "left")
+    inside = F.expr("doc = kept.doc and th = kept.th and line between kept.line and kept.last")
+    stays = F.when(F.col("kept").isNull(), F.struct("doc", "th", "line") == F.col("head")).otherwise(inside)
+    return gone.unionByName(lines.join(storage.bounded(storage.cut(heads, "heads"), MAX_BROADCAST), "group")
+                            .where(~stays).select("doc", "th", "line"))
 
 
 def dedup_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """Per row of ``docs``: ``doc_id, text`` without its repeated paragraphs,
     ``n_paragraphs`` and the numbers of the removed lines (from 0)."""
-    gone = storage.cut(repeated_paragraphs(docs, percent, min_words).where("not first").groupBy("doc", "th")
+    gone = storage.cut(repeated_lines(repeated_paragraphs(docs, percent, min_words)).groupBy("doc", "th")
                        .agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")   # lines of one document
     lines = F.split("text", "\n", -1)
-    big = F.filter(lines, lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) >= min_words)
+    blocks = F.filter(F.split("text", r"\n[\x20\x09-\x0D]*\n", -1),
+                      lambda x: x.rlike(r"[^\x20\x09-\x0D][\x20\x09\x0B-\x0D]*\n[\x20\x09\x0B-\x0D]*[^\x20\x09-\x0D]"))
+    big = F.filter(F.concat(lines, blocks), lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) >= min_words)
     none = F.expr("cast(array() as array<int>)")
     return (_keyed(docs).join(storage.bounded(gone, MAX_BROADCAST), ["doc", "th"], "left")
             .withColumn("removed", F.coalesce("removed", none))
