@@ -5,7 +5,8 @@ from collections import defaultdict
 
 from tests.llm import brute
 from tests.llm.conftest import prose
-from textcards.llm import paragraph_dedup
+from textcards.llm import license_scan, paragraph_dedup
+from textcards.llm.license_templates import TEMPLATES
 
 
 # -- op5 -----------------------------------------------------------------------
@@ -90,3 +91,35 @@ def test_random_blocks_and_lines(spark):
     want = paragraphs(rows)
     assert sum(len(x) for x, _ in want.values()) > 50
     assert {r.doc_id: (r.removed, r.n_paragraphs) for r in paragraph_dedup.dedup_paragraphs(docs).collect()} == want
+
+
+# -- op6 -----------------------------------------------------------------------
+
+def best_run(text, template):
+    """The highest coefficient of any run of lines, the whole text included."""
+    t, lines, best = set(license_scan.bigrams(template)), text.split("\n"), 0.0
+    for a in range(len(lines)):
+        for b in range(a, len(lines)):
+            g = set(license_scan.bigrams("\n".join(lines[a:b + 1])))
+            best = max(best, 2 * len(g & t) / (len(g) + len(t)))
+    return best
+
+
+def test_licence_blocks_inside_longer_texts(spark):
+    rng = random.Random(8)
+    mit, header = wrap(TEMPLATES["MIT"], 14), wrap(TEMPLATES["Apache-2.0-header"], 9)
+    filler = lambda n: wrap("of the software " + prose(rng, n) + " in the", 12)
+    edited = mit.split("\n")
+    edited[3], edited[7] = "another line altogether", edited[7].replace(" or ", " and ")
+    texts = [filler(300) + "\n" + mit + "\n" + filler(300), "# " + header.replace("\n", "\n# ") + "\n" + filler(200),
+             filler(90) + "\n\n" + "\n\n".join(edited) + "\n" + filler(50), filler(400), mit.replace("\n", "\n\n") + "\n" + filler(200),
+             filler(60) + "\nLicensed under CC\nBY 4.0.\n" + filler(60), filler(40) + "\n" + mit + "\n" + filler(9) + "\n" + mit]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    for i, text in enumerate(texts):
+        for name in ("MIT", "ISC", "Apache-2.0-header", "CC-BY-4.0-notice", "BSD-3-Clause"):
+            want, most = best_run(text, TEMPLATES[name]), max([m.dice for m in got[i].matches if m.license == name], default=0.0)
+            assert most == (want if want >= 0.8 else 0.0), (i, name)
+    first = texts[0].split("\n").index(mit.split("\n")[0])
+    assert [(m.line, m.last, m.license, m.dice) for m in got[0].matches] == [(first, first + mit.count("\n"), "MIT", 1.0)]
+    assert len([m for m in got[6].matches if m.license == "MIT" and m.last > m.line >= 0]) == 2 and got[3].matches == []

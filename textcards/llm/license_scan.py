@@ -1,12 +1,19 @@
 """Operator 6: licence scan [DataFrame functions only].
 
 Texts and templates are normalised alike: lower case, every run of other
-characters than a-z and 0-9 is one space.  A unit is the whole text or one of
-its lines.  A unit is compared with a template by the Dice coefficient of their
-sets of word bigrams, ``2 |A & B| / (|A| + |B|)``.  A coefficient of t needs
-sizes within ``t / (2 - t)`` of each other, so a template is a candidate only
-within these bounds, and a unit that no template's bounds admit never gets its
-bigrams built (a set of w different words has at least w - 1 bigrams).
+characters than a-z and 0-9 is one space.  A unit is the whole text, one of its
+lines, or a run of consecutive lines.  A unit is compared with a template by the
+Dice coefficient of their sets of word bigrams, ``2 |A & B| / (|A| + |B|)``.  A
+coefficient of t needs sizes within ``t / (2 - t)`` of each other, and a unit
+that has that share of a template's bigrams, so a template is a candidate only
+where the whole text has them; no other text gets the bigrams of its lines and
+runs built.  (A bit table of the templates' bigrams comes first.)
+
+Of the runs that reach t with a template those count that are better than the
+whole text and than each of their lines; the best one first, then the best of
+those that do not overlap it, and so on.  A run need not be tried that a line
+before or after it, all of the template's bigrams, would extend, nor one whose
+first or last line has none.
 
 All of it happens inside the row, no shuffle: the templates are a small
 literal.
@@ -21,6 +28,7 @@ read.
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +36,7 @@ from pyspark.sql import functions as F
 from textcards.llm.license_templates import TEMPLATES
 
 THRESHOLD = 0.8
+BITS = 1 << 17           # of the bit table: about ten a bigram
 
 
 def normalise(text: str) -> str:
@@ -41,47 +50,99 @@ def bigrams(text: str) -> list[str]:
 
 def templates(texts: dict[str, str] | None = None) -> Column:
     """The templates as an array of (name, grams), a literal."""
-    return F.array(*(F.struct(F.lit(k).alias("name"), F.array(*map(F.lit, bigrams(t))).alias("grams"))
+    return F.array(*(F.struct(F.lit(k).alias("name"), F.split(F.lit("|".join(bigrams(t))), "[|]").alias("grams"))
                      for k, t in sorted((texts or TEMPLATES).items())))
 
 
-def size_bounds(threshold: float, texts: dict[str, str] | None = None) -> tuple[float, float]:
-    sizes = [len(bigrams(t)) for t in (texts or TEMPLATES).values()]
-    return min(sizes) * threshold / (2 - threshold), max(sizes) * (2 - threshold) / threshold
+def perhaps(gram: Column, texts: dict[str, str] | None = None) -> Column:
+    """False only for a bigram that no template has."""
+    bits = [0] * (BITS // 64)
+    for g in {g for t in (texts or TEMPLATES).values() for g in bigrams(t)}:
+        h = zlib.crc32(g.encode()) % BITS
+        bits[h // 64] |= 1 << h % 64
+    signed = ",".join(str(x - (1 << 64) if x >> 63 else x) for x in bits)
+    table = F.split(F.lit(signed), ",").cast("array<bigint>")
+    h = F.crc32(gram.cast("binary")) % BITS
+    return F.getbit(F.get(table, F.floor(h / 64).cast("int")), (h % 64).cast("int")) == 1
+
+
+def pairs(words: Column) -> Column:
+    """The bigrams of an array of words, in order, repeated ones too."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def best_runs(t: Column, grams: Column, rows: Column, hits: Column, threshold: float) -> Column:
+    """The runs of lines that match template ``t``; ``rows``: the lines that have
+    words (number ``k``, ``line``, place of the first word ``a``, of the end ``b``)."""
+    flags = F.transform(grams, lambda g: F.array_contains(t["grams"], g))
+    all_hit = lambda at, n: F.forall(F.slice(flags, at, n), lambda x: x)
+    any_hit = lambda at, n: F.exists(F.slice(flags, at, n), lambda x: x)
+    length = lambda r: r["b"] - r["a"]
+    before, after = lambda r: F.get(rows, r["k"] - 1), lambda r: F.get(rows, r["k"] + 1)
+    starts = F.filter(rows, lambda r: any_hit(r["a"] + 1, length(r)) & (
+        before(r).isNull() | ~F.coalesce(all_hit(before(r)["a"] + 1, length(before(r))), F.lit(False))))
+    ends = F.filter(rows, lambda r: any_hit(F.greatest(r["a"], F.lit(1)), length(r)) & (
+        after(r).isNull() | ~F.coalesce(all_hit(r["b"], length(after(r))), F.lit(False))))
+    mine = F.filter(hits, lambda m: m["license"] == t["name"])
+    n = F.size(t["grams"])
+
+    def run(x, y):
+        own = F.array_distinct(F.slice(grams, x["a"] + 1, y["b"] - x["a"] - 1))
+        dice = 2.0 * F.size(F.array_intersect(own, t["grams"])) / (F.size(own) + n)
+        return F.struct((-dice).alias("less"), (y["line"] - x["line"]).alias("more"), x["line"].alias("line"), y["line"].alias("last"))
+
+    tried = F.flatten(F.transform(starts, lambda x: F.transform(
+        F.filter(ends, lambda y: (y["k"] > x["k"]) & ((y["b"] - x["a"] - 1) * (2 - threshold) >= n * threshold)), lambda y: run(x, y))))
+    found = F.filter(tried, lambda r: (-r["less"] >= threshold) & ~F.exists(mine, lambda m: (m["dice"] >= -r["less"]) & (
+        (m["line"] == -1) | m["line"].between(r["line"], r["last"]))))
+    none = F.expr("cast(array() as array<struct<less: double, more: int, line: int, last: int>>)")
+    apart = F.aggregate(F.array_sort(found), none, lambda kept, r: F.when(
+        F.exists(kept, lambda k: (k["line"] <= r["last"]) & (r["line"] <= k["last"])), kept).otherwise(F.concat(kept, F.array(r))))
+    return F.transform(apart, lambda r: F.struct((-r["less"]).alias("dice"), r["line"].alias("line"), r["last"].alias("last"),
+                                                 t["name"].alias("license")))
 
 
 def scan(docs: DataFrame, threshold: float = THRESHOLD, texts: dict[str, str] | None = None) -> DataFrame:
     """``docs (doc_id, text)`` -> ``doc_id, n_units, matches``; a match is
-    ``(line, license, dice)``, best first."""
-    low, high = size_bounds(threshold, texts)
+    ``(line, license, dice, last)``, best first; ``n_units`` counts the lines."""
+    enough = lambda n, grams: n * (2 - threshold) >= F.size(grams) * threshold
     plain = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9\\n]+", " ")
     df = docs.select("doc_id", plain.alias("plain"))
-    unit = lambda x, i: F.struct(i.alias("line"), F.split(F.trim(x), " ").alias("words"))
-    lines = F.transform(F.split("plain", "\n"), lambda x, i: unit(x, i))
-    whole = F.transform(F.array(F.regexp_replace("plain", "\n", " ")), lambda x: F.struct(
-        F.lit(-1).alias("line"), F.split(F.trim(F.regexp_replace(x, " +", " ")), " ").alias("words")))
-    df = df.select("doc_id", F.concat(whole, lines).alias("units"))
-    able = F.filter("units", lambda u: (F.size(u["words"]) - 1 >= low) & (F.size(F.array_distinct(u["words"])) - 1 <= high))
-    df = df.select("doc_id", (F.size("units") - 1).cast("long").alias("n_units"), able.alias("units"))
-    grams = F.transform("units", lambda u: F.struct(u["line"].alias("line"), F.array_distinct(F.zip_with(
-        F.slice(u["words"], 1, F.size(u["words"]) - 1), F.slice(u["words"], 2, F.size(u["words"]) - 1),
-        lambda a, b: F.concat(a, F.lit(" "), b))).alias("grams")))
-    df = df.select("doc_id", "n_units", grams.alias("units"))
-    known = templates(texts)
+    df = df.select("doc_id", "plain", F.split(F.trim(F.regexp_replace("plain", "[ \n]+", " ")), " ").alias("words"))
+    df = df.select("doc_id", "plain", pairs(F.col("words")).alias("grams"))
+    df = df.select("doc_id", "plain", "grams", F.array_distinct(F.filter("grams", lambda g: perhaps(g, texts))).alias("seen"))
+    near = F.filter(templates(texts), lambda t: enough(F.size("seen"), t["grams"]) & enough(
+        F.size(F.array_intersect(t["grams"], F.col("seen"))), t["grams"]))
+    df = df.select("doc_id", "plain", "grams", near.alias("near"))
+    some = F.size("near") > 0
+    lines = F.transform(F.split("plain", "\n"), lambda x: F.split(F.trim(x), " "))
+    df = df.select("doc_id", "near", F.when(some, F.col("grams")).otherwise(F.expr("cast(array() as array<string>)")).alias("grams"),
+                   F.size(F.split("plain", "\n")).cast("long").alias("n_units"),
+                   F.when(some, lines).otherwise(F.expr("cast(array() as array<array<string>>)")).alias("lines"))
+    units = F.concat(F.array(F.struct(F.lit(-1).alias("line"), F.array_distinct("grams").alias("grams"))), F.transform(
+        "lines", lambda w, i: F.struct(i.alias("line"), F.array_distinct(pairs(w)).alias("grams"))))
 
     def compared(u: Column) -> Column:
         n = F.size(u["grams"])
-        near = F.filter(known, lambda t: (n * (2 - threshold) >= F.size(t["grams"]) * threshold)
-                        & (F.size(t["grams"]) * (2 - threshold) >= n * threshold))
-        return F.transform(near, lambda t: F.struct(
+        close = F.filter("near", lambda t: enough(n, t["grams"]) & (F.size(t["grams"]) * (2 - threshold) >= n * threshold))
+        return F.transform(close, lambda t: F.struct(
             (2.0 * F.size(F.array_intersect(u["grams"], t["grams"])) / (n + F.size(t["grams"]))).alias("dice"),
-            u["line"].alias("line"), t["name"].alias("license")))
-
-    hits = F.filter(F.flatten(F.transform("units", compared)), lambda m: m["dice"] >= threshold)
-    best = F.array_sort(F.transform(hits, lambda m: F.struct(
-        (-m["dice"]).alias("less"), m["line"].alias("line"), m["license"].alias("license"))))
+            u["line"].alias("line"), u["line"].alias("last"), t["name"].alias("license")))
+
+    hits = F.filter(F.flatten(F.transform(units, compared)), lambda m: m["dice"] >= threshold)
+    none = F.expr("cast(array() as array<struct<k: int, line: int, a: int, b: int>>)")
+    worded = F.filter(F.transform("lines", lambda w, i: F.struct(i.alias("line"), w.alias("words"))), lambda x: x["words"][0] != "")
+    rows = F.aggregate(worded, none, lambda acc, x: F.concat(acc, F.array(F.struct(
+        F.size(acc).alias("k"), x["line"].alias("line"), F.coalesce(F.get(acc, F.size(acc) - 1)["b"], F.lit(0)).alias("a"),
+        (F.coalesce(F.get(acc, F.size(acc) - 1)["b"], F.lit(0)) + F.size(x["words"])).alias("b")))))
+    df = df.select("doc_id", "n_units", "near", "grams", hits.alias("hits"), rows.alias("rows"))
+    runs = F.flatten(F.transform("near", lambda t: best_runs(t, F.col("grams"), F.col("rows"), F.col("hits"), threshold)))
+    df = df.select("doc_id", "n_units", F.concat("hits", runs).alias("hits"))
+    best = F.array_sort(F.transform("hits", lambda m: F.struct(
+        (-m["dice"]).alias("less"), m["line"].alias("line"), m["license"].alias("license"), m["last"].alias("last"))))
     return df.select("doc_id", "n_units", F.transform(best, lambda m: F.struct(
-        m["line"].alias("line"), m["license"].alias("license"), (-m["less"]).alias("dice"))).alias("matches"))
+        m["line"].alias("line"), m["license"].alias("license"), (-m["less"]).alias("dice"), m["last"].alias("last"))).alias("matches"))
 
 
 def digest(docs: DataFrame, **kw) -> DataFrame:
