@@ -123,3 +123,18 @@ def test_licence_blocks_inside_longer_texts(spark):
     first = texts[0].split("\n").index(mit.split("\n")[0])
     assert [(m.line, m.last, m.license, m.dice) for m in got[0].matches] == [(first, first + mit.count("\n"), "MIT", 1.0)]
     assert len([m for m in got[6].matches if m.license == "MIT" and m.last > m.line >= 0]) == 2 and got[3].matches == []
+
+
+def test_complete_licences_have_templates(spark):
+    bsd = TEMPLATES["BSD-3-Clause"]
+    bsd = bsd[:bsd.index("3. Neither")] + bsd[bsd.index("THIS SOFTWARE"):]
+    free = (license_scan.__file__.rsplit("/", 1)[0] + "/licenses/")
+    names = ["Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"]
+    texts = {"BSD-2-Clause": bsd} | {k: open(f"{free}{k}.txt").read() for k in names}
+    assert "relinquishment in perpetuity" in texts["Unlicense"] and "END OF TERMS" in texts["Apache-2.0"]
+    filler = wrap(prose(random.Random(1), 300), 11)
+    rows = [x for k, t in texts.items() for x in ((k, t), (k + "+", filler + "\n" + t + "\n" + filler))]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    for r in license_scan.scan(docs).collect():
+        found = {m.license: m.dice for m in reversed(r.matches) if m.license in texts or m.license == "BSD-3-Clause"}
+        assert max(found, key=found.get) == r.doc_id.rstrip("+") and max(found.values()) == 1.0, r.doc_id

@@ -72,30 +72,52 @@ def pairs(words: Column) -> Column:
     return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def best_runs(t: Column, grams: Column, rows: Column, hits: Column, threshold: float) -> Column:
     """The runs of lines that match template ``t``; ``rows``: the lines that have
-    words (number ``k``, ``line``, place of the first word ``a``, of the end ``b``)."""
-    flags = F.transform(grams, lambda g: F.array_contains(t["grams"], g))
-    all_hit = lambda at, n: F.forall(F.slice(flags, at, n), lambda x: x)
-    any_hit = lambda at, n: F.exists(F.slice(flags, at, n), lambda x: x)
-    length = lambda r: r["b"] - r["a"]
-    before, after = lambda r: F.get(rows, r["k"] - 1), lambda r: F.get(rows, r["k"] + 1)
-    starts = F.filter(rows, lambda r: any_hit(r["a"] + 1, length(r)) & (
-        before(r).isNull() | ~F.coalesce(all_hit(before(r)["a"] + 1, length(before(r))), F.lit(False))))
-    ends = F.filter(rows, lambda r: any_hit(F.greatest(r["a"], F.lit(1)), length(r)) & (
-        after(r).isNull() | ~F.coalesce(all_hit(r["b"], length(after(r))), F.lit(False))))
-    mine = F.filter(hits, lambda m: m["license"] == t["name"])
+    words (number ``k``, ``line``, place of the first word ``a``, of the end ``b``,
+    different bigrams up to there ``d``)."""
     n = F.size(t["grams"])
+    length = lambda r: r["b"] - r["a"]
+    counted = lambda flags: F.transform(rows, lambda r: F.struct(
+        *(r[c].alias(c) for c in ("k", "line", "a", "b", "d")), F.size(F.filter(F.slice(flags, 1, r["b"] - 1), lambda x: x)).alias("h")))
+    any_hit = lambda flags, at, m: F.exists(F.slice(flags, at, m), lambda x: x)
+    all_hit = lambda flags, at, m: F.coalesce(F.forall(F.slice(flags, at, m), lambda x: x), F.lit(False))
+
+    def starts(flags):
+        before = lambda r: F.get(rows, r["k"] - 1)
+        return lambda r: any_hit(flags, r["a"] + 1, length(r)) & (
+            before(r).isNull() | ~all_hit(flags, before(r)["a"] + 1, length(before(r))))
+
+    def ends(flags):
+        after = lambda r: F.get(rows, r["k"] + 1)
+        return lambda r: any_hit(flags, F.greatest(r["a"], F.lit(1)), length(r)) & (
+            after(r).isNull() | ~all_hit(flags, r["b"], length(after(r))))
+
+    def able(x, y):
+        """Bounds: the run's different bigrams from below, those of the template from above."""
+        least, most = y["d"] - x["d"], y["h"] - x["h"] + length(x)
+        return (y["k"] > x["k"]) & ((y["b"] - x["a"] - 1) * (2 - threshold) >= n * threshold) & (
+            least * threshold <= n * (2 - threshold)) & (most * 2 >= (least + n) * threshold)
 
     def run(x, y):
         own = F.array_distinct(F.slice(grams, x["a"] + 1, y["b"] - x["a"] - 1))
-        dice = 2.0 * F.size(F.array_intersect(own, t["grams"])) / (F.size(own) + n)
-        return F.struct((-dice).alias("less"), (y["line"] - x["line"]).alias("more"), x["line"].alias("line"), y["line"].alias("last"))
-
-    tried = F.flatten(F.transform(starts, lambda x: F.transform(
-        F.filter(ends, lambda y: (y["k"] > x["k"]) & ((y["b"] - x["a"] - 1) * (2 - threshold) >= n * threshold)), lambda y: run(x, y))))
-    found = F.filter(tried, lambda r: (-r["less"] >= threshold) & ~F.exists(mine, lambda m: (m["dice"] >= -r["less"]) & (
-        (m["line"] == -1) | m["line"].between(r["line"], r["last"]))))
+        return let(own, lambda own: F.struct(
+            (-2.0 * F.size(F.array_intersect(own, t["grams"])) / (F.size(own) + n)).alias("less"),
+            (y["line"] - x["line"]).alias("more"), x["line"].alias("line"), y["line"].alias("last")))
+
+    def tried(first, last):
+        return F.flatten(F.transform(first, lambda x: F.transform(F.filter(last, lambda y: able(x, y)), lambda y: run(x, y))))
+
+    runs = let(F.transform(grams, lambda g: F.array_contains(t["grams"], g)), lambda flags: let(counted(flags), lambda lines: let(
+        F.filter(lines, starts(flags)), lambda first: let(F.filter(lines, ends(flags)), lambda last: tried(first, last)))))
+    found = let(F.filter(hits, lambda m: m["license"] == t["name"]), lambda mine: F.filter(
+        runs, lambda r: (-r["less"] >= threshold) & ~F.exists(mine, lambda m: (m["dice"] >= -r["less"]) & (
+            (m["line"] == -1) | m["line"].between(r["line"], r["last"])))))
     none = F.expr("cast(array() as array<struct<less: double, more: int, line: int, last: int>>)")
     apart = F.aggregate(F.array_sort(found), none, lambda kept, r: F.when(
         F.exists(kept, lambda k: (k["line"] <= r["last"]) & (r["line"] <= k["last"])), kept).otherwise(F.concat(kept, F.array(r))))
@@ -137,6 +159,9 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, texts: dict[str, str] |
         F.size(acc).alias("k"), x["line"].alias("line"), F.coalesce(F.get(acc, F.size(acc) - 1)["b"], F.lit(0)).alias("a"),
         (F.coalesce(F.get(acc, F.size(acc) - 1)["b"], F.lit(0)) + F.size(x["words"])).alias("b")))))
     df = df.select("doc_id", "n_units", "near", "grams", hits.alias("hits"), rows.alias("rows"))
+    rows = F.transform("rows", lambda r: F.struct(*(r[c].alias(c) for c in ("k", "line", "a", "b")), F.size(
+        F.array_distinct(F.slice("grams", 1, r["b"] - 1))).alias("d")))
+    df = df.select("doc_id", "n_units", "near", "grams", "hits", rows.alias("rows"))
     runs = F.flatten(F.transform("near", lambda t: best_runs(t, F.col("grams"), F.col("rows"), F.col("hits"), threshold)))
     df = df.select("doc_id", "n_units", F.concat("hits", runs).alias("hits"))
     best = F.array_sort(F.transform("hits", lambda m: F.struct(
