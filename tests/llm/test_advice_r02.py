@@ -5,7 +5,7 @@ from collections import defaultdict
 
 from tests.llm import brute
 from tests.llm.conftest import prose
-from textcards.llm import license_scan, paragraph_dedup
+from textcards.llm import license_scan, paragraph_dedup, shingle_join
 from textcards.llm.license_templates import TEMPLATES
 
 
@@ -138,3 +138,21 @@ def test_complete_licences_have_templates(spark):
     for r in license_scan.scan(docs).collect():
         found = {m.license: m.dice for m in reversed(r.matches) if m.license in texts or m.license == "BSD-3-Clause"}
         assert max(found, key=found.get) == r.doc_id.rstrip("+") and max(found.values()) == 1.0, r.doc_id
+
+
+# -- op10 ----------------------------------------------------------------------
+
+def test_partners_two_classes_away(spark):
+    rng = random.Random(4)
+    for percent in (10, 50, 66, 80):
+        for n in range(1, 400):
+            most = shingle_join.size_class(n * 100 // percent, percent)[0]
+            assert most in shingle_join.size_class(n, percent)
+            assert len(shingle_join.size_class(n, percent)) * shingle_join.ROUNDS <= shingle_join.TAGS
+    rows = []
+    for n in (7, 12, 22, 40, 64):
+        w = prose(rng, 2 * n, 10_000).split()
+        rows += [(len(rows), " ".join(w[:n])), (len(rows) + 1, " ".join(w[:2 * n - 2]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in shingle_join.jaccard_components(docs, n=3, percent=50).collect())
+    assert got == brute.jaccard_components(rows, 3, 50) and [c for _, _, c in got] == [0, 0, 2, 2, 4, 4, 6, 6, 8, 8]

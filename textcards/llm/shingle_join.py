@@ -57,7 +57,7 @@ STEP = 1.5           # ratio of the size classes of the parts
 HOT_PART = 64        # a part of more sets than this is weak: it selects little
 WEAK_SHARE = 0.1     # parts (of all of a set) added so that weak ones may be left out
 ROUNDS = 6           # partitions tried before empty parts count as common ones
-TAGS = 16            # at least 2 * ROUNDS
+TAGS = 256           # at least ROUNDS for each class a set is in
 MAX_BROADCAST = 500_000   # rows of (doc_id, cluster) sent to every executor
 
 
@@ -80,11 +80,14 @@ def class_upper(c: int) -> int:
 
 
 def size_class(n: int, percent: int) -> list[int]:
-    """The class of a set of n elements, and the next if a partner may be in it."""
+    """The class of a set of n elements, and those up to its largest partner's."""
     c = 0
     while n > class_upper(c):
         c += 1
-    return [c, c + 1] if n * 100 // percent > class_upper(c) else [c]
+    out = [c]
+    while n * 100 // percent > class_upper(out[-1]):
+        out.append(out[-1] + 1)
+    return out
 
 
 def class_parts(c: int, percent: int) -> tuple[int, int]:
