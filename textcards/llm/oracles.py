@@ -106,5 +106,44 @@ c AS (SELECT a, min(b) AS c FROM r GROUP BY a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.c, d.doc_id) AS component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id"""
 
+_FINITE = ("embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = len(embedding)")
+
+
+def _clustering(rounds: int, k: int, dim: int) -> str:
+    near = """a{r} AS (SELECT vec_id, c, d FROM (SELECT vec_id, c, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS r
+      FROM (SELECT e.vec_id, c.c, CAST(sum((e.x - c.x) * (e.x - c.x)) AS BIGINT) AS d FROM e JOIN c{r} c ON c.i = e.i GROUP BY e.vec_id, c.c))
+      WHERE r = 1),"""
+    move = """m{r} AS (SELECT a.c, e.i, sum(e.x) AS s, count(*) AS n FROM a{r} a JOIN e ON e.vec_id = a.vec_id GROUP BY a.c, e.i),
+c{q} AS (SELECT c.c, c.i, coalesce(CAST((m.s - ((m.s % m.n) + m.n) % m.n) // m.n AS BIGINT), c.x) AS x
+         FROM c{r} c LEFT JOIN m{r} m ON m.c = c.c AND m.i = c.i),"""
+    steps = "\n".join(near.format(r=r) + "\n" + move.format(r=r, q=r + 1) for r in range(rounds))
+    return f"""
+WITH k AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * x::DOUBLE) AS BIGINT)) AS v
+           FROM embeddings WHERE len(embedding) = {dim} AND {_FINITE}),
+e AS (SELECT vec_id, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM k),
+f AS (SELECT v, sha256('1:' || vec_id) AS h FROM k ORDER BY h LIMIT {k}),
+c0 AS (SELECT c, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM (SELECT v, row_number() OVER (ORDER BY h) - 1 AS c FROM f)),
+{steps}
+{near.format(r=rounds)}
+t AS (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY c)
+SELECT a.vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(a.d) OVER () AS BIGINT) AS inertia, t.h AS centroid_sha256
+FROM a{rounds} a JOIN t ON t.c = a.c"""
+
+
+OP11 = _clustering(3, 16, 64)
+
+OP12 = f"""
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings WHERE label IS NOT NULL AND {_FINITE}),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS s
+      FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.a, p.b AS p, p.s AS ps, s.b AS n, s.s AS ns, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.s DESC, s.b) AS k
+      FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.s <= 100 * s.s AND 100 * s.s <= 95 * p.s)
+SELECT a AS anchor_id, p AS positive_id, CAST(k AS INTEGER) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score
+FROM n WHERE k <= 3"""
+
 ORACLES = {"op4_decontamination": OP4, "op5_paragraph_dedup": OP5, "op6_license_scan": OP6, "op7_suffix_dedup": OP7,
-           "op10_shingle_join": OP10}
+           "op10_shingle_join": OP10, "op11_centroid_clustering": OP11, "op12_hard_negatives": OP12}

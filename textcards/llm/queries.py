@@ -79,6 +79,29 @@ def op10_shingle_join(spark, sf_dir):
     return jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"), n=3, percent=90)
 
 
+def op11_centroid_clustering(spark, sf_dir):
+    from textcards.llm.centroids import clustered
+    return clustered(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    from textcards.llm.hard_negatives import mine
+    every = lambda n: F.col("vec_id") % n == 0
+    label = F.when(every(7), (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(_table(spark, sf_dir, "embeddings"), every(50), label=label)
+
+
+def op13_byte_bpe(spark, sf_dir):
+    from public_tokenizers import PATTERN, path
+    from textcards.llm.byte_bpe import ByteBpe
+    bpe = ByteBpe(spark, path("byte_bpe_50k.tiktoken"), PATTERN)
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), keep=["doc_id"], offsets=False)
+    return bpe.decode(encoded, pieces_too=False).select(
+        "row.doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 QUERIES = {f.__name__: f for f in (op1_quality_gam, op2_warc, op3_source_mixing, op4_decontamination, op5_paragraph_dedup,
                                     op6_license_scan, op7_suffix_dedup, op8_token_shards, op9_fingerprints,
-                                    op10_shingle_join)}
+                                    op10_shingle_join, op11_centroid_clustering, op12_hard_negatives, op13_byte_bpe)}
