@@ -170,6 +170,15 @@ def tok():
     return byte_bpe.loaded(byte_bpe.model(open(VOCABULARY, "rb").read(), PATTERN))
 
 
+_encoders = {}
+
+
+def ids_of(tok, text):
+    if id(tok) not in _encoders:
+        _encoders[id(tok)] = tok, byte_bpe.Encoder(tok, False)
+    return _encoders[id(tok)][1]([text])[0][0].tolist()
+
+
 def strange_texts():
     rng = random.Random(1)
     every = [chr(c) for c in range(0x3000) if not 0xD800 <= c < 0xE000] + [chr(rng.randrange(0x10000, 0x110000)) for _ in range(4000)]
@@ -184,7 +193,18 @@ def strange_texts():
 
 def test_ids_equal_tiktoken(tok, reference):
     for text in strange_texts():
-        assert byte_bpe.encode_text(tok, text, False)[0] == reference.encode_ordinary(text), text[:60]
+        assert ids_of(tok, text) == reference.encode_ordinary(text), text[:60]
+
+
+def test_remembered_units_give_the_same_ids(tok, reference, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "CACHED_UNITS", 50)
+    texts = list(strange_texts())
+    encode = byte_bpe.Encoder(tok, False)
+    placed = byte_bpe.Encoder(tok, True)
+    for i in range(0, len(texts), 5):
+        want = [reference.encode_ordinary(t) for t in texts[i:i + 5]]
+        assert [x.tolist() for x in encode(texts[i:i + 5])[0]] == want
+        assert [x.tolist() for x in placed(texts[i:i + 5])[0]] == want
 
 
 def test_every_character_is_cut_as_tiktoken_cuts_it(reference):
@@ -199,12 +219,12 @@ def test_every_character_is_cut_as_tiktoken_cuts_it(reference):
     made = byte_bpe.loaded(byte_bpe.model(file, PATTERN))
     for start in range(0x80, 0x110000, 4096):
         text = "".join(f"a{c}1{c}!{c} {c} \n" for c in map(chr, range(start, min(start + 4096, 0x110000))) if not 0xD800 <= ord(c) < 0xE000)
-        assert byte_bpe.encode_text(made, text, False)[0] == own.encode_ordinary(text), hex(start)
+        assert ids_of(made, text) == own.encode_ordinary(text), hex(start)
 
 
 def test_offsets_and_split_characters(tok):
     text = "héllo 🙂🏽 日本 x"
-    ids, starts, ends = byte_bpe.encode_text(tok, text, True)
+    ids, starts, ends = [x[0].tolist() for x in byte_bpe.Encoder(tok, True)([text])]
     table = byte_bpe.byte_table(tok)
     data, pieces = byte_bpe.decoded(ids, table)
     assert data.decode() == text and "".join(pieces) == text and len(pieces) == len(ids)
@@ -212,7 +232,7 @@ def test_offsets_and_split_characters(tok):
         assert table[i] in text[a:b].encode()           # the whole characters that the token's bytes belong to
     assert any(a == c and b == d for a, b, c, d in zip(starts, ends, starts[1:], ends[1:]))     # a split character
     assert byte_bpe.decoded(ids[:-5], table)[0] == b"".join(table[i] for i in ids[:-5])
-    emoji = byte_bpe.encode_text(tok, "🙂", False)[0]
+    emoji = ids_of(tok, "🙂")
     assert len(emoji) > 1 and byte_bpe.decoded(emoji[:1], table)[1] == ["�"]
 
 

@@ -29,6 +29,9 @@ id list decodes to no bytes.
 
 from __future__ import annotations
 
+import re
+from itertools import chain
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,43 +104,101 @@ def loaded(made: str):
     return _loaded[key]
 
 
-def encode_text(tok, text: str, offsets: bool):
-    """``(ids, starts, ends)`` of a text; no offsets where not asked for."""
-    ids, starts, ends, at = [], [], [], 0
-    for piece in pieces(text):
-        if not offsets:
-            ids += tok.encode_batch_fast([piece], add_special_tokens=False)[0].ids
-            continue
-        e = tok.encode(piece, add_special_tokens=False)
-        ids += e.ids
-        starts += [at + a for a, _ in e.offsets]
-        ends += [at + b for _, b in e.offsets]
-        at += len(piece)
-    return ids, starts, ends
+#: A stretch of text that the pattern treats alike wherever it stands: cut before
+#: every lone space between two non-space characters.
+UNIT = re.compile(r"(?: (?=\S))?\S*(?:(?! \S)\s+\S*)*")
+CACHED_UNITS, CACHED_LENGTH = 200_000, 64
+
+
+def is_plain(unit: str) -> bool:
+    """Starts with its lone space and ends with no white space: a row of such
+    units is a text that is cut into just these units."""
+    return len(unit) > 1 and unit[0] == " " and not unit[1].isspace() and not unit[-1].isspace()
+
+
+class Encoder:
+    """A worker's encoder.  Units met before are looked up (two generations of
+    about ``CACHED_UNITS``, short ones only), the others go through the library,
+    joined to one text and told apart by their numbers of bytes."""
+
+    def __init__(self, tok, offsets: bool):
+        self.tok, self.offsets = tok, offsets
+        self.size = np.array([len(x or b"") for x in byte_table(tok)])
+        self.young, self.old = {}, {}
+
+    def learn(self, units: list[str]):
+        if self.offsets:
+            for u, e in zip(units, self.tok.encode_batch(units, add_special_tokens=False)):
+                span = np.array(e.offsets, np.int32).reshape(-1, 2)
+                self.young[u] = (np.array(e.ids, np.int32), span[:, 0], span[:, 1])
+            return
+        plain = [u for u in units if is_plain(u)]
+        rest = [u for u in units if not is_plain(u)]
+        for u, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False)):
+            self.young[u] = np.array(e.ids, np.int32).tobytes()
+        if plain:
+            ids = np.array(self.tok.encode_batch_fast(["".join(plain)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.cumsum([len(u.encode()) for u in plain])
+            cut = 4 * (np.searchsorted(np.cumsum(self.size[ids]), ends) + 1)
+            raw, at = ids.tobytes(), 0
+            for u, to in zip(plain, cut.tolist()):
+                self.young[u] = raw[at:to]
+                at = to
+
+    def __call__(self, texts: list[str]) -> list[list[np.ndarray]]:
+        """``[ids]`` or ``[ids, starts, ends]``, each a list of arrays, a text each."""
+        units = [[u for piece in pieces(t) for u in UNIT.findall(piece)] for t in texts]
+        new = []
+        for u in set(chain.from_iterable(units)):
+            if u not in self.young:
+                if u in self.old:
+                    self.young[u] = self.old[u]
+                else:
+                    new.append(u)
+        self.learn(new)
+        look = self.young.__getitem__
+        if self.offsets:
+            out = [self.placed(us) for us in units]
+            out = [[x[c] for x in out] for c in range(3)]
+        else:
+            out = [[np.frombuffer(b"".join(map(look, us)), np.int32) for us in units]]
+        for u in new:
+            if len(u) > CACHED_LENGTH:
+                del self.young[u]
+        if len(self.young) > CACHED_UNITS:
+            self.young, self.old = {}, self.young
+        return out
+
+    def placed(self, units):
+        found, at = [self.young[u] for u in units], 0
+        ids, starts, ends = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for u, (i, a, b) in zip(units, found):
+            ids.append(i)
+            starts.append(a + at)
+            ends.append(b + at)
+            at += len(u)
+        return [np.concatenate(x).astype(np.int32) for x in (ids, starts, ends)]
 
 
 def lists(values):
     import pyarrow as pa
     at = np.cumsum([0, *map(len, values)]).astype(np.int32)
-    flat = np.concatenate([np.array(v, np.int32) for v in values]) if values else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
 
 
 def encoder(made: str, offsets: bool):
     """Task code: (row, text) -> (row, ids[, starts, ends])."""
-    names = ["ids", "starts", "ends"] if offsets else ["ids"]
+    names = ["row", "ids", "starts", "ends"] if offsets else ["row", "ids"]
 
     def run(batches):
         import pyarrow as pa
-        tok = loaded(made)
+        encode = Encoder(loaded(made), offsets)
         for batch in batches:
             _, offs = tokens.text_bytes(batch.column("text"))
             for i, j in tokens.chunks(offs, SLICE_BYTES):
                 part = batch.slice(i, j - i)
                 texts = [x or "" for x in part.column("text").to_pylist()]
-                found = list(zip(*(encode_text(tok, x, offsets) for x in texts)))
-                yield pa.RecordBatch.from_arrays([part.column("row"), *map(lists, found[:len(names)])],
-                                                 names=["row", *names])
+                yield pa.RecordBatch.from_arrays([part.column("row"), *map(lists, encode(texts))], names=names)
     return run
 
 
@@ -172,9 +233,10 @@ def decoder(made: str, pieces_too: bool):
             size = np.asarray(batch.column("ids").fill_null([]).value_lengths()) if n else np.zeros(0, int)
             for i, j in tokens.chunks(np.concatenate(([0], np.cumsum(4 * size))), SLICE_BYTES):
                 part = batch.slice(i, j - i)
-                rows = [x or [] for x in part.column("ids").to_pylist()]
-                if any(not 0 <= t < len(table) or table[t] is None for r in rows for t in (min(r, default=0), max(r, default=0))):
+                flat = np.asarray(part.column("ids").flatten())
+                if len(flat) and not (0 <= flat.min() and flat.max() < len(table)):
                     raise ValueError("an id is not in the vocabulary")
+                rows = [x or [] for x in part.column("ids").to_pylist()]
                 columns, names = [part.column("row"), part.column("ids")], ["row", "ids", "bytes"]
                 if pieces_too:
                     found = [decoded(r, table) for r in rows]
@@ -182,7 +244,7 @@ def decoder(made: str, pieces_too: bool):
                                 pa.array([t for _, t in found], pa.list_(pa.string()))]
                     names += ["text", "pieces"]
                 else:
-                    columns.append(pa.array([b"".join([table[t] for t in r]) for r in rows], pa.binary()))
+                    columns.append(pa.array([b"".join(map(table.__getitem__, r)) for r in rows], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
     return run
 
