@@ -76,12 +76,39 @@ def test_taxonomy_filter_and_quotes(spark):
     assert got == {"keep": (1, 0.5, [0], ["A Cat."])}
 
 
-def test_chunked_broadcast_equals_single(spark, monkeypatch):
-    texts = [NARRATIVE, "Pad damage and a leak; the tower was destroyed. Delay expected!", ""]
-    single = spark_score(spark, texts, LX.INCIDENT_LEXICON)
-    monkeypatch.setattr(L, "MAX_BROADCAST_KEYWORDS", 7)
-    chunked = spark_score(spark, texts, LX.INCIDENT_LEXICON)
-    assert single == chunked
+TEXTS = [NARRATIVE, "Pad damage and a leak; the tower was destroyed. Delay expected!", "", None,
+         "Fire. fire! The engine-fire; ENGINE lost.\nLost engine? Engineers_ tank the tank farm.", "\u0130stanbul fire \U0001f525. Fire"]
+OPTIONS = [{}, {"quotes": True}, {"whole_word": True}, {"ranked_k": 2, "quotes": True}, {"keep_sentences": True},
+           {"whole_word": True, "ranked_k": 3, "max_evidence": 1}]
+
+
+def _all_columns(spark, lex, options):
+    docs = spark.createDataFrame([(i, f"n{i}", t) for i, t in enumerate(TEXTS)], "doc_id int, name string, text string")
+    p = L.lexicon_predict(docs, lex, ["doc_id", "name"], "text", L.taxonomy_table(spark, LX.INCIDENT_TAXONOMY), **options)
+    return p.columns, sorted(map(repr, p.collect()))
+
+
+def test_automaton_equals_join(spark, monkeypatch):
+    from textcards.operators import keyword_automaton as K
+    lexicon = {f: dict(v) for f, v in LX.INCIDENT_LEXICON.items()}
+    lexicon["cause"] = dict(lexicon["cause"], unknown=["fire", "fire", "", "the engine", "zz"], weather=[None, "Fire"])
+    lex = L.lexicon_table(spark, lexicon)
+    join = [_all_columns(spark, lex, o) for o in OPTIONS]
+    labels = sorted(map(repr, L.lexicon_labels(spark.createDataFrame([(0, TEXTS[0])], "doc_id int, text string"), lex).collect()))
+    monkeypatch.setattr(L, "MAX_JOIN_KEYWORDS", 7)
+    for chars in (10**6, 900):                       # one automaton, and several that are merged
+        monkeypatch.setattr(K, "MAX_AUTOMATON_CHARS", chars)
+        assert [_all_columns(spark, lex, o) for o in OPTIONS] == join
+        assert sorted(map(repr, L.lexicon_labels(
+            spark.createDataFrame([(0, TEXTS[0])], "doc_id int, text string"), lex).collect())) == labels
+
+
+def test_automaton_has_one_scan_and_no_shuffle(spark, monkeypatch, tmp_dir):
+    spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id int, text string").write.parquet(tmp_dir + "/d")
+    monkeypatch.setattr(L, "MAX_JOIN_KEYWORDS", 7)
+    p = L.lexicon_predict(spark.read.parquet(tmp_dir + "/d"), L.lexicon_table(spark, LX.INCIDENT_LEXICON), "doc_id", "text")
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "MapInArrow" in plan
 
 
 WORDS = st.sampled_from(["fire", "Fire", "leak", "tumble", "engine", "x", "FTS", "tank",

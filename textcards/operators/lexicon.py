@@ -10,23 +10,24 @@ Plan shape (see ``explain``)::
 
 There is no shuffle: every (record, label) result is computed inside the
 joined row, so the job scales with the scan.  The only broadcast is the
-label table, whose size is checked; past the bound it is cut into bounded
-chunks, each broadcast and joined on its own, and the results unioned (all
-keywords still apply).
+label table, whose keywords are counted first; past ``MAX_JOIN_KEYWORDS``,
+where testing keyword after keyword costs more than one walk of an automaton,
+``keyword_automaton`` finds them with the same result.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textcards.functions.text import normalize_sentence, split_sentences
 from textcards.operators.common import bounded_broadcast
+from textcards.operators.keyword_automaton import (automaton_matches, evidence_of,
+                                                   lexicon_entries, ranking_of)
 
-# Keywords across all labels of one broadcast chunk (~100 bytes each).
-MAX_BROADCAST_KEYWORDS = 50_000
+# Keywords of the broadcast label table; the join costs one substring test each
+# per record, an automaton about as much as 100 of them.
+MAX_JOIN_KEYWORDS = 1_000
 
 LEXICON_SCHEMA = "field string, label string, label_pos int, kw_pos int, keyword string"
 TAXONOMY_SCHEMA = "field string, label string, label_pos int"
@@ -99,15 +100,8 @@ def evidence_label_table(taxonomy: DataFrame, evidence_lexicon: DataFrame | None
                     .alias("kws"))
 
 
-def _chunks(labels: DataFrame):
-    """Bounded broadcast chunks of the label table (size proven by count)."""
-    stats = labels.agg(F.count(F.lit(1)).alias("n"),
-                       F.coalesce(F.sum(F.size("kws")), F.lit(0)).alias("k")).first()
-    n_chunks = max(1, math.ceil(stats["k"] / MAX_BROADCAST_KEYWORDS))
-    if n_chunks == 1:
-        return [labels]
-    key = F.pmod(F.xxhash64("field", "label"), F.lit(n_chunks))
-    return [labels.where(key == c) for c in range(n_chunks)]
+def _is_large(lexicon: DataFrame) -> bool:
+    return lexicon.limit(MAX_JOIN_KEYWORDS + 1).count() > MAX_JOIN_KEYWORDS
 
 
 def _prepared_docs(docs: DataFrame, id_cols, text_col: str, quotes: bool,
@@ -126,12 +120,11 @@ def _prepared_docs(docs: DataFrame, id_cols, text_col: str, quotes: bool,
 
 
 def _match(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    parts = [docs.join(F.broadcast(c), F.expr("exists(kws, k -> contains(_tl, k))"), "inner")
-             for c in _chunks(labels)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return docs.join(F.broadcast(labels), F.expr("exists(kws, k -> contains(_tl, k))"), "inner")
+
+
+def _confidence():
+    return F.least(F.lit(0.95), F.lit(0.3) + F.lit(0.2) * F.col("hits"))
 
 
 def _ids(id_col):
@@ -193,6 +186,17 @@ def lexicon_predict(docs: DataFrame, lexicon: DataFrame, id_col="doc_id",
     ids = _ids(id_col)
     need_so = quotes or ranked_k > 0 or keep_sentences
     d = _prepared_docs(docs, ids, text_col, need_so, normalized=keep_sentences)
+    cols = [*ids, "field", "label", "label_pos", "hits", "confidence", "evidence"]
+    if _is_large(lexicon):
+        sentence_columns = {"sentences": "_so", "sentences_norm": "_sn"} if keep_sentences else {}
+        found = automaton_matches(d, [*ids, *sentence_columns.values()], lexicon_entries(lexicon, taxonomy, fields),
+                                  max_evidence, ranked_k > 0, whole_word)
+        evidence, texts = evidence_of(F.col("ev"), max_evidence)
+        return found.select(
+            *ids, "field", "label", "label_pos", "hits", _confidence().alias("confidence"), evidence.alias("evidence"),
+            *([texts.alias("quotes")] if quotes else []),
+            *([ranking_of(F.col("rk"), ranked_k).alias("ranked")] if ranked_k > 0 else []),
+            *[F.col(c).alias(name) for name, c in sentence_columns.items()])
     j = _match(d, label_table(lexicon, taxonomy, fields))
     tl, sl = F.col("_tl"), F.col("_sl")
     found = F.filter("kws", lambda k: _occurs(tl, k, whole_word))
@@ -207,9 +211,9 @@ def lexicon_predict(docs: DataFrame, lexicon: DataFrame, id_col="doc_id",
                    *([_ranked_sentences(F.col("kws"), sl, F.col("_so"), ranked_k).alias("ranked")]
                      if ranked_k > 0 else []),
                    *(["_so"] if need_so else []), *(["_sn"] if keep_sentences else []))
-    out = out.withColumn("confidence",
-                         F.least(F.lit(0.95), F.lit(0.3) + F.lit(0.2) * F.col("hits")))
-    cols = [*ids, "field", "label", "label_pos", "hits", "confidence", "evidence"]
+    if whole_word:      # the join tests substrings only
+        out = out.where("hits > 0")
+    out = out.withColumn("confidence", _confidence())
     if quotes:
         out = out.withColumn("quotes", F.transform(
             "evidence", lambda i: F.element_at(F.col("_so"), i + 1)))
@@ -229,11 +233,13 @@ def lexicon_labels(docs: DataFrame, lexicon: DataFrame, id_col="doc_id",
     ids = _ids(id_col)
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(*ids, F.lower(text).alias("_tl"))
+    if _is_large(lexicon):
+        found = automaton_matches(d, ids, lexicon_entries(lexicon, taxonomy, fields))
+        return found.select(*ids, "field", "label", "label_pos", "hits", _confidence().alias("confidence"))
     j = _match(d, label_table(lexicon, taxonomy, fields))
     hits = F.size(F.filter("kws", lambda k: F.contains(F.col("_tl"), k))).cast("bigint")
     return (j.select(*ids, "field", "label", "label_pos", hits.alias("hits"))
-            .withColumn("confidence",
-                        F.least(F.lit(0.95), F.lit(0.3) + F.lit(0.2) * F.col("hits"))))
+            .withColumn("confidence", _confidence()))
 
 
 def keyword_sentence_ranking(docs: DataFrame, picked: DataFrame, evidence_labels: DataFrame,

@@ -759,3 +759,37 @@ def _():
             f"|| ' ' || coalesce(text, '') AS text FROM documents)")
     return f"""WITH {_lexicon_ctes(LX.INCIDENT_LEXICON, LX.INCIDENT_TAXONOMY, docs)}
 SELECT id AS doc_id, field, label, hits, confidence, array_to_string(evidence, ',') AS evidence FROM preds"""
+
+
+@oracle("q_large_lexicon")
+def _():
+    return f"""
+WITH d AS (SELECT doc_id AS id, lower(coalesce(text, '')) AS tl FROM documents),
+w AS (SELECT regexp_extract_all(tl, '[\\p{{L}}\\p{{N}}_]+') AS w FROM d),
+l AS (SELECT DISTINCT kw FROM (
+        SELECT unnest(w) AS kw FROM w UNION ALL
+        SELECT CASE WHEN length(w[i]) >= 6 AND length(w[i + 1]) >= 6 THEN w[i] || ' ' || w[i + 1] END
+        FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w))
+      WHERE kw LIKE '% %' OR length(kw) >= 4),
+u AS (SELECT id, -1 AS sent_idx, tl AS x FROM d UNION ALL
+      SELECT id, CAST(unnest(range(len(sl))) AS INTEGER), unnest(sl) FROM (SELECT id, {sentences('tl')} AS sl FROM d)),
+run AS (SELECT id, sent_idx, string_split(x, ' ') AS w
+        FROM (SELECT id, sent_idx, unnest(regexp_split_to_array(x, '[^\\p{{L}}\\p{{N}}_ ]+|  +')) AS x FROM u)),
+tok AS (SELECT DISTINCT id, sent_idx, unnest(w) AS t FROM run),
+inside AS (SELECT DISTINCT t, t[i:j] AS kw FROM (SELECT t, i, unnest(range(i + 3, length(t) + 1)) AS j
+           FROM (SELECT t, unnest(range(1, length(t) - 2)) AS i FROM (SELECT DISTINCT t FROM tok)))),
+two AS (SELECT DISTINCT id, sent_idx, w[i] AS a, w[i + 1] AS b FROM (SELECT *, unnest(range(1, len(w))) AS i FROM run)
+        WHERE length(w[i]) >= 6 AND length(w[i + 1]) >= 6),
+across AS (SELECT a, b, a[i:] || ' ' || b[:j] AS kw FROM (SELECT a, b, i, unnest(range(6, length(b) + 1)) AS j
+           FROM (SELECT a, b, unnest(range(1, length(a) - 4)) AS i FROM (SELECT DISTINCT a, b FROM two)))),
+m AS (SELECT DISTINCT id, sent_idx, kw[1:1] AS label, kw FROM (
+        SELECT id, sent_idx, kw FROM tok JOIN inside USING (t) JOIN l USING (kw) UNION ALL
+        SELECT id, sent_idx, kw FROM two JOIN across USING (a, b) JOIN l USING (kw))),
+pred AS (SELECT id, label, count(*) AS hits FROM m WHERE sent_idx = -1 GROUP BY id, label),
+ev_all AS (SELECT id, label, min({{'n': length(kw), 'k': kw}}) AS mk, sent_idx FROM m WHERE sent_idx >= 0 GROUP BY id, label, sent_idx),
+ev_rank AS (SELECT *, row_number() OVER (PARTITION BY id, label ORDER BY mk, sent_idx) AS rn FROM ev_all),
+ev AS (SELECT id, label, string_agg(CAST(sent_idx AS VARCHAR), ',' ORDER BY rn) AS evidence
+       FROM ev_rank WHERE rn <= 3 GROUP BY id, label)
+SELECT pred.id AS doc_id, label, hits, least(0.95::DOUBLE, 0.3::DOUBLE + 0.2::DOUBLE * hits) AS confidence,
+       coalesce(evidence, '') AS evidence
+FROM pred LEFT JOIN ev USING (id, label)"""

@@ -717,3 +717,27 @@ def q_incident_lexicon_hits(spark, sf_dir):
                         taxonomy_table(spark, LX.INCIDENT_TAXONOMY))
     return p.select("doc_id", "field", "label", "hits", "confidence",
                     ints_csv("evidence").alias("evidence"))
+
+
+# --- large lexicon --------------------------------------------------------------------------
+def document_keywords(docs: DataFrame) -> DataFrame:
+    """A lexicon out of the documents themselves: their words of four letters or
+    more and pairs of neighbouring words of six or more; a keyword's label is its
+    first letter, its position its length."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([\\p{L}\\p{N}_]+)"), 1)
+    w = docs.select(words.alias("w"))
+    single = w.select(F.explode("w").alias("keyword")).where(F.length("keyword") >= 4)
+    pair = F.zip_with("w", F.slice(F.col("w"), 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.when(
+        (F.length(a) >= 6) & (F.length(b) >= 6), F.concat(a, F.lit(" "), b)))
+    pairs = w.where(F.size("w") > 1).select(F.explode(pair).alias("keyword")).where("keyword is not null")
+    return single.union(pairs).distinct().select(
+        F.lit("first").alias("field"), F.substring("keyword", 1, 1).alias("label"), F.lit(0).alias("label_pos"),
+        F.length("keyword").alias("kw_pos"), "keyword")
+
+
+@query
+def q_large_lexicon(spark, sf_dir):
+    """Over 100,000 keywords at sf0.01: found in one walk per text."""
+    docs = table(spark, sf_dir, "documents")
+    p = lexicon_predict(docs, stored(document_keywords(docs)), "doc_id", "text")
+    return p.select("doc_id", "label", "hits", "confidence", ints_csv("evidence").alias("evidence"))
