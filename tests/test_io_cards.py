@@ -8,6 +8,7 @@ from textcards.operators.cards import cards, merge_annotations
 from textcards.operators.ingest import build_records, last_per_id, page_records
 from textcards.operators.lexicon import lexicon_predict, lexicon_table, taxonomy_table
 from textcards.sources import readers as R
+from textcards.sources.versioned import resolve
 from textcards.sources.sinks import assemble_records, write_jsonl
 
 
@@ -131,5 +132,5 @@ def test_append_and_report_sinks(spark, tmp_dir):
     assert R.read_jsonl(spark, out, R.SCRAPED_SCHEMA).count() == 2
     rep = os.path.join(tmp_dir, "report")
     write_report(spark.createDataFrame([("overall", 0.5)], "scope string, f1 double"), rep)
-    back = spark.read.json(rep).collect()
+    back = spark.read.json(resolve(spark, rep)).collect()
     assert [(r["scope"], r["f1"]) for r in back] == [("overall", 0.5)]

@@ -5,6 +5,7 @@ import os
 
 from tests.test_text import py_normalize
 from textcards.plans import jobs as J
+from textcards.sources.versioned import resolve
 
 TEXTS = {
     "rec-2023-02-01": "Engines failed to ignite during ascent. The vehicle began to tumble and "
@@ -26,8 +27,8 @@ LABELS = {
 }
 
 
-def files(d):
-    return [f for f in os.listdir(d) if f.startswith("part-")]
+def files(spark, d):
+    return [f for f in os.listdir(resolve(spark, d)) if f.startswith("part-")]
 
 
 def test_pipeline(spark, tmp_dir):
@@ -76,7 +77,7 @@ def test_pipeline(spark, tmp_dir):
         got = {r["field"]: r for r in per_field.collect()}
         assert set(got) == {"subsystem", "failure_mode", "impact", "cause"}
         assert all(r["n"] == 1 and 0 <= r["micro_f1"] <= 1 for r in got.values())
-        assert files(os.path.join(out, "fields"))
+        assert files(spark, os.path.join(out, "fields"))
 
     ev = {r["scope"]: r for r in J.evidence_eval_job(
         spark, inc, kw, os.path.join(tmp_dir, "evidence"), split=split).collect()}

@@ -48,7 +48,7 @@ def test_split_written_and_read_by_uri(spark, tmp_dir):
         preds = lines(os.path.join(tmp_dir, "p.jsonl"), [{"incident_id": f"r{i}", "pred": {"failure_mode": ["fire"]}} for i in range(10)])
         _, per = J.evaluate_job(spark, f"file://{data}", preds, out, split=path)
         assert {(r["n"], r["n_scored"]) for r in per.collect()} == {(2, 2)}
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError):          # a plain file is not replaced by a table
         J.clean_job(spark, data, f"file://{data}")
 
 

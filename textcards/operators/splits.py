@@ -12,11 +12,13 @@ never a single-task window.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType, StringType
 
 from textcards.functions.text import parse_date
+from textcards.operators.common import bounded_broadcast, stored
+from textcards.sources.readers import file_order
 
 BUCKETS = 2048
 
@@ -66,7 +68,8 @@ def extreme_n(df: DataFrame, key_cols: list[str], n: int, largest: bool = True)
     """Predicate selecting exactly the ``n`` rows of ``df`` with the largest
     (or smallest) key tuple in lexicographic order.
 
-    ``key_cols`` are long columns of ``df`` whose tuple is unique per row;
+    ``key_cols`` are long columns of ``df`` whose tuple is unique per row (the
+    splits end it with the row's number, so records may repeat ids and dates);
     apply the returned predicate to ``df`` (or anything carrying the same
     key columns).  ``n <= 0`` selects nothing, ``n >= count`` everything.
     """
@@ -118,6 +121,29 @@ def id_keys(df: DataFrame, id_col: str) -> dict[str, Column]:
     return {f"_i{i}": k for i, k in enumerate([*parts, F.octet_length(text).cast("long")])}
 
 
+ROW = "_row"        # last key: the number of a stored row, which breaks all ties
+
+
+def _keyed(records: DataFrame, *columns) -> DataFrame:
+    """The columns and ``ROW``, stored, so that every pass sees the same numbers."""
+    return stored(records.select(*columns, F.monotonically_increasing_id().alias(ROW)))
+
+
+def row_positions(records: DataFrame, name: str = "position") -> DataFrame:
+    """``records``, just read from files, with each row's number (from 0) in the
+    order file, block, line.
+
+    Rows are counted per block in one narrow aggregate; a running sum over the
+    blocks (not the rows) gives where each begins, and the row's place inside its
+    block is added.  No row is sorted or moved."""
+    rows = records.withColumn("_o", file_order())
+    blocks = rows.groupBy(F.col("_o.f").alias("_f"), F.col("_o.b").alias("_b")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("_o.l").alias("_l"))
+    begins = blocks.select("_f", "_b", "_l", (F.sum("_n").over(Window.orderBy("_f", "_b")) - F.col("_n")).alias("_at"))
+    j = rows.join(bounded_broadcast(begins), (F.col("_o.f") == F.col("_f")) & (F.col("_o.b") == F.col("_b")))
+    return j.select(*records.columns, (F.col("_at") + F.col("_o.l") - F.col("_l")).alias(name))
+
+
 def hash_key(id_col: str, seed: int) -> Column:
     """K5 order key: first 60 bits of ``md5(id || '|' || seed)``."""
     h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"|{seed}")))
@@ -136,11 +162,11 @@ def hash_split(records: DataFrame, id_col: str, test_size: float = 0.2,
     """K5 (re-aimed random split): order records by ``md5(id|seed)`` (then
     id), the first ``max(1, round(n*p))`` are test.  Returns ``(id, part)``."""
     keys = id_keys(records, id_col)
-    k = records.select(id_col, hash_key(id_col, seed).alias("_h"), *(c.alias(n) for n, c in keys.items()))
+    k = _keyed(records, id_col, hash_key(id_col, seed).alias("_h"), *(c.alias(n) for n, c in keys.items()))
     n = k.count()
     if n == 0:
         return k.select(id_col, F.lit("test").alias("part")).limit(0)
-    pred = extreme_n(k, ["_h", *keys], test_count(n, test_size), largest=False)
+    pred = extreme_n(k, ["_h", *keys, ROW], test_count(n, test_size), largest=False)
     return k.select(id_col, F.when(pred, "test").otherwise("train").alias("part"))
 
 
@@ -153,31 +179,43 @@ def time_split(records: DataFrame, id_col: str, date_col: str, test_size: float
     to ``hash_split``.  Returns ``(split (id, part), strategy)``.
     """
     keys = id_keys(records, id_col)
-    k = records.select(id_col, date_key(records, date_col).alias("_d"), *(c.alias(n) for n, c in keys.items()))
+    k = _keyed(records, id_col, date_key(records, date_col).alias("_d"), *(c.alias(n) for n, c in keys.items()))
     dated = k.where(F.col("_d").isNotNull())
     n = dated.count()
     if n == 0:
         return hash_split(records.select(id_col), id_col, test_size, seed), "random"
-    pred = extreme_n(dated, ["_d", *keys], test_count(n, test_size), largest=True)
+    pred = extreme_n(dated, ["_d", *keys, ROW], test_count(n, test_size), largest=True)
     part = F.when(F.col("_d").isNotNull() & pred, "test").otherwise("train")
     return k.select(id_col, part.alias("part")), "time"
 
 
-def head_split(records: DataFrame, id_col: str, ord_col: str, train_frac: float = 0.8) -> DataFrame:
-    """K6: first ``max(1, int(train_frac*n))`` records by ``ord_col`` train,
-    the rest eval; if nothing is left, eval = the first record (which is
-    then in both parts).  Returns ``(id, part)``."""
-    keys = id_keys(records, id_col)
-    k = records.select(id_col, F.col(ord_col).cast("long").alias("_o"), *(c.alias(n) for n, c in keys.items()))
+def head_of(rows: DataFrame, columns: list[str], order: list[str], train_frac: float) -> DataFrame:
+    """K6 by the long columns ``order``, unique per row: the first ``max(1, int(train_frac * n))`` in
+    ``order`` train, the rest eval; if nothing is left, eval = the first record
+    (which is then in both parts)."""
+    k = stored(rows)
     n = k.count()
     split_n = max(1, int(train_frac * n))
-    train = extreme_n(k, ["_o", *keys], split_n, largest=False)
-    tagged = k.select(id_col, F.when(train, "train").otherwise("eval").alias("part"))
-    if split_n < n:
-        return tagged.select(id_col, "part")
-    first = extreme_n(k, ["_o", *keys], 1, largest=False)
-    extra = k.where(first).select(id_col, F.lit("eval").alias("part"))
-    return tagged.select(id_col, "part").unionByName(extra)
+    train = extreme_n(k, order, split_n, largest=False)
+    tagged = k.select(*columns, F.when(train, "train").otherwise("eval").alias("part"))
+    if split_n < n or n == 0:
+        return tagged
+    first = extreme_n(k, order, 1, largest=False)
+    return tagged.unionByName(k.where(first).select(*columns, F.lit("eval").alias("part")))
+
+
+def head_split(records: DataFrame, id_col: str, ord_col: str, train_frac: float = 0.8) -> DataFrame:
+    """K6 by an explicit order column, then id.  Returns ``(id, part)``."""
+    keys = id_keys(records, id_col)
+    k = records.select(id_col, F.col(ord_col).cast("long").alias("_o"), *(c.alias(n) for n, c in keys.items()),
+                       F.monotonically_increasing_id().alias(ROW))
+    return head_of(k, [id_col], ["_o", *keys, ROW], train_frac)
+
+
+def head_split_by_position(records: DataFrame, columns, train_frac: float = 0.8) -> DataFrame:
+    """K6 in file order: ``records``, just read from files, repeated ids and all.
+    Returns ``(columns, position, part)``."""
+    return head_of(row_positions(records.select(*columns)), [*columns, "position"], ["position"], train_frac)
 
 
 def source_split(records: DataFrame, id_col: str, source_col: str, train_sources,

@@ -5,8 +5,8 @@ one Spark plan and writes its outputs; parameters are function arguments.
 Wherever "last record wins", record order is (file path, block, line), taken
 right after the read (``readers.file_order``).
 
-Outputs are directories (Spark writes partitioned files).  A job never
-overwrites a path it reads: give a new output path.  A split is written as
+Outputs are tables in versions (``sources.versioned``): a job may write the
+table it reads, and one that dies keeps the old rows.  A split is written as
 long-form rows ``(incident_id, part)`` plus a one-row parameter record,
 never as one JSON document holding every id.
 """
@@ -23,7 +23,7 @@ from textcards.operators.lexicon import lexicon_predict, lexicon_table, taxonomy
 from textcards.operators.metrics import flat_gold_eval, label_metrics, restrict_ids
 from textcards.operators.ovr import ovr_predict
 from textcards.operators.sentences import sentences
-from textcards.operators.splits import time_split
+from textcards.operators.splits import head_of, row_positions, time_split
 from textcards.operators.stats import dataset_stats, label_distribution
 from textcards.sources import readers as R
 from textcards.sources.sinks import assemble_records, write_jsonl, write_report
@@ -31,12 +31,6 @@ from textcards.sources.sinks import assemble_records, write_jsonl, write_report
 ID = "incident_id"
 
 
-def _distinct_paths(spark: SparkSession, out: str, *inputs) -> None:
-    for p in inputs:
-        if p and R.fs_path(spark, p)[1].equals(R.fs_path(spark, out)[1]):
-            raise ValueError(f"output {out} is also an input: write to a new path")
-
-
 def _taxonomy(spark: SparkSession, schema_path: str | None) -> DataFrame:
     if schema_path:
         return R.read_taxonomy(spark, schema_path)
@@ -79,7 +73,6 @@ def labels_long(records: DataFrame) -> DataFrame:
 # --- C1 C2 C3 ---------------------------------------------------------------------------
 def build_incidents_job(spark: SparkSession, roster_csv: str, raw_dir: str | None, out: str,
                         labels_from: str | None = None) -> DataFrame:
-    _distinct_paths(spark, out, labels_from, roster_csv, raw_dir)
     roster = R.read_csv(spark, roster_csv).select(
         ID, F.col("incident_name").alias("name"), "url", "retrieved_date")
     texts = R.read_text_dir(spark, raw_dir, ID) if raw_dir else None
@@ -92,7 +85,6 @@ def build_incidents_job(spark: SparkSession, roster_csv: str, raw_dir: str | Non
 
 
 def clean_job(spark: SparkSession, inp: str, out: str, min_chars: int = 200) -> DataFrame:
-    _distinct_paths(spark, out, inp)
     rec = clean_records(R.read_jsonl(spark, inp, R.SCRAPED_SCHEMA), "text", min_chars)
     write_jsonl(rec, out)
     return rec
@@ -109,16 +101,26 @@ def extract_pages_job(spark: SparkSession, pages: DataFrame, out: str, id_col: s
 # --- C7 ---------------------------------------------------------------------------------
 def split_job(spark: SparkSession, data: str, out: str, seed: int = 13,
               test_size: float = 0.2) -> DataFrame:
-    _distinct_paths(spark, out, data)
     rec = read_records(spark, data)
     labelled = rec.where((F.coalesce(F.size("labels"), F.lit(0)) > 0)
                          & (F.coalesce(F.col("text"), F.lit("")) != ""))
     split, strategy = time_split(labelled.select(ID, "date"), ID, "date", test_size, seed)
-    split.write.mode("overwrite").json(f"{out}/ids")
-    spark.range(1).select(F.lit(strategy).alias("strategy"), F.lit(seed).alias("seed"),
-                          F.lit(test_size).alias("test_size"),
-                          F.lit(labelled.count()).alias("n_labeled")) \
-        .write.mode("overwrite").json(f"{out}/params")
+    write_jsonl(split, f"{out}/ids")
+    write_report(spark.range(1).select(F.lit(strategy).alias("strategy"), F.lit(seed).alias("seed"),
+                                       F.lit(test_size).alias("test_size"),
+                                       F.lit(labelled.count()).alias("n_labeled")), f"{out}/params")
+    return split
+
+
+def head_split_job(spark: SparkSession, data: str, out: str, train_frac: float = 0.8) -> DataFrame:
+    """K6 by file position over the records with labels and text: ``(incident_id,
+    position, part)`` rows, a row per record, repeated ids included.  The position
+    counts all records of the file; the share is taken of the labelled ones."""
+    rec = R.read_jsonl(spark, data)
+    labelled = row_positions(rec).where((F.coalesce(F.size("labels"), F.lit(0)) > 0)
+                                        & (F.coalesce(F.col("text"), F.lit("")) != ""))
+    split = head_of(labelled.select(ID, "position"), [ID, "position"], ["position"], train_frac)
+    write_jsonl(split, f"{out}/ids")
     return split
 
 
@@ -126,7 +128,6 @@ def split_job(spark: SparkSession, data: str, out: str, seed: int = 13,
 def lexicon_predict_job(spark: SparkSession, data: str, out: str, schema_path: str | None = None,
                         split: str | None = None, lexicon: dict | None = None,
                         fields=None) -> DataFrame:
-    _distinct_paths(spark, out, data)
     tax = _taxonomy(spark, schema_path)
     fields = _fields(tax, fields, schema_path)
     rec = read_records(spark, data)
@@ -145,7 +146,6 @@ def tfidf_predict_job(spark: SparkSession, out: str, data: str | None = None,
     train, test = train or data, test or data
     if not train or not test:
         raise ValueError("provide data, or both train and test paths")
-    _distinct_paths(spark, out, train, test)
     tax = _taxonomy(spark, schema_path)
     fields = _fields(tax, fields, schema_path)
     tr = restrict_ids(read_records(spark, train), _split_ids(spark, split, "train"), ID)
@@ -166,7 +166,6 @@ def score_logits_job(spark: SparkSession, data: str, logits: str, out: str, sche
     """C6 from a logits table (JSON lines, ``LOGITS_SCHEMA``): picked labels,
     probabilities and evidence sentences as nested records."""
     from textcards.operators.logits import score_logits
-    _distinct_paths(spark, out, data, logits)
     tax = _taxonomy(spark, schema_path)
     fields = _fields(tax, fields, schema_path)
     keywords = LX.INCIDENT_EVIDENCE_KEYWORDS if evidence_keywords is None else evidence_keywords
@@ -249,7 +248,6 @@ def cards_job(spark: SparkSession, data: str, out: str, schema_path: str | None
               lexicon: dict | None = None, fields=None) -> DataFrame:
     """One card per (record, field): badges and verbatim evidence."""
     from textcards.operators.cards import cards
-    _distinct_paths(spark, out, data)
     tax = _taxonomy(spark, schema_path)
     fields = _fields(tax, fields, schema_path)
     c = cards(read_records(spark, data), lexicon_table(spark, lexicon or LX.INCIDENT_LEXICON),
@@ -263,7 +261,6 @@ def merge_annotations_job(spark: SparkSession, data: str, annotations: str, out:
     """Apply annotation answers (JSON lines, ``ANNOTATION_SCHEMA``) to
     records and write the updated records to a new path."""
     from textcards.operators.cards import merge_annotations
-    _distinct_paths(spark, out, data, annotations)
     tax = _taxonomy(spark, schema_path)
     ann = R.read_jsonl(spark, annotations, ANNOTATION_SCHEMA).withColumn("_ord", R.file_order())
     merged = merge_annotations(read_records(spark, data), ann, tax, _fields(tax, fields, schema_path), ID, "_ord")

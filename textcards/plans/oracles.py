@@ -793,3 +793,17 @@ ev AS (SELECT id, label, string_agg(CAST(sent_idx AS VARCHAR), ',' ORDER BY rn)
 SELECT pred.id AS doc_id, label, hits, least(0.95::DOUBLE, 0.3::DOUBLE + 0.2::DOUBLE * hits) AS confidence,
        coalesce(evidence, '') AS evidence
 FROM pred LEFT JOIN ev USING (id, label)"""
+
+
+@oracle("q_versioned_records")
+def _():
+    return """
+SELECT 'rec-' || doc_id AS incident_id, text, upper(substr(text, 1, 20)) AS incident_name,
+       trim(coalesce(text, ''), ' ') = '' AS missing_text, lang AS language FROM documents"""
+
+
+@oracle("q_head_split_by_position")
+def _():
+    return """
+SELECT conv_id, turn, position, CASE WHEN position < greatest(1, floor(0.8::DOUBLE * n)) THEN 'train' ELSE 'eval' END AS part
+FROM (SELECT conv_id, turn, row_number() OVER () - 1 AS position, count(*) OVER () AS n FROM conversations)"""

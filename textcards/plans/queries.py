@@ -7,6 +7,7 @@ order in which partitions add up cannot change the compared value.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -741,3 +742,32 @@ def q_large_lexicon(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     p = lexicon_predict(docs, stored(document_keywords(docs)), "doc_id", "text")
     return p.select("doc_id", "label", "hits", "confidence", ints_csv("evidence").alias("evidence"))
+
+
+# --- tables in versions, row numbers ---------------------------------------------------------
+@query
+def q_versioned_records(spark, sf_dir):
+    """Records written, read back, changed and written over themselves
+    twice (a job reads the table it replaces), then read again."""
+    from textcards.plans.jobs import read_records
+    from textcards.session import shared_folder
+    from textcards.sources.sinks import write_jsonl
+    path = f"{shared_folder(spark)}/textcards-records-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    write_jsonl(docs.select(
+        F.concat(F.lit("rec-"), F.col("doc_id")).alias("incident_id"), "text",
+        F.when(F.col("lang").isNotNull(), F.create_map(F.lit("language"), F.array("lang"))).alias("labels")), path)
+    first = read_records(spark, path)
+    write_jsonl(first.withColumn("incident_name", F.upper(F.substring("text", 1, 20))), path)
+    second = read_records(spark, path)
+    write_jsonl(second.withColumn("missing_text", F.coalesce(F.trim("text"), F.lit("")) == ""), path)
+    return read_records(spark, path).select("incident_id", "text", "incident_name", "missing_text",
+                                            F.element_at("labels", "language")[0].alias("language"))
+
+
+@query
+def q_head_split_by_position(spark, sf_dir):
+    """K6 in file order over rows whose id repeats (one per turn)."""
+    from textcards.operators.splits import head_split_by_position
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return head_split_by_position(turns, ["conv_id", "turn"], 0.8)

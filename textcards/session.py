@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -57,3 +58,15 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
     if target:
         sc.setCheckpointDir(target)
     return sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines see: ``spark.checkpoint.dir``.  A local
+    session that names none gets a temporary folder; on a cluster that is an error,
+    because no other machine could read it."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = ensure_checkpoint_dir(spark, tempfile.mkdtemp(prefix="textcards-shared-"))
+    return named.rstrip("/")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textcards.functions.text import py_strip
+from textcards.sources.versioned import resolve
 
 RECORD_SCHEMA = (
     "incident_id string, incident_name string, text string, "
@@ -48,14 +49,16 @@ def file_order() -> F.Column:
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = RECORD_SCHEMA) -> DataFrame:
     """One JSON object per line; blank lines skipped; a malformed line
-    fails the job (FAILFAST), as the reference raises."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    fails the job (FAILFAST), as the reference raises.  ``path`` may be a file,
+    a folder or a table in versions."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(resolve(spark, path))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str = ROSTER_SCHEMA) -> DataFrame:
-    """Header CSV, quoted fields (commas / newlines inside quotes), all strings."""
+    """Header CSV, quoted fields (commas / newlines inside quotes), all
+    strings; a row with another number of fields than the header fails the job."""
     return (spark.read.schema(schema).option("header", "true").option("multiLine", "true")
-            .option("escape", '"').csv(path))
+            .option("escape", '"').option("mode", "FAILFAST").csv(path))
 
 
 def read_text_dir(spark: SparkSession, path: str, id_col: str = "incident_id") -> DataFrame:
@@ -85,7 +88,7 @@ def read_split(spark: SparkSession, path: str | None, id_col: str = "incident_id
         return None
     ids_dir = f"{path.rstrip('/')}/ids"
     if exists(spark, ids_dir):
-        df = spark.read.schema(f"{id_col} string, part string").option("mode", "FAILFAST").json(ids_dir)
+        df = spark.read.schema(f"{id_col} string, part string").option("mode", "FAILFAST").json(resolve(spark, ids_dir))
         return df.select(id_col, "part")
     doc = spark.read.schema(SPLIT_SCHEMA).option("multiLine", "true").option("mode", "FAILFAST").json(path)
     train = doc.select(F.explode("train").alias(id_col), F.lit("train").alias("part"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textcards.sources.versioned import publish, resolve
+
 
 def assemble_records(pred_long: DataFrame, scored_ids: DataFrame, fields,
                      id_col: str = "incident_id", label_order: str = "label_pos") -> DataFrame:
@@ -39,14 +41,21 @@ def assemble_records(pred_long: DataFrame, scored_ids: DataFrame, fields,
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One JSON object per line, UTF-8, nulls omitted (optional keys).
 
-    Spark never overwrites a path it is reading: write to a new directory
-    (the reference's read-and-overwrite of one file is not supported).
-    """
-    df.write.mode(mode).option("ignoreNullFields", "true").json(path)
+    Overwriting publishes a new version (``versioned``): ``df`` may read the very
+    table it replaces, and a crash keeps the old rows.  Appending adds files to
+    the current version."""
+    def write(rows, folder, how="errorifexists"):
+        rows.write.mode(how).option("ignoreNullFields", "true").json(folder)
+
+    if mode == "append":
+        write(df, resolve(df.sparkSession, path), "append")
+    else:
+        publish(df, path, write)
 
 
-def write_report(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+def write_report(df: DataFrame, path: str) -> None:
     """A metric table with one row per taxonomy label, field or scope at
-    most, as one file of JSON lines.  The rows go to one task *after* their
-    aggregation (a plain ``coalesce`` would pull that into the task as well)."""
-    df.repartition(1).write.mode(mode).json(path)
+    most, as one file of JSON lines, published like ``write_jsonl``.  The rows go
+    to one task *after* their aggregation (a plain ``coalesce`` would pull that
+    into the task as well)."""
+    publish(df.repartition(1), path, lambda rows, folder: rows.write.json(folder))
