@@ -798,7 +798,7 @@ FROM pred LEFT JOIN ev USING (id, label)"""
 @oracle("q_versioned_records")
 def _():
     return """
-SELECT 'rec-' || doc_id AS incident_id, text, upper(substr(text, 1, 20)) AS incident_name,
+SELECT 'rec-' || doc_id AS incident_id, text, substr(text, 1, 20) AS incident_name,
        trim(coalesce(text, ''), ' ') = '' AS missing_text, lang AS language FROM documents"""
 
 

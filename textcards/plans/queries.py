@@ -758,7 +758,7 @@ def q_versioned_records(spark, sf_dir):
         F.concat(F.lit("rec-"), F.col("doc_id")).alias("incident_id"), "text",
         F.when(F.col("lang").isNotNull(), F.create_map(F.lit("language"), F.array("lang"))).alias("labels")), path)
     first = read_records(spark, path)
-    write_jsonl(first.withColumn("incident_name", F.upper(F.substring("text", 1, 20))), path)
+    write_jsonl(first.withColumn("incident_name", F.substring("text", 1, 20)), path)
     second = read_records(spark, path)
     write_jsonl(second.withColumn("missing_text", F.coalesce(F.trim("text"), F.lit("")) == ""), path)
     return read_records(spark, path).select("incident_id", "text", "incident_name", "missing_text",
