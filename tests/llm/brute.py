@@ -83,19 +83,28 @@ def substrings(rows, length):
     return out
 
 
-def paragraphs(rows, percent, min_words):
-    """[(doc_id, text)] with distinct ids -> {doc_id: removed lines}."""
-    found = [(i, k, shingles(x, 5)) for i, t in rows for k, x in enumerate((t or "").split("\n"))
-             if len(words(x)) >= min_words]
-    u = Union(range(len(found)))
+def paragraphs(rows, percent=80, min_words=20):
+    """[(doc_id, text)] with distinct ids -> {doc_id: (removed lines, n_paragraphs)}."""
+    found, count = [], {}
+    for i, t in rows:
+        lines = [words(x) for x in (t or "").split("\n")]
+        mine = []
+        for k, line in enumerate(lines):
+            ends = [m for m in range(k, len(lines)) if sum(map(len, lines[k:m + 1])) >= min_words]
+            if line and ends:
+                mine.append((i, k, ends[0], shingles(" ".join(sum(lines[k:ends[0] + 1], [])), 5)))
+        count[i] = len(mine)
+        found += mine
     found.sort(key=lambda p: p[:2])
-    for a, (_, _, s) in enumerate(found):
+    u = Union(range(len(found)))
+    for a, p in enumerate(found):
         for b in range(a):
-            k = len(s & found[b][2])
-            if 100 * k >= percent * (len(s) + len(found[b][2]) - k):
+            k = len(p[3] & found[b][3])
+            if 100 * k >= percent * (len(p[3]) + len(found[b][3]) - k):
                 u.join(a, b)
-    gone = defaultdict(list)
-    for a, (i, k, _) in enumerate(found):
+    gone = {i: set() for i, _ in rows}
+    for a, (i, k, m, _) in enumerate(found):
+        first = found[u.find(a)]
         if u.find(a) != a:
-            gone[i].append(k)
-    return gone
+            gone[i] |= {x for x in range(k, m + 1) if not (first[0] == i and first[1] <= x <= first[2])}
+    return {i: (sorted(gone[i]), count[i]) for i, _ in rows}

@@ -81,10 +81,24 @@ def test_count_tree_finds_all_that_can_link():
 def test_one_of_each_keeps_columns_and_one_row(edge_docs, edge_rows):
     out = shingle_join.one_of_each(edge_docs, n=3, percent=90)
     assert out.columns == edge_docs.columns
-    ids = [r.doc_id for r in out.collect()]
-    comps = {c for _, _, c in brute.jaccard_components(edge_rows, 3, 90) if c is not None}
-    assert sorted(i for i in ids if i is not None) == sorted(comps)
-    assert ids.count(None) == 2
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out.collect())
+    # rows of one id and text are one; each links by its own text only
+    known = sorted({(i, t or "") for i, t in edge_rows if i is not None})
+    comps = brute.jaccard_components([(k, t) for k, (_, t) in enumerate(known)], 3, 90)
+    stay = [known[k] for k, (_, _, c) in enumerate(comps) if c == k]
+    assert got == sorted([(False, i, t) for i, t in stay] + [(True, 0, t or "") for i, t in edge_rows if i is None])
+    assert [t for _, i, t in got if i == 16] and sum(i == 16 for _, i, _ in got) == 2       # two unrelated texts of one id
+
+
+def test_one_of_each_with_one_id_under_many_texts(spark):
+    rng = random.Random(9)
+    base = [prose(rng, 80, 5000) for _ in range(30)]
+    rows = [(7, t, f"s{k}") for k, t in enumerate(base)] + [(7, base[3], "s0"), (7, base[3], "a"), (5, base[4], "x"), (9, base[5], "y"), (11, base[0] + " tail", "z")]
+    rng.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = sorted((r.doc_id, r.text, r.source) for r in shingle_join.one_of_each(docs, n=5, percent=80).collect())
+    want = [(7, t, "a" if k == 3 else f"s{k}") for k, t in enumerate(base) if k != 4] + [(5, base[4], "x")]
+    assert got == sorted(want)
 
 
 def test_contamination(spark, edge_docs, edge_rows):
@@ -119,13 +133,13 @@ def test_paragraphs(spark, edge_docs, edge_rows):
         w[rng.randrange(60)] = "edit"
         parts.insert(rng.randrange(3), " ".join(w))
         rows.append((i, "\n".join(parts) + rng.choice(["", "\n", "\n\n"])))
-    want = brute.paragraphs(rows, 80, 20)
+    want = brute.paragraphs(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     texts = dict(rows)
-    assert sum(map(len, want.values())) >= 15
+    assert sum(len(x) for x, _ in want.values()) >= 15
     for r in paragraph_dedup.dedup_paragraphs(docs).collect():
-        assert r.removed == want.get(r.doc_id, [])
-        assert r.text == "\n".join(x for k, x in enumerate(texts[r.doc_id].split("\n")) if k not in want.get(r.doc_id, []))
+        assert (r.removed, r.n_paragraphs) == want[r.doc_id]
+        assert r.text == "\n".join(x for k, x in enumerate(texts[r.doc_id].split("\n")) if k not in r.removed)
 
 
 def test_paragraph_edges(edge_docs, edge_rows, no_docs):

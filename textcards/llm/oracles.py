@@ -36,16 +36,25 @@ FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id"""
 OP5 = f"""
 WITH RECURSIVE ln AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS line, unnest(l) AS s
              FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
-p AS (SELECT doc_id, line, row_number() OVER (ORDER BY doc_id, line) AS id, w
-      FROM (SELECT doc_id, line, {_words(SPACED, 's')} AS w FROM ln) WHERE len(w) >= 20),
+lw AS (SELECT doc_id, line, {_words(SPACED, 's')} AS w FROM ln),
+c AS (SELECT doc_id, line, w, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY line) AS upto FROM lw),
+run AS (SELECT a.doc_id, a.line, min(b.line) AS last FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.line >= a.line
+        AND b.upto - a.upto + len(a.w) >= 20 WHERE len(a.w) > 0 GROUP BY a.doc_id, a.line),
+p AS (SELECT doc_id, line, last, row_number() OVER (ORDER BY doc_id, line) AS id, w
+      FROM (SELECT run.doc_id, run.line, run.last, flatten(list(c.w ORDER BY c.line)) AS w
+            FROM run JOIN c ON c.doc_id = run.doc_id AND c.line BETWEEN run.line AND run.last GROUP BY run.doc_id, run.line, run.last)),
 sh AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM p)),
 n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
 pair AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM sh a JOIN sh b ON a.g = b.g AND a.id < b.id GROUP BY a.id, b.id),
 link AS (SELECT x, y FROM pair JOIN n a ON a.id = x JOIN n b ON b.id = y WHERE 100 * k >= 80 * (a.n + b.n - k)),
 both_ AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
 r AS (SELECT DISTINCT x AS a, x AS b FROM both_ UNION SELECT r.a, both_.y FROM r JOIN both_ ON both_.x = r.b),
-gone AS (SELECT a AS id FROM r GROUP BY a HAVING min(b) < a),
-g AS (SELECT p.doc_id, list(line ORDER BY line) AS lines FROM p JOIN gone USING (id) GROUP BY p.doc_id),
+after AS (SELECT a AS id, min(b) AS first FROM r GROUP BY a HAVING min(b) < a),
+gone AS (SELECT DISTINCT doc_id, line FROM (
+           SELECT p.doc_id, unnest(range(p.line, p.last + 1)) AS line, f.doc_id AS fd, f.line AS fl, f.last AS ft
+           FROM after JOIN p ON p.id = after.id JOIN p f ON f.id = after.first)
+         WHERE NOT (doc_id = fd AND line BETWEEN fl AND ft)),
+g AS (SELECT doc_id, list(line ORDER BY line) AS lines FROM gone GROUP BY doc_id),
 np AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id),
 kept AS (SELECT ln.doc_id, string_agg(s, chr(10) ORDER BY line) AS t FROM ln LEFT JOIN g ON g.doc_id = ln.doc_id
          WHERE g.lines IS NULL OR NOT list_contains(g.lines, line) GROUP BY ln.doc_id)

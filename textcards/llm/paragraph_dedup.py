@@ -1,9 +1,11 @@
 """Operator 5: near-duplicate paragraphs by MinHash banding.
 
-A paragraph is a line of at least ``min_words`` words (white-space separated,
-A-Z lower-cased), and also a block of that many words: the lines between two
-blank lines, joined, where they are several (hard-wrapped text, passages over
-several lines).  Lines and blocks are compared with each other.
+A paragraph begins at a line that has a word (white-space separated, A-Z
+lower-cased) and is the shortest run of whole lines from there that reaches
+``min_words`` words: the line itself where it is long enough, else with the lines
+after it.  So hard-wrapped text and passages over several lines have paragraphs
+that begin at the same line in every copy, no blank line is needed, and a short
+line goes only as part of a run.
 
 1. One pass hashes every paragraph of every whole text: an identity hash of its
    words and a MinHash signature of its ``SHINGLE``-word shingles, folded into
@@ -14,16 +16,17 @@ several lines).  Lines and blocks are compared with each other.
    the smallest of the band; connected components of these ties are clusters.
 3. Within a cluster the exact shingle sets are compared (Jaccard similarity,
    in integers); a cluster beyond a bound is dealt as pairs of blocks.
-4. Components of the verified links are groups.  Of a group with blocks the
-   first block (smallest doc_id, then line) stays and the other blocks go; the
-   lines go that are not in the block that stays.  Of a group without blocks
-   the first line stays that went with no block, and the others go.  So each
-   paragraph that goes has one that stays, and none goes for its own block.
-
-Cases: null and empty texts have no paragraphs.  Rows that share a doc_id are
-told apart by their text; rows that share both count as the same document and
-lose or keep the same paragraphs.  A null doc_id sorts before all others.  An
-empty table gives an empty result.  Other columns are not read.
+4. Components of the verified links are groups.  The first paragraph of a group
+   (smallest doc_id, then line) stays as far as this group is concerned; the
+   lines of the others go, but for lines that the first one has itself (runs of
+   one text overlap).  So each line that goes lies in a paragraph that has a
+   near duplicate before it.
+
+Cases: null and empty texts, and texts of fewer words than ``min_words``, have no
+paragraphs.  Very long texts take time and memory in proportion.  Rows that
+share a doc_id are told apart by their text; rows that share both count as the
+same document and lose or keep the same paragraphs.  A null doc_id sorts before
+all others.  An empty table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -38,10 +41,11 @@ from textcards.llm.shingle_join import MAX_BROADCAST, verified_links
 
 SHINGLE = 5
 PERCENT = 80
-MIN_WORDS = SHINGLE
+MIN_WORDS = 20
 RECALL = 0.9998
 MAX_ROWS = 2                 # minhashes of a band; more select better but need more bands
 ID_BITS = 33                 # paragraphs of one input partition: 2**33
+RETURNED = 50_000            # paragraphs hashed at a time
 
 NO_ID = -(1 << 63)           # stands for a null doc_id
 
@@ -59,58 +63,54 @@ def lines_of(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, np.searchsorted(offs, at[:-1], side="right") - 1
 
 
-def _sums(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    acc = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
-    return acc[b] - acc[a]
-
-
 def _spans(op, values: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return op.reduceat(np.append(values, np.uint64(0)), np.column_stack([a, b]).ravel())[::2]
 
 
-def block_starts(buf: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """First lines of the blocks; a blank line is one of its own."""
-    if len(at) < 2:
-        return np.zeros(0, np.int64)
-    full = np.logical_or.reduceat(tokens.NON_SPACE[buf] != 0, at[:-1])
-    new = np.ones(len(full), bool)
-    new[1:] = ~(full[1:] & full[:-1]) | (doc[1:] != doc[:-1])
-    return np.flatnonzero(new)
+def line_words(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and where each line's begin (one more at the end)."""
+    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
+    for p, q in tokens.chunks(at):
+        h, line = tokens.words(part[at[p]:at[q]], at[p:q + 1] - at[p], tokens.NON_SPACE)
+        hashes.append(h)
+        counts.append(np.bincount(line, minlength=q - p))
+    return np.concatenate(hashes), np.cumsum(np.concatenate(counts))
+
+
+def runs_of(edge: np.ndarray, doc: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last lines of the paragraphs."""
+    first = np.flatnonzero(np.diff(edge) > 0)
+    last = np.searchsorted(edge, edge[first] + min_words) - 1
+    inside = last < len(doc)
+    first, last = first[inside], last[inside]
+    same = doc[last] == doc[first]
+    return first[same], last[same]
+
+
+def identity(h: np.ndarray, a: np.ndarray, b: np.ndarray, base: int) -> np.ndarray:
+    """A hash of the words of each span [a, b), wherever it lies."""
+    n = len(h) + 1
+    acc = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * tokens.powers(n, base)[:-1], dtype=np.uint64)])
+    back = tokens.powers(n, pow(base, -1, 1 << 64))
+    return tokens.mix((acc[b] - acc[a]) * back[a] + (b - a).astype(np.uint64))
 
 
 def read_paragraphs(min_words: int, bands: int, rows: int):
     """Task code: (doc_id, th, text) -> a row per paragraph."""
     u = np.uint64
 
-    def identity(h, edge, a, b):
-        """Two hashes of the words of each span [a, b); ``edge``: where the
-        positions of the words are counted from."""
-        pos = (np.arange(len(h)) - np.repeat(edge[:-1], np.diff(edge))).astype(u)
-        return _sums(tokens.mix(h ^ tokens.mix(pos)), a, b), _sums(tokens.mix(h + tokens.mix(~pos)), a, b)
-
-    def signed(part, at, starts):
-        """(first and last lines of the paragraphs, identity hashes, band hashes) of some whole blocks."""
-        h, line = tokens.words(part, at, tokens.NON_SPACE)
-        edge = np.searchsorted(line, np.arange(len(at)))
-        ends = np.append(starts[1:], len(at) - 1)
-        whole = edge[np.append(starts, len(at) - 1)]
-        lines = np.flatnonzero(np.diff(edge) >= min_words)
-        blocks = np.flatnonzero((np.diff(whole) >= min_words) & (ends - starts > 1))
-        first, last = np.append(lines, starts[blocks]), np.append(lines, ends[blocks] - 1)
-        if not len(first):
-            return None
-        a, b = edge[first], edge[last + 1]
-        h1, h2 = map(np.concatenate, zip(identity(h, edge, a[:len(lines)], b[:len(lines)]),
-                                         identity(h, whole, a[len(lines):], b[len(lines):]), strict=True))
+    def signed(h, a, b):
+        """Identity hashes and band hashes of the spans [a, b)."""
         sh = tokens.combine(h, SHINGLE)
         low = [_spans(np.minimum, tokens.mix(sh ^ u(tokens._K[k])), a, b - SHINGLE + 1) for k in range(bands * rows)]
         sig = []
         for band in range(bands):
-            x = np.full(len(first), band, u)
+            x = np.full(len(a), band, u)
             for m in low[band * rows:(band + 1) * rows]:
                 x = tokens.mix(x * u(0x9E3779B97F4A7C15) + m)
             sig.append(x)
-        return first, last, h1, h2, np.column_stack(sig).view(np.int64).ravel()
+        return (identity(tokens.mix(h), a, b, tokens._K[0]), identity(tokens.mix(~h), a, b, tokens._K[1]),
+                np.column_stack(sig).view(np.int64).ravel())
 
     def run(batches):
         import pyarrow as pa
@@ -122,19 +122,17 @@ def read_paragraphs(min_words: int, bands: int, rows: int):
                 part, local = buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
                 at, doc = lines_of(part, local)
                 number = np.arange(len(at) - 1) - np.searchsorted(doc, np.arange(len(local)))[doc]
-                starts = block_starts(part, at, doc)
-                cuts = np.append(starts, len(at) - 1)
-                for p, q in tokens.chunks(at[cuts]):
-                    x, y = cuts[p], cuts[q]
-                    found = signed(part[at[x]:at[y]], at[x:y + 1] - at[x], starts[p:q] - x)
-                    if found is None:
-                        continue
-                    first, last, h1, h2, sig = found
+                h, edge = line_words(part, at)
+                firsts, lasts = runs_of(edge, doc, min_words)
+                for k in range(0, len(firsts), RETURNED):
+                    first, last = firsts[k:k + RETURNED], lasts[k:k + RETURNED]
+                    lo, hi = edge[first[0]], edge[last[-1] + 1]
+                    h1, h2, sig = signed(h[lo:hi], edge[first] - lo, edge[last + 1] - lo)
                     rows_at = pa.array(np.arange(len(first) + 1, dtype=np.int32) * bands)
-                    take = pa.array(doc[first + x] + i)
+                    take = pa.array(doc[first] + i)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.arange(pid, pid + len(first))), batch.column("doc").take(take), batch.column("th").take(take),
-                         pa.array(number[first + x].astype(np.int32)), pa.array(number[last + x].astype(np.int32)),
+                         pa.array(number[first].astype(np.int32)), pa.array(number[last].astype(np.int32)),
                          pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(rows_at, pa.array(sig))],
                         names=["pid", "doc", "th", "line", "last", "h1", "h2", "bands"])
                     pid += len(first)
@@ -187,9 +185,9 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int
     cluster = storage.cut(components(ties, "clusters").select(
         F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "members")
 
-    wanted = (classes.join(cluster.withColumnRenamed("doc_id", "pid"), "pid").groupBy("doc", "th")
-              .agg(F.collect_list(F.struct("line", "last", "pid", "cluster")).alias("wanted")))      # lines of one document
-    items = texts.join(storage.bounded(wanted, MAX_BROADCAST), ["doc", "th"]) \
+    wanted = storage.cut(classes.join(cluster.withColumnRenamed("doc_id", "pid"), "pid").groupBy("doc", "th")
+              .agg(F.collect_list(F.struct("line", "last", "pid", "cluster")).alias("wanted")), "wanted")      # lines of one document
+    items = texts.join(storage.bounded(wanted, MAX_BROADCAST, F.size("wanted")), ["doc", "th"]) \
         .select("text", "wanted").mapInArrow(read_line_sets, "doc_id long, cluster long, items binary")
     found = components(verified_links(items, cluster, percent), "links").select(
         F.col("node").alias("pid"), F.col("component").alias("group"))
@@ -203,31 +201,42 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int
 def repeated_lines(members: DataFrame) -> DataFrame:
     """``repeated_paragraphs`` -> ``doc, th, line``: the lines that go."""
     members = storage.cut(members, "repeats")
-    blocks, lines = members.where("last > line"), members.where("last = line").drop("last")
     place = F.struct("doc", "th", "line", "last")
-    kept = storage.cut(blocks.groupBy("group").agg(F.min(place).alias("kept")), "kept")
-    gone = storage.cut(blocks.join(storage.bounded(kept, MAX_BROADCAST), "group").where(place != F.col("kept"))
-                       .select("doc", "th", F.explode(F.sequence("line", "last")).alias("line")).distinct(), "gone")
-    lines = storage.cut(lines.join(storage.bounded(gone, MAX_BROADCAST), ["doc", "th", "line"], "left_anti"), "lines")
-    heads = lines.groupBy("group").agg(F.min(F.struct("doc", "th", "line")).alias("head")).join(kept, "group", "left")
-    inside = F.expr("doc = kept.doc and th = kept.th and line between kept.line and kept.last")
-    stays = F.when(F.col("kept").isNull(), F.struct("doc", "th", "line") == F.col("head")).otherwise(inside)
-    return gone.unionByName(lines.join(storage.bounded(storage.cut(heads, "heads"), MAX_BROADCAST), "group")
-                            .where(~stays).select("doc", "th", "line"))
+    kept = storage.cut(members.groupBy("group").agg(F.min(place).alias("kept")), "kept")
+    own = F.sequence("line", "last")
+    same = F.expr("doc = kept.doc and th = kept.th")
+    gone = F.when(same, F.array_except(own, F.sequence("kept.line", "kept.last"))).otherwise(own)
+    return (members.join(storage.bounded(kept, MAX_BROADCAST), "group").where(place != F.col("kept"))
+            .select("doc", "th", F.explode(gone).alias("line")).distinct())
+
+
+def without_lines(min_words: int):
+    """Task code: (doc_id, text, removed) -> (doc_id, n_paragraphs, removed, text)."""
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            for part in tokens.slices(batch, "text"):
+                texts, counts = [], []
+                for text, removed in zip(part.column("text").to_pylist(), part.column("removed")):
+                    buf = np.frombuffer(text.encode(), np.uint8)
+                    at, doc = lines_of(buf, np.array([0, len(buf)]))
+                    counts.append(len(runs_of(line_words(buf, at)[1], doc, min_words)[0]) if len(buf) else 0)
+                    gone = set(removed.as_py())
+                    texts.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone) if gone else text)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(counts, pa.int64()), part.column("removed"), pa.array(texts, pa.string())],
+                    names=["doc_id", "n_paragraphs", "removed", "text"])
+    return run
 
 
 def dedup_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
     """Per row of ``docs``: ``doc_id, text`` without its repeated paragraphs,
     ``n_paragraphs`` and the numbers of the removed lines (from 0)."""
-    gone = storage.cut(repeated_lines(repeated_paragraphs(docs, percent, min_words)).groupBy("doc", "th")
-                       .agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")   # lines of one document
-    lines = F.split("text", "\n", -1)
-    blocks = F.filter(F.split("text", r"\n[\x20\x09-\x0D]*\n", -1),
-                      lambda x: x.rlike(r"[^\x20\x09-\x0D][\x20\x09\x0B-\x0D]*\n[\x20\x09\x0B-\x0D]*[^\x20\x09-\x0D]"))
-    big = F.filter(F.concat(lines, blocks), lambda x: F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) >= min_words)
-    none = F.expr("cast(array() as array<int>)")
-    return (_keyed(docs).join(storage.bounded(gone, MAX_BROADCAST), ["doc", "th"], "left")
-            .withColumn("removed", F.coalesce("removed", none))
-            .select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), F.size(big).cast("long").alias("n_paragraphs"),
-                    "removed", F.when(F.size("removed") == 0, F.col("text")).otherwise(F.array_join(
-                        F.filter(lines, lambda x, i: ~F.array_contains("removed", i)), "\n")).alias("text")))
+    with storage.released() as made:
+        gone = storage.cut(repeated_lines(repeated_paragraphs(docs, percent, min_words)).groupBy("doc", "th")
+                           .agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")   # lines of one document
+        made.remove(gone._shared_path)
+    rows = _keyed(docs).join(storage.bounded(gone, MAX_BROADCAST, F.size("removed")), ["doc", "th"], "left").select(
+        F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "text",
+        F.coalesce("removed", F.expr("cast(array() as array<int>)")).alias("removed"))
+    return rows.mapInArrow(without_lines(min_words), "doc_id long, n_paragraphs long, removed array<int>, text string")

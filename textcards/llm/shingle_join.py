@@ -387,17 +387,64 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, max_clust
             .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
 
 
+KEY_LIMIT = 1 << 62
+
+
 def one_of_each(docs: DataFrame, **kw) -> DataFrame:
-    """``docs`` without the documents that another of their component stands for
-    (the smallest doc_id stays, once).  Rows without a doc_id all stay."""
+    """``docs`` without the documents that another of their component stands for:
+    of each component the row with the smallest doc_id (then text hash) stays, once.
+
+    A row goes only where its own text links with one that stays.  Rows of one
+    doc_id with several texts are documents of their own here (they get numbers
+    above all ids for the join); of rows equal in doc_id and text the smallest row
+    stays.  Rows without a doc_id all stay, and so do null and empty texts."""
+    th = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.withColumn("__th", th)
     with storage.released() as made:
-        found = storage.cut(jaccard_components(docs, **kw).where("doc_id is not null")
-                            .groupBy("doc_id").agg(F.count("*").alias("n"), F.min("component_id").alias("c")), "groups")
-        made.remove(found._shared_path)
-    gone = found.where("doc_id != c or n > 1").select("doc_id")
-    out = docs.join(storage.bounded(gone, MAX_BROADCAST), "doc_id", "left_anti").select(*docs.columns)
-    again = found.where("doc_id = c and n > 1").select("doc_id")
-    if not again.isEmpty():      # rows that share the id that stays
-        out = out.unionByName(docs.join(storage.bounded(again, MAX_BROADCAST), "doc_id", "left_semi")
-                              .select(*docs.columns).dropDuplicates(["doc_id"]))
-    return out
+        again = storage.cut(rows.where("doc_id is not null").groupBy("doc_id").agg(
+            F.count("*").alias("n"), F.min("__th").alias("lo"), F.max("__th").alias("hi")).where("n > 1"), "again")
+        many = again.where("lo != hi").select("doc_id")
+        if many.isEmpty():
+            numbers = None
+            keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        else:
+            numbers = (rows.join(storage.bounded(many, MAX_BROADCAST), "doc_id", "left_semi")
+                       .select("doc_id", "__th").distinct())
+            numbers = storage.cut(numbers.select("doc_id", "__th", F.monotonically_increasing_id().alias("n")), "numbers")
+            top, most = docs.agg(F.max("doc_id")).first()[0], numbers.agg(F.max("n")).first()[0]
+            if max(top, 0) + most >= KEY_LIMIT:
+                raise ValueError("no room for numbers above the doc_ids")
+            numbers = numbers.select("doc_id", "__th", (F.col("n") + F.lit(max(top, 0) + 1)).alias("__key"))
+            keyed = _with_key(rows, numbers).select(F.col("__key").alias("doc_id"), "text")
+        found = (jaccard_components(keyed, **kw).where("doc_id is not null").select(
+            F.col("doc_id").alias("__key"), "component_id").distinct())
+        if numbers is None:
+            gone = found.where("__key != component_id").select("__key")
+        else:
+            named = storage.cut(found.join(numbers, "__key", "left").select(
+                "__key", "component_id", F.struct(F.coalesce("doc_id", "__key").alias("i"), F.coalesce("__th", F.lit(0)).alias("t"),
+                                                  F.col("__key").alias("k")).alias("place")), "named")
+            heads = named.groupBy("component_id").agg(F.min("place").alias("head"))
+            gone = named.join(heads, "component_id").where("place != head").select("__key")
+            numbers = storage.cut(numbers, "keys")
+            made.remove(numbers._shared_path)
+        gone = storage.cut(gone, "gone")
+        made.remove(gone._shared_path)
+        made.remove(again._shared_path)
+    left = _with_key(rows, numbers).join(storage.bounded(gone, MAX_BROADCAST), "__key", "left_anti")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    ids = storage.bounded(again.select("doc_id"), MAX_BROADCAST)
+    one = left.join(ids, "doc_id", "left_semi").groupBy("__key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return left.join(ids, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select("row.*"))
+
+
+def _with_key(rows: DataFrame, numbers: DataFrame | None) -> DataFrame:
+    """``rows`` with ``__key``: the doc_id, or the number of (doc_id, text) where
+    an id has several texts.  Only rows of such ids are joined by text."""
+    if numbers is None:
+        return rows.withColumn("__key", F.col("doc_id").cast("long"))
+    many = storage.bounded(numbers.select("doc_id").distinct(), MAX_BROADCAST)
+    single = rows.join(many, "doc_id", "left_anti").withColumn("__key", F.col("doc_id").cast("long"))
+    return single.unionByName(rows.join(many, "doc_id", "left_semi").join(
+        storage.bounded(numbers, MAX_BROADCAST), ["doc_id", "__th"]).select(*rows.columns, "__key"))

@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
 
-    Only where the session names none (tests, a laptop) a temporary folder is
-    made and remembered as the context's checkpoint directory."""
+    Only where a local session names none (tests, a laptop) a temporary folder
+    is made and remembered as the context's checkpoint directory; on a cluster
+    no other machine could read it, so that is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="textcards-shared-"))
         named = sc.getCheckpointDir()
     return named.rstrip("/")
@@ -64,9 +67,13 @@ def drop(*tables) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def bounded(df: DataFrame, max_rows: int):
+def bounded(df: DataFrame, max_rows: int, more=None):
     """``df`` with a broadcast hint after a count proved it has at most
-    ``max_rows`` rows, else pinned to a sort-merge join (AQE splits its hot
-    keys)."""
+    ``max_rows`` rows (plus ``more``, a column that counts what a row's arrays
+    hold), else pinned to a sort-merge join (AQE splits its hot keys)."""
     from pyspark.sql import functions as F
-    return F.broadcast(df) if df.count() <= max_rows else df.hint("merge")
+    if more is None:
+        n = df.count()
+    else:
+        n = df.agg(F.coalesce(F.sum(more + 1), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= max_rows else df.hint("merge")
