@@ -5,6 +5,7 @@ import hashlib
 import math
 import os
 import random
+import zlib
 import re
 from collections import Counter, defaultdict
 
@@ -84,6 +85,59 @@ def test_warc_round_trip(spark, split, least):
     assert got == expected_pages(PAGES, least)
 
 
+def damaged(path, how, records):
+    """Damage one file of several records."""
+    import zlib
+    raw = bytearray(open(path, "rb").read())
+    starts, at = [], 0
+    while at < len(raw):
+        starts.append(at)
+        unpack = zlib.decompressobj(31)
+        unpack.decompress(bytes(raw[at:]))
+        at = len(raw) - len(unpack.unused_data)
+    assert len(starts) == records
+    if how == "cut tail":
+        raw = raw[:-15]
+    elif how == "cut record":
+        raw = raw[:starts[-1]]
+    elif how == "cut head":
+        raw = raw[starts[1]:]
+    else:
+        where, byte = how
+        raw[starts[where] + byte] ^= 0xFF
+    open(path, "wb").write(bytes(raw))
+
+
+@pytest.mark.parametrize("how", ["cut tail", "cut record", "cut head", (0, 0), (2, 0), (4, 0), (2, 2), (2, 14), (4, 14), (2, 40), (4, 60)])
+@pytest.mark.parametrize("split", [64, 1 << 20])
+def test_damage_is_an_error(spark, tmp_path, how, split):
+    raw = [warc_store.record(i, "u", f"<p>page {i}</p>".encode() * 9, None) for i in range(5)]
+    path = str(tmp_path / "a.warc.gz")
+    open(path, "wb").write(b"".join(raw))
+    whole = len(b"".join(raw))
+    damaged(path, how, 5)
+
+    def read():
+        from pyarrow import fs
+        size = len(open(path, "rb").read())
+        with fs.LocalFileSystem().open_input_file(path) as f:
+            window = warc_store.Window(f, size)
+            return [warc_store.parse(r)[0] for a in range(0, size, split) for _, r in warc_store.members(window, a, min(size, a + split))]
+
+    if how in ("cut record", "cut head"):           # whole records are missing: the size and the counts tell
+        assert len(read()) == 4
+        files = spark.createDataFrame([("a.warc.gz", whole, 5)], "path string, size long, records long")
+        with pytest.raises(Exception, match="were written"):
+            warc_store.read_archives(files, f"file://{tmp_path}").collect()
+        short = files.withColumn("size", F.lit(len(open(path, "rb").read())).cast("long"))
+        records = warc_store.read_archives(short, f"file://{tmp_path}")
+        with pytest.raises(ValueError, match="lost"):
+            warc_store.verified(records, short)
+        return
+    with pytest.raises((ValueError, zlib.error)):
+        read()
+
+
 def test_warc_of_no_pages(spark):
     base = storage.scratch(spark, "warc")
     files = warc_store.write_pages(spark.createDataFrame([], "page_id long, url string, html string"), base)

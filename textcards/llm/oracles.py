@@ -17,6 +17,19 @@ def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+_B32 = "array_to_string(list_transform(range(0, 160, 5), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + ({five}):1 + ({five})]), '')"
+_NIBBLES = "(CAST(strpos('0123456789abcdef', x[1 + i // 4:1 + i // 4]) AS INTEGER) - 1) * 16 + " \
+           "(CASE WHEN i // 4 = 39 THEN 0 ELSE CAST(strpos('0123456789abcdef', x[2 + i // 4:2 + i // 4]) AS INTEGER) - 1 END)"
+
+OP2 = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first FROM p GROUP BY h)
+SELECT page_id, CAST(octet_length(encode(p.h)) AS BIGINT) AS payload_bytes,
+       {_B32.format(five=f"(({_NIBBLES}) >> (3 - i % 4)) & 31")} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM (SELECT *, sha1(h) AS x FROM p) p JOIN f ON f.h = p.h"""
+
 OP4 = f"""
 WITH it AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words(ALNUM)} AS w FROM benchmark),
 ik AS (SELECT item, w, least(10, len(w)) AS k FROM it WHERE len(w) > 0),
@@ -154,5 +167,5 @@ n AS (SELECT p.a, p.b AS p, p.s AS ps, s.b AS n, s.s AS ns, row_number() OVER (P
 SELECT a AS anchor_id, p AS positive_id, CAST(k AS INTEGER) AS rank, n AS negative_id, ps AS positive_score, ns AS negative_score
 FROM n WHERE k <= 3"""
 
-ORACLES = {"op4_decontamination": OP4, "op5_paragraph_dedup": OP5, "op6_license_scan": OP6, "op7_suffix_dedup": OP7,
+ORACLES = {"op2_warc": OP2, "op4_decontamination": OP4, "op5_paragraph_dedup": OP5, "op6_license_scan": OP6, "op7_suffix_dedup": OP7,
            "op10_shingle_join": OP10, "op11_centroid_clustering": OP11, "op12_hard_negatives": OP12}

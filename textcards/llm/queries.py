@@ -25,7 +25,8 @@ def op2_warc(spark, sf_dir):
     from textcards.llm import storage, warc_store
     base = storage.scratch(spark, "warc")
     files = warc_store.write_pages(_table(spark, sf_dir, "pages"), base)
-    return warc_store.page_records(storage.cut(warc_store.read_archives(files, base), "records")).select(
+    records = warc_store.verified(storage.cut(warc_store.read_archives(files, base), "records"), files)
+    return warc_store.page_records(records).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

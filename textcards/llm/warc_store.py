@@ -9,9 +9,16 @@ digests alone; only digests that do repeat are joined back.
 *Reader.*  A file is cut into byte ranges without looking into it.  A task
 scans its range for the gzip magic number, takes a hit for a member only if it
 decodes to a WARC header, and owns every record that starts inside its range,
-reading past the end to finish the last one.  After a record the next one is
-expected right behind it.  So ranges of any size give every record once.
-A member whose header is right but whose data is damaged stops the job.
+reading past the end to finish the last one.  So ranges of any size give every
+record once.
+
+Damage stops the job and never costs a record silently: a file begins with a
+record; behind every record the next one must begin at once, or the file end
+(the owner of a record looks, even past its range, so each record's head is
+vouched for by the one before); a record that is cut short or whose data or
+digest is wrong is an error; a file must have the size it was written with, and
+``verified`` compares the number of records read from each file with the number
+written.
 
 Cases: a null html is an empty payload.  A null page_id is written without an
 id and nothing refers to it; it refers to others.  Rows that repeat both page_id and payload
@@ -35,6 +42,7 @@ SPLIT_BYTES = 8 << 20
 FILE_BYTES = 256 << 20
 BLOCK = 1 << 20
 LEVEL = 4
+TASKS_PER_CORE = 32
 MAGIC = b"\x1f\x8b\x08"
 MAX_BROADCAST = 200_000       # repeated digests sent to every executor
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -69,7 +77,7 @@ def record(page_id, url, payload: bytes, refers_to) -> bytes:
 
 
 def write_files(base: str, file_bytes: int):
-    """Task code: pages -> archive files, a row (path, size) per file."""
+    """Task code: pages -> archive files, a row (path, size, records) per file."""
     def run(batches):
         import os
         import uuid
@@ -79,33 +87,36 @@ def write_files(base: str, file_bytes: int):
         files, root = fs.FileSystem.from_uri(base)
         files.create_dir(root, recursive=True)
         part, out, n, size, done = TaskContext.get().partitionId(), None, 0, 0, []
+        held = 0
 
         def close():
             out.close()
             path = f"pages-{part:07d}-{n:04d}.warc.gz"
             files.move(tmp, f"{root}/{path}")      # replaces the file of an earlier attempt
-            done.append((path, size))
+            done.append((path, size, held))
 
         for batch in batches:
             for page_id, url, html, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "refers_to")), strict=True):
                 if out is None:
                     tmp = f"{root}/.pages-{part}-{os.getpid()}-{uuid.uuid4().hex}"
-                    out, size = files.open_output_stream(tmp), 0
+                    out, size, held = files.open_output_stream(tmp), 0, 0
                 raw = record(page_id, url, (html or "").encode(), refers)
                 out.write(raw)
                 size += len(raw)
+                held += 1
                 if size >= file_bytes:
                     close()
                     out, n = None, n + 1
         if out is not None:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()),
-                                          pa.array([d[1] for d in done], pa.int64())], names=["path", "size"])
+                                          pa.array([d[1] for d in done], pa.int64()),
+                                           pa.array([d[2] for d in done], pa.int64())], names=["path", "size", "records"])
     return run
 
 
 def write_pages(pages: DataFrame, out_dir: str, min_revisit: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Write ``pages (page_id, url, html)`` and return the files ``(path, size)``."""
+    """Write ``pages (page_id, url, html)`` and return the files ``(path, size, records)``."""
     ship(__name__)
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html",
@@ -116,7 +127,7 @@ def write_pages(pages: DataFrame, out_dir: str, min_revisit: int = 0, file_bytes
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first"))
     return storage.cut(rows.join(storage.bounded(first, MAX_BROADCAST), "sha", "left")
                        .select("page_id", "url", "html", refers.alias("refers_to"))
-                       .mapInArrow(write_files(out_dir, file_bytes), "path string, size long"), "files")
+                       .mapInArrow(write_files(out_dir, file_bytes), "path string, size long, records long"), "files")
 
 
 class Window:
@@ -162,24 +173,53 @@ def decode(window: Window, at: int):
 
 def members(window: Window, start: int, end: int):
     """(offset, record bytes) of the records that start in [start, end)."""
-    at = start
-    while at < end:
+    at, found = start, None
+    if start == 0 and end > 0 and not begins(window, 0):
+        raise ValueError("the file does not begin with a record")
+    while at < end:                     # the first record of the range
         buf = window.read(at, 1 << 16)
         i = buf.find(MAGIC)
         if i < 0:
             if len(buf) < 3:
-                return
+                break
             at += len(buf) - 2
             continue
         at += i
         if at >= end:
             return
         found = decode(window, at)
-        if found is None:
-            at += 1
-            continue
+        if found is not None:
+            break
+        at += 1
+    if found is None:
+        return
+    while True:                         # the others follow without a gap
         yield at, found[0]
         at += found[1]
+        if at >= window.size:
+            return
+        if at >= end:
+            if not begins(window, at):
+                raise ValueError(f"no record begins at {at}, where the one before ends")
+            return
+        found = decode(window, at)
+        if found is None:
+            raise ValueError(f"no record begins at {at}, where the one before ends")
+
+
+def begins(window: Window, at: int) -> bool:
+    """Whether a gzip member with a WARC header begins at ``at``."""
+    unpack, out, pos = zlib.decompressobj(31), b"", at
+    while len(out) < 7 and not unpack.eof:
+        raw = window.read(pos, 1 << 12)
+        if not raw:
+            return False
+        try:
+            out += unpack.decompress(raw, 64)
+        except zlib.error:
+            return False
+        pos += len(raw)
+    return out.startswith(b"WARC/1.")
 
 
 def parse(raw: bytes):
@@ -215,6 +255,8 @@ def read_ranges(base: str):
         for batch in batches:
             for path, size, start, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with files.open_input_file(f"{root}/{path}") as f:
+                    if f.size() != size:
+                        raise ValueError(f"{path} has {f.size()} bytes, {size} were written")
                     rows = []
                     for at, raw in members(Window(f, size), start, end):
                         rows.append((*parse(raw), path, at))
@@ -226,12 +268,21 @@ def read_ranges(base: str):
 
 
 def read_archives(files: DataFrame, base: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """The records of the files ``(path, size)`` below ``base``."""
+    """The records of the files ``(path, size, ...)`` below ``base``."""
     ship(__name__)
     ranges = files.select("path", "size", F.explode(F.expr(f"sequence(0L, greatest(0L, size - 1), {split_bytes}L)")).alias("start"))
     ranges = ranges.withColumn("end", F.least(F.col("start") + split_bytes, F.col("size")))
-    n = max(1, ranges.count())
-    return ranges.repartition(n).mapInArrow(read_ranges(base), RECORD)
+    most = TASKS_PER_CORE * files.sparkSession.sparkContext.defaultParallelism      # a task reads many ranges
+    return ranges.repartition(min(max(1, ranges.count()), most)).mapInArrow(read_ranges(base), RECORD)
+
+
+def verified(records: DataFrame, files: DataFrame) -> DataFrame:
+    """``records`` (stored), after the records of each file were counted."""
+    read = records.groupBy("path").agg(F.count("*").alias("n"))
+    wrong = files.join(read, "path", "full").where("not (records <=> n)").select("path", "records", "n").take(5)
+    if wrong:
+        raise ValueError(f"records lost or added: {[tuple(r) for r in wrong]}")
+    return records
 
 
 def page_records(records: DataFrame) -> DataFrame:
