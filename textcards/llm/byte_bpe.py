@@ -39,7 +39,11 @@ from pyspark.sql import functions as F
 from textcards.llm import ship, tokens
 from textcards.llm.token_output import pieces, read_vocabulary
 
-SLICE_BYTES = 1 << 20
+#: Fixed value: the pattern that the library's byte-level step has built in (one step instead of two).
+BUILT_IN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+SLICE_BYTES = 4 << 20
+LONG = 1 << 20               # characters of a text that is cut into units at once
 
 
 def byte_characters() -> list[str]:
@@ -84,9 +88,9 @@ def model(vocabulary: bytes, pattern: str) -> str:
             raise ValueError(f"token {token!r} is not a merge of two tokens of lower rank")
         merges.append((written(parts[0]), written(parts[1])))
     made = Tokenizer(models.BPE(vocab={written(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
-    made.pre_tokenizer = pre_tokenizers.Sequence([
-        pre_tokenizers.Split(Regex(pattern), "isolated"),
-        pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    made.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True) if pattern == BUILT_IN else \
+        pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"),
+                                 pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     return made.to_str()
 
 
@@ -110,10 +114,7 @@ UNIT = re.compile(r"(?: (?=\S))?\S*(?:(?! \S)\s+\S*)*")
 CACHED_UNITS, CACHED_LENGTH = 200_000, 64
 
 
-def is_plain(unit: str) -> bool:
-    """Starts with its lone space and ends with no white space: a row of such
-    units is a text that is cut into just these units."""
-    return len(unit) > 1 and unit[0] == " " and not unit[1].isspace() and not unit[-1].isspace()
+SPACES = frozenset(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 class Encoder:
@@ -126,35 +127,34 @@ class Encoder:
         self.size = np.array([len(x or b"") for x in byte_table(tok)])
         self.young, self.old = {}, {}
 
-    def learn(self, units: list[str]):
+    def learn(self, units: set[str]):
         if self.offsets:
+            units = list(units)
             for u, e in zip(units, self.tok.encode_batch(units, add_special_tokens=False)):
                 span = np.array(e.offsets, np.int32).reshape(-1, 2)
                 self.young[u] = (np.array(e.ids, np.int32), span[:, 0], span[:, 1])
             return
-        plain = [u for u in units if is_plain(u)]
-        rest = [u for u in units if not is_plain(u)]
-        for u, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False)):
+        # units that start with their lone space and end with no white space: a
+        # row of them is a text that is cut into just these units
+        plain = [u for u in units if len(u) > 1 and u[0] == " " and u[1] not in SPACES and u[-1] not in SPACES]
+        rest = units.difference(plain)
+        for u, e in zip(rest, self.tok.encode_batch_fast(list(rest), add_special_tokens=False)):
             self.young[u] = np.array(e.ids, np.int32).tobytes()
         if plain:
             ids = np.array(self.tok.encode_batch_fast(["".join(plain)], add_special_tokens=False)[0].ids, np.int32)
-            ends = np.cumsum([len(u.encode()) for u in plain])
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, plain)), np.int64, len(plain)))
             cut = 4 * (np.searchsorted(np.cumsum(self.size[ids]), ends) + 1)
-            raw, at = ids.tobytes(), 0
-            for u, to in zip(plain, cut.tolist()):
-                self.young[u] = raw[at:to]
-                at = to
+            raw = ids.tobytes()
+            cut = cut.tolist()
+            self.young.update(zip(plain, map(raw.__getitem__, map(slice, [0, *cut], cut))))
 
     def __call__(self, texts: list[str]) -> list[list[np.ndarray]]:
         """``[ids]`` or ``[ids, starts, ends]``, each a list of arrays, a text each."""
-        units = [[u for piece in pieces(t) for u in UNIT.findall(piece)] for t in texts]
-        new = []
-        for u in set(chain.from_iterable(units)):
-            if u not in self.young:
-                if u in self.old:
-                    self.young[u] = self.old[u]
-                else:
-                    new.append(u)
+        units = [UNIT.findall(t) if len(t) <= LONG else [u for piece in pieces(t) for u in UNIT.findall(piece)] for t in texts]
+        new = set(chain.from_iterable(units)).difference(self.young)
+        met = new.intersection(self.old)
+        self.young.update(zip(met, map(self.old.__getitem__, met)))
+        new -= met
         self.learn(new)
         look = self.young.__getitem__
         if self.offsets:
@@ -162,9 +162,8 @@ class Encoder:
             out = [[x[c] for x in out] for c in range(3)]
         else:
             out = [[np.frombuffer(b"".join(map(look, us)), np.int32) for us in units]]
-        for u in new:
-            if len(u) > CACHED_LENGTH:
-                del self.young[u]
+        for u in [u for u in new if len(u) > CACHED_LENGTH]:
+            del self.young[u]
         if len(self.young) > CACHED_UNITS:
             self.young, self.old = {}, self.young
         return out
