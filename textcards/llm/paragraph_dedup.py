@@ -45,6 +45,7 @@ MIN_WORDS = 20
 RECALL = 0.9998
 MAX_ROWS = 2                 # minhashes of a band; more select better but need more bands
 ID_BITS = 33                 # paragraphs of one input partition: 2**33
+MAX_ELEMENTS = 2_000_000     # rows and array elements of a broadcast, 24 bytes each at most
 RETURNED = 50_000            # paragraphs hashed at a time
 
 NO_ID = -(1 << 63)           # stands for a null doc_id
@@ -77,6 +78,13 @@ def line_words(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(hashes), np.cumsum(np.concatenate(counts))
 
 
+def word_edges(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where each line's words begin (one more at the end), without their hashes."""
+    inside = tokens.NON_SPACE[buf] != 0
+    inside[1:] &= ~inside[:-1].copy()
+    return np.searchsorted(np.flatnonzero(inside), at)
+
+
 def runs_of(edge: np.ndarray, doc: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     """First and last lines of the paragraphs."""
     first = np.flatnonzero(np.diff(edge) > 0)
@@ -187,7 +195,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int
 
     wanted = storage.cut(classes.join(cluster.withColumnRenamed("doc_id", "pid"), "pid").groupBy("doc", "th")
               .agg(F.collect_list(F.struct("line", "last", "pid", "cluster")).alias("wanted")), "wanted")      # lines of one document
-    items = texts.join(storage.bounded(wanted, MAX_BROADCAST, F.size("wanted")), ["doc", "th"]) \
+    items = texts.join(storage.bounded(wanted, MAX_ELEMENTS, F.size("wanted")), ["doc", "th"]) \
         .select("text", "wanted").mapInArrow(read_line_sets, "doc_id long, cluster long, items binary")
     found = components(verified_links(items, cluster, percent), "links").select(
         F.col("node").alias("pid"), F.col("component").alias("group"))
@@ -220,7 +228,7 @@ def without_lines(min_words: int):
                 for text, removed in zip(part.column("text").to_pylist(), part.column("removed")):
                     buf = np.frombuffer(text.encode(), np.uint8)
                     at, doc = lines_of(buf, np.array([0, len(buf)]))
-                    counts.append(len(runs_of(line_words(buf, at)[1], doc, min_words)[0]) if len(buf) else 0)
+                    counts.append(len(runs_of(word_edges(buf, at), doc, min_words)[0]) if len(buf) else 0)
                     gone = set(removed.as_py())
                     texts.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone) if gone else text)
                 yield pa.RecordBatch.from_arrays(
@@ -236,7 +244,7 @@ def dedup_paragraphs(docs: DataFrame, percent: int = PERCENT, min_words: int = M
         gone = storage.cut(repeated_lines(repeated_paragraphs(docs, percent, min_words)).groupBy("doc", "th")
                            .agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")   # lines of one document
         made.remove(gone._shared_path)
-    rows = _keyed(docs).join(storage.bounded(gone, MAX_BROADCAST, F.size("removed")), ["doc", "th"], "left").select(
+    rows = _keyed(docs).join(storage.bounded(gone, MAX_ELEMENTS, F.size("removed")), ["doc", "th"], "left").select(
         F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "text",
         F.coalesce("removed", F.expr("cast(array() as array<int>)")).alias("removed"))
     return rows.mapInArrow(without_lines(min_words), "doc_id long, n_paragraphs long, removed array<int>, text string")
