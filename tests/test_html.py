@@ -85,3 +85,10 @@ def test_paragraphs_match_python_statement(spark, pages):
     df = spark.createDataFrame([(h,) for h in pages], "html string")
     for r in df.select("html", paragraph_text("html").alias("t")).collect():
         assert r["t"] == py_paragraphs(r["html"]), r["html"]
+
+
+def test_references_of_any_length(spark):
+    page = ("<p>&#0000000065; &#x000000041; &#" + "0" * 500 + "66; &#x" + "0" * 99 + "1F642; &#99999999999999999999; "
+            "&#xFFFFFFFFFFFFFFFFFFFF; &#0000; &#x0; &#1114112; &#150;</p>")
+    got = spark.createDataFrame([(page,)], "h string").select(paragraph_text("h")).first()[0]
+    assert got == "A A B \U0001f642 \ufffd \ufffd \ufffd \ufffd \ufffd \u2013"

@@ -39,7 +39,7 @@ BLOCK_TAGS = ["p", "article", "div", "section", "main", "nav", "footer", "header
               "h1", "h2", "h3", "h4", "h5", "h6"]
 BLOCK_RE = "(?i)</?(" + "|".join(BLOCK_TAGS) + ")(\\s[^>]*)?>"
 TAG_RE = "</?[a-zA-Z][^>]*>|<[!?][^>]*>"
-REFERENCE_RE = "^(#[0-9]{1,9}|#[xX][0-9a-fA-F]{1,8}|[A-Za-z][A-Za-z0-9]{1,30});"
+REFERENCE_RE = "^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]{1,30});"
 # Named references: the standard library's HTML 4 table, and ``&apos;``.
 ENTITIES = {name: chr(code) for name, code in sorted(name2codepoint.items())} | {"apos": "'"}
 # What the numbers 128-159 stand for on pages (Windows-1252);
@@ -55,8 +55,10 @@ def dropped_block_re(tag: str) -> str:
 
 def _character(ref) -> Column:
     """The character a reference names (without ``&`` and ``;``), or null."""
-    digits = F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 10), 16, 10)).otherwise(F.substring(ref, 2, 10))
-    code = digits.cast("long")
+    is_hex = ref.rlike("^#[xX]")
+    digits = F.regexp_replace(ref, "^#[xX]?0*", "")          # any number of zeros before the number
+    code = (F.when(F.length(digits) > 8, F.lit(0x110000)).when(digits == "", F.lit(0))
+            .when(is_hex, F.conv(digits, 16, 10).cast("long")).otherwise(digits.cast("long")))
     bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
     number = (F.when(bad, F.lit(REPLACEMENT))
               .when(code.between(128, 159), F.substring(F.lit(C1_CHARACTERS), (code - 127).cast("int"), F.lit(1)))
