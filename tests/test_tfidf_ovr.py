@@ -181,3 +181,45 @@ def test_bounded_training_sample(spark):
     few = sample_rows(ids, "k", 10).collect()
     assert sorted(r["row"] for r in few) == list(range(10)) and len({r["k"] for r in few}) == 10
     assert sample_rows(ids, "k", 1000).count() == 100
+
+
+def test_stored_model_predicts_the_same(spark, tmp_dir):
+    """Fit, store and predict in separate steps; then another model over the first."""
+    from textcards.operators import ovr_model as M
+    from textcards.operators.lexicon import taxonomy_table
+    from textcards.operators.ovr import label_states, ovr_predict
+    words = ["engine fire", "tank leak", "pad wind", "engine leak", "wind fire"]
+    train = spark.createDataFrame([(i, f"{words[i % 5]} number{i}. {words[i % 3]} again.") for i in range(30)], "id int, text string")
+    test = spark.createDataFrame([(100, "engine fire."), (101, "wind on the pad. leak."), (102, ""), (103, None)], "id int, text string")
+    gold = spark.createDataFrame([(i, "f", "burn") for i in range(30) if "fire" in words[i % 5]] + [(i, "f", "all") for i in range(30)]
+                                 + [(i, "f", "leak") for i in range(30) if "leak" in words[i % 5]], "id int, field string, label string")
+    tax = taxonomy_table(spark, {"f": ["burn", "leak", "all", "none"]})
+    want, _ = ovr_predict(train, test, gold, tax, ["f"], "id")
+    rows = label_states(gold, train.select("id"), tax, "id").collect()
+    fitted = M.fit_tables(train, gold, rows, "id", "text")
+    path = f"{tmp_dir}/model"
+    M.save_model(fitted, path)
+    loaded = M.load_model(spark, path)
+    assert loaded.labels == [("f", "burn"), ("f", "leak")] and loaded.always == [("f", "all")]
+    got = M.predict(loaded, test, "id", "text")
+    key = lambda df: sorted((r["id"], r["label"], round(r["confidence"], 9), tuple(r["evidence"])) for r in df.collect())
+    assert key(got) == key(want) and len(key(got)) > 4
+    M.save_model(M.ModelTables(fitted.vocab, None, [], [], [("f", "all")]), path)      # no active label
+    assert {(r["label"], r["confidence"]) for r in M.predict(M.load_model(spark, path), test, "id", "text").collect()} == {("all", 1.0)}
+    assert key(M.predict(loaded, test, "id", "text")) == key(want)                     # the version before is still there
+
+
+def test_fit_and_score_jobs(spark, tmp_dir):
+    import json
+    from textcards.plans import jobs as J
+    data = f"{tmp_dir}/r.jsonl"
+    with open(data, "w") as f:
+        for i in range(12):
+            f.write(json.dumps({"incident_id": f"r{i:02}", "date": f"2024-01-{i + 1:02}", "text": ("A fire. " if i % 2 else "A leak. ") + "Pad wind.",
+                                "labels": {"failure_mode": ["fire"] if i % 2 else ["leak"], "cause": ["unknown"]}}) + "\n")
+    J.split_job(spark, data, f"{tmp_dir}/split")
+    whole = J.tfidf_predict_job(spark, f"{tmp_dir}/a", data=data, split=f"{tmp_dir}/split").collect()
+    J.tfidf_fit_job(spark, data, f"{tmp_dir}/model", split=f"{tmp_dir}/split")
+    parts = J.tfidf_score_job(spark, data, f"{tmp_dir}/model", f"{tmp_dir}/b", split=f"{tmp_dir}/split").collect()
+    flat = lambda rows: sorted((r["incident_id"], str(r["pred"]), str(r["evidence"])) for r in rows)
+    assert flat(parts) == flat(whole) and len(parts) == 2

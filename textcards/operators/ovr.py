@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from textcards.operators.common import bounded_broadcast, stored
 from textcards.operators.logreg import (MAX_TASKS, MAX_TRAIN_ROWS, fit_labels, pack_columns,
                                         sample_rows)
-from textcards.operators.tfidf import fit_vocabulary, lookup, tfidf_vectors, top_sentence_lists
+from textcards.operators.ovr_model import fit_tables, predict
+from textcards.operators.tfidf import lookup, tfidf_vectors
 
 KEY = "\u0000"      # between field and label
 
@@ -145,17 +146,7 @@ def ovr_predict(train_docs: DataFrame, test_docs: DataFrame, gold_long: DataFram
     predictions ``(id, field, label, confidence, evidence array<int>)``."""
     fields = list(fields)
     states = label_states(gold_long, train_docs.select(id_col), taxonomy, id_col)
-    state_rows = states.where(F.col("field").isin(fields)).collect()   # <= taxonomy size
-    active = sorted((r["field"], r["label"]) for r in state_rows if r["state"] == "active")
-    always = sorted((r["field"], r["label"]) for r in state_rows if r["state"] == "always")
-
-    vocab = stored(fit_vocabulary(train_docs, text_col, max_df=max_df))
-    sure = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(lab).alias("label"), F.lit(1.0).alias("confidence"))
-                     for f, lab in always]).cast("array<struct<field:string,label:string,confidence:double>>")
-    out = test_docs.select(id_col, F.explode(sure).alias("x")).select(id_col, "x.*")
-    if active:
-        model = fit_ovr(train_docs, gold_long, active, vocab, id_col, text_col, max_iter, C, tol, max_train_rows)
-        out = out.unionByName(predict_ovr(model, test_docs, vocab, id_col, text_col, threshold))
-    ev = top_sentence_lists(test_docs, vocab, id_col, text_col, evidence_k)
-    out = out.join(ev, id_col, "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<int>")))
-    return out, states
+    rows = states.where(F.col("field").isin(fields)).collect()   # <= taxonomy size
+    model = fit_tables(train_docs, gold_long, rows, id_col, text_col, max_df, max_iter=max_iter, C=C, tol=tol,
+                       max_train_rows=max_train_rows)
+    return predict(model, test_docs, id_col, text_col, threshold, evidence_k), states

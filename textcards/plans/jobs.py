@@ -21,7 +21,8 @@ from textcards.operators.evidence import evidence_indices_from_text, evidence_me
 from textcards.operators.ingest import build_records, clean_records, last_per_id, page_records
 from textcards.operators.lexicon import lexicon_predict, lexicon_table, taxonomy_table
 from textcards.operators.metrics import flat_gold_eval, label_metrics, restrict_ids
-from textcards.operators.ovr import ovr_predict
+from textcards.operators.ovr import label_states, ovr_predict
+from textcards.operators.ovr_model import fit_tables, load_model, predict, save_model
 from textcards.operators.sentences import sentences
 from textcards.operators.splits import head_of, row_positions, time_split
 from textcards.operators.stats import dataset_stats, label_distribution
@@ -158,6 +159,30 @@ def tfidf_predict_job(spark: SparkSession, out: str, data: str | None = None,
     return nested
 
 
+def tfidf_fit_job(spark: SparkSession, train: str, model: str, schema_path: str | None = None,
+                  split: str | None = None, fields=None, **fit) -> DataFrame:
+    """The first half of C5: fit on the train part and store the model tables."""
+    tax = _taxonomy(spark, schema_path)
+    fields = _fields(tax, fields, schema_path)
+    tr = restrict_ids(read_records(spark, train), _split_ids(spark, split, "train"), ID)
+    gold = labels_long(tr)
+    states = label_states(gold, tr.select(ID), tax, ID).where(F.col("field").isin(fields))
+    save_model(fit_tables(tr.select(ID, "text"), gold, states.collect(), ID, "text", **fit), model)
+    return states
+
+
+def tfidf_score_job(spark: SparkSession, data: str, model: str, out: str, schema_path: str | None = None,
+                    split: str | None = None, threshold: float = 0.5, fields=None) -> DataFrame:
+    """The second half: predict the test part with a stored model, in another run."""
+    fields = _fields(_taxonomy(spark, schema_path), fields, schema_path)
+    te = restrict_ids(read_records(spark, data), _split_ids(spark, split, "test"), ID)
+    preds = predict(load_model(spark, model), te.select(ID, "text"), ID, "text", threshold)
+    nested = assemble_records(preds.where(F.col("field").isin(fields)).withColumn("_o", F.col("label")), te.select(ID),
+                              fields, ID, label_order="_o")
+    write_jsonl(nested, out)
+    return nested
+
+
 LOGITS_SCHEMA = "incident_id string, field string, logits array<float>"
 
 

@@ -807,3 +807,20 @@ def _():
     return """
 SELECT conv_id, turn, position, CASE WHEN position < greatest(1, floor(0.8::DOUBLE * n)) THEN 'train' ELSE 'eval' END AS part
 FROM (SELECT conv_id, turn, row_number() OVER () - 1 AS position, count(*) OVER () AS n FROM conversations)"""
+
+
+@oracle("q_ovr_score")
+def _():
+    return f"""WITH {_sentence_score_ctes()},
+dterm AS (SELECT doc_id, unnest(ts) AS term FROM vterms),
+dw AS (SELECT doc_id, term, df, count(*) * idf AS w FROM dterm JOIN vocab USING (term) GROUP BY doc_id, term, df, idf),
+m AS (SELECT doc_id, sqrt(sum(w * w)) AS n, sum(w * ((df % 7) - 3) * 0.5::DOUBLE) AS a, sum(w * ((length(term) % 5) - 2) * 0.75::DOUBLE) AS b
+      FROM dw GROUP BY doc_id),
+z AS (SELECT d.doc_id, 'common' AS label, coalesce(a / n, 0) + 0.1::DOUBLE AS z FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id
+      UNION ALL SELECT d.doc_id, 'wordy', coalesce(b / n, 0) - 0.2::DOUBLE FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id),
+p AS (SELECT doc_id, label, 1 / (1 + exp(-z)) AS confidence FROM z UNION ALL SELECT doc_id, 'any', 1.0::DOUBLE FROM documents),
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, sent_idx DESC) AS rank
+       FROM sscore WHERE score > 0),
+ev AS (SELECT doc_id, string_agg(CAST(sent_idx AS VARCHAR), ',' ORDER BY rank) AS evidence FROM rk WHERE rank <= 3 GROUP BY doc_id)
+SELECT p.doc_id, 'topic' AS field, label, round(confidence, 6) AS confidence, coalesce(evidence, '') AS evidence
+FROM p LEFT JOIN ev ON ev.doc_id = p.doc_id WHERE confidence >= 0.5"""

@@ -771,3 +771,19 @@ def q_head_split_by_position(spark, sf_dir):
     from textcards.operators.splits import head_split_by_position
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return head_split_by_position(turns, ["conv_id", "turn"], 0.8)
+
+
+@query
+def q_ovr_score(spark, sf_dir):
+    """M2, M5: ``documents`` scored with a stored model whose coefficients are
+    given by a rule over the vocabulary (a fit's cannot be restated in SQL)."""
+    from textcards.operators.ovr_model import ModelTables, load_model, predict, save_model
+    from textcards.operators.tfidf import fit_vocabulary
+    from textcards.session import shared_folder
+    docs = table(spark, sf_dir, "documents")
+    vocab = stored(fit_vocabulary(docs))
+    coef = vocab.select("term", "heavy", (((F.col("df") % 7) - 3) * 0.5).alias("c0"), (((F.length("term") % 5) - 2) * 0.75).alias("c1"))
+    path = f"{shared_folder(spark)}/textcards-model-{uuid.uuid4().hex}"
+    save_model(ModelTables(vocab, coef, [("topic", "common"), ("topic", "wordy")], [0.1, -0.2], [("topic", "any")]), path)
+    p = predict(load_model(spark, path), docs, "doc_id", "text", 0.5)
+    return p.select("doc_id", "field", "label", F.round("confidence", 6).alias("confidence"), ints_csv("evidence").alias("evidence"))
