@@ -149,3 +149,13 @@ def test_repeated_ids_on_the_cut(spark):
     assert sum(r["part"] == "test" for r in S.hash_split(df, "id", 0.5).collect()) == 4
     head = S.head_split(df.withColumn("o", F.lit(1)), "id", "o", 0.5).collect()
     assert sum(r["part"] == "train" for r in head) == 4 and len(head) == 9
+
+
+def test_evidence_of_another_taxonomy(spark, tmp_dir):
+    with open(f"{tmp_dir}/tax.json", "w") as f:
+        json.dump({"labels": {"topic": ["a", "b"]}}, f)
+    gold = jsonl(f"{tmp_dir}/g.jsonl", [{"incident_id": "r", "text": "One. Two.", "evidence_gold": {"topic": {"a": [0], "b": [1]}}}])
+    pred = jsonl(f"{tmp_dir}/p.jsonl", [{"incident_id": "r", "evidence": {"topic": {"a": ["One."], "b": ["0"]}}}])
+    m = {r["scope"]: r for r in J.evidence_eval_job(spark, gold, pred, f"{tmp_dir}/e", schema_path=f"{tmp_dir}/tax.json").collect()}
+    assert m["topic"]["n_items"] == 2 and m["overall"]["n_items"] == 2
+    assert J.evidence_eval_job(spark, gold, pred, f"{tmp_dir}/e").where("scope = 'overall'").first()["n_items"] == 0

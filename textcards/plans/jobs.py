@@ -219,9 +219,9 @@ def evaluate_job(spark: SparkSession, gold: str, pred: str, out: str,
     return per_label, per_field
 
 
-def evidence_eval_job(spark: SparkSession, gold: str, pred: str, out: str,
-                      split: str | None = None, fields=None) -> DataFrame:
-    fields = list(fields or LX.INCIDENT_FIELDS)
+def evidence_eval_job(spark: SparkSession, gold: str, pred: str, out: str, split: str | None = None,
+                      fields=None, schema_path: str | None = None) -> DataFrame:
+    fields = _fields(_taxonomy(spark, schema_path), fields, schema_path)
     test = _split_ids(spark, split, "test")
     g = restrict_ids(read_records(spark, gold), test, ID)
     ev = (g.select(ID, F.explode("evidence_gold").alias("field", "_m"))
