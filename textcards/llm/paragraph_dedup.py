@@ -81,8 +81,10 @@ def line_words(part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def word_edges(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Where each line's words begin (one more at the end), without their hashes."""
     inside = tokens.NON_SPACE[buf] != 0
-    inside[1:] &= ~inside[:-1].copy()
-    return np.searchsorted(np.flatnonzero(inside), at)
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1]
+    starts[at[:-1]] = inside[at[:-1]]          # two texts may meet within a word
+    return np.searchsorted(np.flatnonzero(starts), at)
 
 
 def runs_of(edge: np.ndarray, doc: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,17 +224,24 @@ def without_lines(min_words: int):
     """Task code: (doc_id, text, removed) -> (doc_id, n_paragraphs, removed, text)."""
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         for batch in batches:
-            for part in tokens.slices(batch, "text"):
-                texts, counts = [], []
-                for text, removed in zip(part.column("text").to_pylist(), part.column("removed")):
-                    buf = np.frombuffer(text.encode(), np.uint8)
-                    at, doc = lines_of(buf, np.array([0, len(buf)]))
-                    counts.append(len(runs_of(word_edges(buf, at), doc, min_words)[0]) if len(buf) else 0)
-                    gone = set(removed.as_py())
-                    texts.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone) if gone else text)
+            _, offs = tokens.text_bytes(batch.column("text"))
+            for i, j in tokens.chunks(offs):
+                part = batch.slice(i, j - i)
+                buf, local = tokens.text_bytes(part.column("text"))
+                at, doc = lines_of(buf, local)
+                first, _ = runs_of(word_edges(buf, at), doc, min_words)
+                texts, removed = part.column("text"), part.column("removed")
+                changed = np.asarray(removed.value_lengths()) > 0
+                if changed.any():
+                    kept = []
+                    for k in np.flatnonzero(changed):
+                        gone = set(removed[k].as_py())
+                        kept.append("\n".join(x for n, x in enumerate(texts[k].as_py().split("\n")) if n not in gone))
+                    texts = pc.replace_with_mask(texts, pa.array(changed), pa.array(kept, texts.type))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(counts, pa.int64()), part.column("removed"), pa.array(texts, pa.string())],
+                    [part.column("doc_id"), pa.array(np.bincount(doc[first], minlength=j - i)), removed, texts],
                     names=["doc_id", "n_paragraphs", "removed", "text"])
     return run
 
