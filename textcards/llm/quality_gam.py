@@ -200,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
               .select("doc_id", F.col("quality").cast("int").alias("quality"))
               .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_train_rows))
     rows = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-            .select("quality", "text").mapInArrow(read_features, "quality int, x array<double>").toArrow())
+            .select("quality", "text").mapInArrow(tokens.trimmed(read_features), "quality int, x array<double>").toArrow())
     x = np.array(rows.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES))
     y = np.array(rows.column("quality"), dtype=float)
     order = np.lexsort((*x.T, y))         # the same model whatever the order of the tasks
@@ -226,7 +226,7 @@ def score(docs: DataFrame, model: Gam, keep: list[str], name: str = "score") ->
     text = kept[keep.index("text")] if "text" in keep else "text"
     sent += [] if "text" in keep else [docs["text"].alias("text")]
     kinds = ", ".join(f"{k} {docs.schema[c].dataType.simpleString()}" for c, k in zip(keep, kept, strict=True))
-    out = docs.select(*sent).mapInArrow(scorer(model, kept, text), f"{kinds}, _score double")
+    out = docs.select(*sent).mapInArrow(tokens.trimmed(scorer(model, kept, text)), f"{kinds}, _score double")
     return out.select(*(F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)), F.col("_score").alias(name))
 
 

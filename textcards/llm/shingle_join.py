@@ -320,7 +320,7 @@ def verified_links(items: DataFrame, cluster: DataFrame, percent: int, max_clust
                      .otherwise(1).cast("int").alias("side"), "doc_id", "items"))
     tasks = (dealt.repartition("pair").sortWithinPartitions("pair", "doc_id")
              .select(F.concat_ws("/", "pair.cluster", "pair.band", "pair.i", "pair.j").alias("task"), "side", "doc_id", "items"))
-    return tasks.mapInArrow(join_clusters(percent), "a long, b long")
+    return tasks.mapInArrow(tokens.trimmed(join_clusters(percent)), "a long, b long")
 
 
 def shared_parts(near: DataFrame) -> DataFrame:
@@ -347,7 +347,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, max_clust
     ship("textcards.llm.tokens", __name__)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = storage.cut(texts.mapInArrow(
-        read_sets(n, percent, False), "doc_id long, n_shingles long, h1 long, h2 long, prefix array<long>"), "sets")
+        tokens.trimmed(read_sets(n, percent, False)), "doc_id long, n_shingles long, h1 long, h2 long, prefix array<long>"), "sets")
     with storage.released() as made:
         known = sets.where("doc_id is not null and n_shingles > 0")
         classes = storage.cut(known.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
@@ -363,7 +363,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, max_clust
         left = left.select(F.col("rep").alias("doc_id")).distinct()
 
         kept = storage.cut(texts.join(storage.bounded(storage.cut(left, "left"), MAX_BROADCAST), "doc_id").mapInArrow(
-            read_sets(n, percent, True), "doc_id long, items binary, parts array<long>, tags array<int>"), "kept")
+            tokens.trimmed(read_sets(n, percent, True)), "doc_id long, items binary, parts array<long>, tags array<int>"), "kept")
         near = (kept.select(F.col("doc_id").alias("rep"), F.explode(F.arrays_zip("parts", "tags")).alias("x"))
                 .select("rep", F.col("x.parts").alias("part"), F.col("x.tags").alias("tag"))
                 .withColumn("least", F.expr(f"tag div {TAGS} + 1")))

@@ -164,3 +164,17 @@ def shingle_sets(buf, offs, lut, n: int):
             yield sequence_hash(h[a:b])
         else:
             yield np.zeros(0, U64)
+
+
+def trimmed(run):
+    """Task code that gives its memory back when it ends: workers are reused, and
+    what they keep is missing for the stages that follow."""
+    def task(batches):
+        yield from run(batches)
+        import ctypes
+        import pyarrow as pa
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+        if trim is not None:
+            trim(0)
+    return task
