@@ -11,9 +11,13 @@ runs built.  (A bit table of the templates' bigrams comes first.)
 
 Of the runs that reach t with a template those count that are better than the
 whole text and than each of their lines; the best one first, then the best of
-those that do not overlap it, and so on.  A run need not be tried that a line
-before or after it, all of the template's bigrams, would extend, nor one whose
-first or last line has none.
+those that do not overlap it, and so on.  A run does not count where the line
+before or after it would add bigrams, all of them the template's.  One whose
+first or last line adds no bigram of the template to the others is never better
+than the run without that line; so a line begins only runs that end before the
+last of its bigrams comes again, which bounds the ends to try.  Places, sums
+and bounds are arrays of numbers built once; time grows with the length of the
+text, not with the number of runs in it.
 
 All of it happens inside the row, no shuffle: the templates are a small
 literal.
@@ -37,6 +41,8 @@ from textcards.llm.license_templates import TEMPLATES
 
 THRESHOLD = 0.8
 BITS = 1 << 17           # of the bit table: about ten a bigram
+CHUNK = 64               # numbers that are summed one by one
+FAR = (1 << 31) - 1
 
 
 def normalise(text: str) -> str:
@@ -77,44 +83,104 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def best_runs(t: Column, grams: Column, rows: Column, hits: Column, threshold: float) -> Column:
-    """The runs of lines that match template ``t``; ``rows``: the lines that have
-    words (number ``k``, ``line``, place of the first word ``a``, of the end ``b``,
-    different bigrams up to there ``d``)."""
+def running(values: Column, levels: int = 2) -> Column:
+    """Running sums of an array; chunks of chunks, so no array is copied element by element."""
+    def sums(v):
+        return F.transform(v, lambda _, i: F.aggregate(F.slice(v, F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, x: s + x))
+
+    if not levels:
+        return let(values, sums)
+    last = lambda w: F.coalesce(F.get(w, F.size(w) - 1), F.lit(0).cast("long"))
+
+    def shifted(parts):
+        totals = F.transform(parts, last)
+        return let(running(totals, levels - 1), lambda ends: F.flatten(F.transform(
+            parts, lambda w, c: F.transform(w, lambda x: x + F.get(ends, c) - last(w)))))
+
+    chunks = let(values, lambda v: F.transform(F.sequence(F.lit(0), F.floor(F.size(v) / CHUNK).cast("int")),
+                                               lambda c: F.slice(v, c * CHUNK + 1, F.lit(CHUNK))))
+    return let(F.transform(chunks, sums), shifted)
+
+
+def neighbours(grams: Column) -> Column:
+    """Per bigram: its place ``p``, the places of the same one before (-1: none) and after (FAR: none)."""
+    by_gram = F.array_sort(F.transform(grams, lambda g, i: F.struct(g.alias("g"), i.alias("p"))))
+    near = lambda s, x, i, none: F.when(F.get(s, i)["g"] == x["g"], F.get(s, i)["p"]).otherwise(F.lit(none))
+    return F.array_sort(let(by_gram, lambda s: F.transform(s, lambda x, i: F.struct(
+        x["p"].alias("p"), near(s, x, i - 1, -1).alias("prev"), near(s, x, i + 1, FAR).alias("next")))))
+
+
+def own(at: Column, r: Column) -> Column:
+    """The bigrams that a line adds to a run which it ends."""
+    first = F.greatest(r["a"], F.lit(1))
+    return F.slice(at, first, r["b"] - first)
+
+
+def best_runs(t: Column, at: Column, grams: Column, maybe: Column, rows: Column, hits: Column, threshold: float) -> Column:
+    """The runs of lines that match template ``t``; ``at``: ``neighbours``; ``rows``: the
+    lines that have words (number ``k``, ``line``, place of the first word ``a``, of the
+    end ``b``, different bigrams up to there ``d``)."""
     n = F.size(t["grams"])
-    length = lambda r: r["b"] - r["a"]
-    counted = lambda flags: F.transform(rows, lambda r: F.struct(
-        *(r[c].alias(c) for c in ("k", "line", "a", "b", "d")), F.size(F.filter(F.slice(flags, 1, r["b"] - 1), lambda x: x)).alias("h")))
-    any_hit = lambda flags, at, m: F.exists(F.slice(flags, at, m), lambda x: x)
-    all_hit = lambda flags, at, m: F.coalesce(F.forall(F.slice(flags, at, m), lambda x: x), F.lit(False))
-
-    def starts(flags):
-        before = lambda r: F.get(rows, r["k"] - 1)
-        return lambda r: any_hit(flags, r["a"] + 1, length(r)) & (
-            before(r).isNull() | ~all_hit(flags, before(r)["a"] + 1, length(before(r))))
-
-    def ends(flags):
-        after = lambda r: F.get(rows, r["k"] + 1)
-        return lambda r: any_hit(flags, F.greatest(r["a"], F.lit(1)), length(r)) & (
-            after(r).isNull() | ~all_hit(flags, r["b"], length(after(r))))
+    least, most = n * threshold / (2 - threshold), n * (2 - threshold) / threshold      # bounds of a run's size
+
+    def described(flags):
+        """Per line also: hits up to its end ``h``; the end ``lim`` before which a run that it
+        begins must end for it to bring a bigram of the template, the place ``low`` behind which
+        one that it ends must begin; are all that it adds in front, behind, in the template."""
+        hit = lambda part: F.filter(part, lambda x: F.get(flags, x["p"]))
+        front = lambda r: F.slice(at, r["a"] + 1, r["b"] - r["a"])
+        counts = F.transform(rows, lambda r: F.size(hit(own(at, r))).cast("long"))
+
+        def line(r, h):
+            return let(hit(front(r)), lambda f: let(hit(own(at, r)), lambda e: F.struct(
+                *(r[c].alias(c) for c in ("k", "line", "a", "b", "d")), F.get(h, r["k"]).alias("h"),
+                F.coalesce(F.array_max(F.transform(f, lambda x: x["next"])), F.lit(-1)).alias("lim"),
+                F.coalesce(F.array_min(F.transform(e, lambda x: x["prev"])), F.lit(FAR)).alias("low"),
+                (F.size(f) == F.size(front(r))).alias("front"), (F.size(e) == F.size(own(at, r))).alias("behind"))))
+
+        return let(running(counts), lambda h: F.transform(rows, lambda r: line(r, h)))
+
+    def last_end(lines, x):
+        """Number of the last line that a run from ``x`` may end with; a binary search."""
+        def halve(s, _):
+            mid = F.floor((s["lo"] + s["hi"] + 1) / 2).cast("int")
+            y = F.get(lines, mid)
+            fits = (y["b"] - 2 < x["lim"]) & (y["d"] - x["d"] <= most)
+            return F.struct(F.when(fits, mid).otherwise(s["lo"]).alias("lo"), F.when(fits, s["hi"]).otherwise(mid - 1).alias("hi"))
+
+        steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(lines) + 1)).cast("int"))
+        return F.aggregate(steps, F.struct(x["k"].alias("lo"), (F.size(lines) - 1).alias("hi")),
+                           lambda s, i: F.when(s["lo"] < s["hi"], halve(s, i)).otherwise(s), lambda s: s["lo"])
 
     def able(x, y):
-        """Bounds: the run's different bigrams from below, those of the template from above."""
-        least, most = y["d"] - x["d"], y["h"] - x["h"] + length(x)
-        return (y["k"] > x["k"]) & ((y["b"] - x["a"] - 1) * (2 - threshold) >= n * threshold) & (
-            least * threshold <= n * (2 - threshold)) & (most * 2 >= (least + n) * threshold)
-
-    def run(x, y):
-        own = F.array_distinct(F.slice(grams, x["a"] + 1, y["b"] - x["a"] - 1))
-        return let(own, lambda own: F.struct(
-            (-2.0 * F.size(F.array_intersect(own, t["grams"])) / (F.size(own) + n)).alias("less"),
-            (y["line"] - x["line"]).alias("more"), x["line"].alias("line"), y["line"].alias("last")))
-
-    def tried(first, last):
-        return F.flatten(F.transform(first, lambda x: F.transform(F.filter(last, lambda y: able(x, y)), lambda y: run(x, y))))
-
-    runs = let(F.transform(grams, lambda g: F.array_contains(t["grams"], g)), lambda flags: let(counted(flags), lambda lines: let(
-        F.filter(lines, starts(flags)), lambda first: let(F.filter(lines, ends(flags)), lambda last: tried(first, last)))))
+        return (y["b"] - x["a"] - 1 >= least) & (y["h"] - x["h"] + x["b"] - x["a"] >= least)
+
+    def ends(lines, flags, x, k):
+        def counted(y, fresh):
+            mine = F.filter(fresh, lambda q: q["p"] <= y["b"] - 2)
+            return let(mine, lambda m: F.struct(
+                (-2.0 * F.size(F.filter(m, lambda q: F.get(flags, q["p"]))) / (F.size(m) + n)).alias("less"),
+                (y["line"] - x["line"]).alias("more"), x["line"].alias("line"), y["line"].alias("last")))
+
+        def tried(y):
+            before, after = F.get(lines, x["k"] - 1), F.get(lines, y["k"] + 1)
+            better = F.coalesce(before["front"] & (before["lim"] > y["b"] - 2), F.lit(False)) | F.coalesce(
+                after["behind"] & (after["low"] < x["a"]), F.lit(False))
+            return (y["low"] < x["a"]) & able(x, y) & ~better
+
+        fresh = F.filter(F.slice(at, x["a"] + 1, F.get(lines, k)["b"] - 1 - x["a"]), lambda q: q["prev"] < x["a"])
+        return let(F.filter(F.slice(lines, x["k"] + 2, k - x["k"]), tried), lambda some: F.when(F.size(some) > 0, let(
+            fresh, lambda new: F.transform(some, lambda y: counted(y, new)))))
+
+    def from_line(lines, flags, x):
+        return let(last_end(lines, x), lambda k: F.when((k > x["k"]) & able(x, F.get(lines, k)), ends(lines, flags, x, k)))
+
+    def all_runs(lines, flags):
+        first = F.filter(lines, lambda x: x["lim"] >= x["a"] + least)
+        return F.flatten(F.filter(F.transform(first, lambda x: from_line(lines, flags, x)), lambda r: r.isNotNull()))
+
+    runs = let(F.transform(grams, lambda g, i: F.get(maybe, i) & F.array_contains(t["grams"], g)),
+               lambda flags: let(described(flags), lambda lines: all_runs(lines, flags)))
     found = let(F.filter(hits, lambda m: m["license"] == t["name"]), lambda mine: F.filter(
         runs, lambda r: (-r["less"] >= threshold) & ~F.exists(mine, lambda m: (m["dice"] >= -r["less"]) & (
             (m["line"] == -1) | m["line"].between(r["line"], r["last"])))))
@@ -153,16 +219,19 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, texts: dict[str, str] |
             u["line"].alias("line"), u["line"].alias("last"), t["name"].alias("license")))
 
     hits = F.filter(F.flatten(F.transform(units, compared)), lambda m: m["dice"] >= threshold)
-    none = F.expr("cast(array() as array<struct<k: int, line: int, a: int, b: int>>)")
-    worded = F.filter(F.transform("lines", lambda w, i: F.struct(i.alias("line"), w.alias("words"))), lambda x: x["words"][0] != "")
-    rows = F.aggregate(worded, none, lambda acc, x: F.concat(acc, F.array(F.struct(
-        F.size(acc).alias("k"), x["line"].alias("line"), F.coalesce(F.get(acc, F.size(acc) - 1)["b"], F.lit(0)).alias("a"),
-        (F.coalesce(F.get(acc, F.size(acc) - 1)["b"], F.lit(0)) + F.size(x["words"])).alias("b")))))
-    df = df.select("doc_id", "n_units", "near", "grams", hits.alias("hits"), rows.alias("rows"))
-    rows = F.transform("rows", lambda r: F.struct(*(r[c].alias(c) for c in ("k", "line", "a", "b")), F.size(
-        F.array_distinct(F.slice("grams", 1, r["b"] - 1))).alias("d")))
-    df = df.select("doc_id", "n_units", "near", "grams", "hits", rows.alias("rows"))
-    runs = F.flatten(F.transform("near", lambda t: best_runs(t, F.col("grams"), F.col("rows"), F.col("hits"), threshold)))
+    df = df.select("doc_id", "n_units", "near", "grams", hits.alias("hits"), F.filter(F.transform(
+        "lines", lambda w, i: F.struct(i.alias("line"), F.when(w[0] != "", F.size(w)).cast("long").alias("n"))),
+        lambda x: x["n"].isNotNull()).alias("rows"))
+    rows = let(running(F.col("rows")["n"]), lambda end: F.transform("rows", lambda r, k: F.struct(
+        k.alias("k"), r["line"].alias("line"), (F.get(end, k) - r["n"]).cast("int").alias("a"), F.get(end, k).cast("int").alias("b"))))
+    df = df.select("doc_id", "n_units", "near", "grams", "hits", rows.alias("rows"), neighbours(F.col("grams")).alias("at"),
+                   F.transform("grams", lambda g: perhaps(g, texts)).alias("maybe"))
+    new = F.transform("rows", lambda r: F.size(F.filter(own(F.col("at"), r), lambda x: x["prev"] < 0)).cast("long"))
+    rows = let(running(new), lambda d: F.transform("rows", lambda r: F.struct(
+        *(r[c].alias(c) for c in ("k", "line", "a", "b")), F.get(d, r["k"]).alias("d"))))
+    df = df.select("doc_id", "n_units", "near", "grams", "hits", "at", "maybe", rows.alias("rows"))
+    runs = F.flatten(F.transform("near", lambda t: best_runs(
+        t, F.col("at"), F.col("grams"), F.col("maybe"), F.col("rows"), F.col("hits"), threshold)))
     df = df.select("doc_id", "n_units", F.concat("hits", runs).alias("hits"))
     best = F.array_sort(F.transform("hits", lambda m: F.struct(
         (-m["dice"]).alias("less"), m["line"].alias("line"), m["license"].alias("license"), m["last"].alias("last"))))
