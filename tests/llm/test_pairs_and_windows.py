@@ -123,6 +123,27 @@ def test_longest_match_and_its_place(spark):
     assert [tuple(h) for h in row["hits"]] == [(2, 18), (19, 31)]
 
 
+def test_items_beyond_a_block(spark):
+    """Pieces, blocks and passes change nothing: equal rows, longest matches and places included."""
+    rng = random.Random(31)
+    texts = [prose(rng, 400, 300) for _ in range(12)]
+    docs = spark.createDataFrame([(i, rng.choice(texts)[50:900] + " zz " + t + " " + t[:700]) for i, t in enumerate(texts)] + [(77, None)],
+                                 "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([("long", " ".join(texts[:6])), ("part", texts[7][100:1500]), (None, "zz"), ("gone", "qq ww ee"), ("none", None)],
+                                  "item_id string, text string").repartition(2)
+    seen = []
+    for block_words in (1_000_000, 250, 41):
+        found, (k,) = decontam.find_contamination(docs, bench, ["doc_id"], block_words=block_words)
+        seen.append(sorted((r[k], r.n_words, str(r.hits), str(r["items"]), sorted(map(tuple, r.matches))) for r in found.collect()))
+    assert seen[0] == seen[1] == seen[2] and max(m[3] for r in seen[0] for m in r[4]) >= 400
+
+
+def test_more_words_than_a_block_may_number(spark):
+    bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    with pytest.raises(ValueError):
+        decontam.find_contamination(bench.withColumnRenamed("item_id", "doc_id"), bench, ["doc_id"], block_words=1 << 22)
+
+
 def test_paragraphs(spark, edge_docs, edge_rows):
     rng = random.Random(2)
     shared = [prose(rng, 60) for _ in range(4)]

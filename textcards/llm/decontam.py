@@ -10,11 +10,15 @@ its verbatim occurrences; matches that go on along the same diagonal are
 joined into the longest ones.  Documents never leave their rows and nothing is
 shuffled: the test items go to the documents.
 
-The items are sent to the executors in blocks of at most ``block_words``
-words.  A larger benchmark makes several passes, each adding to what the
-earlier ones found; no item is left out.
+The items are tokenised by Spark and written to the shared folder in blocks of at
+most ``block_words`` words (an id counts like the words that take its room).  An
+item beyond that is cut into pieces that overlap by a window less one word, so each
+window lies in exactly one, and matches that go on in the next piece are joined
+again.  A block goes to the tasks as hashes, which build its tables; the driver
+holds one at a time.  A benchmark of several blocks makes as many passes, each over
+what the earlier one wrote, adding to what it found; no item is left out.
 
-Cases: null or empty texts have no words and match nothing, as documents and
+Cases: an item of any length is searched whole.  Null or empty texts have no words and match nothing, as documents and
 as items.  A null item_id is written as the empty string.  Items of one id
 count once.  Rows are judged one by one, so repeated rows and ids get equal
 results.  Empty tables give empty results or no matches.  Other columns pass
@@ -27,42 +31,54 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textcards.llm import ship, tokens
+from textcards.llm import ship, storage, tokens
 
 WINDOW = 10
 LEAD = 3                     # words that choose the suffixes of the array
 BLOCK_WORDS = 1_000_000      # words of test items sent at once (8 MB of hashes)
+MAX_BLOCK_WORDS = (1 << 21) - 2          # word numbers of a block are packed in 21 bits
+PIECE = "item_id string, place int, cut boolean, words binary"
 
 MATCH = "array<struct<item_id:string,item_word:int,doc_word:int,n_words:int>>"
 FOUND = f"n_words bigint, hits array<struct<start:int,end:int>>, items array<string>, matches {MATCH}"
 
 
-class TestItems:
-    """One block of items: vocabulary, windows, and which items hold them."""
+class Block:
+    """Test items on their way to the tasks: ids, places of pieces, hashes of all words."""
 
-    def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
+    def __init__(self, rows, window: int):
+        h = [np.frombuffer(r["words"], np.uint64) for r in rows]
+        self.ids = [r["item_id"] or "" for r in rows]
+        self.at = np.array([r["place"] for r in rows], np.int64)
+        self.cut = {r["item_id"] or "" for r in rows if r["cut"]}
+        self.first = np.cumsum([0, *map(len, h)])
+        self.words = np.concatenate([*h, np.zeros(0, np.uint64)])
         self.window = window
-        self.ids = [i for i, _ in items]
-        h = [x for _, x in items]
-        self.vocab = np.unique(np.concatenate([*h, np.zeros(0, np.uint64)]))
-        rows, need, item, at = [], [], [], []
-        for k, x in enumerate(h):
-            number = np.searchsorted(self.vocab, x) + 1
-            size = min(window, len(x))
-            for s in range(len(x) - size + 1 if size else 0):
-                rows.append(np.pad(number[s:s + size], (0, window - size)))
-                need.append(size)
-                item.append(k)
-                at.append(s)
-        table = np.array(rows, np.int64).reshape(-1, window)
+
+
+class TestItems:
+    """The tables of a block: vocabulary, windows, and which items hold them."""
+
+    def __init__(self, block: Block):
+        self.window = window = block.window
+        self.vocab = np.unique(block.words)
+        number = np.append(np.searchsorted(self.vocab, block.words) + 1, 0).astype(np.int32)
+        size = np.diff(block.first)
+        need = np.minimum(size, window)
+        n = np.where(need > 0, size - need + 1, 0)
+        item = np.repeat(np.arange(len(size)), n)
+        s = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        reach = np.arange(window)
+        word = np.minimum((block.first[item] + s)[:, None] + reach, len(number) - 1)
+        table = np.where(reach < need[item][:, None], number[word], 0).astype(np.int32)
+        at = s + block.at[item]
         # equal windows are one test suffix; holders[first[w]:first[w+1]] are their items
         self.suffixes, which = np.unique(table, axis=0, return_inverse=True)
         which = which.ravel()
         order = np.argsort(which, kind="stable")
         self.need = (self.suffixes > 0).sum(1)
         self.first = np.searchsorted(which[order], np.arange(len(self.suffixes) + 1))
-        self.holder = np.array(item, np.int64)[order]
-        self.place = np.array(at, np.int64)[order]
+        self.holder, self.place = item[order], at[order]
         self.leads = {n: np.unique(self.lead(self.suffixes[np.minimum(self.need, LEAD) == n], n))
                       for n in range(1, LEAD + 1)}
 
@@ -130,11 +146,24 @@ def _per_row(lists, n):
     return np.repeat(np.arange(n), size), lists.flatten()
 
 
-def scan(block: TestItems, keep: list[str], text: str):
+def _joined(matches: list[dict], cut: set[str], window: int) -> list[dict]:
+    """Matches of items that were cut, joined where one goes on in the next piece."""
+    out, last = [m for m in matches if m["item_id"] not in cut], None
+    for m in sorted((m for m in matches if m["item_id"] in cut), key=lambda m: (m["item_id"], m["doc_word"] - m["item_word"], m["doc_word"])):
+        if last and m["item_id"] == last["item_id"] and m["doc_word"] - m["item_word"] == last["doc_word"] - last["item_word"] \
+                and m["doc_word"] == last["doc_word"] + last["n_words"] - window + 1:
+            last["n_words"] += m["n_words"] - window + 1
+        else:
+            last = dict(m)
+            out.append(last)
+    return out
+
+
+def scan(sent: Block, keep: list[str], text: str):
     """Task code: adds what this block's items match to what is known so far."""
     def run(batches):
         import pyarrow as pa
-        ids = np.array(block.ids, dtype=object)
+        block, ids = TestItems(sent), np.array([*sent.ids, ""], dtype=object)[:-1]
         for batch in (x for b in batches for x in tokens.slices(b, text)):
             n = batch.num_rows
             buf, offs = tokens.text_bytes(batch.column(text))
@@ -187,7 +216,13 @@ def scan(block: TestItems, keep: list[str], text: str):
             rows = np.concatenate([row_old, row_new]).astype(np.int64)
             o = np.argsort(rows, kind="stable")
             both = old + new_matches
-            matches = _lists(rows[o], n, pa.array([both[x] for x in o], pa.struct(
+            both = [both[x] for x in o]
+            rows = rows[o]
+            if sent.cut:
+                whole = [(k, m) for k in np.unique(rows) for m in _joined(
+                    both[np.searchsorted(rows, k):np.searchsorted(rows, k, "right")], sent.cut, block.window)]
+                rows, both = np.array([k for k, _ in whole], np.int64), [m for _, m in whole]
+            matches = _lists(rows, n, pa.array(both, pa.struct(
                 [("item_id", pa.string()), ("item_word", pa.int32()), ("doc_word", pa.int32()), ("n_words", pa.int32())])))
             named = sorted({*zip(row_old.tolist(), (m["item_id"] for m in old), strict=True),
                             *zip(row_new.tolist(), (m["item_id"] for m in new_matches), strict=True)})
@@ -198,18 +233,63 @@ def scan(block: TestItems, keep: list[str], text: str):
     return run
 
 
+def _pieces(window: int, most: int):
+    """Task code: the words of every item that has some, in pieces of at most ``most``."""
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            for item_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = np.frombuffer((text or "").encode(), np.uint8)
+                h = tokens.words(raw, np.array([0, len(raw)]), tokens.ALNUM)[0]
+                for a in range(0, max(len(h) - window + 1, min(len(h), 1)), most - window + 1):
+                    yield pa.RecordBatch.from_pydict({
+                        "item_id": pa.array([item_id], pa.string()), "place": pa.array([a], pa.int32()),
+                        "cut": [len(h) > most], "words": pa.array([h[a:a + most].astype(np.uint64).tobytes()], pa.binary())})
+    return run
+
+
+def _numbered(most: int):
+    """Task code: the task's items dealt to blocks, whose names hold the partition's number."""
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+        part, k, held = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            name = []
+            for item_id, words in zip(batch.column("item_id").to_pylist(), batch.column("words"), strict=True):
+                size = words.as_buffer().size // 8
+                room = size + len(item_id or "") // 8 + 4
+                if held and held + room > most:
+                    k, held = k + 1, 0
+                held += room
+                name.append(f"{part}-{k}")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name, pa.string())], names=[*batch.schema.names, "block"])
+    return run
+
+
 def _blocks(benchmark: DataFrame, window: int, block_words: int):
-    held, words = [], 0
-    for item_id, text in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        raw = np.frombuffer((text or "").encode(), np.uint8)
-        h, _ = tokens.words(raw, np.array([0, len(raw)]), tokens.ALNUM)
-        if held and words + len(h) > block_words:
-            yield TestItems(held, window)
-            held, words = [], 0
-        if len(h):
-            held.append((item_id or "", h))
-            words += len(h)
-    yield TestItems(held, window)
+    """(number of blocks, the blocks one by one, read from the shared folder)."""
+    if not window <= block_words <= MAX_BLOCK_WORDS:
+        raise ValueError(f"block_words must lie between the window and {MAX_BLOCK_WORDS}")
+    items = storage.cut(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(
+        _pieces(window, block_words), PIECE), "benchmark-words")
+    room = F.sum(F.floor(F.length("words") / 8) + F.floor(F.length(F.coalesce("item_id", F.lit(""))) / 8) + 4)
+    total = items.agg(F.coalesce(room, F.lit(0))).first()[0]
+    path = storage.scratch(benchmark.sparkSession, "benchmark-blocks")
+    items.coalesce(max(1, -(-total // block_words))).mapInArrow(_numbered(block_words), PIECE + ", block string") \
+        .write.partitionBy("block").parquet(path)
+    storage.drop(items)
+    stored = benchmark.sparkSession.read.schema(PIECE + ", block string").parquet(path)
+    names = [r[0] for r in stored.select("block").distinct().collect()]
+
+    def each():
+        for name in names:
+            yield Block(stored.where(F.col("block") == name).collect(), window)
+        if not names:
+            yield Block([], window)
+        storage.drop(path)
+
+    return max(1, len(names)), each()
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], window: int = WINDOW,
@@ -228,16 +308,22 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], w
                       F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("hits"),
                       F.expr("cast(array() as array<string>)").alias("items"),
                       F.expr(f"cast(array() as {MATCH})").alias("matches"))
-    blocks = list(_blocks(benchmark, window, block_words))
+    count, blocks = _blocks(benchmark, window, block_words)
+    before = None
     for i, block in enumerate(blocks):
-        more = [] if text in names or i == len(blocks) - 1 else ["text"]
+        more = [] if text in names or i == count - 1 else ["text"]
         out = out.mapInArrow(scan(block, [*names, *more], text), ", ".join([*kinds, *("text string" for _ in more), FOUND]))
-        out = out.drop("n_words") if i < len(blocks) - 1 else out
+        if i < count - 1:
+            out = storage.cut(out.drop("n_words"), "decontamination")
+            if before is not None:
+                storage.drop(before)
+            before = out
     return out, names
 
 
 def contamination_digest(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items_sha256, contaminated, matches."""
+    """Per document: n_words, n_hit, n_items, items_sha256, contaminated (``find_contamination``
+    also has the longest matches and their places)."""
     found, (k,) = find_contamination(docs, benchmark, ["doc_id"], **kw)
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["start"])
     return found.select(F.col(k).alias("doc_id"), "n_words", n_hit.alias("n_hit"),
