@@ -22,24 +22,20 @@ def evidence_indices_from_text(pred_text: DataFrame, sentences_df: DataFrame,
 
     ``pred_text``: (id, field, label, evidence_text array<string>) in rank order.
     ``sentences_df``: (id, sent_idx, sentence) of the gold text.  Texts are
-    compared after whitespace normalisation; a sentence that occurs twice
-    maps to its *last* index; unmatched texts are dropped.
+    compared after whitespace normalisation, by 128-bit digests: sentences are
+    digested where they are read and do not travel.  A sentence that occurs
+    twice maps to its *last* index; unmatched texts are dropped, and a label
+    whose texts all failed to match keeps an empty list.
     """
-    index = (sentences_df.select(id_col, "sent_idx", normalize_sentence("sentence").alias("_n"))
+    digest = lambda c: F.unhex(F.md5(normalize_sentence(c).cast("binary"))).alias("_n")
+    index = (sentences_df.select(id_col, "sent_idx", digest("sentence"))
              .groupBy(id_col, "_n").agg(F.max("sent_idx").alias("sent_idx")))
-    exploded = pred_text.select(id_col, "field", "label",
-                                F.posexplode("evidence_text").alias("_pos", "_t"))
-    matched = (exploded.withColumn("_n", normalize_sentence("_t"))
-               .join(index, [id_col, "_n"], "inner"))
-    mapped = (matched.groupBy(id_col, "field", "label")
-              .agg(F.sort_array(F.collect_list(F.struct("_pos", "sent_idx"))).alias("_e"))
-              .select(id_col, "field", "label",
-                      F.transform("_e", lambda x: x["sent_idx"]).alias("evidence")))
-    # labels whose texts all failed to match keep an empty list
-    return (pred_text.select(id_col, "field", "label").distinct()
-            .join(mapped, [id_col, "field", "label"], "left")
-            .select(id_col, "field", "label",
-                    F.coalesce("evidence", F.array().cast("array<int>")).alias("evidence")))
+    exploded = (pred_text.select(id_col, "field", "label", F.posexplode_outer("evidence_text").alias("_pos", "_t"))
+                .select(id_col, "field", "label", "_pos", digest("_t")))
+    found = F.when(F.col("sent_idx").isNotNull(), F.struct("_pos", "sent_idx"))      # nulls are not collected
+    return (exploded.join(index, [id_col, "_n"], "left")
+            .groupBy(id_col, "field", "label").agg(F.sort_array(F.collect_list(found)).alias("_e"))
+            .select(id_col, "field", "label", F.transform("_e", lambda x: x["sent_idx"]).alias("evidence")))
 
 
 def evidence_metrics(gold_evidence: DataFrame, gold_records: DataFrame, pred_evidence: DataFrame,

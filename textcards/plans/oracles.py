@@ -493,6 +493,22 @@ pev AS (SELECT p.id, p.field, p.label, list(n.sent_idx ORDER BY p.r) AS evidence
         GROUP BY p.id, p.field, p.label)""" + _evidence_metric_sql("pev")
 
 
+@oracle("q_evidence_external")
+def _():
+    return f"""WITH d AS (SELECT doc_id AS id, lang, {sentences("coalesce(text, '')")} AS sl FROM documents),
+so AS (SELECT id, CAST(unnest(range(len(sl))) AS INTEGER) AS sent_idx, unnest(sl) AS sent FROM d),
+nidx AS (SELECT id, {_norm_sentence('sent')} AS n, max(sent_idx) AS sent_idx FROM so GROUP BY id, {_norm_sentence('sent')}),
+k AS (SELECT * FROM d WHERE id IN (SELECT doc_id FROM labels)),
+g AS (SELECT id, 'language' AS field, lang AS label, CASE WHEN len(sl) > 0 THEN
+             [chr(9) || replace(sl[1], ' ', '  ') || ' ', 'in no record.', sl[len(sl)], sl[len(sl) // 2 + 1]] ELSE ['in no record.'] END AS t FROM k
+      UNION ALL SELECT id, 'all', 'every', sl FROM k),
+x AS (SELECT id, field, label, unnest(t) AS t, unnest(range(len(t))) AS pos FROM g),
+m AS (SELECT x.id, field, label, string_agg(CAST(sent_idx AS VARCHAR), ',' ORDER BY pos) AS evidence
+      FROM x JOIN nidx ON nidx.id = x.id AND nidx.n = {_norm_sentence('x.t')} GROUP BY x.id, field, label)
+SELECT g.id AS doc_id, g.field, g.label, coalesce(evidence, '') AS evidence
+FROM g LEFT JOIN m ON m.id = g.id AND m.field = g.field AND m.label IS NOT DISTINCT FROM g.label"""
+
+
 # --- C11 stats --------------------------------------------------------------------------------
 NOT_WS_CLASS = "[^" + WS_CLASS[1:]
 

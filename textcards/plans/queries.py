@@ -443,6 +443,26 @@ def q_evidence_text_match(spark, sf_dir):
     return _metrics_out(evidence_metrics(ev, recs, pred, LX.DOCUMENT_FIELDS, "id"))
 
 
+@query
+def q_evidence_external(spark, sf_dir):
+    """J7 as a join: evidence texts from outside (other whitespace, repeated
+    sentences, texts of no record) mapped to the last index of the sentence."""
+    from textcards.functions.text import split_sentences
+    from textcards.operators.evidence import evidence_indices_from_text
+    from textcards.operators.sentences import sentences
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
+    known = docs.join(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id", "left_semi")
+    known = known.withColumn("s", split_sentences(F.coalesce("text", F.lit(""))))
+    n, off = F.size("s"), F.lit("in no record.")
+    some = F.array(F.concat(F.lit("\t"), F.replace(F.get("s", F.lit(0)), F.lit(" "), F.lit("  ")), F.lit(" ")), off,
+                   F.get("s", n - 1), F.get("s", F.floor(n / 2).cast("int")))
+    given = (known.select("id", F.lit("language").alias("field"), F.col("lang").alias("label"),
+                          F.when(n > 0, some).otherwise(F.array(off)).alias("evidence_text"))
+             .unionByName(known.select("id", F.lit("all").alias("field"), F.lit("every").alias("label"), F.col("s").alias("evidence_text"))))
+    out = evidence_indices_from_text(given, sentences(docs, "id"), "id")
+    return out.select(F.col("id").alias("doc_id"), "field", "label", ints_csv("evidence").alias("evidence"))
+
+
 # --- C11: A21-A24 P12 F2 F3 -----------------------------------------------------------
 def _profile_feats(spark, sf_dir):
     from textcards.operators.stats import record_features
