@@ -194,13 +194,15 @@ class Gam:
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> Gam:
-    """Fit on at most ``max_train_rows`` rows of ``labels (doc_id, quality)``."""
+    """Fit on at most ``max_train_rows`` rows of ``labels (doc_id, quality)``, and on at most
+    as many rows of features where documents share an id."""
     ship("textcards.llm.tokens", __name__)
     sample = (labels.where("doc_id is not null and quality is not null")
               .select("doc_id", F.col("quality").cast("int").alias("quality"))
               .orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_train_rows))
     rows = (docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-            .select("quality", "text").mapInArrow(tokens.trimmed(read_features), "quality int, x array<double>").toArrow())
+            .select("quality", "text").mapInArrow(tokens.trimmed(read_features), "quality int, x array<double>")
+            .orderBy(F.xxhash64("x"), "x", "quality").limit(max_train_rows).toArrow())
     x = np.array(rows.column("x").combine_chunks().flatten()).reshape(-1, len(FEATURES))
     y = np.array(rows.column("quality"), dtype=float)
     order = np.lexsort((*x.T, y))         # the same model whatever the order of the tasks
