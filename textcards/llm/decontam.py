@@ -312,7 +312,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str], w
     before = None
     for i, block in enumerate(blocks):
         more = [] if text in names or i == count - 1 else ["text"]
-        out = out.mapInArrow(scan(block, [*names, *more], text), ", ".join([*kinds, *("text string" for _ in more), FOUND]))
+        out = out.mapInArrow(tokens.trimmed(scan(block, [*names, *more], text)), ", ".join([*kinds, *("text string" for _ in more), FOUND]))
         if i < count - 1:
             out = storage.cut(out.drop("n_words"), "decontamination")
             if before is not None:

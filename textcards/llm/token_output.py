@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textcards.llm import ship, storage
+from textcards.llm import ship, storage, tokens
 
 LENGTH = 2048                 # ids of a sequence
 SHARD_BYTES = 32 << 20        # about; a shard is what one task sorts and writes
@@ -219,7 +219,7 @@ def materialise(docs: DataFrame, out_dir: str, vocabulary_path: str, pattern: st
                 key: int = 20_240_607, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write the shards below ``out_dir`` and return their records:
     ``slot, shard, path, byte_offset, n_tokens, docs, sha256``."""
-    ship(__name__)
+    ship("textcards.llm.tokens", __name__)
     spark = docs.sparkSession
     vocabulary = read_vocabulary(spark, vocabulary_path)
     end = 1 + max(int(x.split()[1]) for x in vocabulary.splitlines() if x.strip())
@@ -236,12 +236,13 @@ def materialise(docs: DataFrame, out_dir: str, vocabulary_path: str, pattern: st
     shards = max(1, -(-size * stride // (2 * shard_bytes)))      # about two bytes an id
 
     order = Feistel(size, key)
-    numbered = texts.mapInArrow(sequences(vocabulary, pattern, end, length, first, kind), SEQUENCE)
-    placed = numbered.mapInArrow(permuted(order), "permuted long, " + SEQUENCE[len("number long, "):])
+    numbered, place = sequences(vocabulary, pattern, end, length, first, kind), permuted(order)
+    placed = texts.mapInArrow(tokens.trimmed(lambda batches: place(numbered(batches))),       # one worker a task
+                              "permuted long, " + SEQUENCE[len("number long, "):])
     dealt = (placed.withColumn("shard", F.expr(f"permuted * {shards} div {max(1, size)}") if size * shards < 1 << 62
                                else F.floor(F.col("permuted") / F.lit(size / shards)))
              .repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "permuted"))
-    records = storage.cut(dealt.select("shard", "n_tokens", "docs", "ids").mapInArrow(write_shards(out_dir), RECORD),
+    records = storage.cut(dealt.select("shard", "n_tokens", "docs", "ids").mapInArrow(tokens.trimmed(write_shards(out_dir)), RECORD),
                           "records")
     before = (records.groupBy("shard").agg(F.count("*").alias("n"))
               .select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before")))   # a row per shard
