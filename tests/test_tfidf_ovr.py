@@ -223,3 +223,40 @@ def test_fit_and_score_jobs(spark, tmp_dir):
     parts = J.tfidf_score_job(spark, data, f"{tmp_dir}/model", f"{tmp_dir}/b", split=f"{tmp_dir}/split").collect()
     flat = lambda rows: sorted((r["incident_id"], str(r["pred"]), str(r["evidence"])) for r in rows)
     assert flat(parts) == flat(whole) and len(parts) == 2
+
+
+def test_terms_leave_a_chunk_once():
+    """A term in every record of a chunk is one row of it; chunks are cut within a batch."""
+    import pyarrow as pa
+    from textcards.operators import term_blocks as B
+    words = ["hot pad x fire", "hot pad", "", "hot hot hot", "größe hot"]
+    batch = pa.RecordBatch.from_arrays([pa.array(words)], names=["words"])
+    got = [(t, n) for b in B.chunk_terms([batch, batch]) for t, n in zip(b["term"].to_pylist(), b["n"].to_pylist())]
+    assert sorted(got) == sorted([("hot", 8), ("pad", 4), ("fire", 2), ("größe", 2), ("hot pad", 4), ("hot hot", 2),
+                                  ("pad fire", 2), ("größe hot", 2)])
+
+
+def test_blocks_and_repeated_ids_match_brute_force(spark, monkeypatch):
+    """Many small blocks and chunks; rows that share an id (or have none) are one record."""
+    from textcards.operators import term_blocks as B
+    monkeypatch.setattr(B, "BLOCK_CHARS", 60)
+    monkeypatch.setattr(T, "MAX_BROADCAST_VOCAB", 3)
+    texts = [f"{CORPUS[i % 4]} number{i % 5} again." for i in range(12)] + [None, "", "a b c."]
+    ids = [None if i in (3, 7) else i // 2 if i < 4 else i for i in range(len(texts))]
+    d = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    idf = py_vocab([t or "" for t in texts])
+    vocab = T.fit_vocabulary(d)
+    assert {r["term"]: pytest.approx(r["idf"]) for r in vocab.collect()} == idf
+    want, lines = {}, {}
+    for i, t in zip(ids, texts):
+        want.setdefault(i, Counter()).update(x for x in py_terms(t or "") if x in idf)
+        for k, s in enumerate(py_sentences(t or "")):
+            lines.setdefault((i, k), Counter()).update(x for x in py_terms(s) if x in idf)
+    got = {(r["doc_id"], r["term"]): (r["tf"], r["weight"]) for r in T.tfidf_vectors(d, vocab).collect()}
+    assert len(got) == sum(map(len, want.values()))
+    for i, tf in want.items():
+        norm = math.sqrt(sum((n * idf[x]) ** 2 for x, n in tf.items()))
+        assert all(got[i, x] == (n, pytest.approx(n * idf[x] / norm)) for x, n in tf.items())
+    scores = {(r["doc_id"], r["sent_idx"]): r["score"] for r in T.sentence_scores(d, vocab).collect()}
+    assert scores == {k: pytest.approx(sum(n * idf[x] for x, n in tf.items()) / math.sqrt(sum((n * idf[x]) ** 2 for x, n in tf.items())))
+                      for k, tf in lines.items() if tf}

@@ -27,7 +27,7 @@ from textcards.operators.common import bounded_broadcast, stored
 from textcards.operators.logreg import (MAX_TASKS, MAX_TRAIN_ROWS, fit_labels, pack_columns,
                                         sample_rows)
 from textcards.operators.ovr_model import fit_tables, predict
-from textcards.operators.tfidf import lookup, tfidf_vectors
+from textcards.operators.tfidf import lookup, tfidf_products, tfidf_vectors
 
 KEY = "\u0000"      # between field and label
 
@@ -127,7 +127,9 @@ def optimality(model: OvrModel) -> DataFrame:
 def predict_ovr(model: OvrModel, test_docs: DataFrame, vocab: DataFrame, id_col: str = "id",
                 text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``(id, field, label, confidence)`` of the labels at or above the threshold."""
-    m = margins(tfidf_vectors(test_docs, vocab, id_col, text_col), model, id_col)
+    names = [f"c{k}" for k in range(len(model.labels))]
+    side = vocab.select("term", "idf").join(model.coef.select("term", *names), "term", "left")      # one row a term each
+    m = tfidf_products(test_docs, side, names, id_col, text_col)
     j = test_docs.select(id_col).join(m, id_col, "left")
     p = [1 / (1 + F.exp(-(F.coalesce(F.col(f"m{k}"), F.lit(0.0)) + F.lit(float(b)))))
          for k, b in enumerate(model.intercepts)]

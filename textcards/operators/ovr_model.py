@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textcards.operators.common import stored
+from textcards.operators.common import stored_by
 from textcards.operators.tfidf import fit_vocabulary, top_sentence_lists
 from textcards.sources.versioned import publish, resolve
 
@@ -40,7 +40,7 @@ def fit_tables(train_docs: DataFrame, gold_long: DataFrame, states: list, id_col
     from textcards.operators.ovr import fit_ovr
     active = sorted((r["field"], r["label"]) for r in states if r["state"] == "active")
     always = sorted((r["field"], r["label"]) for r in states if r["state"] == "always")
-    vocab = stored(fit_vocabulary(train_docs, text_col, max_df=max_df))
+    vocab = stored_by(fit_vocabulary(train_docs, text_col, max_df=max_df), "term")
     if not active:
         return ModelTables(vocab, None, [], [], always)
     model = fit_ovr(train_docs, gold_long, active, vocab, id_col, text_col, **fit)
