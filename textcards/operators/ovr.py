@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textcards.operators.common import bounded_broadcast, stored
+from textcards.operators.common import bounded_broadcast, stored, stored_by
 from textcards.operators.logreg import (MAX_TASKS, MAX_TRAIN_ROWS, fit_labels, pack_columns,
                                         sample_rows)
 from textcards.operators.ovr_model import fit_tables, predict
@@ -88,7 +88,7 @@ def fit_ovr(train_docs: DataFrame, gold_long: DataFrame, active: list, vocab: Da
                                   "row int, " + ", ".join(f"a{k} double" for k in range(len(active))))
     coef = entries.join(F.broadcast(alpha), "row").groupBy("term").agg(
         *[F.sum(F.col("weight") * F.col(f"a{k}")).alias(f"c{k}") for k in range(len(active))])
-    coef = stored(coef.join(vocab.select("term", "heavy"), "term"))
+    coef = stored_by(coef.join(vocab.select("term", "heavy"), "term"), "term")
     return OvrModel(list(active), len(y), y, intercepts, coef, entries, C)
 
 
@@ -128,8 +128,7 @@ def predict_ovr(model: OvrModel, test_docs: DataFrame, vocab: DataFrame, id_col:
                 text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``(id, field, label, confidence)`` of the labels at or above the threshold."""
     names = [f"c{k}" for k in range(len(model.labels))]
-    side = vocab.select("term", "idf").join(model.coef.select("term", *names), "term", "left")      # one row a term each
-    m = tfidf_products(test_docs, side, names, id_col, text_col)
+    m = tfidf_products(test_docs, vocab, model.coef, names, id_col, text_col)
     j = test_docs.select(id_col).join(m, id_col, "left")
     p = [1 / (1 + F.exp(-(F.coalesce(F.col(f"m{k}"), F.lit(0.0)) + F.lit(float(b)))))
          for k, b in enumerate(model.intercepts)]
