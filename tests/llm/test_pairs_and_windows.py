@@ -179,6 +179,53 @@ def test_tuned_bands_reach_the_recall():
         assert 1 - (1 - (percent / 100) ** rows) ** bands >= 0.999
 
 
+def test_paragraph_sets_cost_little():
+    """The sets of a text's paragraphs are those of its lines, read in one go: 12,000
+    paragraphs took seconds when each was cut out and hashed alone."""
+    import time
+
+    import pyarrow as pa
+    rng = random.Random(8)
+    texts = ["\n".join(prose(rng, rng.randrange(20, 60), 300) for _ in range(n)) for n in (5, 12_000, 1)] + ["\u00c4b c d e f\n\n" + prose(rng, 30) + "\n"]
+    wanted = [[{"line": k, "last": k, "pid": 100_000 * i + k, "cluster": k % 7} for k in range(t.count("\n") + 1)] for i, t in enumerate(texts)]
+    wanted[3] = [{"line": 0, "last": 2, "pid": 300_000, "cluster": 1}, {"line": 2, "last": 2, "pid": 300_001, "cluster": 2}]
+    kind = pa.list_(pa.struct([("line", pa.int32()), ("last", pa.int32()), ("pid", pa.int64()), ("cluster", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(["other", *texts]), pa.array([[], *wanted], kind)], names=["text", "wanted"]).slice(1)
+    t0 = time.process_time()
+    out = pa.Table.from_batches(paragraph_dedup.read_line_sets([batch, batch.slice(0, 0)])).to_pylist()
+    assert time.process_time() - t0 < 1
+    got = {r["doc_id"]: (r["cluster"], r["items"]) for r in out}
+    assert len(out) == len(got) == sum(map(len, wanted))
+    for t, mine in zip(texts, wanted):
+        lines = t.split("\n")
+        for w in mine[:300]:
+            x = "\n".join(lines[w["line"]:w["last"] + 1]).encode()
+            s = next(tokens.shingle_sets(np.frombuffer(x, np.uint8), np.array([0, len(x)]), tokens.NON_SPACE, 5))
+            assert got[w["pid"]] == (w["cluster"], s.tobytes())
+
+
+@pytest.mark.parametrize("sides", [False, True])
+def test_small_clusters_compared_at_once(monkeypatch, sides):
+    """As many classes, from links that hold, as by the tree."""
+    rng = random.Random(6)
+    for _ in range(60):
+        n, base = rng.randrange(2, 20), rng.sample(range(1 << 60), 40)
+        sets = [np.unique(np.array([x if rng.random() < 0.93 else rng.randrange(1 << 60) for x in base[:rng.randrange(20, 41)]], np.uint64))
+                for _ in range(n)]
+        side = np.array([rng.randrange(2) for _ in range(n)]) if sides else None
+        classes = []
+        for few in (64, 0):
+            monkeypatch.setattr(shingle_join, "FEW", few)
+            found, u = shingle_join.links(list(range(n)), sets, 80, side), brute.Union(range(n))
+            for a, b in found:
+                both = len(np.intersect1d(sets[a], sets[b]))
+                assert 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both) and (not sides or side[a] != side[b])
+                u.join(a, b)
+            classes.append([u.find(k) for k in range(n)])
+            assert len(found) == n - len(set(classes[-1]))
+        assert classes[0] == classes[1]
+
+
 @pytest.mark.parametrize("more", [{}, {"max_segments": 1}, {"block_bytes": 1}])
 def test_substrings(edge_docs, edge_rows, more):
     rows = suffix_dedup.dedup_substrings(edge_docs, **more).collect()
