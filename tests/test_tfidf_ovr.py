@@ -260,3 +260,54 @@ def test_blocks_and_repeated_ids_match_brute_force(spark, monkeypatch):
     scores = {(r["doc_id"], r["sent_idx"]): r["score"] for r in T.sentence_scores(d, vocab).collect()}
     assert scores == {k: pytest.approx(sum(n * idf[x] for x, n in tf.items()) / math.sqrt(sum((n * idf[x]) ** 2 for x, n in tf.items())))
                       for k, tf in lines.items() if tf}
+
+
+def test_fit_takes_every_record(spark):
+    """More records than the old sample's 20,000: counts, and the optimum of all of them."""
+    import numpy as np
+    from textcards.operators.common import stored_by
+    from textcards.operators.ovr import fit_ovr, optimality
+    n, words = 20_050, ["alpha", "beta", "gamma", "delta", "omega"]
+    kinds = [f"{words[i % 5]} {words[i // 5 % 5]}." for i in range(25)]
+    of, hot = [i * 7 % 25 for i in range(n)], [i % 3 == 0 or i % 25 in (7, 14) for i in range(n)]
+    train = spark.createDataFrame([(i, kinds[k]) for i, k in enumerate(of)], "id int, text string")
+    gold = spark.createDataFrame([(i, "f", "hot") for i in range(n) if hot[i]], "id int, field string, label string")
+    vocab = stored_by(T.fit_vocabulary(train), "term")
+    model = fit_ovr(train, gold, [("f", "hot")], vocab, tol=1e-7)
+    (row,) = optimality(model).collect()
+    assert (row["n"], row["positives"]) == (n, sum(hot)) and row["max_grad"] <= 1e-6
+    idf = {r["term"]: r["idf"] for r in vocab.collect()}
+    terms = sorted(idf)
+    x = np.zeros((25, len(terms) + 1))
+    for k, t in enumerate(kinds):
+        for a, c in Counter(py_terms(t)).items():
+            x[k, terms.index(a)] = c * idf[a]
+        x[k] /= np.linalg.norm(x[k])
+    x[:, -1] = 1.0
+    total, ones = np.bincount(of, minlength=25), np.bincount(of, weights=hot, minlength=25)
+    w, reg = np.zeros(len(terms) + 1), np.append(np.ones(len(terms)), 0.0)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(x.T @ (x * (total * p * (1 - p))[:, None]) + np.diag(reg), x.T @ (total * p - ones) + reg * w)
+    got = {r["term"]: r["c0"] for r in model.coef.collect()}
+    assert got.keys() == set(terms) and max(abs(got[t] - w[i]) for i, t in enumerate(terms)) < 1e-2
+    assert model.intercepts[0] == pytest.approx(w[-1], abs=1e-2)
+
+
+def test_fit_in_ranges_of_rows(spark, monkeypatch):
+    """Vectors of many ranges, mapped from files: the same fit as with one range."""
+    from textcards.operators import row_vectors as V
+    from textcards.operators.ovr import ovr_predict
+    words = ["engine fire", "tank leak", "pad wind", "engine leak", "wind fire"]
+    train = spark.createDataFrame([(None if i == 9 else i // 2 if i < 4 else i, f"{words[i % 5]} number{i}. {words[i % 3]} again.")
+                                   for i in range(40)], "id int, text string")
+    test = spark.createDataFrame([(100, "engine fire."), (101, "wind on the pad. leak."), (102, None)], "id int, text string")
+    gold = spark.createDataFrame([(i, "f", lab) for i in range(40) for lab in ("burn", "leak", "wind") if (i * 7 + len(lab)) % 3],
+                                 "id int, field string, label string")
+    tax = taxonomy_table(spark, {"f": ["burn", "leak", "wind"]})
+    key = lambda: sorted((r["id"], r["label"], pytest.approx(r["confidence"], abs=1e-9)) for r in ovr_predict(      # noqa: E731
+        train, test, gold, tax, ["f"], "id", threshold=0.0)[0].collect())
+    want = key()
+    monkeypatch.setattr(V, "RANGE_VALUES", 20)
+    monkeypatch.setattr(V, "IN_MEMORY", 10)
+    assert key() == want and len(want) == 9
