@@ -311,3 +311,17 @@ def test_fit_in_ranges_of_rows(spark, monkeypatch):
     monkeypatch.setattr(V, "RANGE_VALUES", 20)
     monkeypatch.setattr(V, "IN_MEMORY", 10)
     assert key() == want and len(want) == 9
+
+
+def test_known_terms_are_read_from_files(spark, tmp_dir):
+    """Vectors and predictions read what the vocabulary knows of their blocks, and the
+    margins, from written tables: the joins' shuffles are not held beside theirs."""
+    from textcards.operators import ovr_model as M
+    d = docs(spark)
+    vocab = T.fit_vocabulary(d).cache()
+    plan = T.tfidf_vectors(d, vocab)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
+    coef = vocab.select("term", "heavy", (vocab.df * 0.5).alias("c0"))
+    model = M.ModelTables(vocab, coef, [("f", "a")], [0.1], [])
+    plan = M.predict(model, d, "doc_id", "text", 0.0)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" not in plan
