@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textcards.operators.common import stored_by
+from textcards.operators.common import stored_by, written
 from textcards.operators.tfidf import fit_vocabulary, top_sentence_lists
 from textcards.sources.versioned import publish, resolve
 
@@ -84,6 +84,6 @@ def predict(model: ModelTables, docs: DataFrame, id_col: str = "id", text_col: s
                      for f, lab in model.always]).cast("array<struct<field:string,label:string,confidence:double>>")
     out = docs.select(id_col, F.explode(sure).alias("x")).select(id_col, "x.*")
     if model.labels:
-        out = out.unionByName(predict_ovr(model, docs, model.vocab, id_col, text_col, threshold))
-    ev = top_sentence_lists(docs, model.vocab, id_col, text_col, evidence_k)
+        out = out.unionByName(written(predict_ovr(model, docs, model.vocab, id_col, text_col, threshold)))
+    ev = written(top_sentence_lists(docs, model.vocab, id_col, text_col, evidence_k))
     return out.join(ev, id_col, "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<int>")))
